@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
+from .token_store import token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +24,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), window=35, keep_text=False)
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op7_token_store)}
 
 
 OP2 = r"""
