@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_store import token_store
@@ -24,12 +25,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), window=35, keep_text=False)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op7_token_store)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store)}
 
 
 OP2 = r"""
@@ -74,6 +79,30 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 FROM w LEFT JOIN kept ON kept.rid = w.rid
 """
 
+OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, ws, least(10, len(ws)) AS k FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark) t WHERE len(ws) > 0),
+iw AS (
+  SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM b) t),
+dw AS (
+  SELECT rid, k, i, array_to_string(ws[i:i + k - 1], ' ') AS g
+  FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM iw) ks WHERE len(ws) >= k) t),
+hits AS (SELECT rid, i, dw.k, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.g = iw.g),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) t GROUP BY rid),
+its AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(len(l), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256,
+       hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2, "op4_substring_dedup": OP4}
+    return {"op2_near_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontamination": OP5}
