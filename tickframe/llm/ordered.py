@@ -13,7 +13,7 @@ from .common import column, parts, text_bytes
 RANGE_BYTES = 8 << 20
 
 
-def _range_of(ids: pa.Array, splits: np.ndarray) -> np.ndarray:
+def range_of(ids: pa.Array, splits: np.ndarray) -> np.ndarray:
     """Null ids come before all others."""
     known = np.asarray(ids.is_valid())
     at = np.zeros(len(ids), np.int64)
@@ -28,7 +28,7 @@ def _deal(splits: np.ndarray, firsts: dict[int, int | None]):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids, texts = column(batch, "doc_id"), column(batch, "text").to_pylist()
-            at = _range_of(ids, splits)
+            at = range_of(ids, splits)
             packed = [press.compress((t or "").encode()) for t in texts]
             also = [i for i, (p, d) in enumerate(zip(at.tolist(), ids.to_pylist())) if p in firsts and firsts[p] == d]
             rows = np.append(np.arange(len(at)), np.array(also, np.int64))
@@ -50,7 +50,7 @@ def _least(splits: np.ndarray):
     def least(batches):
         for batch in batches:
             ids = column(batch, "doc_id")
-            at = _range_of(ids, splits)
+            at = range_of(ids, splits)
             known = np.asarray(ids.is_valid())
             values = np.asarray(ids.fill_null(0))
             for p in np.unique(at).tolist():
@@ -61,15 +61,20 @@ def _least(splits: np.ndarray):
     return least
 
 
-def dealt_by_id(docs: DataFrame, with_next: bool = False) -> DataFrame:
+def ranges(docs: DataFrame) -> np.ndarray:
+    """Ids that cut the documents into ranges of about ``RANGE_BYTES`` of text."""
+    n = parts(text_bytes(docs), RANGE_BYTES)
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
+    return np.unique(np.array(cuts if n > 1 else [], np.int64))
+
+
+def dealt_by_id(docs: DataFrame, with_next: bool = False, splits: np.ndarray | None = None) -> DataFrame:
     """(part, next, doc_id, packed): rows of one part are to be sorted by ``unpacked``.
 
     Ranges hold about ``RANGE_BYTES`` of text; the driver sees one id a range.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = parts(text_bytes(source), RANGE_BYTES)
-    cuts = source.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
-    splits = np.unique(np.array(cuts if n > 1 else [], np.int64))
+    splits = ranges(source) if splits is None else splits
     firsts: dict[int, int | None] = {}
     if with_next:
         found = source.select("doc_id").mapInArrow(_least(splits), "part int, least long").groupBy("part").agg(F.min("least").alias("least"), F.bool_or(F.col("least").isNull()).alias("has_null"))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_digests
 from .decontaminate import contamination
+from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
 from .substring_dedup import substring_dedup
 from .token_store import token_store
@@ -33,8 +35,18 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], rows.schema)
+    return chat_digests(rows.union(probe))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store, op8_fingerprints, op9_chat_format)}
 
 
 OP2 = r"""
@@ -103,6 +115,25 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BI
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
+OP9 = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 END AS marks,
+    replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+      '\', '\\'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), '[/INST]', '[\/INST]'), '[INST]', '[\INST]'),
+      '[/ROLE]', '[\/ROLE]'), '[ROLE]', '[\ROLE]'), '</s>', '<\/s>'), '<s>', '<\s>'), '[END]', '[\END]'), '[NONE]', '[\NONE]'),
+      '[/NONE]', '[\/NONE]') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(escaped) + marks) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontamination": OP5}
+    return {"op2_near_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontamination": OP5, "op9_chat_format": OP9}
