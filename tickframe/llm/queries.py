@@ -11,6 +11,7 @@ from .chat import chat_digests
 from .decontaminate import contamination
 from .fingerprints import fingerprints
 from .near_dedup import near_duplicates
+from .pii import personal_data
 from .substring_dedup import substring_dedup
 from .token_store import token_store
 
@@ -45,8 +46,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.union(probe))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store, op8_fingerprints, op9_chat_format)}
+    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
 
 
 OP2 = r"""
