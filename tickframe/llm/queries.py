@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_digests
 from .decontaminate import contamination
 from .fingerprints import fingerprints
+from .language_id import identify
 from .near_dedup import near_duplicates
 from .pii import personal_data
 from .substring_dedup import substring_dedup
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
 
 
 OP2 = r"""
