@@ -13,6 +13,7 @@ from .fingerprints import fingerprints
 from .language_id import identify
 from .near_dedup import near_duplicates
 from .pii import personal_data
+from .sentencepiece_sampling import sample_pieces
 from .substring_dedup import substring_dedup
 from .token_store import token_store
 
@@ -37,6 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,7 +61,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_dedup, op4_substring_dedup, op5_decontamination, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_dedup, op4_substring_dedup, op5_decontamination, op6_sentencepiece, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
 
 
 OP2 = r"""
