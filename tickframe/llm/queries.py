@@ -15,6 +15,7 @@ from .near_dedup import near_duplicates
 from .pii import personal_data
 from .sentencepiece_sampling import sample_pieces
 from .substring_dedup import substring_dedup
+from .token_counts import middle_edit, token_counts
 from .token_store import token_store
 
 
@@ -30,6 +31,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), middle_edit(), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"), window=35, keep_text=False)
 
@@ -61,7 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_dedup, op4_substring_dedup, op5_decontamination, op6_sentencepiece, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
+    return {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_token_counts, op4_substring_dedup, op5_decontamination, op6_sentencepiece, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
 
 
 OP2 = r"""
