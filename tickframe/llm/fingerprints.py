@@ -98,11 +98,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = dealt_by_id(docs, with_next=True, splits=splits).groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_compare, schema)
     rows = materialize(rows, "fingerprints")
     doubtful = rows.where(F.col("packed").isNotNull()).select("fingerprint", "doc_id", "packed")
-    first = doubtful.groupBy("fingerprint").agg(F.min_by("packed", "doc_id").alias("first"))
+    # Both are written: a join whose sides are bare exchanges, and counts pre-aggregated apart from it, leave no large group to one task.
+    first = materialize(doubtful.groupBy("fingerprint").agg(F.min_by("packed", "doc_id").alias("first")), "firsts")
     same = F.coalesce(F.col("packed") == F.col("first"), F.lit(False))
     variant = F.when(F.col("packed").isNotNull(), F.when(same, "").otherwise(F.sha2("packed", 256)))
-    rows = rows.join(first, "fingerprint", "left").withColumn("variant", variant).drop("packed", "first")
+    rows = materialize(rows.join(first, "fingerprint", "left").withColumn("variant", variant).drop("packed", "first"), "variants")
     groups = rows.where(F.col("variant").isNotNull()).groupBy("fingerprint", "variant").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n_copies"))
-    rows = rows.join(groups, ["fingerprint", "variant"], "left")
+    rows = rows.join(materialize(groups, "groups"), ["fingerprint", "variant"], "left")
     order = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     return rows.select(*order, F.when(F.col("variant").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
