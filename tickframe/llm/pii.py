@@ -172,7 +172,7 @@ def fit(patterns: list[dict], post: list[float], rounds: int = 300) -> list[floa
 
 
 def train(found: DataFrame) -> list[float]:
-    """The classifier's weights; the driver sees one row a vote pattern (4 kinds x 3**5 votes x 5 sizes at most)."""
+    """The classifier's weights, from written candidates; the driver sees one row a vote pattern (4 kinds x 3**5 votes x 5 sizes at most)."""
     keys = ["kind", *LABELERS, "size"]
     counted = found.select(F.explode("found").alias("x")).select("x.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()
     patterns = [r.asDict() for r in sorted(counted)]
@@ -219,7 +219,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` counted anew; all other columns stay."""
     if weights is None:
-        weights = train(candidates(docs.select("text")))
+        # Written first: a filter that Spark infers from explode() would be pushed below the columns it is
+        # made of, and evaluate the patterns anew for every match.
+        weights = train(materialize(candidates(docs.select("text")).select("found"), "candidates"))
     done = decided(candidates(docs.select(F.struct("*").alias("row"), "text")), weights)
     cut = """aggregate(spans, named_struct('at', 0L, 'all', cast(array() as array<string>)),
         (a, x) -> case when x.start >= a.at
