@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import BYTE, U64, between, column, mix, prefix, slices, utf8
 
 THETA, SEED = 0.7, 1
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _MARK = "▁".encode()
 _LOADED: dict[tuple, "Lattice"] = {}
 
@@ -216,6 +216,16 @@ class Lattice:
             out[last[who] - k] = piece
         return out, total[np.searchsorted(start, at)]
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all pieces, one after the other."""
+        if not hasattr(self, "flat"):
+            self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+            self.sizes = np.array([len(x) for x in self.bytes])
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        sizes = self.sizes[ids]
+        total = np.append(0, np.cumsum(sizes))
+        return self.flat[np.arange(total[-1]) + np.repeat(self.starts[ids] - total[:-1], sizes)]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.bytes[i] for i in ids])[1:].decode()
 
@@ -226,19 +236,27 @@ def _encode(path: str, theta: float, seed: int, keep_ids: bool):
         for batch in batches:
             data, offsets = utf8(column(batch, "text"))
             keys = np.asarray(column(batch, "k")).astype(np.int64).view(U64)
-            n, crc, exact, kept = [], [], [], []
             for a, b in slices(offsets, SLICE_BYTES):
                 body, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 ids, first = lattice.sample(body, at, keys[a:b], seed)
-                own = [ids[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist())]
-                n += np.diff(first).tolist()
-                crc += [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
-                exact += [b"".join([lattice.bytes[i] for i in x.tolist()])[1:] == body[i:j].tobytes() for x, i, j in zip(own, at[:-1].tolist(), at[1:].tolist())]
-                kept += [x.tolist() for x in own] if keep_ids else []
-            out = [column(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(exact, pa.bool_())]
-            if keep_ids:
-                out.append(pa.array(kept, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"][: len(out)])
+                # Read back: each row is its blank and its text.
+                back, sizes = lattice.spelled(ids), np.append(0, np.cumsum(lattice.sizes[ids]))[first]
+                wrong = np.diff(sizes) != np.diff(at) + 1
+                if not wrong.any():
+                    text = np.ones(len(back), bool)
+                    text[sizes[:-1]] = False
+                    differs = np.append(0, np.cumsum(back[text] != body))
+                    wrong = (differs[at[1:]] > differs[at[:-1]]) | (back[sizes[:-1]] != 32)
+                little, bounds = ids.astype("<u4"), first.tolist()
+                out = [
+                    column(batch, "doc_id").slice(a, b - a),
+                    pa.array(np.diff(first), pa.int64()),
+                    pa.array([zlib.crc32(little[i:j]) for i, j in zip(bounds[:-1], bounds[1:])], pa.int64()),
+                    pa.array(~wrong, pa.bool_()),
+                ]
+                if keep_ids:
+                    out.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"][: len(out)])
 
     return encode
 
