@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, utf8
+from .common import column, materialize, small_batches, utf8
 
 CONTROLS = ("<<SYS>>", "<</SYS>>", "[/INST]", "[INST]", "[/ROLE]", "[ROLE]", "</s>", "<s>", "[END]", "[NONE]", "[/NONE]")
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), None: ("[NONE]", "[/NONE]")}
@@ -101,6 +101,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     their own. Null texts are empty; null and unknown roles have marks of their own. Null conv_ids are one
     conversation. Other columns are left aside; an empty table gives an empty result.
     """
+    small_batches(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+BATCH_ROWS = 1000
 
 
 # --------------------------------------------------------------------------- shared folder
@@ -31,6 +32,13 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows: texts are long, and a batch is held on both sides of the Python boundary."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one aggregate that sizes chunks and buckets to the data."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_LOWER, U64, column, parts, slices, text_bytes, utf8, word_hashes, word_spans
+from .common import BYTE_LOWER, U64, column, parts, slices, small_batches, text_bytes, utf8, word_hashes, word_spans
 
 WINDOW = 10
 SLICE_BYTES = 1 << 20
@@ -139,6 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     the original text in code points. One row for each input row, repeated or not; other columns are left
     aside. An empty table gives an empty result and an empty benchmark no hits.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
     schema = f"doc_id {kind}, text string, n_words long, n_hit long, marks binary, items array<string>, spans array<struct<start:long,end:long>>"
@@ -165,6 +166,7 @@ def _drop(key: str, shared, window: int):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark window."""
+    small_batches(docs.sparkSession)
     for key, shared in _slices_of(benchmark):
         docs = docs.mapInArrow(_drop(key, shared, window), docs.schema)
     return docs

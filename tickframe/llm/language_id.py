@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices, utf8
+from .common import column, slices, small_batches, utf8
 
 DIMENSIONS = 1 << 13
 #: Documents a language of the fitting sample, and of all languages together.
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     the family's confidence times the least of the chosen language's pairwise confidences. Columns other
     than doc_id, text and (for fitting) lang are left aside; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))  # bounded: DIMENSIONS weights a pair of languages
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", (remainder() == 2).alias("held_out")).select("doc_id", "held_out", "text").mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
@@ -220,5 +221,6 @@ def _keep(shared, least: float):
 
 def identified(docs: DataFrame, least: float = 0.0, model: Model | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is told with a score of ``least`` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
     return docs.mapInArrow(_keep(shared, least), docs.schema)

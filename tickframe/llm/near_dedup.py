@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import BYTE_LOWER, U64, between, column, grams, materialize, mix, parts, prefix, slices, utf8, word_hashes
+from .common import BYTE_LOWER, U64, between, column, grams, materialize, mix, parts, prefix, slices, small_batches, utf8, word_hashes
 
 SHINGLE = 5
 ROWS, BANDS = 5, 48
@@ -296,6 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are told by a 64-bit sum; links between different sets are always confirmed on full sets.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("k"))
     kind = source.schema["doc_id"].dataType.simpleString()
     signed = materialize(source.mapInArrow(_sign, f"doc_id {kind}, k long, n_shingles long, node long, bands binary"), "signatures")

@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, parts, text_bytes
+from .common import column, parts, small_batches, text_bytes
 
 RANGE_BYTES = 8 << 20
 
@@ -73,6 +73,7 @@ def dealt_by_id(docs: DataFrame, with_next: bool = False, splits: np.ndarray | N
 
     Ranges hold about ``RANGE_BYTES`` of text; the driver sees one id a range.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     splits = ranges(source) if splits is None else splits
     firsts: dict[int, int | None] = {}

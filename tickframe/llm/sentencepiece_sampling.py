@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, U64, between, column, mix, prefix, slices, utf8
+from .common import BYTE, U64, between, column, mix, prefix, slices, small_batches, utf8
 
 THETA, SEED = 0.7, 1
 SLICE_BYTES = 2 << 20
@@ -269,6 +269,7 @@ def sample_pieces(docs: DataFrame, model_path: str, theta: float = THETA, seed:
     values come near the best one. ``lossless`` says that decoding gave the text back. Null and empty texts
     are the blank put in front alone. Other columns are left aside; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * keep_ids
     key = F.coalesce(F.xxhash64("doc_id") if kind not in ("bigint", "int") else F.col("doc_id").cast("long"), F.xxhash64("text"))

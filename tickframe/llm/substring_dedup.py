@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import U64, chunk_of, column, grams, mix, parts, slices, spaced, text_bytes, utf8, word_hashes, word_spans, NOT_BLANK
+from .common import U64, chunk_of, column, grams, mix, parts, slices, small_batches, spaced, text_bytes, utf8, word_hashes, word_spans, NOT_BLANK
 
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
@@ -229,6 +229,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, keep_text: bool = True) -
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     total = text_bytes(source)
     n_chunks, buckets = parts(total, CHUNK_BYTES), parts(total, BUCKET_BYTES)

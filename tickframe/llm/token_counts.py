@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import column, slices, utf8
+from .common import column, slices, small_batches, utf8
 
 LEAF = 16
 #: Bytes of context on either side of a re-encoded region; boundaries depend on four characters at most.
@@ -152,6 +152,7 @@ def token_counts(docs: DataFrame, edits: Column, tokenizer_path: str, keep_tree:
     row for each input row. Null texts count as empty. Columns that ``edits`` doesn't name are left aside;
     an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_tokens_edited long, n_bytes_edited long, n_bytes_reencoded long" + ", tree array<bigint>" * keep_tree
     return docs.select("doc_id", "text", edits.alias("edits")).mapInArrow(_count(tokenizer_path, keep_tree), schema)
