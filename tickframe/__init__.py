@@ -1,0 +1 @@
+"""Market-microstructure features, labels and evaluation on Spark DataFrames."""
