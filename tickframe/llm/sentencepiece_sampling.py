@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import BYTE, U64, between, column, mix, prefix, slices, small_batches, utf8
 
 THETA, SEED = 0.7, 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MARK = "▁".encode()
 _LOADED: dict[tuple, "Lattice"] = {}
 
@@ -53,7 +53,7 @@ class Lattice:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.bytes: list[bytes] = [b""] * n
-        self.byte_id = np.zeros(256, np.int64)
+        self.byte_id = np.zeros(256, np.int32)
         pieces = {}
         for i in range(n):
             if model.is_byte(i):
@@ -68,27 +68,29 @@ class Lattice:
         keys = _keys(prefixes)
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.piece = np.array([pieces.get(p, -1) for p in prefixes])[order]
+        self.piece = np.array([pieces.get(p, -1) for p in prefixes], np.int32)[order]
         self.weight = np.array([-theta * np.log(rank[pieces[p]] + 1.0) if p in pieces else 0.0 for p in prefixes])[order]
         self.longest = max(map(len, pieces), default=1)
         self.joined = np.zeros((256, 256), bool)
         for p in pieces:
             for a, b in zip(p, p[1:]):
                 self.joined[a, b] = True
-        #: Buckets of the top 16 bits narrow a search to a few keys.
-        self.bucket = np.searchsorted(self.keys, np.arange((1 << 16) + 1, dtype=U64) << U64(48), "left")
-        self.bucket[-1] = len(self.keys)
-        self.depth = int(np.diff(self.bucket).max()) if len(keys) else 0
+        #: Buckets of the top 18 bits: most hold one key or none.
+        self.bucket = np.searchsorted(self.keys, np.arange(1 << 18, dtype=U64) << U64(46), "left").astype(np.int32)
+        self.bucket = np.append(self.bucket, np.int32(len(self.keys)))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index among prefixes, or -1."""
-        top = (keys >> U64(48)).astype(np.int64)
-        low, high = self.bucket[top], self.bucket[top + 1]
-        out = np.full(len(keys), -1)
-        for k in range(self.depth):
-            at = low + k
-            ok = (at < high) & (self.keys[np.minimum(at, len(self.keys) - 1)] == keys)
-            out[ok] = at[ok]
+        top = (keys >> U64(46)).astype(np.int32)
+        at, end = self.bucket[top], self.bucket[top + 1]
+        out = np.full(len(keys), -1, np.int32)
+        rest = np.flatnonzero(at < end)
+        at, end = at[rest], end[rest]
+        while len(rest):
+            same = self.keys[at] == keys[rest]
+            out[rest[same]] = at[same]
+            more = ~same & (at + 1 < end)
+            rest, at, end = rest[more], at[more] + 1, end[more]
         return out
 
     # ----------------------------------------------------------------- forward
@@ -144,7 +146,7 @@ class Lattice:
         size = end - start
         origin[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum()) + 1] = np.repeat(start, size)
         depth = b - origin[b]
-        order = np.lexsort((a, b, depth))
+        order = np.argsort((depth << 40) | (b << 12) | (4095 - (b - a)))  # by depth, end and start
         a, b, ids, w, depth = a[order], b[order], ids[order], w[order], depth[order]
         enter = np.zeros(n + 1)  # forward sums by end position; a unit's start counts 0
         share = np.empty(len(a))
