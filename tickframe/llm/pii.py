@@ -36,6 +36,8 @@ ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|35"
 COUNTRIES = r"1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 CUES = "tel|t[eé]l|phone|call|mobil|mobile|fax|mail|contact|kontakt|card|visa|carte|tarjeta|karte|ip|host|server|number|nummer"
 COUNTER = r"isbn|issn|doi|version|order|invoice|no\.|id|ref|#|\$|€"
+#: Probability from which the classifier adds a span.
+ADD_AT = 0.8
 LABELERS = ("v_format", "v_gazetteer", "v_context", "v_counter", "v_shape")
 BLOCK = 64
 
@@ -99,7 +101,9 @@ def _votes(pattern: str) -> str:
         "card": f"case when {n} >= 14 then {d} rlike '^({ISSUERS})' else {d} rlike '^0[1-9]' end",
         "phone": f"{d} rlike '^({COUNTRIES})'",
     }[pattern]
-    format_ = f"case when {valid} then 1 " + ("else -1 end" if pattern == "ip" else f"when {n} < 10 or {n} > 19 then -1 else 0 end" if pattern in ("card", "phone") else "else 0 end")
+    # A run long enough for a card that fails its check digit is most likely another number.
+    failing = {"ip": "else -1 end", "card": f"when {n} between 10 and 13 then 0 else -1 end", "phone": f"when {n} < 10 or {n} > 19 then -1 else 0 end"}
+    format_ = f"case when {valid} then 1 " + failing.get(pattern, "else 0 end")
     shape = "case when length(x.hit) <= 40 then x.hit rlike '^[+]?[0-9]{1,4}(?:[ .-]?[(]?[0-9]{2,5}+[)]?)++$' and x.hit rlike '[ ().-]' else false end" if pattern in ("card", "phone") else "length(x.hit) between 7 and 64"
     return f"""named_struct('kind', {kind}, 'start', x.start, 'end', x.end, 'base', {valid},
         'v_format', {format_},
@@ -114,10 +118,9 @@ def candidates(df: DataFrame) -> DataFrame:
     """Adds ``found``: every candidate of ``text`` with its votes."""
     df = _matches(df)
     df = df.withColumns({f"c_{k}": F.when(F.col(f"m_{k}").isNotNull(), F.expr(f"transform(m_{k}, x -> {_votes(k)})")) for k in PATTERNS}).drop(*(f"m_{k}" for k in PATTERNS))
-    # Failing base matches are dropped, but runs of 9 to 19 digits may still be added by the classifier.
+    # Failing base matches are dropped, but runs of 10 digits or more stay candidates of the classifier.
     keep = "filter(c_{k}, x -> x.base or {loose})"
-    loose = {"card": "x.v_format >= 0", "spelled": "true"}
-    # A card pattern's run of 9 digits or fewer votes -1 on format and leaves here.
+    loose = {"card": "x.size >= 1", "spelled": "true"}
     kind = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,v_format:int,v_gazetteer:int,v_context:int,v_counter:int,v_shape:int,size:int>>"
     parts = [F.coalesce(F.expr(keep.format(k=k, loose=loose.get(k, "false"))).cast(kind), F.expr(f"cast(array() as {kind})")) for k in PATTERNS]
     return df.withColumn("found", F.concat(*parts)).drop(*(f"c_{k}" for k in PATTERNS))
@@ -192,7 +195,7 @@ def decided(found: DataFrame, weights: list[float]) -> DataFrame:
     """Adds ``base`` and ``spans``, each sorted by start and kind."""
     order = "array_sort(transform({what}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"
     found = found.withColumn("base", F.expr(order.format(what="filter(found, x -> x.base)")))
-    extra = f"filter(found, x -> not x.base and {_probability(weights, 'x')} >= 0.5D and not exists(base, b -> b.start < x.end and x.start < b.end))"
+    extra = f"filter(found, x -> not x.base and {_probability(weights, 'x')} >= {ADD_AT!r}D and not exists(base, b -> b.start < x.end and x.start < b.end))"
     extra = F.when(F.expr("exists(found, x -> not x.base)"), F.expr(order.format(what=extra)))
     return found.withColumn("extra", extra).withColumn("spans", F.expr("case when coalesce(size(extra), 0) > 0 then array_sort(array_distinct(concat(base, extra))) else base end")).drop("extra", "found")
 
