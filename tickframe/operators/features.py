@@ -19,9 +19,14 @@ def usable(bars: DataFrame, tick: float = TICK) -> DataFrame:
 def core_features(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS, regimes: bool = True) -> DataFrame:
     """Feature rows (stem and the 64 columns) of ``bars``; without ``regimes`` these five columns are 0, as in live use."""
     b = usable(bars, tick).withColumns({"mid_return_bar": F.ln(F.col("mid_close") / F.col("mid_open")), "cum_bid": cumulative_depth(F.col("book.bids")), "cum_ask": cumulative_depth(F.col("book.asks"))})
-    b = R.normalized(b, {"vol": "trade_volume_sum", "db": "cum_bid", "da": "cum_ask"}, alpha=alpha, window=window, eps=eps)
-    for side in ("bid", "ask"):
-        b = R.interleaved_flow(b, f"limit_add_{side}_volume", f"limit_cancel_{side}_volume", side, alpha=alpha, eps=eps)
+    values = {"vol": "trade_volume_sum", "db": "cum_bid", "da": "cum_ask"}
+    pairs = {s: (f"limit_add_{s}_volume", f"limit_cancel_{s}_volume") for s in ("bid", "ask")}
+    if alpha is not None:
+        b = R.channels(b, values, pairs, alpha=alpha, eps=eps)
+    else:
+        b = R.normalized(b, values, alpha=None, window=window, eps=eps)
+        for side, (add, cancel) in pairs.items():
+            b = R.interleaved_flow(b, add, cancel, side, alpha=None, window=window, eps=eps)
     b = b.withColumns({"rv_var": R.realized_variance("mid_return_bar", rv[0]), "rv_long": R.realized_variance("mid_return_bar", rv[1])}).withColumn("vol_est", F.sqrt("rv_var"))
     sin, cos, session = S.time_of_day("start_ns")
     traded = (F.col("trade_volume_sum") > eps) & (F.col("trade_count") > 0)

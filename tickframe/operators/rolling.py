@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,26 +19,59 @@ def _frame(first: int, last: int, keys=("stem",), order=("bar_index",)):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, last)
 
 
+def _folded(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], names: list[str], fold) -> DataFrame:
+    """Adds columns that ``fold`` makes of a whole group in order; other columns pass as Arrow, untouched.
+
+    ``fold`` gets a function from a column's name to its values. A group is a stem, one day.
+    """
+    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(o, "ascending") for o in order])
+        made = fold(lambda c: table.column(c).to_numpy().astype(float))
+        for n in names:
+            table = table.append_column(n, pa.array(made[n], pa.float64()))
+        return table
+
+    return df.groupBy(*keys).applyInArrow(run, schema)
+
+
+def _averages(values: np.ndarray, alpha: float, seed: float | None = None) -> np.ndarray:
+    start = [] if seed is None else [seed]
+    return pd.Series(np.append(start, values)).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start) :]
+
+
+def _known_before(values: np.ndarray, alpha: float) -> np.ndarray:
+    """The average before each value, 1 before the first."""
+    return np.append(1.0, _averages(values, alpha)[:-1]) if len(values) else values
+
+
 def ewma(df: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("stem",), order: tuple[str, ...] = ("bar_index",), alpha: float = ALPHA, seeds: dict[str, float] | None = None) -> DataFrame:
     """Adds, for each output: input, the exponentially weighted mean up to each row, (1 - alpha) * last + alpha * value.
 
-    The first value, or its seed, starts the recursion. Groups (a stem is one day) are folded in Arrow
-    batches: the recursion has no bounded window.
+    The first value, or its seed, starts the recursion. It has no bounded window, so groups are folded.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.DoubleType()) for name in values])
+    seeds = seeds or {}
+    return _folded(df, keys, order, list(values), lambda get: {n: _averages(get(c), alpha, seeds.get(n)) for n, c in values.items()})
+
+
+def channels(df: DataFrame, values: dict[str, str], pairs: dict[str, tuple[str, str]], keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS) -> DataFrame:
+    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one fold."""
+    names = [f"{n}_{x}" for n in values for x in ("div", "rel")] + [f"{n}_{x}_rel" for n in pairs for x in ("add", "cancel")]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable")
-        for name, source in values.items():
-            column = pdf[source].astype(float)
-            if seeds and name in seeds:
-                column = pd.concat([pd.Series([seeds[name]]), column])
-                pdf[name] = column.ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-            else:
-                pdf[name] = column.ewm(alpha=alpha, adjust=False).mean().to_numpy()
-        return pdf
+    def fold(get):
+        out = {}
+        for n, c in values.items():
+            v = get(c)
+            out[f"{n}_div"] = np.abs(_known_before(v, alpha)) + eps
+            out[f"{n}_rel"] = v / out[f"{n}_div"]
+        for n, (add, cancel) in pairs.items():
+            both = np.column_stack([get(add), get(cancel)]).ravel()
+            rel = both / (np.abs(_known_before(both, alpha)) + eps)
+            out[f"{n}_add_rel"], out[f"{n}_cancel_rel"] = rel[::2], rel[1::2]
+        return out
 
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+    return _folded(df, keys, order, names, fold)
 
 
 def normalized(df: DataFrame, values: dict[str, str], keys=("stem",), order=("bar_index",), alpha: float | None = ALPHA, window: int = 600, eps: float = EPS) -> DataFrame:
@@ -45,28 +80,25 @@ def normalized(df: DataFrame, values: dict[str, str], keys=("stem",), order=("ba
     The divisor is the EWMA before the row, or without ``alpha`` the mean of the last ``window`` values
     before it, or the value before it, else 1; made absolute, plus eps.
     """
-    by = Window.partitionBy(*keys).orderBy(*order)
     if alpha is not None:
-        df = ewma(df, {f"_e_{n}": v for n, v in values.items()}, keys, order, alpha)
-        known = {n: F.lag(f"_e_{n}").over(by) for n in values}
-    elif window > 0:
-        known = {n: F.avg(v).over(_frame(-window, -1, keys, order)) for n, v in values.items()}
-    else:
-        known = {n: F.lag(v).over(by) for n, v in values.items()}
+        return channels(df, values, {}, keys, order, alpha, eps)
+    by = Window.partitionBy(*keys).orderBy(*order)
+    known = {n: F.avg(v).over(_frame(-window, -1, keys, order)) if window > 0 else F.lag(v).over(by) for n, v in values.items()}
     df = df.withColumns({f"{n}_div": F.abs(F.coalesce(k, F.lit(1.0))) + eps for n, k in known.items()})
-    df = df.withColumns({f"{n}_rel": F.col(v) / F.col(f"{n}_div") for n, v in values.items()})
-    return df.drop(*(f"_e_{n}" for n in values)) if alpha is not None else df
+    return df.withColumns({f"{n}_rel": F.col(v) / F.col(f"{n}_div") for n, v in values.items()})
 
 
 def with_log(df: DataFrame, names: list[str]) -> DataFrame:
     return df.withColumns({f"{n}_log": signed_log(f"{n}_rel") for n in names})
 
 
-def interleaved_flow(df: DataFrame, add: str, cancel: str, name: str, keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS) -> DataFrame:
+def interleaved_flow(df: DataFrame, add: str, cancel: str, name: str, keys=("stem",), order=("bar_index",), alpha: float | None = ALPHA, window: int = 600, eps: float = EPS) -> DataFrame:
     """Adds ``<name>_add_rel`` and ``<name>_cancel_rel``: both volumes of a bar pass one after the other through one EWMA."""
+    if alpha is not None:
+        return channels(df, {}, {name: (add, cancel)}, keys, order, alpha, eps)
     both = df.withColumn("_f", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col(add).alias("v")), F.struct(F.lit(1).alias("turn"), F.col(cancel).alias("v")))))
     both = both.select(*keys, *order, F.col("_f.turn").alias("_turn"), F.col("_f.v").alias("_v"))
-    rel = normalized(both, {"_n": "_v"}, keys, (*order, "_turn"), alpha, eps=eps)
+    rel = normalized(both, {"_n": "_v"}, keys, (*order, "_turn"), alpha, window, eps)
     wide = rel.groupBy(*keys, *order).agg(F.max(F.when(F.col("_turn") == 0, F.col("_n_rel"))).alias(f"{name}_add_rel"), F.max(F.when(F.col("_turn") == 1, F.col("_n_rel"))).alias(f"{name}_cancel_rel"))
     return df.join(wide, [*keys, *order])
 
