@@ -218,7 +218,7 @@ def _remove(window: int, buckets: int, keep_text: bool):
     return remove
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, keep_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, keep_text: bool = True, chunk_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """Words left of each row once every repeated ``window``-word passage is taken out, all copies alike.
 
     Words are runs of `[^\\x20\\x09-\\x0D]`. Returns doc_id, n_words, n_removed, kept_sha256 and, if
@@ -226,13 +226,17 @@ def substring_dedup(docs: DataFrame, window: int = 35, keep_text: bool = True) -
     rows are places of their own, so rows of ``window`` words or more that occur twice lose all.
     Null and empty texts have no words (digest of no bytes). An empty table gives an empty result.
     Null ids stay null. Other columns are left aside, whatever their names.
+
+    ``chunk_bytes`` of text are one group in a task (about 15 times that in memory) and ``bucket_bytes`` of
+    text give the hashes of one bucket. A list goes from each chunk to each bucket, so their number grows
+    with the square of the corpus over both: on a corpus of many TB, give both what executors can hold.
     """
     if window < 2:
         raise ValueError("window must be 2 or more")
     small_batches(docs.sparkSession)
     source = docs.select("doc_id", "text")
     total = text_bytes(source)
-    n_chunks, buckets = parts(total, CHUNK_BYTES), parts(total, BUCKET_BYTES)
+    n_chunks, buckets = parts(total, chunk_bytes or CHUNK_BYTES), parts(total, bucket_bytes or BUCKET_BYTES)
     bits = min(61, max(24, math.ceil(math.log2(total + 2)) + 8))  # about one false anchor in thousands, at any size
     dealt = source.withColumn("chunk", chunk_of(n_chunks)).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
     probes = dealt.groupBy("chunk").applyInArrow(_send_probes(window, bits, buckets), _WIRE)
