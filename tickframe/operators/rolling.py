@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import signed_log
+from ..functions.scalar import finite, signed_log
 from ..schemas import ALPHA, EPS
 
 MAX_Z = 8.0
@@ -145,14 +145,14 @@ def with_regimes(df: DataFrame, metrics: dict[str, Column], keys=("stem",)) -> D
 
     This looks ahead over the whole stem. Fewer than three finite values give 0.
     """
-    from ..functions.scalar import finite
-
-    df = df.withColumns({f"_m_{n}": m for n, m in metrics.items()})
-    ranked = df.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.when(finite(f"_m_{n}"), F.col(f"_m_{n}")))).alias(f"_s_{n}") for n in metrics))
-    at = lambda n, p: f"element_at(_s_{n}, cast(floor((size(_s_{n}) - 1) * {p}D + 0.5D) as int) + 1)"
-    cut = ranked.select(*keys, *(F.expr(f"case when size(_s_{n}) >= 3 then {at(n, p)} end").alias(f"_{side}_{n}") for n in metrics for side, p in (("lo", 0.33), ("hi", 0.66))))
-    df = df.join(cut, list(keys))
+    whole = Window.partitionBy(*keys)
+    df = df.withColumns({f"_m_{n}": F.when(finite(m), m) for n, m in metrics.items()})
+    df = df.withColumns({f"_r_{n}": F.row_number().over(whole.orderBy(F.col(f"_m_{n}").asc_nulls_last())) for n in metrics})
+    df = df.withColumns({f"_n_{n}": F.count(f"_m_{n}").over(whole) for n in metrics})
+    # The value at a nearest rank, spread over the stem: windows alone, so the rows are made once.
+    at = lambda n, p: F.max(F.when(F.col(f"_r_{n}") == F.floor((F.col(f"_n_{n}") - 1) * p + 0.5) + 1, F.col(f"_m_{n}"))).over(whole)
+    df = df.withColumns({f"_{side}_{n}": at(n, p) for n in metrics for side, p in (("lo", 0.33), ("hi", 0.66))})
     for n in metrics:
         v = F.col(f"_m_{n}")
-        df = df.withColumn(n, F.when(F.col(f"_lo_{n}").isNull() | ~finite(v), 0.0).when(v < F.col(f"_lo_{n}"), -1.0).when(v > F.col(f"_hi_{n}"), 1.0).otherwise(0.0))
-    return df.drop(*(f"_{a}_{n}" for n in metrics for a in ("m", "lo", "hi")))
+        df = df.withColumn(n, F.when((F.col(f"_n_{n}") < 3) | v.isNull(), 0.0).when(v < F.col(f"_lo_{n}"), -1.0).when(v > F.col(f"_hi_{n}"), 1.0).otherwise(0.0))
+    return df.drop(*(f"_{a}_{n}" for n in metrics for a in ("m", "r", "n", "lo", "hi")))
