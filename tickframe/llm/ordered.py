@@ -24,6 +24,9 @@ def range_of(ids: pa.Array, splits: np.ndarray) -> np.ndarray:
 def _deal(splits: np.ndarray, firsts: dict[int, int | None]):
     """Rows (part, next, doc_id, packed text); a range's first row also goes, marked ``next``, to the range before."""
 
+    used = sorted(firsts)
+    before = {p: used[i - 1] for i, p in enumerate(used)}  # the last range comes before the first
+
     def deal(batches):
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -32,7 +35,7 @@ def _deal(splits: np.ndarray, firsts: dict[int, int | None]):
             packed = [press.compress((t or "").encode()) for t in texts]
             also = [i for i, (p, d) in enumerate(zip(at.tolist(), ids.to_pylist())) if p in firsts and firsts[p] == d]
             rows = np.append(np.arange(len(at)), np.array(also, np.int64))
-            part = np.append(at, [before(firsts, at[i]) for i in also]).astype(np.int32)
+            part = np.append(at, [before[at[i]] for i in also]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part), pa.array(np.arange(len(rows)) >= len(at)), ids.take(pa.array(rows)), pa.array([packed[i] for i in rows.tolist()], pa.binary())], ["part", "next", "doc_id", "packed"]
             )
@@ -40,12 +43,6 @@ def _deal(splits: np.ndarray, firsts: dict[int, int | None]):
     return deal
 
 
-def before(firsts: dict, part: int) -> int:
-    """The range in use before ``part``; the last one comes before the first."""
-    used = sorted(firsts)
-    return used[used.index(part) - 1]
-
-
 def _least(splits: np.ndarray):
     def least(batches):
         for batch in batches:
