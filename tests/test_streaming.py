@@ -58,3 +58,33 @@ def test_sinks(spark, tmp_path):
     assert sorted((r.channel, r.stem, r.ewma) for r in files.latest_state(states).collect()) == [("d", "a", 3.0), ("v", "b", 2.0)]
     files.dry_run(f)
     assert files.small_files(spark, str(tmp_path / "f"), 1).count() == 0
+
+
+def test_live_rows_equal_the_causal_batch_joins(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tickframe.operators.align import as_of, recent_mid
+    from tickframe.streaming.live import live_rows
+
+    rng, rows = random.Random(7), []
+    for kind, seconds, n in (("fast", 1, 600), ("mid", 10, 60), ("slow", 60, 10)):
+        rows += [("d", kind, i * seconds * 10**9, (i + 1) * seconds * 10**9, rng.random(), rng.random(), rng.random()) for i in range(n)]
+    schema = "stem string, resolution string, start_timestamp_ns long, end_timestamp_ns long, spread_ticks double, trade_volume_sum_rel double, ofi_net_log double"
+    order = {"fast": 0, "mid": 1, "slow": 2}
+    rows.sort(key=lambda r: (r[3], order[r[1]]))
+    for k in range(3):
+        spark.createDataFrame(rows[k * 250 : (k + 1) * 250] if k < 2 else rows[500:], schema).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    run(live_rows(stream, ["spread_ticks"], warm_up=5).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "ck")).start())
+    all_rows = spark.createDataFrame(rows, schema)
+    fast, mid, slow = (all_rows.where(F.col("resolution") == r) for r in ("fast", "mid", "slow"))
+    want = recent_mid(fast, mid)
+    for name, other in (("mid", mid), ("slow", slow)):
+        other = other.select("stem", F.col("end_timestamp_ns").alias("closed"), F.col("spread_ticks").alias(f"s_{name}"))
+        want = as_of(want, other, [f"s_{name}"], left_on="end_timestamp_ns", right_on="closed", right_first=False)
+    want = want.where("s_slow is not null")
+    keep = lambda df, *c: sorted(tuple(round(r[x], 9) for x in c) for r in df.collect())
+    assert keep(spark.table("live"), "start_timestamp_ns", "spread_ticks@mid", "spread_ticks@slow", "avg_mid_spread_abs", "sum_mid_ofi_net") == keep(want, "start_timestamp_ns", "s_mid", "s_slow", "avg_mid_spread_abs", "sum_mid_ofi_net")
+    assert spark.table("live").count() == 540 and spark.table("live").where("avg_fast_spread_abs <> 0").count() == 0
