@@ -75,7 +75,7 @@ def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights (bias last) of a linear support vector machine with squared hinge loss, by dual coordinate descent."""
     rng, n = np.random.default_rng(7), len(x)
     weight = COST * n / (2 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))  # equal say for both sides
-    square = (x * x).sum(1) + 1 / (2 * weight)
+    square = np.einsum("ij,ij->i", x, x) + 1 / (2 * weight)
     w, alpha = np.zeros(x.shape[1]), np.zeros(n)
     for _ in range(EPOCHS):
         for i in rng.permutation(n):
@@ -159,7 +159,7 @@ def fit(docs: DataFrame) -> Model | None:
             kept.append(r)
     if not kept:
         return None
-    x = np.zeros((len(kept), DIMENSIONS + 1))
+    x = np.zeros((len(kept), DIMENSIONS + 1), np.float32)
     for i, r in enumerate(kept):
         n = np.frombuffer(r.n, np.uint32)
         x[i, np.frombuffer(r.used, np.uint16)] = SCALE * n / n.sum()
