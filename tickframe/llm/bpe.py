@@ -103,27 +103,31 @@ class Bpe:
         return np.flatnonzero(begin[:n])
 
     # ----------------------------------------------------------------- ids
-    def _add(self, hashes: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray, own: np.ndarray) -> None:
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.ids.dtype)
+
+    def _add(self, hashes: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, own: np.ndarray) -> None:
         """Encode new pre-tokens: joined by newlines, which no pre-token with other text holds."""
-        texts = [data[i:j] for i, j in zip(start.tolist(), end.tolist())]
         blank = own[end - 1] == SPACE
-        plain = np.flatnonzero(~blank)
-        sizes, ids = np.zeros(len(texts), np.int64), [[]] * len(texts)
+        plain, sizes, ids = np.flatnonzero(~blank), np.zeros(len(start), np.int64), []
+        new_starts = np.zeros(len(start), np.int64)
         if len(plain):
-            joined = b"\n".join([b""] + [texts[i] for i in plain.tolist()]).decode()
-            flat = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.int64)
+            size = end[plain] - start[plain]
+            at = np.cumsum(size + 1) - size  # each one's place after its newline
+            joined = np.full(int((size + 1).sum()), 10, np.uint8)
+            joined[np.arange(size.sum()) + np.repeat(at - (np.cumsum(size) - size), size)] = data[np.arange(size.sum()) + np.repeat(start[plain] - (np.cumsum(size) - size), size)]
+            flat = self._encode(joined.tobytes().decode())
             cut = np.flatnonzero(flat == self.newline)
-            bounds = np.append(cut, len(flat))
-            sizes[plain] = np.diff(bounds) - 1
-            for i, a, b in zip(plain.tolist(), (cut + 1).tolist(), bounds[1:].tolist()):
-                ids[i] = flat[a:b]
+            sizes[plain] = np.diff(np.append(cut, len(flat))) - 1
+            ids.append(np.delete(flat, cut))
+            new_starts[plain] = np.cumsum(sizes[plain]) - sizes[plain]
+        done = int(sizes.sum())
         for i in np.flatnonzero(blank).tolist():
-            ids[i] = self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids
-            sizes[i] = len(ids[i])
-        if len(self.known) + len(hashes) > REMEMBERED:
-            self._forget()
-        new_starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids = np.concatenate([self.ids, *(np.asarray(x, self.ids.dtype) for x in ids)])
+            ids.append(self._encode(data[start[i] : end[i]].tobytes().decode()))
+            sizes[i], new_starts[i] = len(ids[-1]), done
+            done += len(ids[-1])
+        new_starts += len(self.ids)
+        self.ids = np.concatenate([self.ids, *ids])
         at = np.searchsorted(self.known, hashes)
         self.known, self.lengths, self.starts = (np.insert(old, at, new) for old, new in ((self.known, hashes), (self.lengths, sizes), (self.starts, new_starts)))
 
@@ -140,7 +144,7 @@ class Bpe:
                 self._forget()
                 have[:] = False
             new = first[~have]
-            self._add(distinct[~have], data.tobytes(), start[new], end[new], self._class_of(data))
+            self._add(distinct[~have], data, start[new], end[new], self._class_of(data))
             at = np.searchsorted(self.known, distinct)
         return at, which
 
