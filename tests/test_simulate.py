@@ -53,6 +53,31 @@ def test_first_touch_sweep_against_pairs():
         assert (y[i], e[i]) == (want, at)
 
 
+def test_first_touch_by_runs():
+    from tickframe.operators.labels import _first
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 17, 300):
+        v = np.round(rng.normal(0, 3, n))
+        for top in (True, False):
+            t = v + 4 if top else v - 4
+            want = [next((j for j in range(i + 1, n) if (v[j] >= t[i] if top else v[j] <= t[i])), n) for i in range(n)]
+            assert _first(v, t, top).tolist() == want
+
+
+def test_touches_of_a_log_file(spark, tmp_path):
+    from tickframe.operators.labels import touch_events
+    from tickframe.sources import logs
+
+    (tmp_path / "d.csv").write_text("\n".join(f"L1;0;202301010000{i:02d};0;{100 + i * 7 % 13};1" for i in range(60)))
+    got = touch_events(logs.parse(logs.read_lines(spark, str(tmp_path))), 2, 2, 10 * 10**9).orderBy("seq").collect()
+    price = [r.price for r in got]
+    for i, r in enumerate(got):
+        hit = next((j for j in range(i + 1, min(i + 10, 59) + 1) if abs(price[j] - price[i]) >= 2), None)
+        assert r.outcome == ("flat" if hit is None else "up" if price[hit] > price[i] else "down")
+        assert r.exit_seq == (None if hit is None else got[hit].seq)
+
+
 def test_convolution_is_causal():
     rng = np.random.default_rng(3)
     x, w = rng.normal(size=(2, 3, 10)), rng.normal(size=(4, 3, 2))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,32 +12,58 @@ from pyspark.sql import types as T
 from ..functions.scalar import finite
 
 
+def _first(values: np.ndarray, threshold: np.ndarray, top: bool) -> np.ndarray:
+    """For each row the first later one whose value reaches its threshold (at least, or at most), or the length.
+
+    Extremes of runs of 1, 2, 4... rows are built once; every row then skips runs that stay short of its
+    threshold, longest first: n log n steps, all rows at a time.
+    """
+    n, best = len(values), np.maximum if top else np.minimum
+    levels = [values]
+    while 2 << (len(levels) - 1) <= n:
+        half = 1 << (len(levels) - 1)
+        levels.append(best(levels[-1][:-half], levels[-1][half:]))
+    at = np.arange(1, n + 1)
+    for k in reversed(range(len(levels))):
+        inside = at + (1 << k) <= n
+        run = levels[k][np.where(inside, at, 0)] if n else values
+        at = at + np.where(inside & ((run < threshold) if top else (run > threshold)), 1 << k, 0)
+    return at
+
+
+def _touch(series: DataFrame, up: float, down: float, last_row, price: str, order: str) -> DataFrame:
+    """Adds ``outcome`` and ``exit_seq``; ``last_row`` (times -> last row within each row's horizon)."""
+    rows = series.where(finite(price) & (F.col(price) > 0))
+    schema = T.StructType([*rows.schema.fields, T.StructField("exit_seq", rows.schema[order].dataType), T.StructField("outcome", T.StringType())])
+
+    def label(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending")])
+        p, ts = table.column(price).to_numpy().astype(float), table.column("ts_ns").to_numpy()
+        rise, fall, last = _first(p, p + up, True), _first(p, p - down, False), last_row(ts)
+        hit = np.minimum(rise, fall)
+        none = (hit >= len(p)) | (hit > last)
+        exits = table.column(order).combine_chunks().take(pa.array(np.where(none, 0, hit), mask=none))
+        outcome = np.where(none, "flat", np.where(rise < fall, "up", "down"))
+        return table.append_column("exit_seq", exits).append_column("outcome", pa.array(outcome.tolist(), pa.string()))
+
+    return rows.groupBy("stem").applyInArrow(label, schema)
+
+
 def touch_events(series: DataFrame, up: float, down: float, horizon_ns: int, price: str = "price", order: str = "seq") -> DataFrame:
     """Adds ``outcome``, ``exit_seq``: the earliest later row within ``horizon_ns`` whose price is ``up`` above or ``down`` below.
 
-    A range join in time buckets: each anchor meets the two buckets its horizon can reach. Only rows where
-    the price changed are joined on the right, since a repeated price touches nothing new; the first row of
-    a stem has no anchor before it.
+    The horizon ends with the last row before time first runs past it. A stem (one day) is one Arrow group.
     """
-    rows = series.where(finite(price) & (F.col(price) > 0))
-    by = Window.partitionBy("stem").orderBy(order)
-    changed = rows.withColumn("_p", F.lag(price).over(by)).where(F.col(price) != F.col("_p"))
-    hits = changed.select("stem", F.col(order).alias("_seq"), F.col("ts_ns").alias("_ts"), F.col(price).alias("_px"), F.expr(f"ts_ns div {horizon_ns}").alias("_bucket"))
-    anchors = rows.select("stem", order, "ts_ns", F.col(price).alias("_anchor"), F.explode(F.array(F.expr(f"ts_ns div {horizon_ns}"), F.expr(f"ts_ns div {horizon_ns} + 1"))).alias("_bucket"))
-    met = anchors.join(hits, ["stem", "_bucket"]).where((F.col("_seq") > F.col(order)) & (F.col("_ts") - F.col("ts_ns") <= horizon_ns) & ((F.col("_px") >= F.col("_anchor") + up) | (F.col("_px") <= F.col("_anchor") - down)))
-    first = met.groupBy("stem", order).agg(F.min_by(F.struct("_seq", "_px", "_anchor"), "_seq").alias("_hit"))
-    first = first.select("stem", order, F.col("_hit._seq").alias("exit_seq"), F.when(F.col("_hit._px") >= F.col("_hit._anchor") + up, "up").otherwise("down").alias("outcome"))
-    return rows.join(first, ["stem", order], "left").withColumn("outcome", F.coalesce("outcome", F.lit("flat")))
+
+    def last_row(ts: np.ndarray) -> np.ndarray:
+        return np.searchsorted(np.maximum.accumulate(ts), ts + horizon_ns, "right") - 1
+
+    return _touch(series, up, down, last_row, price, order)
 
 
 def touch_count(series: DataFrame, up: float, down: float, rows_ahead: int, price: str = "price", order: str = "seq") -> DataFrame:
-    """The same within the next ``rows_ahead`` rows; for horizons of up to some hundreds of rows."""
-    rows = series.where(finite(price) & (F.col(price) > 0))
-    ahead = Window.partitionBy("stem").orderBy(order).rowsBetween(1, rows_ahead)
-    hit = F.filter(F.collect_list(F.struct(F.col(order).alias("s"), F.col(price).alias("p"))).over(ahead), lambda x: (x["p"] >= F.col(price) + up) | (x["p"] <= F.col(price) - down))
-    first = F.try_element_at(F.col("_hits"), F.lit(1))
-    rows = rows.withColumn("_hits", hit).withColumn("exit_seq", first["s"])
-    return rows.withColumn("outcome", F.when(first["p"] >= F.col(price) + up, "up").when(first["p"] <= F.col(price) - down, "down").otherwise("flat")).drop("_hits")
+    """The same within the next ``rows_ahead`` rows."""
+    return _touch(series, up, down, lambda ts: np.arange(len(ts)) + rows_ahead, price, order)
 
 
 def label_targets(series: DataFrame, targets: dict[str, tuple[float, int]], tick: float, price: str = "price") -> DataFrame:

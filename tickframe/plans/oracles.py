@@ -25,7 +25,7 @@ def _ohlcv(seconds: int) -> str:
     return _with(SERIES, _bars(seconds)) + "SELECT stem, bar_id, bar_index, open, high, low, close, round(volume, 4) AS volume, n_events, start_ns FROM bars"
 
 
-RET = "r AS (SELECT *, ln(close / open) AS ret FROM bars)"
+RET = "r AS (SELECT *, CASE WHEN open > 0 AND close > 0 THEN ln(close / open) END AS ret FROM bars)"
 PL2 = """pl2 AS (
   SELECT stem, seq, ts_ns, kind, side, op, lvl,
          CASE WHEN kind = 'L1' THEN mid0 WHEN side = 'bid' THEN mid0 - (1 + lvl) * 0.25 ELSE mid0 + (1 + lvl) * 0.25 END AS price, size

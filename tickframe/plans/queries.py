@@ -66,7 +66,7 @@ def win_bar_index_gaps(spark, sf_dir):
 
 # --------------------------------------------------------------------------- windows
 def _returns(spark, sf_dir, seconds):
-    return _price_bars(spark, sf_dir, seconds).withColumn("ret", F.ln(F.col("close") / F.col("open")))
+    return _price_bars(spark, sf_dir, seconds).withColumn("ret", F.when((F.col("open") > 0) & (F.col("close") > 0), F.ln(F.col("close") / F.col("open"))))
 
 
 def win_rv_short_long(spark, sf_dir):
