@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 
 from tickframe.operators import score, simulate
@@ -36,6 +38,40 @@ def test_sweep_equals_single_runs(spark):
     assert all(r.total == r.wins + r.losses == r.up + r.down for r in s)
 
 
+def test_replay_by_cells(spark, tmp_path, monkeypatch):
+    from pyspark.sql.pandas.group_ops import PandasGroupedOpsMixin as Grouped
+
+    rng = np.random.default_rng(8)
+    plain = Grouped.applyInPandas
+
+    def watched(self, f, schema):
+        def run(pdf):
+            (tmp_path / f"{uuid.uuid4().hex}-{len(pdf)}").touch()
+            return f(pdf)
+
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(Grouped, "applyInPandas", watched)
+    wanted = "row long, ts_ns long, price double, high double, low double, up_prob double, down_prob double"
+    for first, step in ((-3_000, 20), (1, 7), (50_000, 97), (10, 700)):
+        ts = first + np.cumsum(rng.choice([0, step, step, 2 * step], 3000))
+        price = 100 + np.cumsum(rng.normal(0, 1, 3000))
+        price[rng.random(3000) < 0.02] = np.nan
+        up, down = rng.random(3000), rng.random(3000)
+        up[5::50] = np.nan
+        rows = [(i, int(ts[i]) * NS, float(price[i]), float(price[i] + rng.random() * 3), float(price[i] - rng.random() * 3), float(up[i]), float(down[i])) for i in range(3000)]
+        sweep = simulate.sweep_of(spark, [0.3, 0.9, 0.995], [2, 15], [2, 10])
+        got = simulate.replay(spark.createDataFrame(rows, wanted).repartition(4), sweep).collect()
+        total = 0
+        for c in sweep.collect():
+            want = simulate.replay_run(rows, c.threshold, c["take"], c.stop)
+            assert sorted(tuple(r)[4:] for r in got if r.combo == c.combo) == want
+            total += len(want)
+        assert total == len(got) > 0
+        if step == 20:  # no group holds the whole series
+            assert 0 < max(int(p.name.split("-")[1]) for p in tmp_path.iterdir()) < 1000
+
+
 def test_first_touch_sweep_against_pairs():
     from tickframe.operators.labels import _sweep
 

@@ -1,16 +1,23 @@
-"""Trade simulation: sequential decisions, one Arrow group a run, all runs of a sweep side by side."""
+"""Trade simulation: sequential decisions; replays fold only thinned cells of time in order."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalar import half_hour
 
 ENTRY_COOLDOWN_NS = 7200 * 10**9
 TRIGGER_COOLDOWN_NS = 600 * 10**9
+SPAN_NS = 12 * TRIGGER_COOLDOWN_NS
 UP, FLAT, DOWN = 2, 1, 0
 
 
@@ -66,9 +73,6 @@ def best_threshold(summary: DataFrame, min_trades: int) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- take profit and stop loss
-_TRADE = "id long, direction string, entry_price double, entry_row long, entry_ts_ns long, exit_price double, exit_row long, exit_ts_ns long, result string, pips double, duration long"
-
-
 def replay_run(rows, threshold: float, take: float, stop: float, cooldown_s: float = 0.0, min_move: float = 0.0) -> list[tuple]:
     """Closed trades of one ordered pass over (row, ts_ns, price, high, low, up, down).
 
@@ -101,23 +105,133 @@ def replay_run(rows, threshold: float, take: float, stop: float, cooldown_s: flo
     return done
 
 
-def replay(predictions: DataFrame, sweep: DataFrame, keys: tuple[str, ...] = ("combo",)) -> DataFrame:
-    """Trades of every combination (combo, threshold, take, stop) of ``sweep`` over the same scored rows.
+def _triggers(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The triggers among the candidates (keys, ts, row, price, is_up): all at times up to 0, then one at most in 600 s.
 
-    ``predictions``: row, ts_ns, price, high, low, up_prob, down_prob. Rows are scored once; combinations run in
-    parallel, each reading the whole series in order.
+    The next trigger is the first candidate 600 s on, so a span of time maps the wait it is entered with to its last
+    trigger, in steps. Spans are mapped side by side, their steps folded in order of time, batch by batch, and the
+    triggers picked side by side again.
     """
-    crossed = predictions.crossJoin(F.broadcast(sweep))
-    names = "combo long, threshold double, take double, stop double, " + _TRADE
+    kinds = {f.name: f.dataType for f in candidates.schema.fields}
+    names, own = candidates.columns, [T.StructField(k, kinds[k]) for k in keys]
+    longs = lambda *names: [T.StructField(n, T.LongType()) for n in names]
+    spans = candidates.where(F.col("ts") > 0).withColumn("span", F.expr(f"ts div {SPAN_NS}"))
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = np.unique(pdf["ts"].to_numpy())
+        after = np.searchsorted(ts, ts + TRIGGER_COOLDOWN_NS)
+        last = np.where(after < len(ts), after, np.arange(len(ts)))
+        while (last[last] != last).any():
+            last = last[last]
+        last = last[: np.searchsorted(ts, int(pdf["span"].iloc[0]) * SPAN_NS + TRIGGER_COOLDOWN_NS) + 1]
+        end = np.flatnonzero(np.append(last[1:] != last[:-1], True))
+        return pdf.iloc[[0] * len(end)][[*keys, "span"]].assign(upto=ts[end], last=ts[last[end]])
+
+    def waits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run = wait = settled = None
+        for batch in batches:
+            span, upto, last = (batch.column(n).to_numpy() for n in ("span", "upto", "last"))
+            marks = [span, *(batch.column(k).to_numpy(zero_copy_only=False) for k in keys)]
+            cuts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
+            found = []
+            for i, j in pairwise([0, *cuts, len(span)] if len(span) else []):
+                if (series := tuple(m[i] for m in marks[1:])) != run:
+                    run, wait, settled = series, TRIGGER_COOLDOWN_NS, None
+                at = i + int(np.searchsorted(upto[i:j], wait))
+                if settled != span[i] and at < j:
+                    found.append((*run, int(span[i]), wait))
+                    wait, settled = int(last[at]) + TRIGGER_COOLDOWN_NS, span[i]
+            yield pa.RecordBatch.from_pylist([dict(zip((*keys, "span", "wait"), f, strict=True)) for f in found], to_arrow_schema(waiting))
+
+    def picks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "row"], kind="stable")
+        ts, wait, keep = pdf["ts"].to_numpy(), pdf["wait"].iloc[0], []
+        while (i := int(np.searchsorted(ts, wait))) < len(ts):
+            keep.append(i)
+            wait = ts[i] + TRIGGER_COOLDOWN_NS
+        return pdf.iloc[keep][names]
+
+    waiting = T.StructType([*own, *longs("span", "wait")])
+    early = candidates.where(F.col("ts") <= 0)
+    before = early.groupBy(*keys).agg(F.lit(-1).cast("bigint").alias("span"), F.lit(2**63 - 1).alias("upto"), F.max("ts").alias("last"))
+    mapped = spans.select(*keys, "span", "ts").groupBy(*keys, "span").applyInPandas(steps, T.StructType([*own, *longs("span", "upto", "last")]))
+    wait = mapped.unionByName(before).repartition(*keys).sortWithinPartitions(*keys, "span", "upto").mapInArrow(waits, waiting)
+    return spans.join(wait, [*keys, "span"]).groupBy(*keys, "span").applyInPandas(picks, candidates.schema).unionByName(early)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ns", "row"], kind="stable")
-        head = pdf.iloc[0]
-        found = replay_run(pdf[["row", "ts_ns", "price", "high", "low", "up_prob", "down_prob"]].itertuples(index=False), head.threshold, head["take"], head.stop)
-        own = (int(head.combo), float(head.threshold), float(head["take"]), float(head.stop))
-        return pd.DataFrame([own + t for t in found], columns=[c.split()[0] for c in names.split(", ")])
 
-    return crossed.groupBy(*keys).applyInPandas(run, names)
+def replay(predictions: DataFrame, sweep: DataFrame, keys: tuple[str, ...] = ("combo",)) -> DataFrame:
+    """Trades of every combination (combo, threshold, take, stop) of ``sweep`` over the same scored rows, as of ``replay_run``.
+
+    ``predictions``: row, ts_ns, price, high, low, up_prob, down_prob, and those of ``keys`` that set series apart.
+    Triggers depend on the threshold alone. They cut the rows that are not passed over, 600 s by 600 s, into cells;
+    a trade ends in the first cell from its trigger on whose highest or lowest price reaches far enough, and a
+    trigger lies before all of a cell's rows or after them. So only the cells (two in 600 s) are folded in order, and
+    the row of each exit is then looked up in its cell.
+    """
+    apart = [k for k in keys if k in predictions.columns]
+    series, cell = [*apart, "threshold"], ["at_ts", "at_row"]
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    is_up = F.coalesce(F.col("up") >= F.col("down"), F.lit(False))
+    rows = predictions.select(*apart, F.col("row").cast("bigint").alias("row"), F.col("ts_ns").cast("bigint").alias("ts"), *(number(c).alias(c) for c in ("price", "high", "low")), number("up_prob").alias("up"), number("down_prob").alias("down"))
+    rows = rows.withColumn("is_up", is_up).withColumn("prob", F.when(F.col("is_up"), F.col("up")).otherwise(F.col("down"))).drop("up", "down")
+    rows = rows.crossJoin(F.broadcast(sweep.select(F.col("threshold").cast("double")).distinct()))
+    rows = rows.withColumn("wants", F.col("price").isNotNull() & F.coalesce(F.col("prob") >= F.col("threshold"), F.lit(False))).drop("prob")
+    bucket = F.expr(f"ts div {TRIGGER_COOLDOWN_NS}")
+
+    triggers = _triggers(rows.where("wants").select(*series, "ts", "row", "price", "is_up"), series)
+    one = triggers.where(F.col("ts") > 0).select(*series, bucket.alias("bucket"), F.col("ts").alias("t_ts"), F.col("row").alias("t_row"))
+    rows = rows.withColumn("bucket", bucket).join(one, [*series, "bucket"], "left")
+    is_one = F.coalesce((F.col("ts") == F.col("t_ts")) & (F.col("row") == F.col("t_row")), F.lit(False))
+    rows = rows.withColumn("opens", F.col("wants") & ((F.col("ts") <= 0) | is_one)).where(~F.col("wants") | F.col("opens"))
+    alone, behind = F.col("ts") <= 0, (F.col("ts") > F.col("t_ts")) | ((F.col("ts") == F.col("t_ts")) & (F.col("row") >= F.col("t_row")))
+    rows = rows.withColumns({
+        "at_ts": F.when(alone, F.col("ts")).when(behind, F.col("t_ts")).otherwise(F.greatest(F.col("bucket") * TRIGGER_COOLDOWN_NS, F.lit(1))),
+        "at_row": F.when(alone, F.col("row")).when(behind, F.col("t_row")).otherwise(F.lit(-(2**63))),
+    })
+    cells = rows.groupBy(*series, *cell).agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max("opens").alias("opens"), F.max(F.when(F.col("opens"), F.col("price"))).alias("price"), F.max(F.when(F.col("opens"), F.col("is_up"))).alias("is_up"))
+
+    combos = sweep.select(F.col("combo").cast("bigint"), *(F.col(c).cast("double") for c in ("threshold", "take", "stop")))
+    kinds = {f.name: f.dataType for f in predictions.schema.fields}
+    run = [*(T.StructField(k, kinds[k]) for k in apart), *combos.schema.fields]
+    entry = "id long, direction string, entry_price double, entry_row long, entry_ts_ns long, at_ts long, at_row long"
+    trade = T.StructType([*run, *T._parse_datatype_string(entry).fields])
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(cell)
+        high, low, price = (pdf[c].to_numpy(float, na_value=np.nan) for c in ("high", "low", "price"))
+        ts, row, up, at = pdf["at_ts"].to_numpy(), pdf["at_row"].to_numpy(), pdf["is_up"].to_numpy(), np.flatnonzero(pdf["opens"].to_numpy(bool))
+        take, stop = pdf["take"].iloc[0], pdf["stop"].iloc[0]
+        out, i, last = [], 0, None
+        while i < len(at):
+            t = int(at[i])
+            if last is not None and ts[t] > 0 and ts[t] - last < ENTRY_COOLDOWN_NS:
+                i += 1
+                continue
+            rise, fall = (take, stop) if up[t] else (stop, take)
+            start, size, hit = t, 16, None
+            while start < len(ts) and hit is None:
+                part = slice(start, start + size)
+                ends = np.flatnonzero((high[part] - price[t] >= rise) | (price[t] - low[part] >= fall))
+                hit = start + int(ends[0]) if len(ends) else None
+                start, size = start + size, size * 2
+            if hit is None:
+                break
+            last = ts[t]
+            out.append((len(out) + 1, "up" if up[t] else "down", price[t], row[t], ts[t], ts[hit], row[hit]))
+            i = int(np.searchsorted(at, hit, "right"))
+        head = pdf.iloc[[0] * len(out)][[f.name for f in run]].reset_index(drop=True)
+        return pd.concat([head, pd.DataFrame(out, columns=[c.split()[0] for c in entry.split(", ")])], axis=1)
+
+    trades = cells.join(F.broadcast(combos), "threshold").groupBy(*apart, "combo").applyInPandas(fold, trade)
+    rise, fall, goes_up = F.col("high") - F.col("entry_price"), F.col("entry_price") - F.col("low"), F.col("direction") == "up"
+    wins, loses = F.when(goes_up, rise).otherwise(fall) >= F.col("take"), F.when(goes_up, fall).otherwise(rise) >= F.col("stop")
+    seen = rows.select(*series, *cell, "ts", "row", "high", "low").join(trades, [*series, *cell]).where(wins | loses)
+    exits = seen.groupBy(*trades.columns).agg(F.min(F.struct("ts", "row", F.coalesce(~wins, F.lit(True)).alias("lost"))).alias("x"))
+    move = F.when(F.col("x.lost"), -F.col("stop")).otherwise(F.col("take"))
+    return exits.select(
+        "combo", "threshold", "take", "stop", "id", "direction", "entry_price", "entry_row", "entry_ts_ns", (F.col("entry_price") + F.when(goes_up, move).otherwise(-move)).alias("exit_price"),
+        F.col("x.row").alias("exit_row"), F.col("x.ts").alias("exit_ts_ns"), F.when(F.col("x.lost"), "loss").otherwise("win").alias("result"), move.alias("pips"), (F.col("x.row") - F.col("entry_row")).alias("duration"),
+    )
 
 
 def sweep_of(spark: SparkSession, thresholds: list[float], takes: list[float], stops: list[float]) -> DataFrame:
