@@ -1,12 +1,15 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidates come from patterns, with places by code points: a text is split at the matches of a pattern,
-and running sums of the lengths of pieces and matches give every start and end. Five labelers vote on
-each candidate (format, gazetteer, context, counter-context, shape). Expectation-maximisation over the
-counts of vote patterns, of which there is a bounded number, estimates each labeler's reliability and
-each pattern's probability; with these as soft labels a logistic span classifier is fitted on bounded
-feature patterns and applied as a SQL expression. Spans of the base patterns always stay; the
-classifier adds digit runs and spelled-out addresses that no base span overlaps.
+and running sums of the lengths of pieces and matches give every start and end. Seven labelers vote on
+each candidate: its format, a gazetteer, cue words before it, cue words after it, counter-cues on both
+sides, the characters that frame it, and the company of other kinds in the document. Only the first two
+read the candidate itself. Expectation-maximisation over the counts of vote patterns, of which there is
+a bounded number, estimates each labeler's reliability and each pattern's probability; with these as
+soft labels a logistic span classifier is fitted on the votes and on length and character classes, one
+group of candidates at a time, and applied as a SQL expression. Spans of the base patterns always
+stay; the classifier adds spans that no base span overlaps: spelled-out addresses, national phone
+numbers, secrets, bank accounts, identity numbers and names.
 """
 
 from __future__ import annotations
@@ -18,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: In the order in which spans of one start are listed.
-KINDS = ("email", "ip", "card", "phone")
+#: In the order in which spans of one start are listed. The first four have base patterns.
+KINDS = ("email", "ip", "card", "phone", "secret", "account", "id", "name")
+BASE = KINDS[:4]
 # A match can only begin where a run of its first class begins or where the last match ended, so each
 # pattern says so: without that, a long run without a match would be tried from every character.
 # Possessive repeats change no match here and need no stack.
@@ -28,17 +32,67 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "spelled": r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++",
+    "spelled": r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++(?:\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20dot\x20|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++|\x20at\x20[A-Za-z0-9-]++(?:\x20dot\x20[A-Za-z0-9-]++)++)",
+    "national": r"\([0-9]{2,5}\)[\x20-]?[0-9](?:[\x20.-]?[0-9])++",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{16,}+=?=?",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "name": r"(?<![\p{L}\p{N}'-])(?:\p{Lu}[\p{Ll}'-]++\x20){1,2}\p{Lu}[\p{Ll}'-]++",
 }
+GUARDS = {
+    "email": "contains(text, '@')",
+    "phone": "contains(text, '+')",
+    "spelled": "contains(text, '(at)') or contains(text, '[at]') or contains(text, ' dot ')",
+    "ip": r"text rlike '[0-9]\\.[0-9]'",
+    "card": r"text rlike '[0-9][\\x20-]?[0-9]'",
+    "national": r"text rlike '\\([0-9]{2,5}\\)'",
+    "secret": "text rlike '[A-Za-z0-9_+/-]{16}'",
+    "account": "text rlike '[A-Z]{2}[0-9]{2}'",
+    "id": "text rlike '[0-9]{3}-[0-9]{2}-[0-9]{4}'",
+    "name": r"text rlike '\\p{Lu}[\\p{Ll}\'-]++\\x20\\p{Lu}[\\p{Ll}\'-]'",
+}
+KIND_OF = {"spelled": "email", "national": "phone", "digits": "phone"}
+#: Candidates that the label model takes together: those of one pattern; runs of digits too short for a card are apart.
+GROUPS = (*PATTERNS, "digits")
 # Word lists of the gazetteer and context labelers.
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu|us|example"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|35"
-COUNTRIES = r"1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-CUES = "tel|t[eé]l|phone|call|mobil|mobile|fax|mail|contact|kontakt|card|visa|carte|tarjeta|karte|ip|host|server|number|nummer"
-COUNTER = r"isbn|issn|doi|version|order|invoice|no\.|id|ref|#|\$|€"
+CALLING = r"1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+TOKENS = "akia|asia|ghp_|gho_|glpat-|sk-|sk_|pk_|xox[abp]-|aiza|ya29|eyj"
+IBAN_COUNTRIES = "at|be|ch|cz|de|dk|es|fi|fr|gb|ie|it|lu|nl|no|pl|pt|se"
+FIRST_NAMES = (
+    "james|john|robert|michael|william|david|richard|joseph|thomas|charles|mary|patricia|jennifer|linda|elizabeth|barbara|susan|jessica|sarah|karen|"
+    "hans|peter|klaus|wolfgang|jürgen|stefan|andreas|anna|maria|ursula|monika|petra|sabine|claudia|jean|pierre|michel|philippe|alain|marie|nathalie|isabelle|"
+    "sylvie|catherine|josé|antonio|manuel|francisco|juan|carmen|ana|isabel|dolores|pilar|paul|mark|daniel|laura|emma|julia"
+)
+BEFORE = {
+    "email": "mail|e-mail|contact|kontakt|correo|courriel|write to|from|cc|reach me at",
+    "ip": "ip|host|server|address|adresse|from|client|login",
+    "card": "card|visa|mastercard|amex|credit|karte|kreditkarte|carte|tarjeta|pan",
+    "phone": "tel|tél|phone|call|mobil|mobile|cell|fax|telefon|teléfono|téléphone|whatsapp|sms",
+    "secret": "token|secret|password|passwd|pwd|passwort|api.?key|access.?key|auth|bearer|private.?key|credentials?",
+    "account": "iban|account|konto|compte|cuenta|bank",
+    "id": "ssn|social security|passport|tax id|steuer-id|dni|nif",
+    "name": "mr|mrs|ms|dr|prof|herr|frau|señor|señora|sr|sra|monsieur|madame|mme|name is|i am|ich bin|je suis|soy|dear|contact|author|signed|sincerely|regards",
+}
+AFTER = {
+    "email": "wrote|schrieb|or call|for questions",
+    "ip": "port|logged|connected|login",
+    "card": "exp|expires|valid|cvv|cvc|gültig|caduca",
+    "phone": "ext|extension|durchwahl|or mail|mobile|anytime",
+    "secret": "expires|revoked?|rotate|keep it|do not share",
+    "account": "bic|swift|bank",
+    "id": "issued|expires|born|dob",
+    "name": "said|says|wrote|born|aged|sagte|schrieb|a dit|dijo|lives|works|phd|esq",
+}
+COUNTER = r"isbn|issn|doi|version|order|invoice|ref|commit|sha-?1|sha-?256|md5|hash|checksum|digest|uuid|serial|build|page|line|#|\\$|€"
+UNITS = r"usd|eur|€|\\$|%|kg|km|items|pages|bytes"
+PLACES = "university|institute|street|avenue|license|licence|public|general|inc|ltd|gmbh|corporation|united|north|south|new|january|february|march|april|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday"
+#: Code points of context on either side, up to the next match of the same pattern.
+CONTEXT = 32
 #: Probability from which the classifier adds a span.
 ADD_AT = 0.8
-LABELERS = ("v_format", "v_gazetteer", "v_context", "v_counter", "v_shape")
+LABELERS = ("v_format", "v_gazetteer", "v_before", "v_after", "v_counter", "v_frame", "v_company")
 BLOCK = 64
 
 
@@ -60,123 +114,183 @@ def _luhn(d: str) -> str:
         else (2 * cast(substring({d}, i, 1) as int)) div 10 + (2 * cast(substring({d}, i, 1) as int)) % 10 end) % 10 = 0)"""
 
 
+def _mod97(x: str) -> str:
+    """The check of bank accounts: the first four characters last, letters as 10 to 35, remainder 1."""
+    moved = f"concat(substring(translate({x}, ' ', ''), 5), left({x}, 4))"
+    return f"""(aggregate(split({moved}, ''), 0L, (a, c) -> case when c = '' then a when c between '0' and '9' then (a * 10 + cast(c as int)) % 97
+        else (a * 100 + ascii(c) - 55) % 97 end) = 1)"""
+
+
 VALID = {
     "email": "true",
     "ip": "forall(split(x.hit, '[.]'), p -> length(ltrim('0', p)) <= 3 and coalesce(try_cast(ltrim('0', p) as int), 0) <= 255)",
     "card": f"case when length({_digits('x.hit')}) between 14 and 19 then {_luhn(_digits('x.hit'))} else false end",
     "phone": f"length({_digits('x.hit')}) between 10 and 15",
-    "spelled": "false",
 }
 
 
 def _matches(df: DataFrame) -> DataFrame:
-    """Adds m_<pattern>: array of (start, end, hit, before) for each pattern; null where there is none."""
+    """Adds m_<pattern>: array of (start, end, hit, before, after) for each pattern; null where there is none."""
     text = F.col("text")
-    guards = {
-        "email": text.contains("@"),
-        "phone": text.contains("+"),
-        "spelled": text.contains("(at)") | text.contains("[at]"),
-        "ip": text.rlike(r"[0-9]\.[0-9]"),
-        "card": text.rlike(r"[0-9][\x20-]?[0-9]"),
-    }
-    df = df.withColumns({f"g_{k}": F.when(guards[k], F.split(text, PATTERNS[k], -1)) for k in PATTERNS})
+    df = df.withColumns({f"g_{k}": F.when(F.expr(GUARDS[k]), F.split(text, PATTERNS[k], -1)) for k in PATTERNS})
     df = df.withColumns({f"h_{k}": F.when(F.size(f"g_{k}") > 1, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))) for k in PATTERNS})
     df = df.withColumns({f"l_{k}": F.expr(f"transform(h_{k}, (x, i) -> cast(length(g_{k}[i]) + length(x) as bigint))") for k in PATTERNS})
     df = df.withColumns({f"p_{k}": F.when(F.col(f"l_{k}").isNotNull(), F.expr(running(f"l_{k}"))) for k in PATTERNS})
-    struct = "named_struct('start', p_{k}[i] + length(g_{k}[i]), 'end', p_{k}[i] + l_{k}[i], 'hit', x, 'before', lower(right(g_{k}[i], 24)))"
+    struct = f"named_struct('start', p_{{k}}[i] + length(g_{{k}}[i]), 'end', p_{{k}}[i] + l_{{k}}[i], 'hit', x, 'before', lower(right(g_{{k}}[i], {CONTEXT})), 'after', lower(left(g_{{k}}[i + 1], {CONTEXT})))"
     df = df.withColumns({f"m_{k}": F.expr(f"transform(h_{k}, (x, i) -> {struct.format(k=k)})") for k in PATTERNS})
     return df.drop(*(f"{a}_{k}" for a in "ghlp" for k in PATTERNS))
 
 
-def _votes(pattern: str) -> str:
-    """SQL fields of one candidate x of ``pattern``; votes are 1 (personal), -1 (not) or 0 (no opinion)."""
-    d = _digits("x.hit")
+def _labels(pattern: str) -> dict[str, str]:
+    """SQL of each labeler's vote on a candidate x of ``pattern``: 1 (personal), -1 (not) or 0 (no opinion)."""
+    d, low = _digits("x.hit"), "lower(x.hit)"
     n = f"length({d})"
-    kind = {"email": "0", "ip": "1", "phone": "3", "spelled": "0"}.get(pattern, f"case when {n} >= 14 then 2 else 3 end")
-    valid = VALID[pattern]
+    three = lambda yes, no="false": f"case when {yes} then 1 when {no} then -1 else 0 end"
+    # A run long enough for a card that fails its check digit is most likely another number.
+    format_ = {
+        "email": "1",
+        "ip": three(VALID["ip"], "true"),
+        "card": three(f"{VALID['card']} or {n} between 10 and 13", f"{n} >= 14"),
+        "phone": three(VALID["phone"], f"{n} < 10 or {n} > 19"),
+        "spelled": three("x.hit rlike '[(\\\\[]'"),
+        "national": three(f"{n} between 9 and 13", "true"),
+        "secret": three("length(x.hit) >= 20"),
+        "account": three(_mod97("x.hit"), "true"),
+        "id": three("not x.hit rlike '^(000|666|9)|-00-|0000$'", "true"),
+        "name": "0",
+    }[pattern]
     gazetteer = {
-        "email": f"lower(x.hit) rlike '[.]({DOMAINS})$'",
-        "spelled": f"lower(x.hit) rlike '({DOMAINS})$'",
-        "ip": "not x.hit rlike '^(0|22[4-9]|2[3-5][0-9])[.]'",
-        "card": f"case when {n} >= 14 then {d} rlike '^({ISSUERS})' else {d} rlike '^0[1-9]' end",
-        "phone": f"{d} rlike '^({COUNTRIES})'",
+        "email": three(f"{low} rlike '[.]({DOMAINS})$'", "true"),
+        "spelled": three(f"{low} rlike '({DOMAINS})$'", "true"),
+        "ip": three("not x.hit rlike '^(0|22[4-9]|2[3-5][0-9])[.]'", "true"),
+        "card": three(f"{n} >= 14 and {d} rlike '^({ISSUERS})' or {n} < 14 and {d} rlike '^0[1-9]'", f"{n} >= 14"),
+        "phone": three(f"{d} rlike '^({CALLING})'", "true"),
+        "national": three(f"{d} rlike '^0?[1-9]'", "true"),
+        "secret": three(f"{low} rlike '^({TOKENS})'"),
+        "account": three(f"{low} rlike '^({IBAN_COUNTRIES})'", "true"),
+        "id": "0",
+        "name": three(f"{low} rlike '(^| )({FIRST_NAMES}) '", f"{low} rlike '(^| )({PLACES})( |$)'"),
     }[pattern]
-    # A run long enough for a card that fails its check digit is most likely another number.
-    failing = {"ip": "else -1 end", "card": f"when {n} between 10 and 13 then 0 else -1 end", "phone": f"when {n} < 10 or {n} > 19 then -1 else 0 end"}
-    format_ = f"case when {valid} then 1 " + failing.get(pattern, "else 0 end")
-    shape = "case when length(x.hit) <= 40 then x.hit rlike '^[+]?[0-9]{1,4}(?:[ .-]?[(]?[0-9]{2,5}+[)]?)++$' and x.hit rlike '[ ().-]' else false end" if pattern in ("card", "phone") else "length(x.hit) between 7 and 64"
-    return f"""named_struct('kind', {kind}, 'start', x.start, 'end', x.end, 'base', {valid},
-        'v_format', {format_},
-        'v_gazetteer', case when {gazetteer} then 1 else -1 end,
-        'v_context', case when x.before rlike '({CUES})[^a-z0-9]*$' then 1 else 0 end,
-        'v_counter', case when x.before rlike '({COUNTER})[^a-z0-9]*$' then -1 else 0 end,
-        'v_shape', case when {shape} then 1 else -1 end,
-        'size', case when {n} < 10 then 0 when {n} < 13 then 1 when {n} < 16 then 2 when {n} = 16 then 3 else 4 end)"""
+    kind = KIND_OF.get(pattern, pattern)
+    cue = lambda words: f"x.before rlike '(^|[^\\\\p{{L}}0-9])({words})( (is|was|no|number|nr))?[^\\\\p{{L}}0-9]*$'"
+    before = three(cue(BEFORE[kind]))
+    if pattern == "card":  # short runs of digits are phone numbers, if anything
+        before = f"case when {n} >= 14 then {before} else {three(cue(BEFORE['phone']))} end"
+    after = three(f"x.after rlike '^[^\\\\p{{L}}0-9]*({AFTER[kind]})([^\\\\p{{L}}]|$)'")
+    counter = three("false", f"{cue(COUNTER)} or x.after rlike '^[^\\\\p{{L}}0-9]*({UNITS})([^\\\\p{{L}}]|$)'")
+    glued = r"x.before rlike '[\\p{L}0-9_]$' or x.after rlike '^[\\p{L}0-9_]'"
+    frame = {
+        "email": three(r"x.before rlike '([<(:\"]|mailto:)\\x20?$'"),
+        "secret": three(r"x.before rlike '[:=]\\x20?[\"\']?$'"),
+        "name": three("false", r"x.before rlike '(^|[.!?:])[^\\p{L}0-9]*$'"),
+    }.get(kind, f"case when {glued} then -1 when x.before rlike '[:(#]\\\\x20*$' then 1 else 0 end")
+    return {"v_format": format_, "v_gazetteer": gazetteer, "v_before": before, "v_after": after, "v_counter": counter, "v_frame": frame}
+
+
+def _votes(pattern: str) -> str:
+    """SQL fields of one candidate x of ``pattern``."""
+    d = _digits("x.hit")
+    n = f"length({d})"
+    kind, group = str(KINDS.index(KIND_OF.get(pattern, pattern))), str(GROUPS.index(pattern))
+    if pattern == "card":
+        kind, group = f"case when {n} >= 14 then {kind} else {KINDS.index('phone')} end", f"case when {n} >= 14 then {group} else {GROUPS.index('digits')} end"
+    numeric = pattern in ("ip", "card", "phone", "national", "id")
+    size = f"case when {n} < 10 then 0 when {n} < 13 then 1 when {n} < 16 then 2 when {n} = 16 then 3 else 4 end"
+    size = size if numeric else "case when length(x.hit) < 8 then 0 when length(x.hit) < 16 then 1 when length(x.hit) < 24 then 2 when length(x.hit) < 40 then 3 else 4 end"
+    mix = r"case when not x.hit rlike '\\p{L}' then 0 when x.hit rlike '[0-9]' then 2 else 1 end"
+    votes = ", ".join(f"'{v}', {sql}" for v, sql in _labels(pattern).items())
+    return f"named_struct('kind', {kind}, 'grp', {group}, 'start', x.start, 'end', x.end, 'base', {VALID.get(pattern, 'false')}, {votes}, 'v_company', 0, 'size', {size}, 'mix', {mix})"
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """Adds ``found``: every candidate of ``text`` with its votes."""
+    """Adds ``found``: every candidate of ``text`` with its votes.
+
+    A failing base match is no candidate, but for runs of 10 digits or more. Names, secrets and runs too
+    short for a card, whose patterns are wide, are candidates where some labeler but the format votes for
+    them; such runs also stand free of letters. An address in plain words ("at", "dot") needs a cue.
+    """
     df = _matches(df)
     df = df.withColumns({f"c_{k}": F.when(F.col(f"m_{k}").isNotNull(), F.expr(f"transform(m_{k}, x -> {_votes(k)})")) for k in PATTERNS}).drop(*(f"m_{k}" for k in PATTERNS))
-    # Failing base matches are dropped, but runs of 10 digits or more stay candidates of the classifier.
-    keep = "filter(c_{k}, x -> x.base or {loose})"
-    loose = {"card": "x.size >= 1", "spelled": "true"}
-    kind = "array<struct<kind:int,start:bigint,end:bigint,base:boolean,v_format:int,v_gazetteer:int,v_context:int,v_counter:int,v_shape:int,size:int>>"
-    parts = [F.coalesce(F.expr(keep.format(k=k, loose=loose.get(k, "false"))).cast(kind), F.expr(f"cast(array() as {kind})")) for k in PATTERNS]
-    return df.withColumn("found", F.concat(*parts)).drop(*(f"c_{k}" for k in PATTERNS))
+    named = "greatest(x.v_gazetteer, x.v_before, x.v_after, x.v_frame) > 0"
+    keep = {"email": "x.base", "ip": "x.base", "phone": "x.base", "card": f"x.base or x.size >= 1 and x.kind = 2 or {named} and x.size >= 1 and x.v_frame >= 0", "name": named, "secret": named, "spelled": "greatest(x.v_format, x.v_before, x.v_after, x.v_frame) > 0"}
+    fields = ",".join(f"{v}:int" for v in LABELERS)
+    kind = f"array<struct<kind:int,grp:int,start:bigint,end:bigint,base:boolean,{fields},size:int,mix:int>>"
+    parts = [F.coalesce(F.expr(f"filter(c_{k}, x -> {keep.get(k, 'true')})").cast(kind), F.expr(f"cast(array() as {kind})")) for k in PATTERNS]
+    df = df.withColumn("found", F.concat(*parts)).drop(*(f"c_{k}" for k in PATTERNS))
+    # company: valid matches of other kinds in the document
+    df = df.withColumn("sizes", F.array(*(F.expr(f"size(filter(found, x -> x.base and x.kind = {i}))") for i in range(len(KINDS)))))
+    df = df.withColumn("all_sizes", F.expr("aggregate(sizes, 0, (a, x) -> a + x)"))
+    same = ", ".join(f"'{c}', x.{c}" for c in ("kind", "grp", "start", "end", "base", *LABELERS[:-1]))
+    company = "case when all_sizes > sizes[x.kind] then 1 else 0 end"
+    return df.withColumn("found", F.expr(f"transform(found, x -> named_struct({same}, 'v_company', {company}, 'size', x.size, 'mix', x.mix))")).drop("sizes", "all_sizes")
 
 
 # --------------------------------------------------------------------------- label model and classifier
-FEATURES = [*(f"kind{k}" for k in range(4)), *(f"size{k}" for k in range(5)), "v_gazetteer", "v_context", "v_counter", "v_shape"]
+#: Share of each group's candidates that are personal, before any is seen.
+PRIOR = dict(zip(GROUPS, (0.7, 0.6, 0.5, 0.6, 0.5, 0.5, 0.3, 0.3, 0.3, 0.3, 0.3)))
+#: How labelers are thought to vote (-1, 0, 1) before any vote is seen, on what isn't personal and what is; check digits err less than words.
+VOTES = dict.fromkeys(LABELERS, ((0.4, 0.5, 0.1), (0.1, 0.4, 0.5))) | {"v_format": ((0.7, 0.2, 0.1), (0.02, 0.38, 0.6))}
+#: What these beliefs weigh, as a share of a group's candidates, and at least: alike at every size.
+BELIEF, LEAST_BELIEF = 1.0, 10.0
+SIZES, MIXES = 5, 3
+_EACH = 1 + SIZES + MIXES + len(LABELERS)
+
 
+def features(p) -> list[tuple[int, float]]:
+    """The classifier's non-zero features of a candidate: each group has its own."""
+    first = p["grp"] * _EACH
+    found = [(first, 1.0), (first + 1 + p["size"], 1.0), (first + 1 + SIZES + p["mix"], 1.0)]
+    return found + [(first + 1 + SIZES + MIXES + i, float(p[v])) for i, v in enumerate(LABELERS) if p[v]]
 
-def _features(p) -> list[float]:
-    return [*(float(p["kind"] == k) for k in range(4)), *(float(p["size"] == k) for k in range(5)), *(float(p[v]) for v in FEATURES[9:])]
 
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
-def estimate(patterns: list[dict], rounds: int = 60) -> tuple[list[float], dict]:
-    """Posterior of each pattern and each labeler's (vote given personal or not) by EM, from the majority vote on."""
-    post = [1 / (1 + math.exp(-1.5 * sum(p[v] for v in LABELERS))) for p in patterns]
+
+def estimate(patterns: list[dict], rounds: int = 100) -> tuple[list[float], dict]:
+    """Posterior of each pattern and each labeler's (weight given not personal, personal) of each vote, by EM from the majority vote on."""
+    groups = {k: sum(p["n"] for p in patterns if p["grp"] == k) for k in {p["grp"] for p in patterns}}
+    belief = {k: max(LEAST_BELIEF, BELIEF * n) for k, n in groups.items()}
+    post = [_sigmoid(1.5 * sum(p[v] for v in LABELERS)) for p in patterns]
     table: dict = {}
     for _ in range(rounds):
-        prior = {k: [1.0, 1.0] for k in range(4)}
-        table = {(k, v, vote): [1.0, 1.0] for k in range(4) for v in LABELERS for vote in (-1, 0, 1)}
+        prior = {k: [belief[k] * (1 - PRIOR[GROUPS[k]]), belief[k] * PRIOR[GROUPS[k]]] for k in groups}
+        table = {(k, v, vote): [belief[k] * VOTES[v][t][vote + 1] for t in (0, 1)] for k in groups for v in LABELERS for vote in (-1, 0, 1)}
         for p, q in zip(patterns, post):
             for truth, w in ((0, 1 - q), (1, q)):
-                prior[p["kind"]][truth] += w * p["n"]
+                prior[p["grp"]][truth] += w * p["n"]
                 for v in LABELERS:
-                    table[p["kind"], v, p[v]][truth] += w * p["n"]
-        new = []
-        for p in patterns:
-            odds = math.log(prior[p["kind"]][1] / prior[p["kind"]][0])
-            for v in LABELERS:
-                total = [sum(table[p["kind"], v, x][t] for x in (-1, 0, 1)) for t in (0, 1)]
-                odds += math.log(table[p["kind"], v, p[v]][1] / total[1]) - math.log(table[p["kind"], v, p[v]][0] / total[0])
-            new.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+                    table[p["grp"], v, p[v]][truth] += w * p["n"]
+        odds = {k: math.log(prior[k][1] / prior[k][0]) for k in groups}
+        total = {(k, v): [sum(table[k, v, x][t] for x in (-1, 0, 1)) for t in (0, 1)] for k in groups for v in LABELERS}
+        gain = {key: math.log(c[1] / total[key[:2]][1]) - math.log(c[0] / total[key[:2]][0]) for key, c in table.items()}
+        new = [_sigmoid(odds[p["grp"]] + sum(gain[p["grp"], v, p[v]] for v in LABELERS)) for p in patterns]
         moved = max((abs(a - b) for a, b in zip(post, new)), default=0.0)
         post = new
-        if moved < 1e-9:
+        if moved < 1e-6:
             break
     return post, table
 
 
 def fit(patterns: list[dict], post: list[float], rounds: int = 300) -> list[float]:
-    """Weights (bias first) of a logistic classifier on soft labels, by gradient descent."""
-    weights, total = [0.0] * (1 + len(FEATURES)), sum(p["n"] for p in patterns) or 1
-    rows = [([1.0, *_features(p)], p["n"] / total, q) for p, q in zip(patterns, post)]
+    """Weights of a logistic classifier on soft labels, by gradient descent; each group counts alike."""
+    weights, total = [0.0] * (len(GROUPS) * _EACH), {}
+    for p in patterns:
+        total[p["grp"]] = total.get(p["grp"], 0) + p["n"]
+    rows = [(features(p), p["n"] / total[p["grp"]], q) for p, q in zip(patterns, post)]
     for _ in range(rounds):
-        grad = [1e-4 * w for w in weights]
+        grad = [1e-3 * w for w in weights]
         for x, n, q in rows:
-            err = n * (1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x)))))) - q)
-            for i, a in enumerate(x):
+            err = n * (_sigmoid(sum(weights[i] * a for i, a in x)) - q)
+            for i, a in x:
                 grad[i] += err * a
-        weights = [w - 1.5 * g for w, g in zip(weights, grad)]
+        weights = [w - 1.0 * g for w, g in zip(weights, grad)]
     return weights
 
 
 def train(found: DataFrame) -> list[float]:
-    """The classifier's weights, from written candidates; the driver sees one row a vote pattern (4 kinds x 3**5 votes x 5 sizes at most)."""
-    keys = ["kind", *LABELERS, "size"]
+    """The classifier's weights, from written candidates; the driver sees one row a pattern of group, votes, size and mix, at most 11 x 3**7 x 15."""
+    keys = ["grp", *LABELERS, "size", "mix"]
     counted = found.select(F.explode("found").alias("x")).select("x.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()
     patterns = [r.asDict() for r in sorted(counted)]
     post, _ = estimate(patterns)
@@ -184,11 +298,13 @@ def train(found: DataFrame) -> list[float]:
 
 
 def _probability(weights: list[float], x: str) -> str:
-    terms = [f"{weights[0]!r}D"]
-    for name, w in zip(FEATURES, weights[1:]):
-        value = f"cast({x}.{name} as double)" if name.startswith("v_") else f"(case when {x}.{name[:-1]} = {name[-1]} then 1D else 0D end)"
-        terms.append(f"{w!r}D * {value}")
-    return f"(1D / (1D + exp(-({' + '.join(terms)}))))"
+    branches = []
+    for k in range(len(GROUPS)):
+        w = [f"{v!r}D" for v in weights[k * _EACH : (k + 1) * _EACH]]
+        of = lambda name, values: f"element_at(array({', '.join(values)}), {x}.{name} + 1)"
+        votes = " + ".join(f"{a} * {x}.{v}" for a, v in zip(w[1 + SIZES + MIXES :], LABELERS))
+        branches.append(f"when {k} then {w[0]} + {of('size', w[1 : 1 + SIZES])} + {of('mix', w[1 + SIZES : 1 + SIZES + MIXES])} + {votes}")
+    return f"(1D / (1D + exp(-(case {x}.grp {' '.join(branches)} end))))"
 
 
 def decided(found: DataFrame, weights: list[float]) -> DataFrame:
@@ -200,9 +316,11 @@ def decided(found: DataFrame, weights: list[float]) -> DataFrame:
     return found.withColumn("extra", extra).withColumn("spans", F.expr("case when coalesce(size(extra), 0) > 0 then array_sort(array_distinct(concat(base, extra))) else base end")).drop("extra", "found")
 
 
+_NAMES = f"array({', '.join(repr(k) for k in KINDS)})"
+
+
 def _joined(column: str) -> Column:
-    names = "element_at(array('email', 'ip', 'card', 'phone'), x.kind + 1)"
-    return F.expr(f"array_join(transform({column}, x -> concat_ws(':', {names}, x.start, x.end)), ',')")
+    return F.expr(f"array_join(transform({column}, x -> concat_ws(':', element_at({_NAMES}, x.kind + 1), x.start, x.end)), ',')")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -210,28 +328,29 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Counts and ``base_sha256`` (of ``kind:start:end`` by start and kind, comma-joined; code points, end
     exclusive) cover the base patterns' matches that pass their checks; ``spans`` lists these and what the
-    classifier adds. Null and empty texts have none. One row for each input row, repeated or not; other
-    columns are left aside. An empty table gives an empty result.
+    classifier adds, further kinds after the four. Added spans overlap no base span but may overlap each
+    other. Null and empty texts have none. One row for each input row, repeated or not; other columns are
+    left aside. An empty table gives an empty result.
     """
     found = materialize(candidates(docs.select("doc_id", "text")).drop("text"), "candidates")
     done = decided(found, train(found))
-    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return done.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` counted anew; all other columns stay."""
-    if weights is None:
-        # Written first: a filter that Spark infers from explode() would be pushed below the columns it is
-        # made of, and evaluate the patterns anew for every match.
-        weights = train(materialize(candidates(docs.select("text")).select("found"), "candidates"))
-    done = decided(candidates(docs.select(F.struct("*").alias("row"), "text")), weights)
-    cut = """aggregate(spans, named_struct('at', 0L, 'all', cast(array() as array<string>)),
+    """``docs`` with every span of ``text`` replaced by its kind in brackets, and ``n_chars`` counted anew; all other columns stay.
+
+    Overlapping spans: the earlier one's kind stands for what it covers, the rest of the later one goes too.
+    """
+    # Written with its candidates, so that the patterns are tried once.
+    found = materialize(candidates(docs.select(F.struct("*").alias("row"), "text")), "candidates")
+    done = decided(found, train(found) if weights is None else weights)
+    cut = f"""aggregate(spans, named_struct('at', 0L, 'all', cast(array() as array<string>)),
         (a, x) -> case when x.start >= a.at
-            then named_struct('at', x.end, 'all', concat(a.all, array(substring(text, int(a.at) + 1, int(x.start - a.at)), concat('[', upper(element_at(array('email', 'ip', 'card', 'phone'), x.kind + 1)), ']'))))
+            then named_struct('at', x.end, 'all', concat(a.all, array(substring(text, int(a.at) + 1, int(x.start - a.at)), concat('[', upper(element_at({_NAMES}, x.kind + 1)), ']'))))
             else named_struct('at', greatest(a.at, x.end), 'all', a.all) end,
         a -> concat(array_join(a.all, ''), substring(text, int(a.at) + 1)))"""
     done = done.withColumn("text", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("text")))
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
     return done.select([new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
-
