@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -62,6 +63,86 @@ def test_large_family(spark, monkeypatch):
     assert sorted(map(tuple, m.near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
 
 
+def chain(seed, n, length=60, step=6):
+    """Texts of which each shares most with the next and nothing with far ones: one long family, few links in it."""
+    rng = random.Random(seed)
+    long = [f"c{rng.randrange(10**6)}" for _ in range(length + n * step)]
+    return [(5000 + i, " ".join(long[i * step : i * step + length]), *[None] * 6) for i in range(n)]
+
+
+@pytest.mark.parametrize("step", [6, 9])
+def test_chained_family(spark, monkeypatch, step):
+    monkeypatch.setattr(m, "BLOCK", 16)
+    compared = []
+    real = m._against_neighbours
+
+    def counted(*args):
+        found = real(*args)
+        compared.append(found)
+        return found
+
+    monkeypatch.setattr(m, "_against_neighbours", counted)
+    rows = chain(6, 200, step=step) + family(8, 40)
+    assert sorted(map(tuple, m.near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
+    assert compared
+
+
+def test_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(m, "LISTS", 1)
+    monkeypatch.setattr(m, "BATCH_ROWS", 20)
+    rows = corpus(9) + family(3, 60)
+    assert sorted(map(tuple, m.near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_colliding_sums(spark, monkeypatch):
+    """Unlike sets of one sum are told apart by their digests."""
+    signed = spark.createDataFrame([(1, 7, b"a"), (2, 7, b"b"), (3, 7, b"a"), (4, 9, b"c"), (5, 0, None)], "doc_id long, node long, digest binary").selectExpr("*", "if(digest is null, 0, 3) as n_shingles")
+    got = {r.doc_id: r.node for r in m._told_apart(signed).collect()}
+    assert got[1] == got[3] == 7 and got[2] not in (7, 9) and got[4] == 9 and got[5] == 0
+
+
+def test_string_ids(spark):
+    rows = [(f"d{r[0]:04d}" if r[0] is not None else None, r[1]) for r in corpus(2)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sorted(map(tuple, m.near_duplicates(docs).collect()), key=str) == brute(rows)
+
+
+def brute_kept(rows):
+    """Indices of rows that stay; of rows alike in id and text, any one."""
+    sets, root = [shingles(r[1]) for r in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    first = {}
+    for i, r in enumerate(rows):
+        if sets[i]:
+            key = (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest(), i)
+            first[find(i)] = min(first.get(find(i), key), key)
+    return sorted([i for i, s in enumerate(sets) if not s] + [k[3] for k in first.values()])
+
+
+@pytest.mark.parametrize("seed", [1, 4])
+def test_rows_that_stay(spark, seed):
+    """One row a group stays, whatever ids and texts repeat; no other text under a dropped id goes."""
+    rng = random.Random(seed)
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, b), (None, "alone in null"), (None, "alone in null"), (9, None), (9, None), (9, ""), (2, a + " x"), (2, a + " y"), (1, b + " z")]
+    rows = [(d, t, *[None] * 6) for d, t in rows] + corpus(seed)
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    got = m.without_near_duplicates(docs)
+    assert got.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str(rows[i][:2]) for i in brute_kept(rows))
+    assert m.without_near_duplicates(frame(spark, [])).count() == 0
+
+
 def test_empty_and_null(spark):
     assert m.near_duplicates(frame(spark, [])).count() == 0
     got = m.near_duplicates(frame(spark, [(1, None, None, None, None, None, None, None)])).collect()

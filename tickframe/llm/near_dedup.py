@@ -6,28 +6,34 @@ pi(sigma(x) + k mod 2**32). ``BANDS`` bands of ``ROWS`` coordinates make candida
 similarity 0.75 share none with probability (1 - 0.75**5)**48, about 2e-6. Every candidate link is then
 confirmed by exact Jaccard similarity of the full shingle sets.
 
-No pairs are emitted for a group of copies. Equal sets are one node. Nodes joined by any bucket (as
-a star round its least node) form a family; inside a family, links are found in blocks by one
-intersection product, and only a spanning forest of them leaves a task. A family of more than
-``BLOCK`` nodes is done in two rounds: all its members against one sampled block, then the members
-that are still outside its largest component against all of it, block by block.
+No pairs are emitted for a group of copies. Equal sets are one node, told by a 64-bit sum that a
+128-bit digest of the whole set backs. Nodes joined by any bucket (as a star round its least node)
+form a family; inside a family, links are found in blocks by one intersection product, and only a
+spanning forest of them leaves a task. A family of more than ``BLOCK`` nodes is done in two rounds: all
+its members against one sampled block; then, its nodes dealt into blocks of likely neighbours, the
+blocks of nodes still outside its largest component against those blocks alone that share a band
+with them. A family that chains through the corpus so costs what its bands hold, not its square.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .common import BYTE_LOWER, U64, between, column, grams, materialize, mix, parts, prefix, slices, small_batches, utf8, word_hashes
+from .common import BATCH_ROWS, BYTE_LOWER, U64, between, column, grams, materialize, mix, parts, prefix, slices, small_batches, utf8, word_hashes
 
 SHINGLE = 5
 ROWS, BANDS = 5, 48
 BLOCK = 512
 BUCKET_ENTRIES = 1 << 19
 BIN_BYTES = 8 << 20
+#: Lists of band keys that one group takes; more are first thinned apart.
+LISTS = 4096
 _U32 = np.uint32
 
 
@@ -85,24 +91,40 @@ def _node(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U64)).view(np.int64)
 
 
+def _check(sets: np.ndarray, at: np.ndarray) -> list[bytes | None]:
+    """A 128-bit digest of each whole set."""
+    return [xxhash.xxh3_128_digest(sets[i:j]) if j > i else None for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 def _sign(batches):
     for batch in batches:
         data, offsets = utf8(column(batch, "text"))
-        nodes, sizes, bands = [], [], []
+        nodes, sizes, bands, checks = [], [], [], []
         for a, b in slices(offsets, 1 << 18):
             sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             nodes.append(_node(sets, at))
             sizes.append(np.diff(at))
+            checks += _check(sets, at)
             rows = iter(band_keys(sets, at))
             bands += [next(rows).tobytes() if n else None for n in sizes[-1].tolist()]
         if not nodes:
             continue
         yield pa.RecordBatch.from_arrays(
-            [column(batch, "doc_id"), column(batch, "k"), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(nodes), pa.int64()), pa.array(bands, pa.binary())],
-            ["doc_id", "k", "n_shingles", "node", "bands"],
+            [*(column(batch, c) for c in ("doc_id", "text_key", "r")), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(nodes), pa.int64()), pa.array(checks, pa.binary()), pa.array(bands, pa.binary())],
+            ["doc_id", "text_key", "r", "n_shingles", "node", "digest", "bands"],
         )
 
 
+def _told_apart(signed: DataFrame) -> DataFrame:
+    """``signed``, sets that share a node by chance given nodes of their own (none below some 1e9 sets)."""
+    few = signed.where("n_shingles > 0").groupBy("node").agg(F.min("digest").alias("own"), F.max("digest").alias("other")).where("own <> other").select("node", "own")
+    few = materialize(few, "collisions")
+    if few.isEmpty():
+        return signed
+    new = F.when(F.col("own").isNull() | F.col("own").eqNullSafe(F.col("digest")), F.col("node")).otherwise(F.xxhash64("digest"))
+    return materialize(signed.join(few, "node", "left").withColumn("node", new).select(signed.columns), "signatures")
+
+
 # --------------------------------------------------------------------------- components
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nodes of a graph and the least node of each one's component."""
@@ -153,7 +175,7 @@ def components(edges: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- candidates
 def _spread(buckets: int):
     def spread(batches):
-        """Rows (bucket, payload): distinct band keys with one node each; further nodes of a key leave as local links (bucket -1)."""
+        """Rows (bucket, linked, payload): distinct band keys with one node each; further nodes of a key leave as local links."""
         for batch in batches:
             rows = column(batch, "bands")
             valid = np.asarray(rows.is_valid())
@@ -179,23 +201,32 @@ def _spread(buckets: int):
     return spread
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Candidate links of one range of band keys: a spanning forest."""
-    linked, a, b, keys, nodes = column(table, "linked").to_pylist(), [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for is_link, x in zip(linked, column(table, "payload").to_pylist()):
+def _star_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(links a, links b, keys, their least-met nodes) of one range of band keys."""
+    none = np.zeros(0, np.int64)
+    a, b, keys, nodes = [none], [none], [none], [none]
+    for is_link, x in zip(column(table, "linked").to_pylist(), column(table, "payload").to_pylist()):
         left, right = np.frombuffer(x, np.int64).reshape(2, -1)
-        if is_link:
-            a.append(left)
-            b.append(right)
-        else:
-            keys.append(left)
-            nodes.append(right)
+        (a if is_link else keys).append(left)
+        (b if is_link else nodes).append(right)
     keys, nodes = np.concatenate(keys), np.concatenate(nodes)
     order = np.argsort(keys, kind="stable")
     keys, nodes = keys[order], nodes[order]
     new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
     hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return _edges(np.concatenate([*a, hub[~new]]), np.concatenate([*b, nodes[~new]]))
+    return np.concatenate([*a, hub[~new]]), np.concatenate([*b, nodes[~new]]), keys[new], nodes[new]
+
+
+def _thinned(table: pa.Table) -> pa.Table:
+    """Some lists of one range as one list: a key that many tasks met keeps one node, the others leave as links."""
+    a, b, keys, nodes = _star_lists(table)
+    rows = [np.stack(_forest(a, b)), np.stack([keys, nodes])]
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * 2, pa.int32()), "linked": pa.array([True, False]), "payload": pa.array([x.tobytes() for x in rows], pa.binary())})
+
+
+def _stars(table: pa.Table) -> pa.Table:
+    """Candidate links of one range of band keys: a spanning forest."""
+    return _edges(*_star_lists(table)[:2])
 
 
 def _gather(batches):
@@ -274,15 +305,61 @@ def _link_blocks(queries: pa.Table, members: pa.Table) -> pa.Table:
     return _edges(q[i], m[j])
 
 
-def _against(queries: DataFrame, members: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Links of ``queries`` (family, node, members) with all members of their families; blocks: family, size, n (queries)."""
-    sized = blocks.select("family", F.ceil(F.col("n") / BLOCK).cast("int").alias("q_n"), F.ceil(F.col("size") / (4 * BLOCK)).cast("int").alias("m_n"))
-    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
-    one = queries.join(sized, "family").withColumn("q", deal("q_n", 1)).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("m_n") - 1)))
-    two = members.join(sized, "family").withColumn("m", deal("m_n", 2)).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_n") - 1)))
-    keep = ["family", "q", "m", "node", "members"]
-    one = one.select([F.col(c).alias(c) for c in keep])  # new column ids: both sides stem from one table
-    return one.groupBy("family", "q", "m").cogroup(two.select(keep).groupBy("family", "q", "m")).applyInArrow(_link_blocks, "a long, b long")
+def _key_rows(batches):
+    """(family, block, key, out) of every band of every node."""
+    for batch in batches:
+        keys = np.frombuffer(b"".join(column(batch, "bands").to_pylist()), np.int64)
+        which = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+        yield pa.RecordBatch.from_arrays([*(column(batch, c).take(which) for c in ("family", "block", "out")), pa.array(keys, pa.int64())], ["family", "block", "out", "key"])
+
+
+def _numbered(batches):
+    """Adds ``block``: runs of ``BLOCK`` rows of one family and side, in the order they come."""
+    task, block, n, last = TaskContext.get().partitionId(), 0, 0, None
+    for batch in batches:
+        out = []
+        for mine in zip(column(batch, "family").to_pylist(), column(batch, "out").to_pylist()):
+            if n == BLOCK or mine != last:
+                block, n, last = block + 1, 0, mine
+            out.append((task << 32) | block)
+            n += 1
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [*batch.schema.names, "block"])
+
+
+def _against_sample(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Links of every member of a large family with a sampled block of its family."""
+    sampled = members.join(large, "family").where(F.pmod(F.xxhash64("node", F.lit(3)), F.col("size")) < BLOCK // 2).select("family", "node", "members")
+    deal = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n")).cast("int").alias("m")
+    sized = large.select("family", F.ceil(F.col("size") / (4 * BLOCK)).cast("int").alias("n"))
+    one = sampled.join(sized, "family").select(F.col("family").alias("family"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("m"), F.col("node").alias("node"), F.col("members").alias("members"))
+    two = members.join(sized, "family").select("family", deal, "node", "members")
+    return one.groupBy("family", "m").cogroup(two.groupBy("family", "m")).applyInArrow(_link_blocks, "a long, b long")
+
+
+def _against_neighbours(members: DataFrame, bands: DataFrame, label: DataFrame) -> DataFrame:
+    """Links of nodes outside their family's largest component with all nodes that share a band with them.
+
+    members: family, node, members; bands: node, bands; label: family, node, label, out. Nodes are sorted by
+    family, side, component and first band into blocks, so that neighbours meet in few blocks; a band
+    joins blocks, not nodes, and a pair of blocks is compared once however many bands it shares.
+    """
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["family", "out", "label", F.substring("bands", 1, 8)]
+    dealt = label.join(bands, "node").repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kinds = dealt.schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", block long"
+    dealt = materialize(dealt.mapInArrow(_numbered, schema), "blocks")
+    keys = dealt.select("family", "block", "out", "bands").mapInArrow(_key_rows, "family long, block long, out boolean, key long").distinct()
+    keys = materialize(keys, "block-bands")
+    left, right = keys.where("out").select("key", F.col("block").alias("q")), keys.select("key", F.col("block").alias("m"))
+    met = materialize(left.join(right, "key").select("q", "m").distinct(), "block-pairs")
+    held = materialize(dealt.select("node", "block").join(members, "node").select("block", "node", "members"), "block-members")
+    sides = []
+    for own, other in (("q", "m"), ("m", "q")):  # new column ids a side: both stem from one table
+        pairs = met.select(F.col(own).alias("block"), F.col(other).alias("other"))
+        side = held.join(pairs, "block").select(F.col("block").alias(own), F.col("other").alias(other), F.col("node").alias("node"), F.col("members").alias("members"))
+        sides.append(side.select("q", "m", "node", "members").groupBy("q", "m"))
+    return sides[0].cogroup(sides[1]).applyInArrow(_link_blocks, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -292,42 +369,77 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_shingles (distinct), component_id (least doc_id reachable), kept (doc_id is
     component_id), one row for each input row. Null, empty and blank texts have no shingles, link with
     nothing and are kept. Rows that repeat a doc_id share its verdict if their texts are alike. A null id
-    counts for no component_id; a group of null ids only has a null component_id and is kept. Equal sets
-    are told by a 64-bit sum; links between different sets are always confirmed on full sets.
+    counts for no component_id; a group of null ids only has a null component_id and is kept. Ids are of
+    any type that has an order. Equal sets are told by a 64-bit sum and a 128-bit digest; links between
+    different sets are always confirmed on full sets.
     """
-    spark = docs.sparkSession
+    found = classes(docs)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of ``docs``, all columns, for each group of near-duplicates; rows without a shingle all stay.
+
+    The row of least doc_id stays, an id before null; of different texts with that id the one of least
+    MD5; of rows that repeat both, one. Verdicts go by doc_id and text, so another text under a dropped
+    row's id isn't touched.
+    """
+    found = classes(docs).where("n_shingles > 0").select("doc_id", "text_key", "label")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"))
+    found = found.join(first, "label").select("doc_id", "text_key", (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))).alias("stays"))
+    counted = materialize(found.groupBy("doc_id", "text_key").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "verdicts")
+    gone, twice = (counted.where(c).select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")) for c in ("not stays", "stays"))
+    key = F.md5(F.col("text").cast("binary"))
+    here = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), key.alias("own_key"))
+    same = F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_key") == F.col("of_key"))
+    left = here.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        one = left.join(twice, same, "left_semi").dropDuplicates(["own_id", "own_key"])
+        left = left.join(twice, same, "left_anti").union(one)
+    return left.select([F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key (MD5), n_shingles, label (a node of the row's component, null without shingles), component_id; one row for each input row."""
     small_batches(docs.sparkSession)
-    source = docs.select("doc_id", "text", F.coalesce("doc_id", F.xxhash64("text")).alias("k"))
+    source = docs.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("text_key"), F.xxhash64("doc_id", "text").alias("r"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    signed = materialize(source.mapInArrow(_sign, f"doc_id {kind}, k long, n_shingles long, node long, bands binary"), "signatures")
-    n = signed.count()
+    signed = materialize(source.mapInArrow(_sign, f"doc_id {kind}, text_key string, r long, n_shingles long, node long, digest binary, bands binary"), "signatures")
+    signed = _told_apart(signed)
+    n, nodes = signed.count(), signed.where("n_shingles > 0")
     # candidates
     spread = signed.select("node", "bands").mapInArrow(_spread(parts(n * BANDS, BUCKET_ENTRIES)), "bucket int, linked boolean, payload binary")
+    salts = parts(n, BATCH_ROWS * LISTS)
+    if salts > 1:
+        spread = spread.groupBy("bucket", F.pmod(F.xxhash64("payload"), F.lit(salts)).alias("salt")).applyInArrow(_thinned, "bucket int, linked boolean, payload binary")
     family = components(spread.groupBy("bucket").applyInArrow(_stars, "a long, b long")).select("node", F.col("label").alias("family"))
     sizes = materialize(family.groupBy("family").agg(F.count("*").alias("size")), "families")
-    chosen = signed.where("n_shingles > 0").groupBy("node").agg(F.min("k").alias("k"), F.max("n_shingles").alias("n")).join(family, "node")
-    members = materialize(source.select("k", "text").join(chosen.hint("shuffle_hash"), "k").select("text", "family", "node").mapInArrow(_gather, "family long, node long, members binary"), "members", "snappy")
+    chosen = nodes.groupBy("node", "r").agg(F.count("*").alias("copies")).groupBy("node").agg(F.min(F.struct("r", "copies")).alias("one")).select("node", "one.r", "one.copies")
+    chosen = materialize(chosen.join(family, "node"), "chosen")
+    texts = source.select("r", "text").join(chosen.where("copies = 1").hint("shuffle_hash"), "r").select("text", "family", "node")
+    repeated = chosen.where("copies > 1")
+    if not repeated.isEmpty():  # rows that repeat id and text give one set all the same
+        texts = texts.union(source.select("r", "text").join(repeated.hint("shuffle_hash"), "r").select("text", "family", "node").dropDuplicates(["node", "text"]))
+    members = materialize(texts.mapInArrow(_gather, "family long, node long, members binary"), "members", "snappy")
     # links: whole small families in bins
     bins = parts((members.agg(F.sum(F.octet_length("members"))).first()[0] or 0), BIN_BYTES)
     small = members.join(sizes.where(F.col("size") <= BLOCK), "family").withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins)).cast("int"))
     labels = small.select("bin", "family", "node", "members").groupBy("bin").applyInArrow(_link_small, "a long, b long").select(F.col("a").alias("node"), F.col("b").alias("label"))
-    # links: large families, first against a sample, then what is left against all
+    # links: large families, first against a sample, then what is left against its neighbours
     large = sizes.where(F.col("size") > BLOCK)
     if not large.isEmpty():
-        big = members.join(large, "family")
-        sampled = big.where(F.pmod(F.xxhash64("node", F.lit(3)), F.col("size")) < BLOCK // 2).select("family", "node", "members")
-        first = materialize(_against(sampled, members, large.withColumn("n", F.lit(1))), "links")
-        label = big.select("family", "node").join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        counted = label.groupBy("family", "label").count()
-        main = counted.groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        outside = materialize(label.join(main, "family").where("label <> main").select("family", "node"), "outside")
-        left = outside.groupBy("family").agg(F.count("*").alias("n")).join(large, "family")
-        second = _against(members.join(outside, ["family", "node"]), members, left)
-        labels = labels.union(components(first.union(second)))
+        first = materialize(_against_sample(members, large), "links")
+        label = members.join(large, "family").select("family", "node").join(components(first), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        main = label.groupBy("family", "label").count().groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        label = materialize(label.join(main, "family").select("family", "node", "label", (F.col("label") != F.col("main")).alias("out")), "sides")
+        bands = nodes.join(chosen.select("node", "r"), ["node", "r"]).select("node", "bands").dropDuplicates(["node"])
+        labels = labels.union(components(first.union(_against_neighbours(members, bands, label))))
     # the least id of each component
-    classes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
-    classes = materialize(classes.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")), "classes")
-    least = classes.groupBy("label").agg(F.min("id").alias("component_id"))
-    found = signed.select("doc_id", "n_shingles", "node").join(classes.join(least, "label").select("node", "component_id"), "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = nodes.groupBy("node").agg(F.min("doc_id").alias("id"))
+    found = materialize(found.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")), "classes")
+    least = found.groupBy("label").agg(F.min("id").alias("component_id"))
+    of = found.join(least, "label").select("node", "label", "component_id")
+    shown = ("label", "component_id")
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(of, "node", "left")
+    return out.select("doc_id", "text_key", "n_shingles", *(F.when(F.col("n_shingles") > 0, F.col(c)).alias(c) for c in shown))
