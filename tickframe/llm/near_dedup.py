@@ -344,7 +344,7 @@ def _against_neighbours(members: DataFrame, bands: DataFrame, label: DataFrame)
     joins blocks, not nodes, and a pair of blocks is compared once however many bands it shares.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["family", "out", "label", F.substring("bands", 1, 8)]
+    order = ["family", "out", "label", F.substring("bands", 1, 8), "node"]
     dealt = label.join(bands, "node").repartitionByRange(n, *order).sortWithinPartitions(*order)
     kinds = dealt.schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", block long"
