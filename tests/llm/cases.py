@@ -43,3 +43,9 @@ def corpus(seed=1, n=60):
 
 def frame(spark, rows=None):
     return spark.createDataFrame(corpus() if rows is None else rows, SCHEMA)
+
+
+def in_order(spark, rows):
+    """(doc_id, text) by ascending id, null ids first, and by the hash of the text."""
+    hashed = {r.text: r.h for r in frame(spark, rows).selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+    return [(r[0], r[1] or "") for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))]

@@ -13,7 +13,6 @@ from tickframe.llm.common import utf8
 
 PATH = P.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 OURS = bpe.Bpe(PATH)
 
 
@@ -29,6 +28,12 @@ def test_odd_texts(texts):
     agree(texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", "<", " ", "\n", "!", "a", "'s", "9", "é"]), max_size=12).map("".join), max_size=5))
+def test_added_tokens(texts):
+    agree(texts)
+
+
 def test_long_and_mixed():
     rng = random.Random(4)
     agree([None, "", "".join(chr(rng.choice([32, 39, 10, 97, 115, 0x2028, 0x3000, 0x85, rng.randrange(1, 0xD7FF), rng.randrange(0xE000, sys.maxunicode)])) for _ in range(5000)), "<|endoftext|>", "it's we'll they've I'd", "x" * 20000])

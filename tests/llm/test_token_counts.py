@@ -16,7 +16,6 @@ from .cases import corpus, frame
 
 PATH = P.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
-PLAIN.encode_special_tokens = True
 CODER = bpe.load(PATH)
 CHARS = st.sampled_from(list("ab 's\n\t1!é漢😀.'lve  "))
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from tickframe.llm import ordered
 from tickframe.llm import token_store as m
 
-from .cases import corpus, frame
+from .cases import corpus, frame, in_order
 
 PATH = P.path("byte_bpe_50k.json")
 
@@ -25,11 +25,10 @@ def test_code(values):
 def test_store(spark, monkeypatch, size):
     monkeypatch.setattr(ordered, "RANGE_BYTES", size)
     monkeypatch.setattr(m, "BLOCK_BYTES", size // 2)
-    rows = corpus(2)
+    rows = corpus(2) + [(900 + i, t, *[None] * 6) for i, t in enumerate(["<|endoftext|>", "a <|endoftext|> b<|endoftext|>\n!", "<|endoftext"])] + [(None, f"none {i} of many", *[None] * 6) for i in range(40)] + [(905, f"same {i}", *[None] * 6) for i in range(40)]
     plain = Tokenizer.from_file(PATH)
-    plain.encode_special_tokens = True
     want, start = [], 0
-    for d, t in sorted(((r[0], r[1] or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
+    for d, t in in_order(spark, rows):
         ids = plain.encode(t, add_special_tokens=False).ids + [0]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids))
         start += len(ids)
@@ -39,3 +38,9 @@ def test_store(spark, monkeypatch, size):
 
 def test_empty(spark):
     assert m.token_store(frame(spark, []), PATH).count() == 0
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "none")], "doc_id string, text string")
+    got = sorted(map(tuple, m.token_store(docs, PATH).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None, "a", "b"]

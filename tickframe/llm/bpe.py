@@ -1,7 +1,8 @@
 """Byte-level BPE at column speed.
 
 Pre-tokens are found for a whole Arrow column at once by byte classes; the tokenizers library then
-encodes each distinct pre-token once, and its ids are dealt out by lookup.
+encodes each distinct pre-token once, and its ids are dealt out by lookup. The string of an added
+token is a pre-token of its own and parts the text on its two sides, as in the library.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ class Bpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings that are one token wherever they stand, as the library has it.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.size = self.tokenizer.get_vocab_size()
         self.classes = np.full(0x110000, _UNKNOWN, np.uint8)
@@ -77,6 +79,9 @@ class Bpe:
         begin = np.zeros(n + 1, bool)
         if not n:
             return np.zeros(0, np.int64)
+        special = self.specials(data, offsets)
+        if len(special):
+            offsets = np.unique(np.concatenate([offsets, special.ravel()]))
         own = self._class_of(data)
         row = np.zeros(n + 1, bool)
         row[offsets] = True  # no pre-token crosses rows; also set past the end
@@ -100,8 +105,26 @@ class Bpe:
             at = mark[which]
             begin[at + 1] = False
             begin[at + size] = True
+        for a, b in special.tolist():
+            begin[a + 1 : b] = False
         return np.flatnonzero(begin[:n])
 
+    def specials(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(start, end) of added tokens' strings inside one row, the first and of these the longest at a place."""
+        raw, found = None, []
+        for word in self.added:
+            # a rare first pair of bytes rules most texts out
+            heads = np.flatnonzero((data[:-1] == word[0]) & (data[1:] == word[1])) if len(word) > 1 and len(data) > 1 else np.zeros(0, np.int64)
+            if len(heads):
+                raw = data.tobytes() if raw is None else raw
+                found += [(a, -len(word), a + len(word)) for a in heads.tolist() if raw.startswith(word, a)]
+        out, last = [], 0
+        for a, _, b in sorted(found):
+            if a >= last and np.searchsorted(offsets, a, "right") == np.searchsorted(offsets, b, "left"):
+                out.append((a, b))
+                last = b
+        return np.array(out, np.int64).reshape(-1, 2)
+
     # ----------------------------------------------------------------- ids
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.ids.dtype)

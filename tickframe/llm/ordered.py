@@ -1,88 +1,36 @@
-"""Documents dealt into consecutive ranges of doc_id, texts compressed for the shuffle."""
+"""Documents in ascending order of doc_id, cut by Spark into consecutive ranges and sorted there.
+
+Null ids come first, and rows of one id follow each other by the xxhash64 of their text. Both are part
+of the key that cuts the ranges, so neither a null nor a repeated id gathers its rows in one task; only
+rows alike in id and text do, and these are streamed like any others. Nothing of the order passes
+through the driver but the cuts that Spark's range partitioner samples, one a range.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, parts, small_batches, text_bytes
-
-RANGE_BYTES = 8 << 20
-
-
-def range_of(ids: pa.Array, splits: np.ndarray) -> np.ndarray:
-    """Null ids come before all others."""
-    known = np.asarray(ids.is_valid())
-    at = np.zeros(len(ids), np.int64)
-    at[known] = np.searchsorted(splits, np.asarray(ids.drop_null()), "right")
-    return at
-
-
-def _deal(splits: np.ndarray, firsts: dict[int, int | None]):
-    """Rows (part, next, doc_id, packed text); a range's first row also goes, marked ``next``, to the range before."""
+from .common import parts, small_batches, text_bytes
 
-    used = sorted(firsts)
-    before = {p: used[i - 1] for i, p in enumerate(used)}  # the last range comes before the first
+#: Text of one range; the sort spills, so a range need not fit in memory.
+RANGE_BYTES = 64 << 20
 
-    def deal(batches):
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            ids, texts = column(batch, "doc_id"), column(batch, "text").to_pylist()
-            at = range_of(ids, splits)
-            packed = [press.compress((t or "").encode()) for t in texts]
-            also = [i for i, (p, d) in enumerate(zip(at.tolist(), ids.to_pylist())) if p in firsts and firsts[p] == d]
-            rows = np.append(np.arange(len(at)), np.array(also, np.int64))
-            part = np.append(at, [before[at[i]] for i in also]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part), pa.array(np.arange(len(rows)) >= len(at)), ids.take(pa.array(rows)), pa.array([packed[i] for i in rows.tolist()], pa.binary())], ["part", "next", "doc_id", "packed"]
-            )
 
-    return deal
+def text_key() -> Column:
+    """The second key of the order."""
+    return F.xxhash64("text")
 
 
-def _least(splits: np.ndarray):
-    def least(batches):
-        for batch in batches:
-            ids = column(batch, "doc_id")
-            at = range_of(ids, splits)
-            known = np.asarray(ids.is_valid())
-            values = np.asarray(ids.fill_null(0))
-            for p in np.unique(at).tolist():
-                mine = (at == p) & known
-                low = None if (at[~known] == p).any() else int(values[mine].min())
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([low], pa.int64())], ["part", "least"])
+def in_ranges(rows: DataFrame, text_total: int, *more: str) -> DataFrame:
+    """``rows`` (doc_id, h, ...) dealt into consecutive ranges; range i is partition i. ``more`` orders rows of one id and text."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts(text_total, RANGE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    return rows.repartitionByRange(n, *order).sortWithinPartitions(*order, *more)
 
-    return least
 
-
-def ranges(docs: DataFrame) -> np.ndarray:
-    """Ids that cut the documents into ranges of about ``RANGE_BYTES`` of text."""
-    n = parts(text_bytes(docs), RANGE_BYTES)
-    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / n for i in range(1, n)] or [0.5], max(10_000, 20 * n))).first()[0] or []
-    return np.unique(np.array(cuts if n > 1 else [], np.int64))
-
-
-def dealt_by_id(docs: DataFrame, with_next: bool = False, splits: np.ndarray | None = None) -> DataFrame:
-    """(part, next, doc_id, packed): rows of one part are to be sorted by ``unpacked``.
-
-    Ranges hold about ``RANGE_BYTES`` of text; the driver sees one id a range.
-    """
+def dealt_by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text), in ranges and sorted."""
     small_batches(docs.sparkSession)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    splits = ranges(source) if splits is None else splits
-    firsts: dict[int, int | None] = {}
-    if with_next:
-        found = source.select("doc_id").mapInArrow(_least(splits), "part int, least long").groupBy("part").agg(F.min("least").alias("least"), F.bool_or(F.col("least").isNull()).alias("has_null"))
-        firsts = {r.part: None if r.has_null else r.least for r in found.collect()}
-    return source.mapInArrow(_deal(splits, firsts), "part int, next boolean, doc_id long, packed binary").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
-
-
-def unpacked(table: pa.Table) -> tuple[list[int | None], list[bytes], list[bool]]:
-    """(ids, texts, next) in ascending order: null ids first, equal ids by their bytes, rows marked ``next`` last."""
-    open_ = zstandard.ZstdDecompressor()
-    rows = list(zip(table.column("next").to_pylist(), table.column("doc_id").to_pylist(), (open_.decompress(x) for x in table.column("packed").to_pylist())))
-    rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0, r[2]))
-    return [r[1] for r in rows], [r[2] for r in rows], [r[0] for r in rows]
+    source = docs.select("doc_id", text_key().alias("h"), "text")
+    return in_ranges(source, text_bytes(source))

@@ -3,7 +3,8 @@
 An id is stored as its rank by corpus frequency in one to four little-endian bytes. Four ids share one
 control byte (two bits each: bytes less one); control and data bytes are separate columns. A file row
 is a block of whole documents in ascending doc_id order with the number of ids before it, so any block
-decodes alone. Decoding looks control bytes up in a table of code lengths and gathers with numpy.
+decodes alone. Those numbers are two sums: over the parts before (one number a part, as many as the
+write has tasks) and over the blocks before within the part. Decoding looks control bytes up in a table of code lengths and gathers with numpy.
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import column, materialize, shared_dir, slices
-from .ordered import dealt_by_id, unpacked
+from .common import column, materialize, shared_dir, slices, utf8
+from .ordered import dealt_by_id
 
 END = 0
 BLOCK_BYTES = 1 << 21
 _LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-_BLOCK = "part int, block int, doc_ids array<bigint>, lengths array<bigint>"
 
 
 # --------------------------------------------------------------------------- the code
@@ -53,19 +54,31 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 # --------------------------------------------------------------------------- writing
 def _tokenize(path: str):
-    def tokenize(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        ids, texts, _ = unpacked(table)
-        offsets = np.append(0, np.cumsum([len(t) for t in texts]))
-        data, coder, press = np.frombuffer(b"".join(texts), np.uint8), bpe.load(path), zstandard.ZstdCompressor(level=3)
-        rows = []
-        for block, (a, b) in enumerate(slices(offsets, BLOCK_BYTES)):
-            found, first = coder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            flat = np.insert(found, first[1:], END).astype(np.uint32)  # the end id of each document
-            rows.append((part, block, ids[a:b], (np.diff(first) + 1).tolist(), press.compress(flat.astype(np.uint16 if coder.size <= 1 << 16 else np.uint32).tobytes())))
-        names = ["part", "block", "doc_ids", "lengths", "ids"]
-        types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(names, types))})
+    def tokenize(batches):
+        coder, press = bpe.load(path), zstandard.ZstdCompressor(level=3)
+        part, block = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids, (data, offsets) = column(batch, "doc_id"), utf8(column(batch, "text"))
+            rows = []
+            for a, b in slices(offsets, BLOCK_BYTES):
+                found, first = coder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                flat = np.insert(found, first[1:], END).astype(np.uint16 if coder.size <= 1 << 16 else np.uint32)  # the end id of each document
+                rows.append((block, len(flat), np.diff(first) + 1, press.compress(flat.tobytes()), a, b))
+                block += 1
+            if not rows:
+                continue
+            cuts = pa.array([r[4] for r in rows] + [rows[-1][5]], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part] * len(rows), pa.int32()),
+                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([r[1] for r in rows], pa.int64()),
+                    pa.ListArray.from_arrays(cuts, ids),
+                    pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([r[2] for r in rows]), pa.int64())),
+                    pa.array([r[3] for r in rows], pa.binary()),
+                ],
+                ["part", "block", "n", "doc_ids", "lengths", "ids"],
+            )
 
     return tokenize
 
@@ -88,38 +101,38 @@ def _count(size: int):
 
 def _write(shared, wide: bool):
     def write(batches):
-        rank, starts = shared.value
+        rank = shared.value
         for batch in batches:
-            keys = list(zip(column(batch, "part").to_pylist(), column(batch, "block").to_pylist()))
             coded = [encode(rank[_raw(x, wide)]) for x in column(batch, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([starts[k] for k in keys], pa.int64()), column(batch, "doc_ids"), column(batch, "lengths"), pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())],
-                ["first_id", "doc_ids", "lengths", "control", "data"],
-            )
+            kept = [column(batch, c) for c in ("first_id", "doc_ids", "lengths")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([c for c, _ in coded], pa.binary()), pa.array([d for _, d in coded], pa.binary())], ["first_id", "doc_ids", "lengths", "control", "data"])
 
     return write
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
-    """Encode every text, end each document with id 0, and write files and a rank table under ``path``.
+def _with_starts(raw: DataFrame) -> DataFrame:
+    """Adds ``first_id``: the ids of all blocks before. Only one row a part meets in one place."""
+    totals = raw.groupBy("part").agg(F.sum("n").alias("total"))
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("part", before.alias("before"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    places = raw.select("part", "block", inside.alias("inside")).join(starts, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("first_id"))
+    return raw.join(places, ["part", "block"])
 
-    The driver holds the vocabulary's ranks and one number a block of about 2 MB of text.
-    """
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
+    """Encode every text, end each document with id 0, and write files and a rank table under ``path``. The driver holds the vocabulary's ranks."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tickframe/tokens-{uuid.uuid4().hex}"
-    size = bpe.load(tokenizer_path).size
-    raw = materialize(dealt_by_id(docs).groupBy("part").applyInArrow(_tokenize(tokenizer_path), f"{_BLOCK}, ids binary"), "ids", "none")
+    size, kind = bpe.load(tokenizer_path).size, docs.schema["doc_id"].dataType.simpleString()
+    block = f"part int, block int, n long, doc_ids array<{kind}>, lengths array<bigint>"
+    raw = materialize(dealt_by_id(docs).select("doc_id", "text").mapInArrow(_tokenize(tokenizer_path), f"{block}, ids binary"), "ids", "none")
     counts = raw.select("ids").mapInArrow(_count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.int64)
     rank = np.zeros(size + 1, np.uint32)
     rank[by_rank] = np.arange(len(by_rank))
-    blocks = raw.select("part", "block", F.expr("aggregate(lengths, 0L, (a, x) -> a + x)").alias("n")).collect()
-    starts, at = {}, 0
-    for b in sorted(blocks):
-        starts[(b.part, b.block)] = at
-        at += b.n
-    shared = spark.sparkContext.broadcast((rank, starts))
-    raw.mapInArrow(_write(shared, size > 1 << 16), "first_id long, doc_ids array<bigint>, lengths array<bigint>, control binary, data binary").write.option("compression", "zstd").parquet(f"{path}/blocks")
+    coded = _with_starts(raw).select("first_id", "doc_ids", "lengths", "ids").mapInArrow(_write(spark.sparkContext.broadcast(rank), size > 1 << 16), f"first_id long, doc_ids array<{kind}>, lengths array<bigint>, control binary, data binary")
+    coded.write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     return path
 
@@ -129,12 +142,13 @@ def _read(shared, keep_ids: bool):
     def read(batches):
         ids_of = shared.value
         for batch in batches:
-            for first, docs, lengths, control, data in zip(*(column(batch, c).to_pylist() for c in ("first_id", "doc_ids", "lengths", "control", "data"))):
-                sizes = np.array(lengths, np.int64)
+            named = column(batch, "doc_ids")
+            for i, (first, lengths, control, data) in enumerate(zip(*(column(batch, c).to_pylist() for c in ("first_id", "lengths", "control", "data")))):
+                sizes, docs = np.array(lengths, np.int64), named[i].values
                 at = np.append(0, np.cumsum(sizes))
                 ids = ids_of[decode(control, data, int(at[-1]))]
                 own = [ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                out = [pa.array(docs, pa.int64()), pa.array(first + at[:-1], pa.int64()), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                out = [docs, pa.array(first + at[:-1], pa.int64()), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                 if keep_ids:
                     out.append(pa.array([x.tolist() for x in own], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
@@ -146,15 +160,19 @@ def read_tokens(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFr
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids."""
     ranks = spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()  # as many as the vocabulary has ids
     shared = spark.sparkContext.broadcast(np.array([r.id for r in ranks], "<u4"))
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * keep_ids
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(_read(shared, keep_ids), schema)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * keep_ids
+    return blocks.mapInArrow(_read(shared, keep_ids), schema)
 
 
 def token_store(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
     """Write the texts' ids and read them back.
 
-    Null and empty texts give the end id alone. Null doc_ids come first and rows of equal doc_id follow
-    each other in the order of their bytes, one result row each. An empty table gives an empty result.
-    Columns other than doc_id and text are left aside.
+    Ids are what the tokenizers library gives with its defaults and add_special_tokens=False: the string of
+    an added token in a text is that token. Null and empty texts give the end id alone. Null doc_ids come
+    first and rows of equal doc_id follow each other by the xxhash64 of their text, one result row each;
+    doc_ids may be of any type that has an order. An empty table gives an empty result. Columns other than
+    doc_id and text are left aside.
     """
     return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer_path), keep_ids)
