@@ -10,14 +10,15 @@ from tokenizers import Tokenizer
 
 from tickframe.llm import bpe
 from tickframe.llm import token_counts as m
-from tickframe.llm.common import utf8
+from tickframe.llm.common import materialize, utf8
 
 from .cases import corpus, frame
 
 PATH = P.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
 CODER = bpe.load(PATH)
-CHARS = st.sampled_from(list("ab 's\n\t1!é漢😀.'lve  "))
+PIECES = st.sampled_from([*"ab 's\n\t1!é漢😀.'lve  ", "<|endoftext|>", "<|endo", "ftext|>"])
+TEXT = st.lists(PIECES, max_size=200).map("".join)
 
 
 def n_tokens(text):
@@ -26,32 +27,60 @@ def n_tokens(text):
 
 def check_tree(tree, text):
     assert tree.total == n_tokens(text)
-    assert tree.bytes[1] == len(text.encode())
-    for node in range(1, tree.width):
-        assert tree.tokens[node] == tree.tokens[2 * node] + tree.tokens[2 * node + 1]
-        assert tree.bytes[node] == tree.bytes[2 * node] + tree.bytes[2 * node + 1]
+    assert tree.sums[1, :2].tolist() == [len(text), len(text.encode())]
+    assert np.array_equal(tree.sums[1 : tree.width], tree.sums[2::2] + tree.sums[3::2])
+    at = 0
+    for chars, size, tokens in tree.leaves.tolist():  # each leaf stands for itself
+        assert tokens == 0 if not size else tokens > 0 and chars > 0
+        at += size
+    assert at == len(text.encode())
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(CHARS, max_size=300), st.lists(st.tuples(st.integers(0, 310), st.integers(0, 12), st.text(CHARS, max_size=12)), min_size=1, max_size=4))
+@given(TEXT, st.lists(st.tuples(st.integers(0, 310), st.integers(0, 12), st.lists(PIECES, max_size=8).map("".join)), min_size=1, max_size=4))
 def test_edits_equal_full_counts(text, edits):
     edits = [(a, a + n, t) for a, n, t in edits]
     trees = m.build(CODER, *utf8(pa.array([text])))
     check_tree(trees[0], text)
-    got, _ = m.apply_edits(CODER, [text.encode()], [edits], trees)
+    texts = [bytearray(text.encode())]
+    m.apply_edits(CODER, texts, [edits], trees)
     for a, b, t in edits:
         text = text[:a] + t + text[b:]
-    assert got[0].decode() == text
+    assert texts[0].decode() == text
     check_tree(trees[0], text)
 
 
 def test_only_the_region_is_read():
+    """Also after many edits at one place, which would grow a leaf without bound if leaves never split."""
     rng = random.Random(2)
     text = " ".join(f"word{rng.randrange(9999)}" for _ in range(20000))
-    trees = m.build(CODER, *utf8(pa.array([text])))
-    got, again = m.apply_edits(CODER, [text.encode()], [[(5000, 5010, "new words"), (90000, 90000, "more")]], trees)
-    check_tree(trees[0], got[0].decode())
+    trees, texts = m.build(CODER, *utf8(pa.array([text]))), [bytearray(text.encode())]
+    again = m.apply_edits(CODER, texts, [[(5000, 5010, "new words"), (90000, 90000, "more")]], trees)
+    check_tree(trees[0], texts[0].decode())
     assert again[0] < 1500
+    for _ in range(40):
+        again = m.apply_edits(CODER, texts, [[(5000, 5000, " and twenty more words that go in here, one after the other" * 3)]], trees)
+        assert again[0] < 1500
+    check_tree(trees[0], texts[0].decode())
+    assert trees[0].leaves[:, m.TOKENS].max() < 10 * m.LEAF
+
+
+def test_stored_trees_over_several_runs(spark):
+    """Every run starts from what the last one left: texts, trees and counts agree with counting anew."""
+    rng = random.Random(5)
+    rows = [r for r in corpus(8) if r[0] is not None and r[0] != 5]
+    texts = {r[0]: r[1] or "" for r in rows}
+    trees = m.token_trees(frame(spark, rows), PATH)
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {d: n_tokens(t) for d, t in texts.items()}
+    for _ in range(3):
+        a, n, new = rng.randrange(300), rng.randrange(40), rng.choice(["", "it's <|endoftext|> new", "x" * 500])
+        stored = materialize(trees, "trees")
+        trees = m.edited(stored, F.array(F.struct(F.lit(a).alias("start"), F.lit(a + n).alias("end"), F.lit(new).alias("text"))), PATH)
+        before, texts = texts, {d: t[:a] + new + t[a + n :] for d, t in texts.items()}
+        got = trees.collect()
+        assert {r.doc_id: (r.text, r.n_tokens, r.n_tokens_edited) for r in got} == {d: (t, n_tokens(before[d]), n_tokens(t)) for d, t in texts.items()}
+        for r in got:
+            check_tree(m.TokenTree.stored(np.array(r.tree)), r.text)
 
 
 def test_frame(spark):
@@ -63,12 +92,11 @@ def test_frame(spark):
         t = r[1] or ""
         want.append((str(r[0]), n_tokens(t), n_tokens(t[:3] + "it's" + t[9:] + " end")))
     assert got == sorted(want)
-    one = m.token_counts(frame(spark, rows), m.middle_edit(), PATH, keep_tree=True).collect()
+    one = m.token_counts(frame(spark, rows), m.middle_edit(), PATH, keep=True).collect()
     texts = {r[0]: r[1] or "" for r in rows}
     for r in one:
         t = texts[r.doc_id]
         n = len(t)
         new = t[: n // 3] + f" (edited: it's no. {'none' if r.doc_id is None else r.doc_id}) " + t[n // 3 + n // 50 :]
-        assert r.n_tokens_edited == n_tokens(new) == r.tree[1] and r.n_bytes_edited == len(new.encode())
+        assert r.text == new and r.n_tokens_edited == n_tokens(new) == r.tree[5] and r.n_bytes_edited == len(new.encode())
     assert m.token_counts(frame(spark, []), m.middle_edit(), PATH).count() == 0
-    assert np.all([r.n_bytes_reencoded >= 0 for r in one])
