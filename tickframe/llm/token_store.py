@@ -4,7 +4,7 @@ An id is stored as its rank by corpus frequency in one to four little-endian byt
 control byte (two bits each: bytes less one); control and data bytes are separate columns. A file row
 is a block of whole documents in ascending doc_id order with the number of ids before it, so any block
 decodes alone. Those numbers are two sums: over the parts before (one number a part, as many as the
-write has tasks) and over the blocks before within the part. Decoding looks control bytes up in a table of code lengths and gathers with numpy.
+write has tasks) and over the blocks before within the part, which its task counts as it goes. Decoding looks control bytes up in a table of code lengths and gathers with numpy.
 """
 
 from __future__ import annotations
@@ -56,28 +56,28 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _tokenize(path: str):
     def tokenize(batches):
         coder, press = bpe.load(path), zstandard.ZstdCompressor(level=3)
-        part, block = TaskContext.get().partitionId(), 0
+        part, done = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, (data, offsets) = column(batch, "doc_id"), utf8(column(batch, "text"))
             rows = []
             for a, b in slices(offsets, BLOCK_BYTES):
                 found, first = coder.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 flat = np.insert(found, first[1:], END).astype(np.uint16 if coder.size <= 1 << 16 else np.uint32)  # the end id of each document
-                rows.append((block, len(flat), np.diff(first) + 1, press.compress(flat.tobytes()), a, b))
-                block += 1
+                rows.append((done, len(flat), np.diff(first) + 1, press.compress(flat.tobytes()), a, b))
+                done += len(flat)
             if not rows:
                 continue
             cuts = pa.array([r[4] for r in rows] + [rows[-1][5]], pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part] * len(rows), pa.int32()),
-                    pa.array([r[0] for r in rows], pa.int32()),
+                    pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.int64()),
                     pa.ListArray.from_arrays(cuts, ids),
                     pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([r[2] for r in rows]), pa.int64())),
                     pa.array([r[3] for r in rows], pa.binary()),
                 ],
-                ["part", "block", "n", "doc_ids", "lengths", "ids"],
+                ["part", "inside", "n", "doc_ids", "lengths", "ids"],
             )
 
     return tokenize
@@ -111,13 +111,11 @@ def _write(shared, wide: bool):
 
 
 def _with_starts(raw: DataFrame) -> DataFrame:
-    """Adds ``first_id``: the ids of all blocks before. Only one row a part meets in one place."""
+    """Adds ``first_id``: the ids of all blocks before. One row a part meets in one place and is broadcast, never the blocks."""
     totals = raw.groupBy("part").agg(F.sum("n").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = totals.select("part", before.alias("before"))
-    inside = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = raw.select("part", "block", inside.alias("inside")).join(starts, "part").select("part", "block", (F.col("before") + F.col("inside")).alias("first_id"))
-    return raw.join(places, ["part", "block"])
+    return raw.join(F.broadcast(starts), "part").withColumn("first_id", F.col("before") + F.col("inside"))
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> str:
@@ -125,7 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str | None = None)
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tickframe/tokens-{uuid.uuid4().hex}"
     size, kind = bpe.load(tokenizer_path).size, docs.schema["doc_id"].dataType.simpleString()
-    block = f"part int, block int, n long, doc_ids array<{kind}>, lengths array<bigint>"
+    block = f"part int, inside long, n long, doc_ids array<{kind}>, lengths array<bigint>"
     raw = materialize(dealt_by_id(docs).select("doc_id", "text").mapInArrow(_tokenize(tokenizer_path), f"{block}, ids binary"), "ids", "none")
     counts = raw.select("ids").mapInArrow(_count(size), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by_rank = np.array([r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))], np.int64)
