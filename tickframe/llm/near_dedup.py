@@ -393,7 +393,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     key = F.md5(F.col("text").cast("binary"))
     here = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), key.alias("own_key"))
     same = F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_key") == F.col("of_key"))
-    left = here.join(gone, same, "left_anti")
+    # The verdicts grow with the corpus: one plan at every size, rather than a broadcast while they are few.
+    left = here.join(gone.hint("shuffle_hash"), same, "left_anti")
     if not twice.isEmpty():
         one = left.join(twice, same, "left_semi").dropDuplicates(["own_id", "own_key"])
         left = left.join(twice, same, "left_anti").union(one)
