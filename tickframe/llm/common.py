@@ -20,7 +20,8 @@ BATCH_ROWS = 1000
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     path = f"{shared_dir(df.sparkSession)}/tickframe/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    # Row groups of 32 MB: a writer holds one in memory.
+    df.write.option("compression", compression).option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

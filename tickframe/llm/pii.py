@@ -344,8 +344,8 @@ def redacted(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     Overlapping spans: the earlier one's kind stands for what it covers, the rest of the later one goes too.
     """
     # Written with its candidates, so that the patterns are tried once.
-    found = materialize(candidates(docs.select(F.struct("*").alias("row"), "text")), "candidates")
-    done = decided(found, train(found) if weights is None else weights)
+    found = materialize(candidates(docs.select(F.struct("*").alias("row"), "text")).drop("text"), "candidates")
+    done = decided(found, train(found) if weights is None else weights).withColumn("text", F.col("row.text"))
     cut = f"""aggregate(spans, named_struct('at', 0L, 'all', cast(array() as array<string>)),
         (a, x) -> case when x.start >= a.at
             then named_struct('at', x.end, 'all', concat(a.all, array(substring(text, int(a.at) + 1, int(x.start - a.at)), concat('[', upper(element_at({_NAMES}, x.kind + 1)), ']'))))
