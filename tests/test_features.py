@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,24 +29,45 @@ def test_two_bars(spark):
     assert b[0].buy_distance_to_ask_sum == pytest.approx(0.3) and b[1].sell_distance_to_bid_sum == pytest.approx(0.1)
 
 
-def test_known_features(spark):
-    def bar(i, o, c, so, sc, bs, as_, n, v):
-        side = lambda s: [(100.0 - k, s * (1 if k == 0 else 0.25)) for k in range(3)]
-        return ("d", i, o, max(o, c), min(o, c), c, so, sc, bs, as_, (side(bs), side(as_)), n, v, 0, 0.0, 0, 0.0, 0.0, 0.0, 0.5 * bs, 0.5 * as_, 0.25 * bs, 0.25 * as_, 0.0, 0.0, i * 10**9, (i + 1) * 10**9)
-
+def model(rows, window, rv):
+    """Some feature columns of bars in order, by a plain walk: mean-normalised over the bars before."""
+    before = {k: [] for k in ("vol", "bid", "ask", "add", "cancel")}
+    returns, out = [], []
+    for r in rows:
+        known = lambda k: abs(sum(before[k][-window:]) / len(before[k][-window:])) if before[k] else 1.0  # noqa: B023, E731
+        sizes = {s: sum(z for _, z in r[s] if z > 0) for s in ("bid", "ask")}
+        returns.append(math.log(r["close"] / r["open"]))
+        var = lambda n: sum(x * x for x in returns[-n:]) / len(returns[-n:]) if len(returns) > 1 else 0.0
+        row = {
+            "mid_return_bar": returns[-1], "spread_ticks": r["spread"] / 0.25, "cum_bid_size_l_rel": sizes["bid"] / known("bid"), "cum_ask_size_l_rel": sizes["ask"] / known("ask"),
+            "imbalance_l": (sizes["bid"] - sizes["ask"]) / (sizes["bid"] + sizes["ask"]), "trade_volume_sum_rel": min(15.0, r["vol"] / known("vol")), "trade_count_log": math.log(1 + r["n"]),
+            "rv_log": math.log(var(rv[0]) + 1e-12), "rv_long_log": math.log(var(rv[1]) + 1e-12),
+        }
+        for side in ("bid", "ask"):
+            for k, (px, sz) in enumerate(r[side][:3], 1):
+                row[f"{side}_offset_level_{k}_ticks"] = abs(r["close"] - px) / 0.25
+                row[f"{side}_size_level_{k}_rel"] = sz / known(side)
+        before["vol"].append(r["vol"])
+        before["bid"].append(sizes["bid"])
+        before["ask"].append(sizes["ask"])
+        out.append(row)
+    return out
+
+
+@pytest.mark.parametrize("window", [1, 4])
+def test_features_against_a_plain_walk(spark, window):
+    rng, rows = random.Random(window), []
+    for i in range(25):
+        mid = 400 + rng.randrange(-8, 9) * 0.5
+        book = lambda sign: [(mid + sign * (0.5 + 0.25 * k), float(rng.randint(1, 9))) for k in range(3)]  # noqa: B023, E731
+        rows.append({"open": 400 + rng.randrange(-8, 9) * 0.5, "close": mid, "spread": rng.choice([0.5, 0.75, 1.0]), "bid": book(-1), "ask": book(1), "n": rng.randint(0, 6), "vol": float(rng.randint(1, 60))})
     level = "array<struct<price:double,size:double>>"
-    schema = f"stem string, bar_index long, mid_open double, mid_high double, mid_low double, mid_close double, spread_open double, spread_close double, bid_size double, ask_size double, book struct<bids:{level},asks:{level}>, trade_count long, trade_volume_sum double, buy_trade_count long, buy_trade_volume double, sell_trade_count long, sell_trade_volume double, buy_distance_to_ask_sum double, sell_distance_to_bid_sum double, limit_add_bid_volume double, limit_add_ask_volume double, limit_cancel_bid_volume double, limit_cancel_ask_volume double, ofi_bid double, ofi_ask double, start_ns long, end_ns long"
-    rows = [bar(0, 100.0, 101.0, 0.6, 0.4, 4.0, 2.0, 3, 10.0), bar(1, 101.0, 100.5, 0.4, 0.5, 3.0, 3.0, 1, 5.0)]
-    a, b = core_features(spark.createDataFrame(rows, schema), alpha=None, window=1, rv=(2, 2)).orderBy("bar_index").collect()
-    near = pytest.approx
-    assert a.mid_return_bar == near(math.log(1.01)) and a.spread_ticks == near(1.6) and a.spread_change_ticks == near(-0.8)
-    assert a.mid_range_rel == near(1 / 101) and a.imbalance_best == near(1 / 3) and a.imbalance_l == near(1 / 3)
-    assert a.cum_bid_size_l_rel == near(6) and a.cum_ask_size_l_rel == near(3) and a.trade_volume_sum_rel == near(10)
-    assert a.bid_size_level_1_rel == near(4) and a.ask_size_level_1_rel == near(2) and a.limit_add_bid_volume_rel == near(2)
-    assert b.trade_volume_sum_rel == near(0.5) and b.trade_count_log == near(math.log(2)) and b.spread_change_ticks == near(0.4)
-    assert b.mid_range_rel == near(0.5 / 100.5) and b.cum_bid_size_l_rel == near(4.5 / 6) and b.cum_ask_size_l_rel == near(4.5 / 3)
-    assert b.imbalance_l == near(0) and b.rv_log > a.rv_log
-    assert a.limit_cancel_ask_volume_rel == near(0.5) and a.limit_of_imbalance == near((1 - 0.5) / 1.5)
+    names = "trade_count long, trade_volume_sum double, buy_trade_count long, buy_trade_volume double, sell_trade_count long, sell_trade_volume double, buy_distance_to_ask_sum double, sell_distance_to_bid_sum double, limit_add_bid_volume double, limit_add_ask_volume double, limit_cancel_bid_volume double, limit_cancel_ask_volume double, ofi_bid double, ofi_ask double, start_ns long, end_ns long"
+    schema = f"stem string, bar_index long, mid_open double, mid_high double, mid_low double, mid_close double, spread_open double, spread_close double, bid_size double, ask_size double, book struct<bids:{level},asks:{level}>, {names}"
+    bar = lambda i, r: ("d", i, r["open"], max(r["open"], r["close"]), min(r["open"], r["close"]), r["close"], r["spread"], r["spread"], r["bid"][0][1], r["ask"][0][1], (r["bid"], r["ask"]), r["n"], r["vol"], 0, 0.0, 0, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0, 4.0, 0.0, 0.0, i * 10**9, (i + 1) * 10**9)
+    got = core_features(spark.createDataFrame([bar(i, r) for i, r in enumerate(rows)], schema), alpha=None, window=window, rv=(4, 9)).orderBy("bar_index").collect()
+    for g, want in zip(got, model(rows, window, (4, 9)), strict=True):
+        assert {c: g[c] for c in want} == pytest.approx(want), g.bar_index
 
 
 def test_all_columns_hold(spark):
@@ -62,20 +84,49 @@ def test_all_columns_hold(spark):
     assert rows.count() > 0 and rows.where(bad).count() == 0
 
 
-def test_pairwise_labels(spark):
-    from tickframe.operators.labels import label_targets, split_by_ratio, touch_events
-
-    def series(*px, ts=None):
-        return spark.createDataFrame([("d", i, int((ts[i] if ts else i) * 1e9), float(p)) for i, p in enumerate(px)], "stem string, seq long, ts_ns long, price double")
-
-    out = lambda df: [r.outcome for r in df.orderBy("seq").collect()]
-    assert out(touch_events(series(100, 100.5, 99, 100), 0.5, 0.5, 60 * 10**9))[:2] == ["up", "down"]
-    assert out(touch_events(series(100, 100.2, 100.1), 2.5, 2.5, 5 * 10**9)) == ["flat"] * 3
-    assert out(touch_events(series(100, 100, 99, ts=[0, 1, 10]), 0.25, 0.25, 10**9)) == ["flat"] * 3
-    lab = label_targets(series(100, 101.25, 99), {"t1": (1, 60)}, 0.25).orderBy("event_index").collect()
-    assert [r.outcome_t1 for r in lab] == [2, 0, 1]
-    s = split_by_ratio(series(*range(1, 9)), 0.5, 0.25).orderBy("seq").collect()
-    assert [r.split for r in s] == ["train"] * 4 + ["validation"] * 2 + ["test"] * 2
+def first_touch(rows, up, down, horizon_ns):
+    """Outcome of each (ts, price) by looking ahead row by row, until time first runs past the horizon."""
+    out = []
+    for i, (ts, p) in enumerate(rows):
+        found = "flat"
+        for later, q in rows[i + 1 :]:
+            if later > ts + horizon_ns:
+                break
+            if q >= p + up or q <= p - down:
+                found = "up" if q >= p + up else "down"
+                break
+        out.append(found)
+    return out
+
+
+def test_labels_against_a_plain_walk(spark):
+    from tickframe.operators.labels import label_targets, split_by_ratio, touch_bars, touch_events
+
+    rng, ts, px, rows = random.Random(4), 0, 400.0, []
+    for _ in range(400):
+        ts, px = ts + rng.choice([0, 1, 2, 7]) * 10**9, px + rng.choice([-0.75, -0.25, 0.0, 0.25, 0.75])
+        rows.append((ts, px))
+    series = spark.createDataFrame([("d", i, t, p) for i, (t, p) in enumerate(rows)], "stem string, seq long, ts_ns long, price double")
+    for up, down, horizon in ((0.5, 0.5, 20), (1.5, 1.0, 60), (3.0, 3.0, 5)):
+        assert [r.outcome for r in touch_events(series, up, down, horizon * 10**9).orderBy("seq").collect()] == first_touch(rows, up, down, horizon * 10**9)
+    code = {"up": 2, "flat": 1, "down": 0}
+    targets = {"t3": (3, 30), "t7": (7, 90)}
+    got = label_targets(series, targets, 0.25).orderBy("event_index").collect()
+    for name, (ticks, seconds) in targets.items():
+        assert [r[f"outcome_{name}"] for r in got] == [code[x] for x in first_touch(rows, ticks * 0.25, ticks * 0.25, seconds * 10**9)]
+    assert [r.event_index for r in got] == list(range(400)) and [r.anchor_price for r in got] == [p for _, p in rows]
+    bars_ = [(i, p + rng.choice([0, 0.5, 1.5]), p - rng.choice([0, 0.5, 1.5]), p) for i, (_, p) in enumerate(rows[:120])]
+    frame = spark.createDataFrame([("d", *b) for b in bars_], "stem string, bar_index long, mid_high_price double, mid_low_price double, mid_close_price double")
+    for ahead in (5, 40, None):
+        want = []
+        for i, _, _, c in bars_:
+            last = min(i + (ahead or len(bars_)), len(bars_) - 1)
+            hit = next((j for j in range(i + 1, last + 1) if bars_[j][1] >= c + 1 or bars_[j][2] <= c - 1), None)
+            rises, falls = (hit is not None and bars_[hit][1] >= c + 1), (hit is not None and bars_[hit][2] <= c - 1)
+            want.append((1 if rises == falls else 2 if rises else 0, last if hit is None else hit))
+        assert [(r.label, r.exit_row) for r in touch_bars(frame, 1.0, 1.0, ahead).orderBy("bar_index").collect()] == want
+    s = split_by_ratio(series, 0.6, 0.25).orderBy("seq").collect()
+    assert [r.split for r in s] == ["train"] * 240 + ["validation"] * 100 + ["test"] * 60
 
 
 def test_live_form_has_no_regimes(spark):

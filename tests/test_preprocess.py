@@ -1,3 +1,5 @@
+import pytest
+
 from tests.conftest import SF
 from tickframe.adapters import book_log
 from tickframe.plans import preprocess as p
@@ -7,6 +9,7 @@ TARGETS = {"t2": (2, 3600), "t8": (8, 7200)}
 
 
 def test_logs_to_files(spark, tmp_path):
+    keep = lambda where: sorted(map(str, spark.read.parquet(str(where)).collect()))
     rows = book_log(spark.read.parquet(f"{SF}/events.parquet")).where("stem <= '2024-01-04'")
     inbox = tmp_path / "in"
     inbox.mkdir()
@@ -20,10 +23,30 @@ def test_logs_to_files(spark, tmp_path):
     assert not (tmp_path / "a").exists()
     p.preprocess(read, str(tmp_path / "a"), ("slow",), TARGETS)
     p.preprocess(read, str(tmp_path / "a"), ("slow",), TARGETS, skip_existing=True)  # adds nothing
+    whole = {part: keep(tmp_path / "a" / part) for part in ("features", "labels")}
+    # A stem that lacks one output is made again, whole; the others stay as they are.
+    for i, folder in enumerate(("labels", "features/resolution=slow")):
+        lost = sorted((tmp_path / "a" / folder).glob("stem=*"))[i]
+        lost.rename(tmp_path / f"lost{i}")
+        p.preprocess(read, str(tmp_path / "a"), ("slow",), TARGETS, skip_existing=True)
+        assert {part: keep(tmp_path / "a" / part) for part in whole} == whole
+    # A resolution that was never made counts as missing.
+    p.preprocess(read, str(tmp_path / "c"), ("slow",), TARGETS)
+    p.preprocess(read, str(tmp_path / "c"), ("mid", "slow"), TARGETS, skip_existing=True)
+    assert spark.read.parquet(str(tmp_path / "c" / "features")).select("resolution").distinct().count() == 2
+    assert keep(tmp_path / "c" / "labels") == whole["labels"]
     p.ingest(spark, str(inbox), str(tmp_path / "b"), str(tmp_path / "ck"), resolutions=("slow",), targets=TARGETS).awaitTermination()
-    keep = lambda where: sorted(map(str, spark.read.parquet(str(where)).collect()))
+    # A batch that runs again after a failure replaces what it wrote.
+    p.ingest(spark, str(inbox), str(tmp_path / "b"), str(tmp_path / "ck2"), resolutions=("slow",), targets=TARGETS).awaitTermination()
     for part in ("features", "labels"):
         assert keep(tmp_path / "a" / part) == keep(tmp_path / "b" / part) != []
     report = {r.target: r for r in p.label_report(spark, str(tmp_path / "a"), TARGETS).collect()}
     n = spark.read.parquet(str(tmp_path / "a" / "labels")).count()
     assert all(r.total == n == r.up + r.flat + r.down for r in report.values()) and len(report) == 2
+
+
+def test_resolution_plan():
+    assert p.resolution_plan(" slow, fast,slow,") == {"slow": 5, "fast": 5}
+    assert p.resolution_plan([], levels=0) == {"fast": 1}
+    with pytest.raises(ValueError):
+        p.resolution_plan("hourly")

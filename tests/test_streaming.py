@@ -57,7 +57,10 @@ def test_sinks(spark, tmp_path):
     states = spark.createDataFrame([("v", "a", 1.0), ("v", "b", 2.0), ("d", "a", 3.0)], "channel string, stem string, ewma double")
     assert sorted((r.channel, r.stem, r.ewma) for r in files.latest_state(states).collect()) == [("d", "a", 3.0), ("v", "b", 2.0)]
     files.dry_run(f)
-    assert files.small_files(spark, str(tmp_path / "f"), 1).count() == 0
+    (tmp_path / "few").mkdir()
+    (tmp_path / "few" / "a").write_bytes(b"x" * 100)
+    (tmp_path / "few" / "b").write_bytes(b"x" * 20000)
+    assert [r.length for r in files.small_files(spark, str(tmp_path / "few")).collect()] == [100]
 
 
 def test_live_rows_equal_the_causal_batch_joins(spark, tmp_path):

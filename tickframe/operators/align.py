@@ -85,6 +85,25 @@ def parity(a: DataFrame, b: DataFrame, columns: list[str], on: list[str]) -> Dat
     return joined.select(F.expr(f"stack({len(columns)}, {pairs}) as (feature, diff)")).groupBy("feature").agg(F.count("diff").alias("rows"), F.avg("diff").alias("mean_diff"), F.max("diff").alias("max_diff"))
 
 
+def parity_profile(a: DataFrame, b: DataFrame, columns: list[str], on: list[str]) -> DataFrame:
+    """A full description of the absolute differences of two builds of the same rows (see ``profile.profile``)."""
+    from .profile import profile
+
+    joined = a.alias("a").join(b.alias("b"), on)
+    return profile(joined.select(*(F.expr(f"abs(a.{c} - b.{c})").alias(c) for c in columns)), columns)
+
+
+def mismatches(built: DataFrame, cached: DataFrame, label: str, features: dict[str, list[str]], on: list[str], most: float = 1e-3) -> DataFrame:
+    """One row: checked, label_mismatches, and for each group of ``features`` the rows whose mean absolute difference is over ``most``.
+
+    ``built`` holds what a training set was made of, ``cached`` what it should equal; rows meet on ``on``.
+    """
+    met = built.alias("b").join(cached.alias("c"), on)
+    far = lambda names: sum((F.abs(F.col(f"b.{c}") - F.col(f"c.{c}")) for c in names), F.lit(0.0)) / len(names) > most
+    n = lambda ok: F.coalesce(F.sum(ok.cast("bigint")), F.lit(0))
+    return met.agg(F.count("*").alias("checked"), n(~F.col(f"b.{label}").eqNullSafe(F.col(f"c.{label}"))).alias("label_mismatches"), *(n(far(c)).alias(f"{g}_mismatches") for g, c in features.items()))
+
+
 def without_existing(inputs: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
     """Inputs whose output is not there yet."""
     return inputs.join(existing.select(*on).distinct(), on, "left_anti")

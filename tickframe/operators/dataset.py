@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import standardize
 
@@ -11,12 +14,13 @@ MIN_VARIANCE = 1e-12
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: n, and mean and standard deviation of each column from sums and sums of squares; (0, 1) below two rows."""
+    """One row: n, and mean and population deviation of each column; (0, 1) below two rows. Deviations are taken from
+    running means, so large values lose no digits to their squares."""
     few = F.count("*") < 2
     out = [F.count("*").alias("n")]
     for c in columns:
         x = F.col(c).cast("double")
-        var = F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(MIN_VARIANCE))
+        var = F.greatest(F.var_pop(x), F.lit(MIN_VARIANCE))
         out += [F.when(few, 0.0).otherwise(F.avg(x)).alias(f"{c}_mean"), F.when(few, 1.0).otherwise(F.sqrt(var)).alias(f"{c}_std")]
     return df.agg(*out)
 
@@ -49,7 +53,18 @@ def class_weights(df: DataFrame, label: str, classes: list, power: float = 1.0)
 
 
 def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    return df.orderBy(F.rand(seed))
+    """Rows in the order of a seeded hash of all their columns: alike under any partitioning; equal rows stay together."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns)
+
+
+def first_files(files: DataFrame, limit: int, path: str = "path") -> DataFrame:
+    """The first ``limit`` files by path; 0 or less takes all."""
+    return files.orderBy(path).limit(limit) if limit > 0 else files
+
+
+def capped(df: DataFrame, most: int, order: tuple[str, ...]) -> DataFrame:
+    """At most ``most`` rows, the first by ``order``: the sample of a baseline fit."""
+    return df.orderBy(*order).limit(most)
 
 
 def dropna_any(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -63,10 +78,26 @@ def first_by_name(files: DataFrame, name: str = "name", path: str = "path") -> D
     return best.select(name, f"_f.{path}", *(F.col(f"_f.{c}").alias(c) for c in others))
 
 
-def packed_into_chunks(files: DataFrame, most_bytes: int, size: str = "bytes", order: str = "path", keys: tuple[str, ...] = ("stem",)) -> DataFrame:
-    """Adds ``chunk``: consecutive files share one while the running sum stays in the same multiple of ``most_bytes``."""
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("chunk", F.floor(F.coalesce(F.sum(size).over(so_far), F.lit(0)) / most_bytes))
+def packed_into_chunks(files: DataFrame, most_bytes: int, size: str = "bytes", order: str = "path", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``chunk``, numbered from 0 in each of ``keys``: files in order, a new chunk where the next would overflow ``most_bytes``.
+
+    A file counts for a byte at least, and one larger than a chunk has its own. Each chunk depends on where the last
+    one ended, so a list of files (a row a file, never their contents) is one Arrow group; all keys side by side.
+    """
+    if most_bytes <= 0:
+        raise ValueError("most_bytes must be positive")
+    schema = T.StructType([*files.schema.fields, T.StructField("chunk", T.LongType())])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending")])
+        ends = np.cumsum(np.maximum(table.column(size).to_numpy().astype(np.int64), 1))
+        chunk, at, number = np.zeros(len(ends), np.int64), 0, 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right")))
+            chunk[at:stop], at, number = number, stop, number + 1
+        return table.append_column("chunk", pa.array(chunk))
+
+    return files.groupBy(*keys).applyInArrow(pack, schema)
 
 
 def movement(label: Column) -> Column:

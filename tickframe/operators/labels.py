@@ -31,22 +31,36 @@ def _first(values: np.ndarray, threshold: np.ndarray, top: bool) -> np.ndarray:
     return at
 
 
-def _touch(series: DataFrame, up: float, down: float, last_row, price: str, order: str) -> DataFrame:
-    """Adds ``outcome`` and ``exit_seq``; ``last_row`` (times -> last row within each row's horizon)."""
+def _touch(series: DataFrame, barriers: list[tuple[float, float]], last_rows: list, price: str, order: str) -> DataFrame:
+    """Adds ``exit_seq_<i>`` and ``outcome_<i>`` for each barrier (up, down), all in one pass of a stem's group.
+
+    ``last_rows``: for each barrier, from times to the last row within each row's horizon.
+    """
     rows = series.where(finite(price) & (F.col(price) > 0))
-    schema = T.StructType([*rows.schema.fields, T.StructField("exit_seq", rows.schema[order].dataType), T.StructField("outcome", T.StringType())])
+    kind = rows.schema[order].dataType
+    made = [f for i in range(len(barriers)) for f in (T.StructField(f"exit_seq_{i}", kind), T.StructField(f"outcome_{i}", T.StringType()))]
 
     def label(table: pa.Table) -> pa.Table:
         table = table.sort_by([(order, "ascending")])
-        p, ts = table.column(price).to_numpy().astype(float), table.column("ts_ns").to_numpy()
-        rise, fall, last = _first(p, p + up, True), _first(p, p - down, False), last_row(ts)
-        hit = np.minimum(rise, fall)
-        none = (hit >= len(p)) | (hit > last)
-        exits = table.column(order).combine_chunks().take(pa.array(np.where(none, 0, hit), mask=none))
-        outcome = np.where(none, "flat", np.where(rise < fall, "up", "down"))
-        return table.append_column("exit_seq", exits).append_column("outcome", pa.array(outcome.tolist(), pa.string()))
+        p, ts, seq = table.column(price).to_numpy().astype(float), table.column("ts_ns").to_numpy(), table.column(order).combine_chunks()
+        for i, ((up, down), last_row) in enumerate(zip(barriers, last_rows)):
+            rise, fall, last = _first(p, p + up, True), _first(p, p - down, False), last_row(ts)
+            hit = np.minimum(rise, fall)
+            none = (hit >= len(p)) | (hit > last)
+            table = table.append_column(f"exit_seq_{i}", seq.take(pa.array(np.where(none, 0, hit), mask=none)))
+            table = table.append_column(f"outcome_{i}", pa.array(np.where(none, "flat", np.where(rise < fall, "up", "down")).tolist(), pa.string()))
+        return table
+
+    return rows.groupBy("stem").applyInArrow(label, T.StructType([*rows.schema.fields, *made]))
+
+
+def _one(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("exit_seq_0", "exit_seq").withColumnRenamed("outcome_0", "outcome")
 
-    return rows.groupBy("stem").applyInArrow(label, schema)
+
+def _within(horizon_ns: int):
+    """The horizon ends with the last row before time first runs past it."""
+    return lambda ts: np.searchsorted(np.maximum.accumulate(ts), ts + horizon_ns, "right") - 1
 
 
 def touch_events(series: DataFrame, up: float, down: float, horizon_ns: int, price: str = "price", order: str = "seq") -> DataFrame:
@@ -54,46 +68,32 @@ def touch_events(series: DataFrame, up: float, down: float, horizon_ns: int, pri
 
     The horizon ends with the last row before time first runs past it. A stem (one day) is one Arrow group.
     """
-
-    def last_row(ts: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.maximum.accumulate(ts), ts + horizon_ns, "right") - 1
-
-    return _touch(series, up, down, last_row, price, order)
+    return _one(_touch(series, [(up, down)], [_within(horizon_ns)], price, order))
 
 
 def touch_count(series: DataFrame, up: float, down: float, rows_ahead: int, price: str = "price", order: str = "seq") -> DataFrame:
     """The same within the next ``rows_ahead`` rows."""
-    return _touch(series, up, down, lambda ts: np.arange(len(ts)) + rows_ahead, price, order)
+    return _one(_touch(series, [(up, down)], [lambda ts: np.arange(len(ts)) + rows_ahead], price, order))
 
 
 def label_targets(series: DataFrame, targets: dict[str, tuple[float, int]], tick: float, price: str = "price") -> DataFrame:
     """event_index, timestamp_ns, anchor_price and outcome_<target> (2 up, 1 flat, 0 down) for each (ticks, seconds)."""
     from ..functions.scalar import outcome_code
 
-    rows = series.where(finite(price) & (F.col(price) > 0))
-    out = rows.select("stem", "seq", F.col("ts_ns").alias("timestamp_ns"), F.col(price).alias("anchor_price")).withColumn("event_index", (F.row_number().over(Window.partitionBy("stem").orderBy("seq")) - 1).cast("bigint"))
-    for name, (ticks, seconds) in targets.items():
-        one = touch_events(series, ticks * tick, ticks * tick, seconds * 10**9, price).select("stem", "seq", outcome_code("outcome").alias(f"outcome_{name}"))
-        out = out.join(one, ["stem", "seq"])
+    rows = series.select("stem", "seq", "ts_ns", F.col(price).alias("anchor_price"))
+    out = _touch(rows, [(ticks * tick,) * 2 for ticks, _ in targets.values()], [_within(seconds * 10**9) for _, seconds in targets.values()], "anchor_price", "seq")
+    out = out.withColumnsRenamed({"ts_ns": "timestamp_ns"}).withColumn("event_index", (F.row_number().over(Window.partitionBy("stem").orderBy("seq")) - 1).cast("bigint"))
+    out = out.withColumns({f"outcome_{n}": outcome_code(f"outcome_{i}") for i, n in enumerate(targets)})
     return out.select("stem", "event_index", "timestamp_ns", "anchor_price", *(f"outcome_{n}" for n in targets))
 
 
-def _sweep(high: np.ndarray, low: np.ndarray, close: np.ndarray, up: float, down: float, ahead: int) -> tuple[np.ndarray, np.ndarray]:
-    """(label, exit row) of each bar: blocks of bars look forward step by step, dropping out once both sides are settled."""
-    n = len(close)
-    label, exit_ = np.ones(n, np.int8), np.minimum(np.arange(n) + ahead, n - 1)
-    live = np.arange(n)
-    for step in range(1, min(ahead, n - 1) + 1):
-        live = live[live + step < n]
-        if not len(live):
-            break
-        rises, falls = high[live + step] >= close[live] + up, low[live + step] <= close[live] - down
-        done = rises | falls
-        who = live[done]
-        label[who] = np.where(rises[done] & falls[done], 1, np.where(rises[done], 2, 0))
-        exit_[who] = who + step
-        live = live[~done]
-    return label, exit_
+def _bar_touch(high: np.ndarray, low: np.ndarray, close: np.ndarray, up: float, down: float, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, exit row) of each bar."""
+    at = np.arange(len(close))
+    rise, fall = _first(high, close + up, True), _first(low, close - down, False)
+    hit, last = np.minimum(rise, fall), np.minimum(at + ahead, len(close) - 1)
+    none = hit > last
+    return np.where(none | (rise == fall), 1, np.where(rise < fall, 2, 0)).astype(np.int8), np.where(none, last, hit)
 
 
 def touch_bars(bars: DataFrame, up: float, down: float, rows_ahead: int | None, order: str = "bar_index", names: tuple[str, str, str] = ("mid_high_price", "mid_low_price", "mid_close_price")) -> DataFrame:
@@ -107,7 +107,7 @@ def touch_bars(bars: DataFrame, up: float, down: float, rows_ahead: int | None,
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        y, e = _sweep(pdf[high].to_numpy(float), pdf[low].to_numpy(float), pdf[close].to_numpy(float), up, down, rows_ahead or len(pdf))
+        y, e = _bar_touch(pdf[high].to_numpy(float), pdf[low].to_numpy(float), pdf[close].to_numpy(float), up, down, rows_ahead or len(pdf))
         return pdf.assign(row=np.arange(len(pdf)), label=y, exit_row=e)
 
     return bars.groupBy("stem").applyInPandas(label, schema)

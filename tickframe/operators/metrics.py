@@ -49,6 +49,13 @@ def correlation(df: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) -> Da
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r).alias("corr"))
 
 
-def move_stats(df: DataFrame, prob: str, keys: tuple[str, ...] = (), collapse: float = 0.01) -> DataFrame:
+def move_stats(df: DataFrame, prob: str, keys: tuple[str, ...] = (), collapse: float = 0.05) -> DataFrame:
     """mean, population deviation, max, and whether the probabilities have collapsed to one value."""
     return df.groupBy(*keys).agg(F.avg(prob).alias("mean_prob"), F.stddev_pop(prob).alias("std_prob"), F.max(prob).alias("max_prob")).withColumn("collapsed", F.col("std_prob") < collapse)
+
+
+def model_health(losses: DataFrame, train: str = "train_loss", validation: str = "val_loss") -> DataFrame:
+    """Adds ``ratio`` of validation to training loss and ``health``: within a tenth of 1 healthy, above overfitting, below underfitting."""
+    ratio = F.col(validation) / (F.col(train) + 1e-6)
+    health = F.when((ratio > 0.9) & (ratio < 1.1), "HEALTHY").when(ratio > 1.1, "OVERFITTING").otherwise("UNDERFITTING")
+    return losses.withColumns({"ratio": ratio, "health": health})

@@ -121,17 +121,17 @@ def zscore(value: str, window: int = 60, keys=("stem",), order=("bar_index",), e
     return F.when(F.count(x).over(frame) >= 2, F.greatest(F.least(z, F.lit(MAX_Z)), F.lit(-MAX_Z))).otherwise(0.0)
 
 
-def session_id(start: str, end: str, gap: int, keys=("stem",), order=("bar_index",)) -> Column:
-    """Number of breaks so far: a start more than ``gap`` after the end before it. No gap, no breaks."""
+def session_break(start: str, end: str, gap: int, keys=("stem",), order=("bar_index",)) -> Column:
+    """Whether a start lies more than ``gap`` after the end before it. No gap, no breaks."""
     if gap <= 0:
-        return F.lit(0).cast("bigint")
+        return F.lit(False)
     by = Window.partitionBy(*keys).orderBy(*order)
-    broke = F.coalesce(F.col(start) - F.lag(end).over(by) > gap, F.lit(False))
-    return broke
+    return F.coalesce(F.col(start) - F.lag(end).over(by) > gap, F.lit(False))
 
 
 def with_session(df: DataFrame, start: str, end: str, gap: int, keys=("stem",), order=("bar_index",)) -> DataFrame:
-    df = df.withColumn("_broke", session_id(start, end, gap, keys, order).cast("bigint"))
+    """Adds ``session_id``: the number of breaks so far."""
+    df = df.withColumn("_broke", session_break(start, end, gap, keys, order).cast("bigint"))
     return df.withColumn("session_id", F.sum("_broke").over(_frame(Window.unboundedPreceding, 0, keys, order))).drop("_broke")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +37,31 @@ def forward(x: np.ndarray, model: dict) -> np.ndarray:
     return (0.7 * x[:, :, -1] + 0.3 * x.mean(2)) @ model["head"].T + model["head_b"]
 
 
+def bundle(model: dict) -> bytes:
+    """A model as one .npz: ``blocks.<i>.<name>``, ``head``, ``head_b`` and, if set, ``base``; arrays only, nothing that runs."""
+    out = {f"blocks.{i}.{k}": v for i, b in enumerate(model["blocks"]) for k, v in b.items() if v is not None}
+    buffer = io.BytesIO()
+    np.savez(buffer, **out, **{k: np.asarray(v) for k, v in model.items() if k != "blocks"})
+    return buffer.getvalue()
+
+
+def load_model(spark: SparkSession, path: str) -> dict:
+    """The model of a bundle anywhere that Spark reads; as large as the network, which is broadcast anyway."""
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    model: dict = {"blocks": {}}
+    with np.load(io.BytesIO(bytes(raw)), allow_pickle=False) as arrays:
+        for name in arrays.files:
+            first, *rest = name.split(".")
+            if first == "blocks":
+                model["blocks"].setdefault(int(rest[0]), {})[rest[1]] = arrays[name]
+            else:
+                model[name] = int(arrays[name]) if name == "base" else arrays[name]
+    model["blocks"] = [model["blocks"][i] for i in sorted(model["blocks"])]
+    if not model["blocks"] or "head" not in model:
+        raise ValueError(f"{path} holds no model")
+    return model
+
+
 def scored(windows: DataFrame, model: dict, window: str = "window") -> DataFrame:
     """Adds down_prob, flat_prob and up_prob; ``model`` is broadcast (its size is the network's)."""
     shared = windows.sparkSession.sparkContext.broadcast(model)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.scalar import half_hour
+from ..functions.scalar import half_hour, iso_utc
 
 ENTRY_COOLDOWN_NS = 7200 * 10**9
 TRIGGER_COOLDOWN_NS = 600 * 10**9
@@ -240,6 +240,53 @@ def sweep_of(spark: SparkSession, thresholds: list[float], takes: list[float], s
     return spark.createDataFrame([(i, float(t), float(p), float(s)) for i, (t, p, s) in enumerate(rows)], "combo long, threshold double, take double, stop double")
 
 
+def sweep_from(spark: SparkSession, config: dict | list) -> DataFrame:
+    """Explicit combinations, from a list of mappings or a mapping with ``combinations``, as read from a configuration file.
+
+    Each names ``threshold`` and ``take_profit`` (or ``tp``) and ``stop_loss`` (or ``sl``); anything else is refused.
+    """
+    entries = config.get("combinations") if isinstance(config, dict) else config
+    if not isinstance(entries, list) or not entries:
+        raise ValueError("a sweep is a list of combinations, or a mapping with some under 'combinations'")
+    rows = []
+    for i, entry in enumerate(entries):
+        if not isinstance(entry, dict):
+            raise ValueError(f"combination {i} is no mapping: {entry!r}")
+        found = [entry.get("threshold"), entry.get("take_profit", entry.get("tp")), entry.get("stop_loss", entry.get("sl"))]
+        if None in found:
+            raise ValueError(f"combination {i} needs threshold, take_profit (tp) and stop_loss (sl): {entry!r}")
+        rows.append((i, *map(float, found)))
+    return spark.createDataFrame(rows, "combo long, threshold double, take double, stop double")
+
+
+def thresholds(spark: SparkSession, swept: list[float], traded: float | None = None) -> DataFrame:
+    """The swept thresholds and the one that trades, each once."""
+    rows = spark.createDataFrame([(float(t),) for t in [*swept, *([] if traded is None else [traded])]], "threshold double")
+    return rows.distinct()
+
+
+def trade_log(trades: DataFrame) -> DataFrame:
+    """Two rows a trade, ``trade_open`` and ``trade_close``, with ISO times: what a replay log holds, to be written as JSON lines."""
+    close = F.col("event") == "trade_close"
+    only = lambda c: F.when(close, F.col(c)).alias(c)
+    rows = trades.withColumn("event", F.explode(F.array(F.lit("trade_open"), F.lit("trade_close"))))
+    return rows.select("event", F.col("id").alias("trade_id"), "direction", "entry_price", "entry_row", "entry_ts_ns", iso_utc("entry_ts_ns").alias("entry_time"), *(only(c) for c in ("result", "exit_price", "pips", "exit_row", "exit_ts_ns")), F.when(close, iso_utc("exit_ts_ns")).alias("exit_time"))
+
+
+def trigger_log(predictions: DataFrame, threshold: float) -> DataFrame:
+    """Rows that trigger, with the greater direction (equal ones count as down) and its probability."""
+    up = F.col("up_prob") > F.col("down_prob")
+    prob = F.greatest("up_prob", "down_prob")
+    rows = predictions.where(prob >= threshold)
+    return rows.select(F.lit("trade_trigger").alias("event"), "row", F.when(up, "up").otherwise("down").alias("direction"), prob.alias("probability"), F.lit(threshold).alias("threshold"), F.col("ts_ns").alias("trade_timestamp_ns"), iso_utc("ts_ns").alias("trade_time_utc"), F.col("price").alias("entry_price"))
+
+
+def sweep_index(sweep: DataFrame, folder: str) -> DataFrame:
+    """One row a combination with the places of its log, summary and trades."""
+    named = lambda kind: F.concat(F.lit(f"{folder}/combo="), F.col("combo").cast("string"), F.lit(f"/{kind}"))
+    return sweep.select("combo", "threshold", F.col("take").alias("take_profit"), F.col("stop").alias("stop_loss"), *(named(k).alias(f"{k}_path") for k in ("log", "summary", "trades")))
+
+
 def trade_summary(trades: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     win, loss = F.col("result") == "win", F.col("result") == "loss"
     n = lambda ok: F.sum(ok.cast("bigint"))

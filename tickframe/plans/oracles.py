@@ -62,7 +62,7 @@ flows AS (
     CASE WHEN op = 'add' OR (op = 'update' AND abs(price - old_px) > 1e-9) THEN size WHEN op = 'update' AND size > old_sz THEN size - old_sz END FROM lagged),
 flow AS (SELECT * FROM flows WHERE size > 0)"""
 MARKET = """ev AS (
-  SELECT stem, seq, sub, ts_ns, 'flow' AS kind, side, op, size, NULL AS price, NULL AS bid_px, NULL AS bid_sz, NULL AS ask_px, NULL AS ask_sz, NULL AS mid FROM flow
+  SELECT stem, seq, sub, ts_ns, 'flow' AS kind, side, op, size, CAST(NULL AS DOUBLE) AS price, CAST(NULL AS DOUBLE) AS bid_px, CAST(NULL AS DOUBLE) AS bid_sz, CAST(NULL AS DOUBLE) AS ask_px, CAST(NULL AS DOUBLE) AS ask_sz, CAST(NULL AS DOUBLE) AS mid FROM flow
   UNION ALL SELECT stem, seq, 2, ts_ns, 'quote', NULL, NULL, NULL, NULL, bid_px, bid_sz, ask_px, ask_sz, mid FROM quotes
   UNION ALL SELECT stem, seq, 0, ts_ns, 'trade', side, NULL, size, price, NULL, NULL, NULL, NULL, NULL FROM pl2 WHERE kind = 'L1'),
 eb AS (SELECT *, seq * 10 + sub AS pos, max(ts_ns) OVER (PARTITION BY stem ORDER BY seq, sub ROWS UNBOUNDED PRECEDING) // 3600000000000 AS bar_id FROM ev),
@@ -87,6 +87,107 @@ mb AS (
     FROM eo GROUP BY stem, bar_id) t)"""
 
 
+EPS = "1e-12"
+
+
+def _imbalance(bid: str, ask: str) -> str:
+    return f"(CASE WHEN abs({bid} + {ask}) < {EPS} THEN 0.0 ELSE ({bid} - {ask}) / ({bid} + {ask} + {EPS}) END)"
+
+
+def _clamp(x: str, limit: float) -> str:
+    return f"least(greatest({x}, -{limit}), {limit})"
+
+
+def _signed_log(x: str) -> str:
+    return f"(sign({x}) * ln(1 + abs({x})))"
+
+
+def _market(seconds: int) -> list[str]:
+    return [PL2, STATE, QUOTES, FLOWS, MARKET.replace("3600000000000", str(seconds * 10**9))]
+
+
+def _usable(seconds: int) -> str:
+    """ub: bars that make a feature row, with their closing book; i numbers them."""
+    depth = lambda s: " + ".join(f"CASE WHEN {s}{k}_size > 0 THEN {s}{k}_size ELSE 0.0 END" for k in range(5))
+    return f"""lastq AS (SELECT stem, bar_id, max(pos) AS pos FROM eb WHERE kind = 'quote' GROUP BY 1, 2),
+closing AS (SELECT q.bar_id, s.* EXCLUDE (ts_ns) FROM lastq q JOIN state s ON s.stem = q.stem AND s.seq = q.pos // 10),
+ub AS (
+  SELECT mb.*, c.* EXCLUDE (stem, bar_id, seq), mb.bar_id * {seconds * 10**9} AS start_ns, ln(mid_close / mid_open) AS ret, {depth('bid')} AS cum_bid, {depth('ask')} AS cum_ask,
+    row_number() OVER (PARTITION BY mb.stem ORDER BY mb.bar_id) AS i
+  FROM mb JOIN closing c ON c.stem = mb.stem AND c.bar_id = mb.bar_id
+  WHERE mid_open > 0 AND mid_close > 0 AND spread_open IS NOT NULL AND spread_close IS NOT NULL)"""
+
+
+def _levels(sizes: bool) -> dict[str, str]:
+    out = {}
+    for side, div in (("bid", "bd"), ("ask", "ad")):
+        for k in (1, 2, 3):
+            px, sz = f"{side}{k - 1}_price", f"{side}{k - 1}_size"
+            ticks = f"(mid_close - {px}) / 0.25" if side == "bid" else f"({px} - mid_close) / 0.25"
+            out[f"{side}_offset_level_{k}_ticks"] = f"CASE WHEN {px} > 0 AND {sz} > 0 THEN {_clamp(ticks, 256.0)} ELSE 0.0 END"
+            out[f"{side}_level_{k}_present"] = f"CASE WHEN {px} > 0 AND {sz} > 0 THEN 1.0 ELSE 0.0 END"
+            if sizes:
+                out[f"{side}_size_level_{k}_rel"] = f"CASE WHEN {px} > 0 AND {sz} > 0 THEN {sz} / {div} ELSE 0.0 END"
+    return out
+
+
+def _shown(columns: dict[str, str]) -> str:
+    return ", ".join(f"CAST(round({x}, 5) + 0.0 AS DOUBLE) AS {n}" for n, x in columns.items())
+
+
+def _level_features() -> str:
+    columns = _levels(False) | {"spread_ticks": "spread_close / 0.25", "imbalance_best": _imbalance("bid0_size", "ask0_size"), "imbalance_l": _imbalance("cum_bid", "cum_ask"), "trade_count_log": "ln(1.0 + trade_count)"}
+    return _with(*_market(3600), _usable(3600)) + f"SELECT stem, bar_index, {_shown(columns)} FROM ub"
+
+
+def _core_features(seconds: int) -> str:
+    """All 64 columns: averages by recursion over the bars of a stem, both volumes of a flow one after the other."""
+    av = lambda last, x: f"0.98 * {last} + 0.02 * {x}"
+    flows = [(s[0], f"limit_add_{s}_volume", f"limit_cancel_{s}_volume") for s in ("bid", "ask")]
+    start = ", ".join(f"{a} AS {s}1, {av(a, c)} AS {s}2" for s, a, c in flows)
+    step = ", ".join(f"{av(f'e.{s}2', f'x.{a}')}, {av(f'({av(f'e.{s}2', f'x.{a}')})', f'x.{c}')}" for s, a, c in flows)
+    known = lambda x: f"abs(coalesce(p.{x}, 1.0)) + {EPS}"
+    parts = [
+        f"""e AS (
+  SELECT stem, i, trade_volume_sum AS v, cum_bid AS db, cum_ask AS da, {start} FROM ub WHERE i = 1
+  UNION ALL SELECT x.stem, x.i, {av('e.v', 'x.trade_volume_sum')}, {av('e.db', 'x.cum_bid')}, {av('e.da', 'x.cum_ask')}, {step}
+  FROM e JOIN ub x ON x.stem = e.stem AND x.i = e.i + 1)""",
+        f"""nb AS (
+  SELECT ub.*, {known('v')} AS vd, {known('db')} AS bd, {known('da')} AS ad, {known('b2')} AS bad, abs(o.b1) + {EPS} AS bcd, {known('a2')} AS aad, abs(o.a1) + {EPS} AS acd,
+    CASE WHEN count(ret) OVER s >= 2 THEN greatest(avg(ret * ret) OVER s, 0.0) ELSE 0.0 END AS rv, CASE WHEN count(ret) OVER l >= 2 THEN greatest(avg(ret * ret) OVER l, 0.0) ELSE 0.0 END AS rvl
+  FROM ub JOIN e o ON o.stem = ub.stem AND o.i = ub.i LEFT JOIN e p ON p.stem = ub.stem AND p.i = ub.i - 1
+  WINDOW s AS (PARTITION BY ub.stem ORDER BY ub.i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), l AS (PARTITION BY ub.stem ORDER BY ub.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))""",
+    ]
+    session = "(start_ns // 1000000000) % 86400"
+    angle = f"(((CAST({session} - 34200 AS DOUBLE) + (start_ns % 1000000000) * 1e-9) / 23400.0) - floor((CAST({session} - 34200 AS DOUBLE) + (start_ns % 1000000000) * 1e-9) / 23400.0)) * 6.283185307179586"
+    var = lambda c: f"(avg({c} * {c}) OVER w - (avg({c}) OVER w) * (avg({c}) OVER w))"
+    z = lambda c: f"CASE WHEN count({c}) OVER w >= 2 THEN {_clamp(f'(({c} - avg({c}) OVER w) / greatest(CASE WHEN {var(c)} > 0 THEN sqrt({var(c)}) ELSE 0.0 END, {EPS}))', 8.0)} ELSE 0.0 END"
+    impact = lambda x: f"CASE WHEN trade_volume_sum > {EPS} AND trade_count > 0 THEN ln(1 + abs(ret) / (abs({x}) + {EPS})) ELSE 0.0 END"
+    distance = lambda total, n: f"CASE WHEN {n} = 0 THEN 0.0 ELSE {total} / {n} / 0.25 END"
+    columns = {
+        "mid_close_price": "mid_close", "mid_high_price": "mid_high", "mid_low_price": "mid_low", "mid_return_bar": "ret", "spread_ticks": "spread_close / 0.25", "spread_change_ticks": "(spread_close - spread_open) / 0.25",
+        "mid_range_rel": f"greatest(mid_high - mid_low, 0.0) / (abs(mid_close) + {EPS})", "imbalance_best": _imbalance("bid0_size", "ask0_size"), "cum_bid_size_l_rel": "cum_bid / bd", "cum_ask_size_l_rel": "cum_ask / ad",
+        "imbalance_l": _imbalance("cum_bid", "cum_ask"), "trade_volume_sum_rel": _clamp("trade_volume_sum / vd", 15.0), "trade_count_log": "ln(1.0 + trade_count)", "buy_trade_volume_rel": f"buy_trade_volume / (vd + {EPS})",
+        "sell_trade_volume_rel": f"sell_trade_volume / (vd + {EPS})", "trade_imbalance_ratio": f"CASE WHEN buy_trade_volume <= {EPS} AND sell_trade_volume <= {EPS} THEN 0.0 ELSE {_imbalance('buy_trade_volume', 'sell_trade_volume')} END",
+        "has_buy_trade": "CASE WHEN buy_trade_count > 0 THEN 1.0 ELSE 0.0 END", "has_sell_trade": "CASE WHEN sell_trade_count > 0 THEN 1.0 ELSE 0.0 END", "avg_buy_dist_to_ask": distance("buy_distance_to_ask_sum", "buy_trade_count"),
+        "avg_sell_dist_to_bid": distance("sell_distance_to_bid_sum", "sell_trade_count"), "rv_log": f"ln(rv + {EPS})", "rv_long_log": f"ln(rvl + {EPS})", "kyle_lambda_log": impact("buy_trade_volume - sell_trade_volume"),
+        "amihud_log": impact("trade_volume_sum"), "z_volume": z("trade_volume_sum"), "z_spread": z("spread_close"), "z_volatility": z("sqrt(rv)"), "tod_sin": f"sin({angle})", "tod_cos": f"cos({angle})",
+        "is_us_session": f"CASE WHEN (start_ns // 86400000000000 + 3) % 7 < 5 AND {session} BETWEEN 34200 AND 57600 THEN 1.0 ELSE 0.0 END",
+        "limit_add_bid_volume_rel": _clamp("limit_add_bid_volume / bad", 25.0), "limit_add_ask_volume_rel": _clamp("limit_add_ask_volume / aad", 25.0),
+        "limit_cancel_bid_volume_rel": _clamp("limit_cancel_bid_volume / bcd", 25.0), "limit_cancel_ask_volume_rel": _clamp("limit_cancel_ask_volume / acd", 25.0),
+        "limit_of_imbalance": _clamp(_imbalance("(limit_add_bid_volume - limit_cancel_bid_volume)", "(limit_add_ask_volume - limit_cancel_ask_volume)"), 10.0),
+        "ofi_bid": _signed_log(f"(ofi_bid / (bd + {EPS}))"), "ofi_ask": _signed_log(f"(ofi_ask / (ad + {EPS}))"), "ofi_net_log": _signed_log(f"((ofi_bid + ofi_ask) / (0.5 * (bd + ad) + {EPS}))"),
+    } | _levels(True)
+    raw = ", ".join(f"{x} AS {n}" for n, x in columns.items())
+    parts.append(f"raw AS (SELECT stem AS stem, bar_index AS bar_index, start_ns AS start_timestamp_ns, start_ns + {seconds * 10**9} AS end_timestamp_ns, {raw} FROM nb WINDOW w AS (PARTITION BY stem ORDER BY i ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))")
+    regimes = {"spread_regime": "spread_ticks", "depth_regime": "cum_bid_size_l_rel + cum_ask_size_l_rel", "volume_regime": "trade_volume_sum_rel", "volatility_regime": "rv_log", "speed_regime": "trade_count_log"}
+    cut = lambda x, p: f"list_sort(list({x}))[CAST(floor((count(*) - 1) * {p} + 0.5) AS BIGINT) + 1]"
+    cuts = ", ".join(f"{cut(x, p)} AS {n}_{side}" for n, x in regimes.items() for side, p in (("lo", 0.33), ("hi", 0.66)))
+    parts.append(f"cuts AS (SELECT stem AS of_stem, count(*) AS bars, {cuts} FROM raw GROUP BY stem)")
+    regime = ", ".join(f"CAST(CASE WHEN bars < 3 THEN 0.0 WHEN {x} < {n}_lo THEN -1.0 WHEN {x} > {n}_hi THEN 1.0 ELSE 0.0 END AS DOUBLE) AS {n}" for n, x in regimes.items())
+    return _with(*_market(seconds), _usable(seconds), *parts, recursive=True) + f"SELECT stem, bar_index, start_timestamp_ns, end_timestamp_ns, {_shown({n: n for n in columns})}, {regime} FROM raw JOIN cuts ON of_stem = stem"
+
+
 def _touch(up: float, down: float, within: str) -> str:
     return f"""SELECT a.stem, a.seq, coalesce(b.outcome, 'flat') AS outcome, b.exit_seq FROM n a LEFT JOIN (
   SELECT a.stem, a.seq, min(b.seq) AS exit_seq, arg_min(CASE WHEN b.price >= a.price + {up} THEN 'up' ELSE 'down' END, b.seq) AS outcome
@@ -230,7 +331,26 @@ FROM f ASOF LEFT JOIN a ON f.stem = a.stem AND f.end_timestamp_ns > a.closed"""
     o["join_parity_absdiff"] = _with(SERIES, _bars(3600)) + """SELECT 'open' AS feature, count(*) AS "rows", 0.0::DOUBLE AS mean_diff, 0.0::DOUBLE AS max_diff FROM bars
 UNION ALL SELECT 'high', count(*), 0.0, 0.0 FROM bars UNION ALL SELECT 'close', count(*), round(avg(abs(close - (close + bar_index * 0.5))), 6), round(max(abs(close - (close + bar_index * 0.5))), 6) FROM bars"""
     o["join_semi_skip_existing"] = "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1"
-    o["join_anti_missing"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"
+    o["join_anti_missing"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')"
+    stats = lambda c, x: f"""SELECT '{c}' AS "column", count(*) AS "rows", CAST(0 AS BIGINT) AS nulls, count(DISTINCT {x}) AS n_unique, round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, round(min({x}), 4) AS min, round(max({x}), 4) AS max, """ + ", ".join(f"round(quantile_cont({x}, {q}), 4) AS p{round(100 * q):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) + " FROM bars"
+    o["join_parity_profile"] = _with(SERIES, _bars(3600)) + stats("open", "abs(open - (open - n_events))") + "\nUNION ALL " + stats("close", "abs(close - (close + bar_index * 0.5))")
+    o["ml_alignment_check"] = _with(SERIES, _bars(60), "k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY bar_index) AS i FROM bars)") + """SELECT count(*) AS checked, count(*) FILTER (WHERE bar_id % 10 = 0) AS label_mismatches,
+  count(*) FILTER (WHERE bar_id % 7 = 0) AS fast_mismatches, CAST(0 AS BIGINT) AS mid_mismatches FROM k WHERE i >= 48"""
+    trades = "t AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'win' WHEN 'error' THEN 'loss' ELSE 'open' END AS result, CASE WHEN user_id % 2 = 0 THEN 'up' ELSE 'down' END AS direction, price - 50 AS pips FROM series)"
+    o["agg_trade_stats"] = _with(SERIES, trades) + """SELECT stem, count(*) AS total, count(*) FILTER (WHERE result = 'win') AS wins, count(*) FILTER (WHERE result = 'loss') AS losses, count(*) FILTER (WHERE direction = 'up') AS up,
+  count(*) FILTER (WHERE direction = 'down') AS down, round(100.0 * count(*) FILTER (WHERE result = 'win') / count(*), 4) AS win_rate, round(sum(pips), 4) + 0.0 AS net_pips, round(avg(pips), 4) + 0.0 AS avg_pips,
+  round(coalesce(sum(pips) FILTER (WHERE result = 'win'), 0.0), 4) + 0.0 AS sum_win, round(coalesce(sum(pips) FILTER (WHERE result = 'loss'), 0.0), 4) + 0.0 AS sum_loss FROM t GROUP BY stem"""
+    iso = lambda x: f"strftime(make_timestamp({x} // 1000), '%Y-%m-%dT%H:%M:%S.%f')"
+    o["snk_trade_log"] = _with(SERIES, trades) + f"""SELECT 'trade_open' AS event, seq AS trade_id, direction, price AS entry_price, seq AS entry_row, ts_ns AS entry_ts_ns, {iso('ts_ns')} AS entry_time, CAST(NULL AS VARCHAR) AS result, CAST(NULL AS DOUBLE) AS exit_price,
+  CAST(NULL AS DOUBLE) AS pips, CAST(NULL AS BIGINT) AS exit_row, CAST(NULL AS BIGINT) AS exit_ts_ns, CAST(NULL AS VARCHAR) AS exit_time FROM t
+UNION ALL SELECT 'trade_close', seq, direction, price, seq, ts_ns, {iso('ts_ns')}, result, price + 1, pips, seq + 3, ts_ns + 5000000000, {iso('(ts_ns + 5000000000)')} FROM t"""
+    o["snk_trigger_log"] = _with(SERIES, PRED) + f"""SELECT 'trade_trigger' AS event, "row", CASE WHEN up_prob > down_prob THEN 'up' ELSE 'down' END AS direction, CAST(greatest(up_prob, down_prob) AS DOUBLE) AS probability, CAST(0.9 AS DOUBLE) AS threshold,
+  ts_ns AS trade_timestamp_ns, {iso('ts_ns')} AS trade_time_utc, price AS entry_price FROM pred WHERE CAST(greatest(up_prob, down_prob) AS DOUBLE) >= 0.9::DOUBLE"""
+    o["set_threshold_union"] = _with(SERIES, PRED) + """SELECT CAST(t / 100.0 AS DOUBLE) AS threshold, count(*) FILTER (WHERE ok AND up_prob > down_prob) AS up_triggers, count(*) FILTER (WHERE ok AND up_prob <= down_prob) AS down_triggers, count(*) FILTER (WHERE ok) AS either_triggers
+FROM (SELECT *, CAST(greatest(up_prob, down_prob) AS DOUBLE) >= CAST(t / 100.0 AS DOUBLE) AS ok FROM pred CROSS JOIN (SELECT unnest([50, 70, 80, 90, 95]) AS t) x) y GROUP BY 1"""
+    o["agg_rows_per_kind"] = _with(SERIES) + "SELECT event_type, count(*) AS n, min(ts_ns) AS first_ts, max(ts_ns) AS last_ts FROM series GROUP BY 1"
+    o["met_model_health"] = _with(SERIES) + """SELECT seq, round(r, 6) + 0.0 AS ratio, CASE WHEN r > 0.9 AND r < 1.1 THEN 'HEALTHY' WHEN r > 1.1 THEN 'OVERFITTING' ELSE 'UNDERFITTING' END AS health
+FROM (SELECT seq, (price + 10 + (seq % 5 - 2) * 5) / (price + 10 + 1e-6) AS r FROM series) t"""
     o["join_sweep_cross"] = _with(SERIES, PRED) + """SELECT CAST(t / 100.0 AS DOUBLE) AS threshold, count(*) FILTER (WHERE ok AND up_prob > down_prob) AS up_triggers, count(*) FILTER (WHERE ok AND up_prob <= down_prob) AS down_triggers, count(*) FILTER (WHERE ok) AS either_triggers
 FROM (SELECT *, CAST(greatest(up_prob, down_prob) AS DOUBLE) >= CAST(t / 100.0 AS DOUBLE) AS ok FROM pred CROSS JOIN (SELECT unnest(range(50, 100, 5)) AS t) x) y GROUP BY 1"""
     o["src_parse_roundtrip"] = _with(PL2) + "SELECT stem, seq, ts_ns // 1000 AS ts_us, kind, side, CASE WHEN kind = 'L2' THEN op END AS op, CASE WHEN kind = 'L2' THEN lvl END AS lvl, price, size FROM pl2 WHERE kind = 'L1' OR side IS NOT NULL"
@@ -241,6 +361,8 @@ FROM (SELECT *, CAST(greatest(up_prob, down_prob) AS DOUBLE) >= CAST(t / 100.0 A
     market = _with(PL2, STATE, QUOTES, FLOWS, MARKET)
     o["agg_bar_aggressor"] = market + "SELECT stem, bar_index, trade_count, trade_volume_sum, trade_volume_max, trade_notional, buy_trade_count, buy_trade_volume, sell_trade_count, sell_trade_volume, buy_distance_to_ask_sum, sell_distance_to_bid_sum FROM mb"
     o["agg_bar_orderflow_ofi"] = market + "SELECT stem, bar_index, event_count, mid_open, mid_high, mid_low, mid_close, spread_open, spread_close, limit_add_bid_volume, limit_add_ask_volume, limit_cancel_bid_volume, limit_cancel_ask_volume, ofi_bid, ofi_ask FROM mb"
+    o["fn_level_features"] = _level_features()
+    o["feat_core_64"] = _core_features(600)
     o["label_first_touch_time"] = _with(SERIES, NUMBERED) + _touch(20, 20, WITHIN_TIME)
     o["label_first_touch_count"] = _with(SERIES, NUMBERED) + _touch(20, 20, "b.i <= a.i + 50")
     o["label_bar_highlow"] = _with(SERIES, _bars(60), BAR_LABELS) + 'SELECT stem, bar_index, "row", label, exit_row FROM bl'
@@ -260,7 +382,7 @@ FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'none']) AS
     o["met_accuracy_by_day"] = _with(SERIES, PRED) + """SELECT ts_ns // 86400000000000 AS stem, count(*) AS n, round(avg(CASE WHEN best = "row" % 3 THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM (SELECT *, CASE WHEN down_prob = greatest(down_prob, 0.5, up_prob) THEN 0 WHEN 0.5 = greatest(down_prob, 0.5, up_prob) THEN 1 ELSE 2 END AS best FROM pred) t GROUP BY 1"""
     o["met_corr"] = _with(SERIES, PRED) + """SELECT ts_ns // 86400000000000 AS day, count(*) AS n, round(coalesce(corr(up_prob, down_prob), 0.0), 5) + 0.0 AS corr, round(avg(up_prob), 5) AS mean_prob, round(stddev_pop(up_prob), 5) AS std_prob,
-  CAST(max(up_prob) AS DOUBLE) AS max_prob, stddev_pop(up_prob) < 0.01 AS collapsed FROM pred GROUP BY 1"""
+  CAST(max(up_prob) AS DOUBLE) AS max_prob, stddev_pop(up_prob) < 0.05 AS collapsed FROM pred GROUP BY 1"""
     runs = _with(SERIES, _bars(60), BAR_LABELS, RUNS, recursive=True)
     o["sim_label_aware"] = runs + """SELECT stem, threshold, population, entries, wins, blocked, CAST(0 AS BIGINT) AS skipped, price_mismatches, round(avg_duration_bars, 6) + 0.0 AS avg_duration_bars, entries - wins AS losses,
   CAST(wins * 20.0 - (entries - wins) * 20.0 AS DOUBLE) AS net_ticks, round((wins * 20.0 - (entries - wins) * 20.0) / greatest(entries, 1), 6) + 0.0 AS expectancy, round(100.0 * entries / greatest(population, 1), 6) + 0.0 AS entry_rate,

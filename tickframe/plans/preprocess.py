@@ -11,9 +11,19 @@ from ..operators.book import market_events
 from ..operators.features import core_features
 from ..operators.labels import distribution, label_targets
 from ..schemas import LEVELS, SECONDS, TARGETS, TICK
+from ..session import written
 from ..sources import files, logs
 
 
+def resolution_plan(names: str | list[str], levels: int | None = None) -> dict[str, int]:
+    """Resolutions of a comma list or list, each once, in their order, with book levels; none means the fastest."""
+    wanted = [n.strip().lower() for n in (names.split(",") if isinstance(names, str) else names)]
+    wanted = list(dict.fromkeys(n for n in wanted if n)) or ["fast"]
+    if unknown := [n for n in wanted if n not in SECONDS]:
+        raise ValueError(f"unknown resolutions: {unknown}")
+    return {n: max(1, LEVELS if levels is None else levels) for n in wanted}
+
+
 def feature_rows(events: DataFrame, resolution: str, tick: float = TICK) -> DataFrame:
     return core_features(bars(events, SECONDS[resolution]), tick)
 
@@ -23,29 +33,26 @@ def mid_series(events: DataFrame) -> DataFrame:
     return events.where("kind = 'quote'").select("stem", "seq", "ts_ns", F.col("mid").alias("price"))
 
 
-def preprocess(rows: DataFrame, out: str, resolutions: tuple[str, ...] = ("fast", "mid", "slow"), targets: dict = TARGETS, tick: float = TICK, levels: int = LEVELS, skip_existing: bool = False, dry_run: bool = False) -> None:
+def preprocess(rows: DataFrame, out: str, resolutions: tuple[str, ...] = ("fast", "mid", "slow"), targets: dict = TARGETS, tick: float = TICK, levels: int = LEVELS, skip_existing: bool = False, dry_run: bool = False, mode: str = "append") -> None:
     """Write ``out``/features and ``out``/labels of parsed log rows (see ``logs.parse``).
 
-    Events feed every resolution and the labels, so they are kept while these are made. ``skip_existing``
-    leaves out stems that both outputs have; ``dry_run`` computes all and writes nothing.
+    Events feed every resolution and the labels, so they are written once and read by each. ``skip_existing``
+    leaves out stems that have all of their outputs and makes all of any others again in their place;
+    ``dry_run`` computes all and writes no output. ``mode`` is append, or replace: rows of a stem's folder give way
+    to new ones.
     """
     spark = rows.sparkSession
     if skip_existing:
-        for part in ("features", "labels"):
-            try:
-                rows = without_existing(rows, files.existing_stems(spark, f"{out}/{part}"), ["stem"])
-            except Exception as e:  # nothing written yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-    events = market_events(rows, levels).persist()
-    try:
-        for r in resolutions:
-            made = feature_rows(events, r, tick)
-            files.dry_run(made) if dry_run else files.write_features(made, f"{out}/features", r)
-        labels = label_targets(mid_series(events), targets, tick)
-        files.dry_run(labels) if dry_run else files.write_labels(labels, f"{out}/labels")
-    finally:
-        events.unpersist()
+        mode = "replace"
+        done = files.finished_stems(spark, f"{out}/features", f"{out}/labels", resolutions)
+        if done is not None:
+            rows = without_existing(rows, written(done, "finished"), ["stem"])
+    events = written(market_events(rows, levels), "events")
+    for r in resolutions:
+        made = feature_rows(events, r, tick)
+        files.dry_run(made) if dry_run else files.write_features(made, f"{out}/features", r, mode)
+    labels = label_targets(mid_series(events), targets, tick)
+    files.dry_run(labels) if dry_run else files.write_labels(labels, f"{out}/labels", mode)
 
 
 def label_report(spark: SparkSession, out: str, targets: dict = TARGETS) -> DataFrame:
@@ -56,7 +63,8 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, **option
     """Preprocess log files as they arrive, each once; returns the started query.
 
     A file is a stem and is whole when it appears, so each micro-batch is a batch run over its files; the
-    stream's checkpoint says which are done.
+    stream's checkpoint says which are done. A batch that is run again after a failure replaces what it
+    wrote, so each stem's rows are there exactly once.
     """
     lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(folder)
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
@@ -64,6 +72,6 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, **option
 
     def run(batch: DataFrame, number: int) -> None:
         ordered = batch.withColumn("seq", F.struct("block", F.monotonically_increasing_id().alias("line"))).drop("block")
-        preprocess(logs.parse(ordered), out, **options)
+        preprocess(logs.parse(ordered), out, **{"mode": "replace", **options})
 
     return placed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

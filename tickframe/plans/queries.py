@@ -208,13 +208,29 @@ def join_parity_absdiff(spark, sf_dir):
     return _rounded(out, "mean_diff", "max_diff")
 
 
+def join_parity_profile(spark, sf_dir):
+    a = _price_bars(spark, sf_dir, HOUR)
+    b = a.withColumns({"close": F.col("close") + F.col("bar_index") * 0.5, "open": F.col("open") - F.col("n_events")})
+    p = align.parity_profile(a, b, ["open", "close"], ["stem", "bar_index"])
+    return _rounded(p, *[c for c in p.columns if c not in ("column", "rows", "nulls", "n_unique")], digits=4)
+
+
+def ml_alignment_check(spark, sf_dir):
+    """The last step of each window against its bar, some of which were changed since."""
+    b = _price_bars(spark, sf_dir, MINUTE).withColumn("label", F.col("bar_id") % 3)
+    last = dataset.sequences(b, ["close", "volume"], 48).select("stem", "bar_index", "label", *(F.col("window")[i][47].alias(c) for i, c in enumerate(("close", "volume"))))
+    cached = b.select("stem", "bar_index", F.when(F.col("bar_id") % 10 == 0, F.lit(9)).otherwise(F.col("label")).alias("label"), (F.col("close") + F.when(F.col("bar_id") % 7 == 0, 0.01).otherwise(0.0)).alias("close"), "volume")
+    return align.mismatches(last, cached, "label", {"fast": ["close", "volume"], "mid": ["volume"]}, ["stem", "bar_index"])
+
+
 def join_semi_skip_existing(spark, sf_dir):
     o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return o.join(c, "o_custkey", "left_semi").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 def join_anti_missing(spark, sf_dir):
-    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders")
+    """Customers without an order in work."""
+    c, o = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
     return align.without_existing(c, o.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]).select("c_custkey", "c_name")
 
 
@@ -269,7 +285,7 @@ def agg_bar_orderflow_ofi(spark, sf_dir):
 
 
 def feat_core_64(spark, sf_dir):
-    return core_features(_market_bars(spark, sf_dir, TEN_MINUTES))
+    return _rounded(core_features(_market_bars(spark, sf_dir, TEN_MINUTES)), *FEATURES[3:], digits=5)
 
 
 def fn_level_features(spark, sf_dir):
@@ -403,6 +419,40 @@ def sim_cooldown_trigger(spark, sf_dir):
     return simulate.cooldown_triggers(s, 1800 * 10**9).select("stem", "seq", "label")
 
 
+def _plain_trades(spark, sf_dir):
+    """Events as trades: a purchase wins, an error loses."""
+    s = _series(spark, sf_dir).withColumn("result", F.when(F.col("event_type") == "purchase", "win").when(F.col("event_type") == "error", "loss").otherwise("open"))
+    return s.select(
+        "stem", F.col("seq").alias("id"), F.when(F.col("user_id") % 2 == 0, "up").otherwise("down").alias("direction"), F.col("price").alias("entry_price"), F.col("seq").alias("entry_row"), F.col("ts_ns").alias("entry_ts_ns"),
+        (F.col("price") + 1).alias("exit_price"), (F.col("seq") + 3).alias("exit_row"), (F.col("ts_ns") + 5 * 10**9).alias("exit_ts_ns"), "result", (F.col("price") - 50).alias("pips"),
+    )
+
+
+def agg_trade_stats(spark, sf_dir):
+    return _rounded(simulate.trade_summary(_plain_trades(spark, sf_dir), ("stem",)), "win_rate", "net_pips", "avg_pips", "sum_win", "sum_loss", digits=4)
+
+
+def snk_trade_log(spark, sf_dir):
+    return simulate.trade_log(_plain_trades(spark, sf_dir))
+
+
+def snk_trigger_log(spark, sf_dir):
+    return simulate.trigger_log(_predictions(spark, sf_dir), 0.9)
+
+
+def set_threshold_union(spark, sf_dir):
+    return simulate.trigger_counts(_predictions(spark, sf_dir), simulate.thresholds(spark, [0.5, 0.7, 0.9], 0.8)).unionByName(simulate.trigger_counts(_predictions(spark, sf_dir), simulate.thresholds(spark, [0.95], 0.95)))
+
+
+def agg_rows_per_kind(spark, sf_dir):
+    return profile.sink_counts(_series(spark, sf_dir), "event_type", "ts_ns", "ts_ns")
+
+
+def met_model_health(spark, sf_dir):
+    s = _series(spark, sf_dir).select("seq", (F.col("price") + 10).alias("train_loss"), (F.col("price") + 10 + (F.col("seq") % 5 - 2) * 5).alias("val_loss"))
+    return _rounded(metrics.model_health(s), "ratio").select("seq", "ratio", "health")
+
+
 # --------------------------------------------------------------------------- sets, scores, streams
 def set_union_dedupe(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
@@ -458,6 +508,7 @@ _PLAIN = [
     join_cross_res_h1h2, join_realtime_h2_last6, join_range_containing, join_parity_absdiff, join_semi_skip_existing, join_anti_missing, join_sweep_cross, src_parse_roundtrip, book_state_l5, book_quotes, book_flow_diff,
     agg_bar_aggressor, agg_bar_orderflow_ofi, feat_core_64, fn_level_features, label_first_touch_time, label_first_touch_count, label_bar_highlow, label_targets, agg_label_distribution, agg_class_weights, agg_profile_columns,
     agg_value_counts_top10, agg_standardize_clip, met_auc_by_day, met_auc_quality, met_accuracy_by_day, met_corr, sim_label_aware, sim_threshold_sweep, sim_replay_tp_sl, agg_trade_summary, agg_half_hour_buckets,
+    join_parity_profile, ml_alignment_check, agg_trade_stats, snk_trade_log, snk_trigger_log, set_threshold_union, agg_rows_per_kind, met_model_health,
     sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma,
 ]
 

@@ -7,6 +7,7 @@ SECONDS = {"fast": 1, "mid": 10, "slow": 60}
 #: (ticks, horizon in seconds) of each label target.
 TARGETS = {"t20": (20, 300), "t40": (40, 600), "t60": (60, 900), "t100": (100, 1500)}
 
+#: The column names of the feature files, in their order.
 BASE = (
     "bar_index start_timestamp_ns end_timestamp_ns mid_close_price mid_high_price mid_low_price mid_return_bar spread_ticks "
     "spread_change_ticks mid_range_rel imbalance_best cum_bid_size_l_rel cum_ask_size_l_rel imbalance_l trade_volume_sum_rel "
