@@ -27,7 +27,7 @@ def _folded(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], names:
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(o, "ascending") for o in order])
+        table = table.sort_by([(o, "ascending") for o in order]) if order else table
         made = fold(lambda c: table.column(c).to_numpy().astype(float))
         for n in names:
             table = table.append_column(n, pa.array(made[n], pa.float64()))
@@ -146,13 +146,18 @@ def with_regimes(df: DataFrame, metrics: dict[str, Column], keys=("stem",)) -> D
     This looks ahead over the whole stem. Fewer than three finite values give 0.
     """
     whole = Window.partitionBy(*keys)
-    df = df.withColumns({f"_m_{n}": F.when(finite(m), m) for n, m in metrics.items()})
-    df = df.withColumns({f"_r_{n}": F.row_number().over(whole.orderBy(F.col(f"_m_{n}").asc_nulls_last())) for n in metrics})
-    df = df.withColumns({f"_n_{n}": F.count(f"_m_{n}").over(whole) for n in metrics})
-    # The value at a nearest rank, spread over the stem: windows alone, so the rows are made once.
-    at = lambda n, p: F.max(F.when(F.col(f"_r_{n}") == F.floor((F.col(f"_n_{n}") - 1) * p + 0.5) + 1, F.col(f"_m_{n}"))).over(whole)
-    df = df.withColumns({f"_{side}_{n}": at(n, p) for n in metrics for side, p in (("lo", 0.33), ("hi", 0.66))})
-    for n in metrics:
-        v = F.col(f"_m_{n}")
-        df = df.withColumn(n, F.when((F.col(f"_n_{n}") < 3) | v.isNull(), 0.0).when(v < F.col(f"_lo_{n}"), -1.0).when(v > F.col(f"_hi_{n}"), 1.0).otherwise(0.0))
-    return df.drop(*(f"_{a}_{n}" for n in metrics for a in ("m", "r", "n", "lo", "hi")))
+    df = df.withColumns({f"_m_{n}": F.when(finite(m), m).cast("double") for n, m in metrics.items()})
+
+    names = list(metrics)
+
+    def fold(get):
+        out = {}
+        for n in names:
+            v = get(f"_m_{n}")
+            known = np.sort(v[~np.isnan(v)])
+            lo, hi = (known[int((len(known) - 1) * p + 0.5)] for p in (0.33, 0.66)) if len(known) >= 3 else (-np.inf, np.inf)
+            out[n] = np.where(v < lo, -1.0, np.where(v > hi, 1.0, 0.0))
+        return out
+
+    # One pass of a stem's group for all metrics, where windows would sort the stem once for each.
+    return _folded(df.drop(*metrics), keys, (), names, fold).drop(*(f"_m_{n}" for n in metrics))
