@@ -1,10 +1,15 @@
+import math
+import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tickframe.llm import language_id as m
 
+from tests.conftest import SF
+
 from .cases import frame
 
 
@@ -45,3 +50,58 @@ def test_cases(spark):
     assert m.identify(frame(spark, [])).count() == 0
     assert {r.lang_pred for r in m.identify(frame(spark, [(1, "text", *[None] * 6)])).collect()} == {"und"}
     assert {r.lang_pred for r in m.identify(frame(spark, [(1, "text", "en", *[None] * 5), (3, "more", "en", *[None] * 5)])).collect()} == {"en"}
+
+
+def plain_prediction(text, model):
+    """Language and score by dictionaries and loops, from the fitted weights."""
+    data = (text or "").encode()
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    own = [b + 32 if 65 <= b < 91 else b if b >= 128 or 97 <= b < 123 else 32 for b in data]
+    marks = []
+    for i, b in enumerate(own):
+        if b != 32:
+            code = ((own[i - 1] if i else 32) << 16) | (b << 8) | (own[i + 1] if i + 1 < len(own) else 32)
+            marks.append(((code * 2654435761) & 0xFFFFFFFF) >> 19)
+    margin = [m.SCALE * sum(float(w[k]) for k in marks) / max(1, len(marks)) + float(w[-1]) for w in model.weights]
+    sure = lambda x: 1 / (1 + math.exp(-max(-50.0, min(50.0, 3 * x))))
+    families = margin[: len(model.families)]
+    chosen = max(range(len(families)), key=lambda k: families[k])
+    first, second = sorted(families, reverse=True)[:2]
+    langs = [x for x in model.langs if m.family(x) == model.families[chosen]]
+    duels = {p: margin[len(families) + k] for k, p in enumerate(model.pairs) if p[0] in langs}
+    side = lambda x, p, v: v if p[0] == x else -v
+    won = {x: sum((side(x, p, v) > 0) + 1e-6 * math.tanh(side(x, p, v)) for p, v in duels.items() if x in p) for x in langs}
+    best = max(langs, key=lambda x: won[x])
+    return best, sure((first - second) / 2) * min([sure(side(best, p, v)) for p, v in duels.items() if best in p], default=1.0)
+
+
+def test_every_row_against_a_plain_prediction(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = m.fit(docs)
+    got = {r.doc_id: r for r in m.identify(docs).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        lang, score = plain_prediction(r.text, model)
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].held_out) == (lang, zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-6)
+
+
+def test_stray_labels(spark, monkeypatch):
+    """Only the most frequent labels are learnt."""
+    monkeypatch.setattr(m, "MOST_LABELS", 2)
+    rows = [(i, f"{'der die und nicht' if i % 2 else 'the and of with'} {i}", "de" if i % 2 else "en", *[None] * 5) for i in range(80)] + [(100 + i, f"x{i}", f"stray{i}", *[None] * 5) for i in range(30)]
+    assert m.fit(frame(spark, rows)).langs == ["de", "en"]
+
+
+def test_junk_is_rejected_and_documents_stay(spark):
+    """The pipeline's threshold binds: letters in no language go, the test documents with letters stay."""
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    junk = [(10**6 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)), None) for i in range(60)]
+    kept = {r.doc_id for r in p.language_id(spark, docs.union(spark.createDataFrame(junk, docs.schema)), SF).collect()}
+    assert {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")} <= kept
+    assert sum(d >= 10**6 for d in kept) <= 6

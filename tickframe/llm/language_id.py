@@ -20,6 +20,8 @@ from .common import column, slices, small_batches, utf8
 DIMENSIONS = 1 << 13
 #: Documents a language of the fitting sample, and of all languages together.
 SAMPLE, SAMPLE_ALL = 500, 6000
+#: Labels that are learnt, the most frequent ones: a column of stray labels does not make a model each.
+MOST_LABELS = 200
 SCALE, COST, EPOCHS = 40.0, 8.0, 40
 # Families of ISO 639-1 codes; any other language is a family of its own.
 FAMILIES = {
@@ -142,9 +144,10 @@ def remainder() -> Column:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """Fit on at most ``SAMPLE`` documents a language and ``SAMPLE_ALL`` in all, drawn by a hash of doc_id from those not held out."""
+    """Fit on at most ``SAMPLE`` documents a language and ``SAMPLE_ALL`` in all, drawn by a hash of doc_id from those not
+    held out, for the ``MOST_LABELS`` most frequent languages (ties by name)."""
     rows = docs.select("doc_id", "text", "lang").where((remainder() != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
     if not counts:
         return None
     each = max(1, min(SAMPLE, SAMPLE_ALL // len(counts)))
@@ -172,7 +175,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ascii_ = np.append(0, np.cumsum((lower >= 97) & (lower < 123)))
     found = ascii_[offsets[1:]] > ascii_[offsets[:-1]]
     for i in np.flatnonzero(~found).tolist():
-        found[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode())
+        found[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
     return found
 
 
