@@ -85,12 +85,12 @@ def test_all_columns_hold(spark):
 
 
 def first_touch(rows, up, down, horizon_ns):
-    """Outcome of each (ts, price) by looking ahead row by row, until time first runs past the horizon."""
-    out = []
+    """Outcome of each (ts, price) by looking ahead row by row, until time first runs past the horizon of the latest time so far."""
+    out, latest = [], 0
     for i, (ts, p) in enumerate(rows):
-        found = "flat"
+        found, latest = "flat", max(latest, ts)
         for later, q in rows[i + 1 :]:
-            if later > ts + horizon_ns:
+            if later > latest + horizon_ns:
                 break
             if q >= p + up or q <= p - down:
                 found = "up" if q >= p + up else "down"
@@ -99,12 +99,18 @@ def first_touch(rows, up, down, horizon_ns):
     return out
 
 
-def test_labels_against_a_plain_walk(spark):
+@pytest.mark.parametrize("span", [1, 10**6])
+def test_labels_against_a_plain_walk(spark, monkeypatch, span):
+    """Alike whether a stem is one span or many, the shortest of which are one horizon long."""
+    from tickframe.operators import labels
+
+    monkeypatch.setattr(labels, "SPAN_NS", span * 10**6)
+    monkeypatch.setattr(labels, "SPAN_ROWS", span)
     from tickframe.operators.labels import label_targets, split_by_ratio, touch_bars, touch_events
 
     rng, ts, px, rows = random.Random(4), 0, 400.0, []
     for _ in range(400):
-        ts, px = ts + rng.choice([0, 1, 2, 7]) * 10**9, px + rng.choice([-0.75, -0.25, 0.0, 0.25, 0.75])
+        ts, px = ts + rng.choice([0, 1, 2, 7, -3]) * 10**9, px + rng.choice([-0.75, -0.25, 0.0, 0.25, 0.75])
         rows.append((ts, px))
     series = spark.createDataFrame([("d", i, t, p) for i, (t, p) in enumerate(rows)], "stem string, seq long, ts_ns long, price double")
     for up, down, horizon in ((0.5, 0.5, 20), (1.5, 1.0, 60), (3.0, 3.0, 5)):

@@ -21,6 +21,18 @@ def test_growing_file(spark, tmp_path):
     assert [r.value for r in spark.sql("select value from tailed order by at").collect()] == ["one", "two", "partial", "three"]
 
 
+def test_backlog_in_spans(tmp_path, monkeypatch):
+    """Spans cover a backlog once, each with whole lines, however long a line is."""
+    monkeypatch.setattr(tail, "STEP", 10)
+    log = tmp_path / "old.log"
+    lines = [f"line {i} " + "x" * (i * 7 % 40) for i in range(30)] + ["", "end"]
+    log.write_text("\n".join(lines) + "\n")
+    reader = tail._TailReader(str(log), False)
+    spans = reader.partitions({"at": 0}, reader.latestOffset())
+    assert len(spans) > 5 and [v for s in spans for _, v in reader.read(s)] == lines
+    assert reader.partitions(reader.latestOffset(), reader.latestOffset()) == []
+
+
 def test_payload_checks(spark):
     good = json.dumps({"resolution": "fast", "bar_index": 1, "start_timestamp_ns": 1, "end_timestamp_ns": 2, "features": {"a": 1.0}})
     lines = spark.createDataFrame([(good,), ("",), ("{",), (good.replace("fast", "mid"),), (json.dumps({"resolution": "fast"}),)], "value string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,49 +30,85 @@ def _first(values: np.ndarray, threshold: np.ndarray, top: bool) -> np.ndarray:
     return at
 
 
-def _touch(series: DataFrame, barriers: list[tuple[float, float]], last_rows: list, price: str, order: str) -> DataFrame:
-    """Adds ``exit_seq_<i>`` and ``outcome_<i>`` for each barrier (up, down), all in one pass of a stem's group.
+#: Least time and rows of a span; a span is at least a horizon.
+SPAN_NS, SPAN_ROWS = 3600 * 10**9, 200_000
+
+
+def _in_spans(rows: DataFrame, order: str, span: Column) -> DataFrame:
+    """Adds ``_row`` (place in the stem), ``_span`` and ``_own``: each row belongs to its span and goes along, not its own, with the span before.
+
+    A span no shorter than the horizon sees all that its rows look ahead to in the next one, so a group holds
+    two spans, however long the stem is.
+    """
+    by = Window.partitionBy("stem").orderBy(order)
+    rows = rows.withColumn("_row", (F.row_number().over(by) - 1).cast("bigint")).withColumn("_span", span)
+    both = F.explode(F.array(F.struct(F.col("_span").alias("_span"), F.lit(True).alias("_own")), F.struct((F.col("_span") - 1).alias("_span"), F.lit(False).alias("_own"))))
+    return rows.withColumn("_at", both).drop("_span").select("*", "_at.*").drop("_at")
+
+
+def _by_time(order: str, horizon_ns: int) -> Column:
+    """Spans of the latest time so far: the first row of a span is the one that reached it."""
+    so_far = Window.partitionBy("stem").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return F.floor(F.max("ts_ns").over(so_far) / max(horizon_ns, SPAN_NS)).cast("bigint")
+
+
+def _by_rows(rows_ahead: int) -> Column:
+    return F.expr(f"_row div {max(rows_ahead, SPAN_ROWS)}")
+
+
+def _touch(series: DataFrame, barriers: list[tuple[float, float]], last_rows: list, span: Column, price: str, order: str) -> DataFrame:
+    """Adds ``_row`` (place among the priced rows) and, for each barrier (up, down), ``exit_seq_<i>`` and ``outcome_<i>``, all in one pass of a span's group.
 
     ``last_rows``: for each barrier, from times to the last row within each row's horizon.
     """
     rows = series.where(finite(price) & (F.col(price) > 0))
     kind = rows.schema[order].dataType
     made = [f for i in range(len(barriers)) for f in (T.StructField(f"exit_seq_{i}", kind), T.StructField(f"outcome_{i}", T.StringType()))]
+    kept = [*rows.schema.fields, T.StructField("_row", T.LongType())]
+    names = [f.name for f in kept]
 
     def label(table: pa.Table) -> pa.Table:
         table = table.sort_by([(order, "ascending")])
+        own, n = table.column("_own"), len(table)
         p, ts, seq = table.column(price).to_numpy().astype(float), table.column("ts_ns").to_numpy(), table.column(order).combine_chunks()
+        table = table.select(names)
         for i, ((up, down), last_row) in enumerate(zip(barriers, last_rows)):
             rise, fall, last = _first(p, p + up, True), _first(p, p - down, False), last_row(ts)
             hit = np.minimum(rise, fall)
-            none = (hit >= len(p)) | (hit > last)
+            none = (hit >= n) | (hit > last)
             table = table.append_column(f"exit_seq_{i}", seq.take(pa.array(np.where(none, 0, hit), mask=none)))
             table = table.append_column(f"outcome_{i}", pa.array(np.where(none, "flat", np.where(rise < fall, "up", "down")).tolist(), pa.string()))
-        return table
+        return table.filter(own)
 
-    return rows.groupBy("stem").applyInArrow(label, T.StructType([*rows.schema.fields, *made]))
+    return _in_spans(rows, order, span).groupBy("stem", "_span").applyInArrow(label, T.StructType([*kept, *made]))
 
 
 def _one(df: DataFrame) -> DataFrame:
-    return df.withColumnRenamed("exit_seq_0", "exit_seq").withColumnRenamed("outcome_0", "outcome")
+    return df.drop("_row").withColumnRenamed("exit_seq_0", "exit_seq").withColumnRenamed("outcome_0", "outcome")
 
 
 def _within(horizon_ns: int):
-    """The horizon ends with the last row before time first runs past it."""
-    return lambda ts: np.searchsorted(np.maximum.accumulate(ts), ts + horizon_ns, "right") - 1
+    """The horizon counts from the latest time so far, so a late row's reaches as far as that of the row before it, and
+    ends with the last row before time first runs past it."""
+
+    def last_row(ts: np.ndarray) -> np.ndarray:
+        latest = np.maximum.accumulate(ts)
+        return np.searchsorted(latest, latest + horizon_ns, "right") - 1
+
+    return last_row
 
 
 def touch_events(series: DataFrame, up: float, down: float, horizon_ns: int, price: str = "price", order: str = "seq") -> DataFrame:
     """Adds ``outcome``, ``exit_seq``: the earliest later row within ``horizon_ns`` whose price is ``up`` above or ``down`` below.
 
-    The horizon ends with the last row before time first runs past it. A stem (one day) is one Arrow group.
+    The horizon counts from the latest time so far and ends with the last row before time first runs past it.
     """
-    return _one(_touch(series, [(up, down)], [_within(horizon_ns)], price, order))
+    return _one(_touch(series, [(up, down)], [_within(horizon_ns)], _by_time(order, horizon_ns), price, order))
 
 
 def touch_count(series: DataFrame, up: float, down: float, rows_ahead: int, price: str = "price", order: str = "seq") -> DataFrame:
     """The same within the next ``rows_ahead`` rows."""
-    return _one(_touch(series, [(up, down)], [lambda ts: np.arange(len(ts)) + rows_ahead], price, order))
+    return _one(_touch(series, [(up, down)], [lambda ts: np.arange(len(ts)) + rows_ahead], _by_rows(rows_ahead), price, order))
 
 
 def label_targets(series: DataFrame, targets: dict[str, tuple[float, int]], tick: float, price: str = "price") -> DataFrame:
@@ -81,8 +116,9 @@ def label_targets(series: DataFrame, targets: dict[str, tuple[float, int]], tick
     from ..functions.scalar import outcome_code
 
     rows = series.select("stem", "seq", "ts_ns", F.col(price).alias("anchor_price"))
-    out = _touch(rows, [(ticks * tick,) * 2 for ticks, _ in targets.values()], [_within(seconds * 10**9) for _, seconds in targets.values()], "anchor_price", "seq")
-    out = out.withColumnsRenamed({"ts_ns": "timestamp_ns"}).withColumn("event_index", (F.row_number().over(Window.partitionBy("stem").orderBy("seq")) - 1).cast("bigint"))
+    span = _by_time("seq", max(seconds for _, seconds in targets.values()) * 10**9)
+    out = _touch(rows, [(ticks * tick,) * 2 for ticks, _ in targets.values()], [_within(seconds * 10**9) for _, seconds in targets.values()], span, "anchor_price", "seq")
+    out = out.withColumnsRenamed({"ts_ns": "timestamp_ns", "_row": "event_index"})
     out = out.withColumns({f"outcome_{n}": outcome_code(f"outcome_{i}") for i, n in enumerate(targets)})
     return out.select("stem", "event_index", "timestamp_ns", "anchor_price", *(f"outcome_{n}" for n in targets))
 
@@ -100,17 +136,24 @@ def touch_bars(bars: DataFrame, up: float, down: float, rows_ahead: int | None,
     """Adds ``label`` (2 up, 1 flat, 0 down), ``exit_row`` and ``row`` to bars: later highs and lows against a close.
 
     A bar that touches both sides is flat. Without a touch the exit is the last bar of the horizon; no
-    horizon (None or 0) means the stem's end. One stem is one Arrow group.
+    horizon (None or 0) means the stem's end, and then a stem is one group.
     """
     high, low, close = names
     schema = T.StructType([*bars.schema.fields, T.StructField("row", T.LongType()), T.StructField("label", T.ByteType()), T.StructField("exit_row", T.LongType())])
+    kept = [f.name for f in bars.schema.fields]
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        y, e = _bar_touch(pdf[high].to_numpy(float), pdf[low].to_numpy(float), pdf[close].to_numpy(float), up, down, rows_ahead or len(pdf))
-        return pdf.assign(row=np.arange(len(pdf)), label=y, exit_row=e)
-
-    return bars.groupBy("stem").applyInPandas(label, schema)
+    def label(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(order, "ascending")])
+        own, row = table.column("_own"), table.column("_row").to_numpy()
+        y, e = _bar_touch(*(table.column(c).to_numpy().astype(float) for c in (high, low, close)), up, down, rows_ahead or len(table))
+        table = table.select(kept).append_column("row", pa.array(row)).append_column("label", pa.array(y)).append_column("exit_row", pa.array(row[0] + e if len(row) else row))
+        return table.filter(own)
+
+    if rows_ahead:
+        dealt = _in_spans(bars, order, _by_rows(rows_ahead))
+    else:
+        dealt = _in_spans(bars, order, F.lit(0).cast("bigint")).where("_own")
+    return dealt.groupBy("stem", "_span").applyInArrow(label, schema)
 
 
 def distribution(labels: DataFrame, columns: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 PAYLOAD = "resolution string, bar_index long, start_timestamp_ns long, end_timestamp_ns long, features map<string,double>"
 
 
+#: Bytes of one partition of a backlog.
+STEP = 32 << 20
+
+
 class _Span(InputPartition):
     def __init__(self, start: int, end: int):
         self.start, self.end = start, end
@@ -41,16 +46,27 @@ class _TailReader(DataSourceStreamReader):
         return {"at": 0}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        """Spans of about ``STEP`` bytes that end with a line, read side by side."""
         first = start["at"] if start["at"] <= end["at"] else 0
-        return [_Span(first, end["at"])] if end["at"] > first else []
+        cuts = [first]
+        with open(self.path, "rb") as f:
+            for at in range(first + STEP, end["at"], STEP):
+                f.seek(at)
+                f.readline()
+                if cuts[-1] < f.tell() < end["at"]:
+                    cuts.append(f.tell())
+        return [_Span(a, b) for a, b in pairwise([*cuts, end["at"]]) if b > a]
 
     def read(self, partition: _Span):
         with open(self.path, "rb") as f:
             f.seek(partition.start)
             at = partition.start
-            for line in f.read(partition.end - partition.start).splitlines():
-                yield at, line.decode("utf-8", "replace").rstrip("\r")
-                at += len(line) + 1
+            while at < partition.end:
+                line = f.readline()
+                if not line:
+                    break
+                yield at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+                at += len(line)
 
     def commit(self, end: dict) -> None:
         pass
