@@ -123,7 +123,7 @@ def label_targets(series: DataFrame, targets: dict[str, tuple[float, int]], tick
     return out.select("stem", "event_index", "timestamp_ns", "anchor_price", *(f"outcome_{n}" for n in targets))
 
 
-def _bar_touch(high: np.ndarray, low: np.ndarray, close: np.ndarray, up: float, down: float, ahead: int) -> tuple[np.ndarray, np.ndarray]:
+def _sweep(high: np.ndarray, low: np.ndarray, close: np.ndarray, up: float, down: float, ahead: int) -> tuple[np.ndarray, np.ndarray]:
     """(label, exit row) of each bar."""
     at = np.arange(len(close))
     rise, fall = _first(high, close + up, True), _first(low, close - down, False)
@@ -145,7 +145,7 @@ def touch_bars(bars: DataFrame, up: float, down: float, rows_ahead: int | None,
     def label(table: pa.Table) -> pa.Table:
         table = table.sort_by([(order, "ascending")])
         own, row = table.column("_own"), table.column("_row").to_numpy()
-        y, e = _bar_touch(*(table.column(c).to_numpy().astype(float) for c in (high, low, close)), up, down, rows_ahead or len(table))
+        y, e = _sweep(*(table.column(c).to_numpy().astype(float) for c in (high, low, close)), up, down, rows_ahead or len(table))
         table = table.select(kept).append_column("row", pa.array(row)).append_column("label", pa.array(y)).append_column("exit_row", pa.array(row[0] + e if len(row) else row))
         return table.filter(own)
 
