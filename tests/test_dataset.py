@@ -50,8 +50,10 @@ def test_large_values_keep_their_deviation(spark):
     assert dataset.feature_stats(df, ["x"]).first().x_std == pytest.approx((2 / 3) ** 0.5, rel=1e-3)
 
 
-def test_quantiles_over_many_ranges(spark):
-    """Against sorting, with repeats, few values, nulls and a column of nulls only."""
+@pytest.mark.parametrize("values", [7, 250_000])
+def test_quantiles_over_ranges(spark, monkeypatch, values):
+    """Against sorting, with repeats, few values, nulls and a column of nulls only; alike for many ranges and one."""
+    monkeypatch.setattr(profile, "RANGE_VALUES", values)
     rng = random.Random(2)
     rows = [(float(rng.randrange(300)), rng.choice([1.0, 2.0, None]), None) for _ in range(2000)]
     got = {r.column: r for r in profile.profile(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..session import written
 
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-#: Ranges that a column's distinct values are cut into, and distinct values a range is meant to hold.
-RANGES, RANGE_VALUES = 64, 4_000_000
+#: Distinct values that a range of a column is meant to hold.
+RANGE_VALUES = 250_000
 
 
 def quantiles(counted: DataFrame, wanted: tuple[float, ...]) -> DataFrame:
@@ -21,8 +21,8 @@ def quantiles(counted: DataFrame, wanted: tuple[float, ...]) -> DataFrame:
     known = counted.where("value is not null")
     sizes = known.groupBy("column").agg(F.count("*").alias("distinct"))
     most = sizes.agg(F.max("distinct")).first()[0] or 0
-    ranges = max(RANGES, -(-most // RANGE_VALUES))
-    cuts = known.groupBy("column").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], max(1000, 4 * ranges)).alias("cuts"))
+    ranges = 1 + most // RANGE_VALUES
+    cuts = known.groupBy("column").agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges + 1)], max(1000, 4 * ranges)).alias("cuts"))
     # One row a column is broadcast.
     ranged = known.join(F.broadcast(cuts), "column").select("column", "value", "n", F.size(F.filter("cuts", lambda x: x < F.col("value"))).alias("range"))
     totals = ranged.groupBy("column", "range").agg(F.sum("n").alias("total"))
