@@ -1,3 +1,4 @@
+import random
 import hashlib
 
 import pyarrow as pa
@@ -37,3 +38,13 @@ def test_digests(spark):
         g = got[conv]
         assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert m.chat_digests(df.limit(0)).count() == 0
+
+
+def test_conversations_over_many_batches(spark):
+    """A conversation of many batches, and breaks at a batch's end, come out as from plain assembly."""
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), f"text {c} {t} </s>") for c, n in ((1, 3500), (2, 1000), (3, 500), (4, 1), (None, 1200)) for t in range(n)]
+    got = {r.conv_id: r.formatted for r in m.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == 5
+    for c in got:
+        assert m.parse(got[c]) == [(r[2], r[3]) for r in rows if r[0] == c]

@@ -68,30 +68,37 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Arr
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _keys(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """A number for each row's conversation; null has its own."""
+    conv = column(rows, "conv_id")
+    return np.asarray(conv.fill_null(0)) * 2 + np.asarray(conv.is_null())
+
+
 def _format(batches):
-    """Conversations come whole and in order; one that a batch cuts waits for its end."""
-    rest = None
+    """Conversations come whole and in order; one that a batch cuts waits for its end, and is looked at once."""
 
-    def done(table: pa.Table):
-        conv = column(table, "conv_id")
-        key = np.where(np.asarray(conv.is_valid()), np.asarray(conv.fill_null(0)), 0) * 2 + np.asarray(conv.is_null())
-        formatted, turns, loss = assemble(key, column(table, "role"), column(table, "text"))
+    def done(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts)
+        formatted, turns, loss = assemble(_keys(table), column(table, "role"), column(table, "text"))
         first = np.append(0, np.cumsum(turns)[:-1])
-        return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), pa.array(turns, pa.int64()), formatted, pa.array(loss, _LOSS)], ["conv_id", "n_turns", "formatted", "loss"])
+        return pa.RecordBatch.from_arrays([column(table, "conv_id").take(pa.array(first)), pa.array(turns, pa.int64()), formatted, pa.array(loss, _LOSS)], ["conv_id", "n_turns", "formatted", "loss"])
 
+    waiting, open_key = [], None
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        conv = column(table, "conv_id").to_pylist()
-        cut = len(conv)
-        while cut and conv[cut - 1] == conv[-1]:
-            cut -= 1
-        rest = table.slice(cut)
-        if cut:
-            yield done(table.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield done(rest)
+        if not batch.num_rows:
+            continue
+        keys = _keys(batch)
+        breaks = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if waiting and keys[0] != open_key:
+            yield done(waiting)
+            waiting = []
+        if len(breaks):
+            yield done([*waiting, batch.slice(0, int(breaks[-1]))])
+            waiting = []
+        waiting.append(batch.slice(int(breaks[-1]) if len(breaks) else 0))
+        open_key = keys[-1]
+    if waiting:
+        yield done(waiting)
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
