@@ -42,9 +42,8 @@ def parts(total: int, each: int) -> int:
 
 
 def chunk_of(n: int):
-    """A chunk number that spreads rows evenly, null ids too (by their text)."""
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return F.pmod(key, F.lit(n)).cast("int")
+    """A chunk number that spreads rows evenly, rows of one id or of none too: only rows alike in id and text go together."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
 
 
 # --------------------------------------------------------------------------- Arrow buffers
