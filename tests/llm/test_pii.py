@@ -171,7 +171,7 @@ def test_spans_against_brute_force(spark):
     for r, spans in zip(rows, brute_spans([r[1] for r in rows])):
         base = brute(r[1])
         counts = [sum(s.startswith(k + ":") for s in base) for k in m.BASE]
-        want.append((r[0], *counts, hashlib.sha256(",".join(base).encode()).hexdigest(), spans))
+        want.append((r[0], *counts, hashlib.sha256(",".join(base).encode()).hexdigest(), spans, len([s for s in spans.split(",") if s])))
         assert set(base) <= set(spans.split(",")) | {""}
     assert [tuple(r) for r in got] == sorted(want, key=lambda r: (str(r[0]), r[5]))
 

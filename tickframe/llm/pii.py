@@ -324,18 +324,18 @@ def _joined(column: str) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Spans of personal data: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """Spans of personal data: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
     Counts and ``base_sha256`` (of ``kind:start:end`` by start and kind, comma-joined; code points, end
     exclusive) cover the base patterns' matches that pass their checks; ``spans`` lists these and what the
-    classifier adds, further kinds after the four. Added spans overlap no base span but may overlap each
+    classifier adds, further kinds after the four; ``n_spans`` is their number. Added spans overlap no base span but may overlap each
     other. Null and empty texts have none. One row for each input row, repeated or not; other columns are
     left aside. An empty table gives an empty result.
     """
     found = materialize(candidates(docs.select("doc_id", "text")).drop("text"), "candidates")
     done = decided(found, train(found))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(BASE)]
-    return done.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
+    return done.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
