@@ -363,13 +363,23 @@ FROM (SELECT *, CAST(greatest(up_prob, down_prob) AS DOUBLE) >= CAST(t / 100.0 A
     o["agg_bar_orderflow_ofi"] = market + "SELECT stem, bar_index, event_count, mid_open, mid_high, mid_low, mid_close, spread_open, spread_close, limit_add_bid_volume, limit_add_ask_volume, limit_cancel_bid_volume, limit_cancel_ask_volume, ofi_bid, ofi_ask FROM mb"
     o["fn_level_features"] = _level_features()
     o["feat_core_64"] = _core_features(600)
+    worth_of = lambda s, n: " + ".join(f"{s}{k}_price * {s}{k}_size" for k in range(n))
+    depth_of = lambda s: " + ".join(f"{s}{k}_size" for k in range(5))
+    o["agg_bar_closing_book"] = _with(PL2, STATE, QUOTES, FLOWS, MARKET, "lastq AS (SELECT stem, bar_id, max(pos) AS pos FROM eb WHERE kind = 'quote' GROUP BY 1, 2)") + "SELECT mb.stem, bar_index, " + ", ".join(
+        f"{s}0_price AS {s}_best, round({worth_of(s, 3)}, 4) AS {s}_worth_3, round({worth_of(s, 5)}, 4) AS {s}_worth_7, CAST(7 AS INTEGER) AS {s}_levels_7, {depth_of(s)} AS {s}_depth" for s in ("bid", "ask")
+    ) + " FROM mb JOIN lastq q ON q.stem = mb.stem AND q.bar_id = mb.bar_id JOIN state ON state.stem = q.stem AND state.seq = q.pos // 10"
+    usable = lambda n: _with(*_market(n), _usable(n))
+    o["snk_preprocess"] = "\nUNION ALL ".join(f"SELECT '{r}' AS resolution, stem, count(*) AS n FROM ({usable(n)} SELECT stem FROM ub) GROUP BY stem" for r, n in (("fast", 1), ("mid", 10), ("slow", 60))) + (
+        f"\nUNION ALL SELECT 'labels', stem, count(*) FROM ({_with(PL2, STATE, QUOTES)} SELECT stem FROM quotes) GROUP BY stem"
+    )
+    o["src_feature_files"] = usable(600) + "SELECT stem, start_ns AS start_timestamp_ns, mid_close AS mid_close_price, spread_close / 0.25 AS spread_ticks, round(ln(1.0 + trade_count), 5) + 0.0 AS trade_count_log FROM ub"
     o["label_first_touch_time"] = _with(SERIES, NUMBERED) + _touch(20, 20, WITHIN_TIME)
     o["label_first_touch_count"] = _with(SERIES, NUMBERED) + _touch(20, 20, "b.i <= a.i + 50")
     o["label_bar_highlow"] = _with(SERIES, _bars(60), BAR_LABELS) + 'SELECT stem, bar_index, "row", label, exit_row FROM bl'
     targets = _with(SERIES, NUMBERED, f"t20 AS ({_touch(20, 20, WITHIN_TIME)})", f"t40 AS ({_touch(40, 40, WITHIN_TIME)})", """lab AS (
   SELECT n.stem, n.i - 1 AS event_index, n.ts_ns AS timestamp_ns, n.price AS anchor_price, CASE t20.outcome WHEN 'up' THEN 2 WHEN 'down' THEN 0 ELSE 1 END AS outcome_t20, CASE t40.outcome WHEN 'up' THEN 2 WHEN 'down' THEN 0 ELSE 1 END AS outcome_t40
   FROM n JOIN t20 ON n.stem = t20.stem AND n.seq = t20.seq JOIN t40 ON n.stem = t40.stem AND n.seq = t40.seq)""")
-    o["label_targets"] = targets + "SELECT * FROM lab"
+    o["label_targets"] = o["src_label_files"] = targets + "SELECT * FROM lab"
     o["agg_label_distribution"] = targets + "\nUNION ALL ".join(f"SELECT 'outcome_{t}' AS target, count(*) AS total, count(*) FILTER (WHERE outcome_{t} = 2) AS up, count(*) FILTER (WHERE outcome_{t} = 1) AS flat, count(*) FILTER (WHERE outcome_{t} = 0) AS down, round(avg(CASE WHEN outcome_{t} = 2 THEN 1.0 ELSE 0.0 END), 6) AS positive_ratio FROM lab" for t in ("t20", "t40"))
     o["agg_class_weights"] = """SELECT c AS event_type, coalesce(n, 0) AS n, round(sqrt(total / (6.0 * greatest(coalesce(n, 0), 1))), 6) AS weight
 FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view', 'none']) AS c) k LEFT JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) e ON e.event_type = k.c CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS total FROM events) t"""
@@ -400,6 +410,28 @@ SELECT n.stem, first_ts AS entry_ts_ns, max(ts_ns) + 5000000000 AS exit_ts_ns, a
   UNION ALL SELECT c.stem, c.i, CASE WHEN c.ts_ns - w.last_ts >= 1800000000000 THEN c.ts_ns ELSE w.last_ts END, c.ts_ns - w.last_ts >= 1800000000000 FROM walk w JOIN c ON c.stem = w.stem AND c.i = w.i + 1)""", recursive=True) + """
 SELECT c.stem, c.seq, c.label FROM c JOIN walk w ON c.stem = w.stem AND c.i = w.i WHERE ok"""
     o["set_union_dedupe"] = "SELECT source AS name, min('a/' || doc_id) AS path, arg_min(n_chars, 'a/' || doc_id) AS n_chars FROM documents GROUP BY 1"
+    o["src_latest_state"] = _with(SERIES) + "SELECT channel, stem, ewma, n FROM (SELECT event_type AS channel, stem, arg_max(price, seq) AS ewma, count(*) AS n, row_number() OVER (PARTITION BY event_type ORDER BY stem DESC) AS r FROM series GROUP BY 1, 2) t WHERE r = 1"
+    o["flt_small_files"] = _with(SERIES) + """SELECT stem, count(*) * 10 AS bytes FROM series WHERE event_type <> 'view' OR stem < '2024-01-10' GROUP BY stem
+HAVING count(*) * 10 < (SELECT CAST(floor(avg(n) * 9) AS BIGINT) FROM (SELECT count(*) AS n FROM series GROUP BY stem) t)"""
+    o["src_payload_reasons"] = """SELECT reason, count(*) AS n, CAST(sum(CASE WHEN reason NOT IN ('blank', 'malformed') THEN event_id END) AS BIGINT) AS indices FROM (SELECT event_id,
+  CASE WHEN event_id % 13 = 1 THEN 'blank' WHEN event_id % 17 = 2 THEN 'malformed' WHEN event_id % 7 = 3 THEN 'resolution' WHEN event_id % 11 = 5 THEN 'no_features' ELSE 'taken' END AS reason FROM events) t GROUP BY 1"""
+    o["src_payload_stream"] = _with(SERIES) + """SELECT seq AS bar_index, ts_ns AS start_timestamp_ns, price AS close, CAST(user_id AS DOUBLE) AS user, 0.0::DOUBLE AS missing FROM series
+WHERE seq % 13 <> 1 AND seq % 17 <> 2 AND seq % 7 <> 3 AND seq % 11 <> 5"""
+    o["ord_packed_chunks"] = _with(SERIES, "b AS (SELECT stem, seq, user_id % 97 * 10 AS bytes, greatest(user_id % 97 * 10, 1) AS w, row_number() OVER (PARTITION BY stem ORDER BY seq) AS i FROM series)", """walk AS (
+  SELECT stem, i, w AS filled, CAST(0 AS BIGINT) AS chunk FROM b WHERE i = 1
+  UNION ALL SELECT b.stem, b.i, CASE WHEN k.filled + b.w > 3000 THEN b.w ELSE k.filled + b.w END, CASE WHEN k.filled + b.w > 3000 THEN k.chunk + 1 ELSE k.chunk END FROM walk k JOIN b ON b.stem = k.stem AND b.i = k.i + 1)""", recursive=True) + """
+SELECT b.stem, chunk, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes, min(seq) AS first_seq FROM b JOIN walk k ON k.stem = b.stem AND k.i = b.i GROUP BY 1, 2"""
+    o["ord_capped_sample"] = """SELECT * FROM (SELECT 'order' AS what, CAST(o_orderkey AS BIGINT) AS id FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 200)
+UNION ALL SELECT * FROM (SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM nation ORDER BY n_name LIMIT 5)"""
+    o["stream_live_rows"] = _with(SERIES, _as_rows(60, "f"), _as_rows(600, "m"), _as_rows(3600, "s"), """p AS (
+  SELECT *, row_number() OVER (PARTITION BY stem ORDER BY end_timestamp_ns, o) AS pos FROM (SELECT 0 AS o, * FROM f UNION ALL SELECT 1, * FROM m UNION ALL SELECT 2, * FROM s) t)""", """b AS (
+  SELECT *, CASE WHEN o = 0 AND start_timestamp_ns - lag(end_timestamp_ns) OVER (PARTITION BY stem, o ORDER BY pos) > 3600000000000 THEN 1 ELSE 0 END AS broke FROM p)""", """k AS (
+  SELECT *, sum(broke) OVER (PARTITION BY stem ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sid FROM b)""", """q AS (
+  SELECT *, avg(spread * 0.25) OVER w AS a6, sum(vol) OVER w AS v6, sum(ofi) OVER w AS o6, row_number() OVER (PARTITION BY stem, sid, o ORDER BY pos) AS n FROM k WINDOW w AS (PARTITION BY stem, sid, o ORDER BY pos ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))""", """l AS (
+  SELECT *, last_value(CASE WHEN o = 1 THEN spread END IGNORE NULLS) OVER u AS sm, last_value(CASE WHEN o = 2 THEN spread END IGNORE NULLS) OVER u AS sl, last_value(CASE WHEN o = 1 THEN a6 END IGNORE NULLS) OVER u AS am,
+    last_value(CASE WHEN o = 1 THEN v6 END IGNORE NULLS) OVER u AS vm, last_value(CASE WHEN o = 1 THEN o6 END IGNORE NULLS) OVER u AS om FROM q WINDOW u AS (PARTITION BY stem, sid ORDER BY pos ROWS UNBOUNDED PRECEDING))""") + """
+SELECT stem, start_timestamp_ns, round(sm, 8) + 0.0 AS spread_mid, round(sl, 8) + 0.0 AS spread_slow, round(am, 8) + 0.0 AS avg_mid_spread_abs, round(vm, 8) + 0.0 AS sum_mid_trade_volume, round(om, 8) + 0.0 AS sum_mid_ofi_net, 0.0::DOUBLE AS avg_fast_spread_abs
+FROM l WHERE o = 0 AND n > 5 AND sm IS NOT NULL AND sl IS NOT NULL"""
     o["stream_bars_parity"] = _with(SERIES, _bars(3600)) + "SELECT stem, bar_id, bar_index, open, high, low, close, round(volume, 4) AS volume, n_events FROM (SELECT *, max(bar_id) OVER (PARTITION BY stem) AS last_id FROM bars) t WHERE bar_id < last_id"
     o["stream_stateful_ewma"] = _with(SERIES, "x AS (SELECT stem, seq, price AS v, row_number() OVER (PARTITION BY stem ORDER BY seq) AS i FROM series)", _ewma("x", 0.2), recursive=True) + "SELECT x.stem, x.seq, round(e.m, 4) + 0.0 AS ewma FROM x JOIN e ON e.stem = x.stem AND e.i = x.i"
     return o

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,11 +15,13 @@ from ..functions import scalar as S
 from ..functions.scalar import fixed
 from ..operators import align, dataset, labels, metrics, profile, rolling, simulate
 from ..operators.bars import assign_bars, bars, price_bars
-from ..operators.book import book_state, market_events, order_flow, quotes
+from ..operators.book import book_state, cumulative_depth, market_events, order_flow, quotes, resized
 from ..operators.features import core_features, feature_map, usable, vector
 from ..operators.score import scored
 from ..schemas import FEATURES
-from ..sources import logs
+from ..session import shared_dir
+from ..sources import files, logs
+from .preprocess import preprocess
 
 HOUR, TEN_MINUTES, MINUTE = 3600, 600, 60
 Query = Callable[[SparkSession, str], DataFrame]
@@ -284,6 +287,15 @@ def agg_bar_orderflow_ofi(spark, sf_dir):
     return b.select("stem", "bar_index", *names)
 
 
+def agg_bar_closing_book(spark, sf_dir):
+    """Each bar's book at its last quote: cut to three levels, padded to seven, and its depth."""
+    b = _market_bars(spark, sf_dir).where("book is not null")
+    worth = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["price"] * x["size"])
+    sides = {"bid": F.col("book.bids"), "ask": F.col("book.asks")}
+    cut = [f(c).alias(f"{s}_{n}") for s, c in sides.items() for n, f in (("best", lambda c: c[0]["price"]), ("worth_3", lambda c: fixed(worth(resized(c, 3)), 4)), ("worth_7", lambda c: fixed(worth(resized(c, 7)), 4)), ("levels_7", lambda c: F.size(resized(c, 7))), ("depth", cumulative_depth))]
+    return b.select("stem", "bar_index", *cut)
+
+
 def feat_core_64(spark, sf_dir):
     return _rounded(core_features(_market_bars(spark, sf_dir, TEN_MINUTES)), *FEATURES[3:], digits=5)
 
@@ -469,18 +481,123 @@ def score_network(spark, sf_dir):
     return scored(dataset.sequences(bars_, ["close", "volume"], 48), model).select("stem", "bar_index", *(fixed(c).alias(c) for c in ("down_prob", "flat_prob", "up_prob")))
 
 
-def _streamed(spark, sf_dir, build, name):
-    """Run a streaming query over the events to its end and read what it wrote."""
-    import uuid
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/queries/{name}-{uuid.uuid4().hex}"
+
+
+# --------------------------------------------------------------------------- files
+def snk_preprocess(spark, sf_dir):
+    """Rows of each output of a log, made in two runs: the second finds the first's stems done and adds the others."""
+    rows, out = _log(spark, sf_dir), _folder(spark, "preprocess")
+    preprocess(rows.where("stem < '2024-01-15'"), out)
+    preprocess(rows, out, skip_existing=True)
+    made = spark.read.parquet(f"{out}/features").select("resolution", F.col("stem").cast("string").alias("stem"))
+    labelled = spark.read.parquet(f"{out}/labels").select(F.lit("labels").alias("resolution"), F.col("stem").cast("string").alias("stem"))
+    return made.unionByName(labelled).groupBy("resolution", "stem").agg(F.count("*").alias("n"))
+
+
+def src_feature_files(spark, sf_dir):
+    """Some columns of feature files, written twice in each other's place."""
+    rows, out = core_features(_market_bars(spark, sf_dir, TEN_MINUTES), regimes=False), _folder(spark, "features")
+    for _ in range(2):
+        files.write_features(rows, out, "mid", "replace")
+    files.dry_run(rows)
+    return _rounded(files.read_features(spark, out, "mid", ["mid_close_price", "spread_ticks", "spread_ticks", "trade_count_log"]), "trade_count_log", digits=5)
+
+
+def src_label_files(spark, sf_dir):
+    """Labels written and read back."""
+    out = _folder(spark, "labels")
+    files.write_labels(_targets(spark, sf_dir), out)
+    t = spark.read.parquet(out)
+    return t.select(F.col("stem").cast("string").alias("stem"), "event_index", "timestamp_ns", "anchor_price", *(F.col(c).cast("int").alias(c) for c in ("outcome_t20", "outcome_t40")))
+
+
+def src_latest_state(spark, sf_dir):
+    """The state of each channel's last day, from JSON lines."""
+    s = _series(spark, sf_dir).groupBy(F.col("event_type").alias("channel"), "stem").agg(F.max_by("price", "seq").alias("ewma"), F.count("*").alias("n"))
+    out = _folder(spark, "states")
+    files.write_json_lines(s, out)
+    return files.latest_state(spark.read.schema("channel string, stem string, ewma double, n long").json(out))
+
+
+def flt_small_files(spark, sf_dir):
+    """Days whose file is small: one file a day, its length told by its rows."""
+    out = _folder(spark, "small")
+    s = _series(spark, sf_dir).withColumn("value", F.rpad("event_type", 9, "."))
+    s.where("event_type <> 'view' or stem < '2024-01-10'").select("value", "stem").repartition("stem").write.partitionBy("stem").text(out)
+    most = s.groupBy("stem").agg(F.count("*").alias("n")).agg((F.avg("n") * 9).cast("long")).first()[0]
+    small = files.small_files(spark, out, most)
+    return small.select(F.regexp_extract("path", "stem=([^/]+)", 1).alias("stem"), F.col("length").alias("bytes"))
+
+
+def _payload_lines(spark, sf_dir):
+    """Events as payload lines, some of them blank, cut, of another resolution or without features."""
+    s = _series(spark, sf_dir)
+    p = F.struct(F.when(F.col("seq") % 7 == 3, "mid").otherwise("fast").alias("resolution"), F.col("seq").alias("bar_index"), F.col("ts_ns").alias("start_timestamp_ns"), (F.col("ts_ns") + 10**9).alias("end_timestamp_ns"), F.when(F.col("seq") % 11 != 5, F.create_map(F.lit("close"), "price", F.lit("user"), F.col("user_id").cast("double"))).alias("features"))
+    line = F.when(F.col("seq") % 13 == 1, F.lit("  ")).when(F.col("seq") % 17 == 2, F.substring(F.to_json(p), 1, 40)).otherwise(F.to_json(p))
+    return s.select(line.alias("value"))
+
 
-    from ..session import shared_dir
+def src_payload_reasons(spark, sf_dir):
+    """How many payload lines are taken, and why others are dropped."""
+    from ..streaming.tail import checked
 
-    base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    return checked(_payload_lines(spark, sf_dir), "fast").groupBy(F.coalesce("reason", F.lit("taken")).alias("reason")).agg(F.count("*").alias("n"), F.sum("p.bar_index").alias("indices"))
+
+
+def src_payload_stream(spark, sf_dir):
+    """Payload files as a stream, flattened."""
+    from ..streaming.tail import read_payloads
+
+    folder = _folder(spark, "payloads")
+    good = _payload_lines(spark, sf_dir).where("trim(value) <> ''")
+    good.write.text(folder)
+    rows = read_payloads(spark, folder).where("resolution = 'fast' and features is not null")
+    flat = rows.select("bar_index", "start_timestamp_ns", *(vector(["close", "user", "missing"])[i].alias(n) for i, n in enumerate(("close", "user", "missing"))))
+    return _run_stream(flat, "flat")
+
+
+def ord_packed_chunks(spark, sf_dir):
+    """Each day's events as files of many sizes, packed in order."""
+    s = _series(spark, sf_dir).select("stem", "seq", (F.col("user_id") % 97 * 10).alias("bytes"))
+    return dataset.packed_into_chunks(s, 3000, order="seq", keys=("stem",)).groupBy("stem", "chunk").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("seq").alias("first_seq"))
+
+
+def ord_capped_sample(spark, sf_dir):
+    """The first 200 orders by price and the first 5 sources by name: the caps are the feature."""
+    o = dataset.capped(_t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 200, ("o_totalprice", "o_orderkey"))
+    f = dataset.first_files(_t(spark, sf_dir, "nation").select("n_name", "n_nationkey"), 5, "n_name")
+    return o.select(F.lit("order").alias("what"), F.col("o_orderkey").cast("long").alias("id")).unionByName(f.select(F.lit("nation").alias("what"), F.col("n_nationkey").cast("long").alias("id")))
+
+
+# --------------------------------------------------------------------------- streams
+def _run_stream(rows: DataFrame, name: str) -> DataFrame:
+    """Run a streaming query to its end and read what it wrote."""
+    base = _folder(rows.sparkSession, name)
+    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+def _streamed(spark, sf_dir, build, name):
+    """A streaming query over the events, run to its end."""
     schema = _t(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
-    query = build(price_series(events)).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return _run_stream(build(price_series(events)), name)
+
+
+def stream_live_rows(spark, sf_dir):
+    """Fast bars with the last mid and slow bars closed before them, after five bars of warm-up; an hour's break clears all."""
+    from ..streaming.live import live_rows
+
+    folder = _folder(spark, "bars")
+    for name, seconds in (("fast", MINUTE), ("mid", TEN_MINUTES), ("slow", HOUR)):
+        _as_rows(spark, sf_dir, seconds).withColumn("resolution", F.lit(name)).repartition("stem").write.mode("append").parquet(folder)
+    stored = spark.read.parquet(folder)
+    live = _run_stream(live_rows(spark.readStream.schema(stored.schema).parquet(folder), ["spread_ticks"], warm_up=5, gap_ns=HOUR * 10**9), "live")
+    names = {"spread_ticks@mid": "spread_mid", "spread_ticks@slow": "spread_slow", **{c: c for c in ("avg_mid_spread_abs", "sum_mid_trade_volume", "sum_mid_ofi_net", "avg_fast_spread_abs")}}
+    return live.select("stem", "start_timestamp_ns", *(fixed(F.col(f"`{c}`"), 8).alias(n) for c, n in names.items()))
 
 
 def stream_bars_parity(spark, sf_dir):
@@ -506,10 +623,11 @@ _PLAIN = [
     agg_bars_late_events, win_bar_index_gaps, win_rv_short_long, win_zscore_prior60, win_ewma_normalize, win_mean_normalize, win_flow_interleaved_ewma, win_session_id, flt_warm_up, win_regime_percentile, win_split_ratio,
     win_split_days, win_sequence_48, flt_time_of_day_inclusive, flt_pause_window, prj_feature_map_suffix, fn_signed_log, fn_imbalances, fn_tod, fn_softmax_argmax, join_multires_ffill_bfill, join_asof_last_closed,
     join_cross_res_h1h2, join_realtime_h2_last6, join_range_containing, join_parity_absdiff, join_semi_skip_existing, join_anti_missing, join_sweep_cross, src_parse_roundtrip, book_state_l5, book_quotes, book_flow_diff,
-    agg_bar_aggressor, agg_bar_orderflow_ofi, feat_core_64, fn_level_features, label_first_touch_time, label_first_touch_count, label_bar_highlow, label_targets, agg_label_distribution, agg_class_weights, agg_profile_columns,
+    agg_bar_aggressor, agg_bar_orderflow_ofi, agg_bar_closing_book, feat_core_64, fn_level_features, label_first_touch_time, label_first_touch_count, label_bar_highlow, label_targets, agg_label_distribution, agg_class_weights, agg_profile_columns,
     agg_value_counts_top10, agg_standardize_clip, met_auc_by_day, met_auc_quality, met_accuracy_by_day, met_corr, sim_label_aware, sim_threshold_sweep, sim_replay_tp_sl, agg_trade_summary, agg_half_hour_buckets,
     join_parity_profile, ml_alignment_check, agg_trade_stats, snk_trade_log, snk_trigger_log, set_threshold_union, agg_rows_per_kind, met_model_health,
-    sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma,
+    sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows,
+    snk_preprocess, src_feature_files, src_label_files, src_latest_state, flt_small_files, src_payload_reasons, src_payload_stream, ord_packed_chunks, ord_capped_sample,
 ]
 
 
