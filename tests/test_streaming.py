@@ -103,3 +103,34 @@ def test_live_rows_equal_the_causal_batch_joins(spark, tmp_path):
     keep = lambda df, *c: sorted(tuple(round(r[x], 9) for x in c) for r in df.collect())
     assert keep(spark.table("live"), "start_timestamp_ns", "spread_ticks@mid", "spread_ticks@slow", "avg_mid_spread_abs", "sum_mid_ofi_net") == keep(want, "start_timestamp_ns", "s_mid", "s_slow", "avg_mid_spread_abs", "sum_mid_ofi_net")
     assert spark.table("live").count() == 540 and spark.table("live").where("avg_fast_spread_abs <> 0").count() == 0
+
+
+def test_a_batch_of_features_run_again(spark, tmp_path):
+    """Bars cut by batches, a late row, a stem that rests for a batch, and a batch that runs twice."""
+    import random
+
+    from tickframe.operators.bars import bars
+    from tickframe.operators.book import market_events
+    from tickframe.operators.features import core_features
+    from tickframe.streaming.features import advance, finish, streamed_features
+
+    rng, rows, t = random.Random(5), [], 0
+    for i in range(600):
+        t += rng.choice([0, 1, 1, 2, 9]) * 10**8
+        side = rng.choice(["bid", "ask"])
+        stem = "b" if i % 9 == 0 and not 200 <= i < 400 else "a"
+        at = t - 3 * 10**9 if i in (201, 300) else t
+        if rng.random() < 0.2:
+            rows.append((stem, i, at, "L1", side, None, None, 100.0, float(rng.randint(1, 5))))
+        else:
+            lvl = rng.choice([0, 0, 1, 2])
+            rows.append((stem, i, at, "L2", side, rng.choice(["add", "update", "update", "remove"]), lvl, 100 + (1 + lvl + rng.randint(0, 1)) * (0.25 if side == "ask" else -0.25), float(rng.randint(1, 9))))
+    schema = "stem string, seq long, ts_ns long, kind string, side string, op string, lvl int, price double, size double"
+    out = str(tmp_path / "out")
+    for k, (a, b) in enumerate([(0, 200), (200, 400), (400, 600)]):
+        for _ in range(2 if k == 1 else 1):
+            advance(spark.createDataFrame(rows[a:b], schema), out, k, 1)
+    finish(spark, out, 2, 1)
+    keep = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
+    got, want = keep(streamed_features(spark, out)), keep(core_features(bars(market_events(spark.createDataFrame(rows, schema)), 1), regimes=False))
+    assert len(want) > 100 and got == want

@@ -16,18 +16,32 @@ def usable(bars: DataFrame, tick: float = TICK) -> DataFrame:
     return bars.where((F.col("mid_open") > 0) & (F.col("mid_close") > 0) & F.col("mid_high").isNotNull() & F.col("mid_low").isNotNull() & S.finite("spread_close") & F.col("spread_open").isNotNull())
 
 
-def core_features(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS, regimes: bool = True) -> DataFrame:
-    """Feature rows (stem and the 64 columns) of ``bars``; without ``regimes`` these five columns are 0, as in live use."""
+def prepared(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS, carried: bool = False) -> DataFrame:
+    """Usable bars with returns, depths, averages and variances; ``carried`` as for ``rolling.channels``, with ``alpha`` only."""
     b = usable(bars, tick).withColumns({"mid_return_bar": F.ln(F.col("mid_close") / F.col("mid_open")), "cum_bid": cumulative_depth(F.col("book.bids")), "cum_ask": cumulative_depth(F.col("book.asks"))})
     values = {"vol": "trade_volume_sum", "db": "cum_bid", "da": "cum_ask"}
     pairs = {s: (f"limit_add_{s}_volume", f"limit_cancel_{s}_volume") for s in ("bid", "ask")}
     if alpha is not None:
-        b = R.channels(b, values, pairs, alpha=alpha, eps=eps)
+        b = R.channels(b, values, pairs, alpha=alpha, eps=eps, carried=carried)
     else:
         b = R.normalized(b, values, alpha=None, window=window, eps=eps)
         for side, (add, cancel) in pairs.items():
             b = R.interleaved_flow(b, add, cancel, side, alpha=None, window=window, eps=eps)
-    b = b.withColumns({"rv_var": R.realized_variance("mid_return_bar", rv[0]), "rv_long": R.realized_variance("mid_return_bar", rv[1])}).withColumn("vol_est", F.sqrt("rv_var"))
+    return b.withColumns({"rv_var": R.realized_variance("mid_return_bar", rv[0]), "rv_long": R.realized_variance("mid_return_bar", rv[1])}).withColumn("vol_est", F.sqrt("rv_var"))
+
+
+def core_features(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS, regimes: bool = True) -> DataFrame:
+    """Feature rows (stem and the 64 columns) of ``bars``; without ``regimes`` these five columns are 0, as in live use."""
+    rows = feature_columns(prepared(bars, tick, alpha, window, rv, eps), tick, eps)
+    if regimes:
+        names = {"spread_regime": "spread_ticks", "volatility_regime": "rv_log", "volume_regime": "trade_volume_sum_rel", "speed_regime": "trade_count_log"}
+        metrics = {n: F.col(c) for n, c in names.items()} | {"depth_regime": F.col("cum_bid_size_l_rel") + F.col("cum_ask_size_l_rel")}
+        rows = R.with_regimes(rows, metrics)
+    return rows.select("stem", *FEATURES)
+
+
+def feature_columns(b: DataFrame, tick: float = TICK, eps: float = EPS, *extra: str) -> DataFrame:
+    """stem, the 64 columns of ``prepared`` bars, the regimes 0, and ``extra`` columns."""
     sin, cos, session = S.time_of_day("start_ns")
     traded = (F.col("trade_volume_sum") > eps) & (F.col("trade_count") > 0)
     per_volume = F.abs(F.col("vol_div")) + eps
@@ -84,12 +98,7 @@ def core_features(bars: DataFrame, tick: float = TICK, alpha: float | None = ALP
             out[f"{side}_offset_level_{k}_ticks"] = F.when(there, S.offset_ticks("mid_close", level["price"], tick, side == "bid")).otherwise(0.0)
             out[f"{side}_size_level_{k}_rel"] = F.when(there, level["size"] / F.when(S.finite(div) & (col(div) > 0), col(div)).otherwise(1.0)).otherwise(0.0)
             out[f"{side}_level_{k}_present"] = there.cast("double")
-    rows = b.select("stem", *(out[c].alias(c) for c in FEATURES))
-    if regimes:
-        names = {"spread_regime": "spread_ticks", "volatility_regime": "rv_log", "volume_regime": "trade_volume_sum_rel", "speed_regime": "trade_count_log"}
-        metrics = {n: col(c) for n, c in names.items()} | {"depth_regime": col("cum_bid_size_l_rel") + col("cum_ask_size_l_rel")}
-        rows = R.with_regimes(rows, metrics)
-    return rows.select("stem", *FEATURES)
+    return b.select("stem", *(out[c].alias(c) for c in FEATURES), *extra)
 
 
 def feature_map(rows: DataFrame, columns: list[str], suffix: str = "") -> DataFrame:

@@ -41,11 +41,6 @@ def _averages(values: np.ndarray, alpha: float, seed: float | None = None) -> np
     return pd.Series(np.append(start, values)).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start) :]
 
 
-def _known_before(values: np.ndarray, alpha: float) -> np.ndarray:
-    """The average before each value, 1 before the first."""
-    return np.append(1.0, _averages(values, alpha)[:-1]) if len(values) else values
-
-
 def ewma(df: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("stem",), order: tuple[str, ...] = ("bar_index",), alpha: float = ALPHA, seeds: dict[str, float] | None = None) -> DataFrame:
     """Adds, for each output: input, the exponentially weighted mean up to each row, (1 - alpha) * last + alpha * value.
 
@@ -55,20 +50,34 @@ def ewma(df: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("stem",
     return _folded(df, keys, order, list(values), lambda get: {n: _averages(get(c), alpha, seeds.get(n)) for n, c in values.items()})
 
 
-def channels(df: DataFrame, values: dict[str, str], pairs: dict[str, tuple[str, str]], keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS) -> DataFrame:
-    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one fold."""
+def _carried(values: np.ndarray, alpha: float, was: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The average before and after each value; ``was`` holds what it was after the first values, NaN after the others."""
+    k = 0 if was is None else int((~np.isnan(was)).sum())
+    after = np.append(was[:k] if k else [], _averages(values[k:], alpha, was[k - 1] if k else None))
+    return np.append(1.0, after[:-1]) if len(values) else values, after
+
+
+def channels(df: DataFrame, values: dict[str, str], pairs: dict[str, tuple[str, str]], keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS, carried: bool = False) -> DataFrame:
+    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one fold.
+
+    ``carried`` adds ``<name>_after``, the average after each row, and takes ``<name>_was``: the same of a group's
+    first rows, where an earlier run ended, and null after. What those rows get besides is of no use.
+    """
     names = [f"{n}_{x}" for n in values for x in ("div", "rel")] + [f"{n}_{x}_rel" for n in pairs for x in ("add", "cancel")]
+    names += [f"{n}_after" for n in (*values, *pairs)] if carried else []
 
     def fold(get):
         out = {}
         for n, c in values.items():
             v = get(c)
-            out[f"{n}_div"] = np.abs(_known_before(v, alpha)) + eps
+            before, out[f"{n}_after"] = _carried(v, alpha, get(f"{n}_was") if carried else None)
+            out[f"{n}_div"] = np.abs(before) + eps
             out[f"{n}_rel"] = v / out[f"{n}_div"]
         for n, (add, cancel) in pairs.items():
             both = np.column_stack([get(add), get(cancel)]).ravel()
-            rel = both / (np.abs(_known_before(both, alpha)) + eps)
-            out[f"{n}_add_rel"], out[f"{n}_cancel_rel"] = rel[::2], rel[1::2]
+            before, after = _carried(both, alpha, np.repeat(get(f"{n}_was"), 2) if carried else None)
+            rel = both / (np.abs(before) + eps)
+            out[f"{n}_add_rel"], out[f"{n}_cancel_rel"], out[f"{n}_after"] = rel[::2], rel[1::2], after[1::2]
         return out
 
     return _folded(df, keys, order, names, fold)

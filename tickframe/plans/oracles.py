@@ -363,6 +363,7 @@ FROM (SELECT *, CAST(greatest(up_prob, down_prob) AS DOUBLE) >= CAST(t / 100.0 A
     o["agg_bar_orderflow_ofi"] = market + "SELECT stem, bar_index, event_count, mid_open, mid_high, mid_low, mid_close, spread_open, spread_close, limit_add_bid_volume, limit_add_ask_volume, limit_cancel_bid_volume, limit_cancel_ask_volume, ofi_bid, ofi_ask FROM mb"
     o["fn_level_features"] = _level_features()
     o["feat_core_64"] = _core_features(600)
+    o["stream_core_64"] = "SELECT * REPLACE (" + ", ".join(f"CAST(0.0 AS DOUBLE) AS {n}_regime" for n in ("spread", "depth", "volume", "volatility", "speed")) + f") FROM ({_core_features(600)}) t"
     worth_of = lambda s, n: " + ".join(f"{s}{k}_price * {s}{k}_size" for k in range(n))
     depth_of = lambda s: " + ".join(f"{s}{k}_size" for k in range(5))
     o["agg_bar_closing_book"] = _with(PL2, STATE, QUOTES, FLOWS, MARKET, "lastq AS (SELECT stem, bar_id, max(pos) AS pos FROM eb WHERE kind = 'quote' GROUP BY 1, 2)") + "SELECT mb.stem, bar_index, " + ", ".join(

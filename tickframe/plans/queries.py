@@ -19,7 +19,7 @@ from ..operators.book import book_state, cumulative_depth, market_events, order_
 from ..operators.features import core_features, feature_map, usable, vector
 from ..operators.score import scored
 from ..schemas import FEATURES
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources import files, logs
 from .preprocess import preprocess
 
@@ -600,6 +600,22 @@ def stream_live_rows(spark, sf_dir):
     return live.select("stem", "start_timestamp_ns", *(fixed(F.col(f"`{c}`"), 8).alias(n) for c, n in names.items()))
 
 
+def stream_core_64(spark, sf_dir):
+    """All 64 columns from a log that comes in three parts, cut within bars, the stream started anew for each; the last bars are closed at its end."""
+    from ..streaming import features as live
+
+    folder, out = _folder(spark, "log"), _folder(spark, "core")
+    rows = written(_log(spark, sf_dir), "log")
+    most = rows.agg(F.max("seq")).first()[0] or 0
+    part = F.least(F.expr(f"seq * 3 div {most + 1}"), F.lit(2))
+    for k in range(3):
+        rows.where(part == k).write.parquet(f"{folder}/part={k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/part=*")
+        live.stream_features(stream, out, f"{out}/checkpoint", TEN_MINUTES).awaitTermination()
+    live.finish(spark, out, 2, TEN_MINUTES)
+    return _rounded(live.streamed_features(spark, out), *FEATURES[3:], digits=5)
+
+
 def stream_bars_parity(spark, sf_dir):
     """Bars closed by a streaming query; each stem's last bar is still open."""
     from ..streaming.bars import stream_bars
@@ -626,7 +642,7 @@ _PLAIN = [
     agg_bar_aggressor, agg_bar_orderflow_ofi, agg_bar_closing_book, feat_core_64, fn_level_features, label_first_touch_time, label_first_touch_count, label_bar_highlow, label_targets, agg_label_distribution, agg_class_weights, agg_profile_columns,
     agg_value_counts_top10, agg_standardize_clip, met_auc_by_day, met_auc_quality, met_accuracy_by_day, met_corr, sim_label_aware, sim_threshold_sweep, sim_replay_tp_sl, agg_trade_summary, agg_half_hour_buckets,
     join_parity_profile, ml_alignment_check, agg_trade_stats, snk_trade_log, snk_trigger_log, set_threshold_union, agg_rows_per_kind, met_model_health,
-    sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows,
+    sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows, stream_core_64,
     snk_preprocess, src_feature_files, src_label_files, src_latest_state, flt_small_files, src_payload_reasons, src_payload_stream, ord_packed_chunks, ord_capped_sample,
 ]
 
