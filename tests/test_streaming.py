@@ -118,8 +118,8 @@ def test_a_batch_of_features_run_again(spark, tmp_path):
     for i in range(600):
         t += rng.choice([0, 1, 1, 2, 9]) * 10**8
         side = rng.choice(["bid", "ask"])
-        stem = "b" if i % 9 == 0 and not 200 <= i < 400 else "a"
-        at = t - 3 * 10**9 if i in (201, 300) else t
+        stem = "b" if i % 10 == 0 and i < 300 else "a"
+        at = t - 3 * 10**9 if i in (301, 400) else t
         if rng.random() < 0.2:
             rows.append((stem, i, at, "L1", side, None, None, 100.0, float(rng.randint(1, 5))))
         else:
@@ -127,10 +127,10 @@ def test_a_batch_of_features_run_again(spark, tmp_path):
             rows.append((stem, i, at, "L2", side, rng.choice(["add", "update", "update", "remove"]), lvl, 100 + (1 + lvl + rng.randint(0, 1)) * (0.25 if side == "ask" else -0.25), float(rng.randint(1, 9))))
     schema = "stem string, seq long, ts_ns long, kind string, side string, op string, lvl int, price double, size double"
     out = str(tmp_path / "out")
-    for k, (a, b) in enumerate([(0, 200), (200, 400), (400, 600)]):
-        for _ in range(2 if k == 1 else 1):
+    for k, (a, b) in enumerate([(0, 300), (300, 600)]):
+        for _ in range(1 + k):
             advance(spark.createDataFrame(rows[a:b], schema), out, k, 1)
-    finish(spark, out, 2, 1)
+    finish(spark, out, 1, 1)
     keep = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
     got, want = keep(streamed_features(spark, out)), keep(core_features(bars(market_events(spark.createDataFrame(rows, schema)), 1), regimes=False))
     assert len(want) > 100 and got == want
