@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import chat_digests
 from .decontaminate import contamination
+from .fill_middle import fill_digests
 from .fingerprints import fingerprints
 from .language_id import identify
+from .lm_scoring import language_model_scores
 from .near_dedup import near_duplicates
 from .pii import personal_data
 from .sentencepiece_sampling import sample_pieces
 from .substring_dedup import substring_dedup
 from .token_counts import middle_edit, token_counts
 from .token_store import token_store
+from .whitening import whitened_components
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +68,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_token_counts, op4_substring_dedup, op5_decontamination, op6_sentencepiece, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii)}
+    found = (
+        op1_language_id, op2_near_dedup, op3_token_counts, op4_substring_dedup, op5_decontamination, op6_sentencepiece, op7_token_store, op8_fingerprints, op9_chat_format, op10_pii, op11_whitening, op12_fill_middle, op13_lm_scoring,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP2 = r"""
@@ -155,5 +173,29 @@ FROM e GROUP BY conv_id
 """
 
 
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+r AS (
+  SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3,
+         CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (
+  SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle,
+         coalesce(array_to_string(u[b + 1:n], ''), '') AS suffix FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontamination": OP5, "op9_chat_format": OP9}
+    return {"op2_near_dedup": OP2, "op4_substring_dedup": OP4, "op5_decontamination": OP5, "op9_chat_format": OP9, "op12_fill_middle": OP12}
