@@ -137,9 +137,9 @@ def symmetric_qr(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0), np.zeros((0, 0))
     d, e, q = tridiagonal(a)
-    eps, end = np.finfo(float).eps, n - 1
+    eps, end, least = np.finfo(float).eps, n - 1, np.finfo(float).eps ** 2 * np.abs(a).max()
     while end > 0:
-        small = np.abs(e[:end]) <= eps * (np.abs(d[:end]) + np.abs(d[1 : end + 1]))
+        small = np.abs(e[:end]) <= np.maximum(eps * (np.abs(d[:end]) + np.abs(d[1 : end + 1])), least)
         if small[end - 1]:
             e[end - 1] = 0.0
             end -= 1
@@ -217,12 +217,12 @@ def dimensions(rows: DataFrame) -> int:
 
 def fit(rows: DataFrame, dims: int, components: int = COMPONENTS) -> Whitener | None:
     """Fit on all ``rows`` (embedding of ``dims`` entries); none for no rows or no entries."""
-    found = moments(rows, dims, lambda batch: on_grid(matrix(batch, dims)), True) if dims else None
+    found = moments(rows, dims, lambda batch: on_grid(matrix(batch, dims)) - SHIFT, True) if dims else None  # small numbers round least
     if not found or not found.n:
         return None
     v = found.covariance
     values, components_of = symmetric_qr(v)
-    return Whitener(found.n, found.sums, values[:components], components_of[:components], float(np.trace(v)))
+    return Whitener(found.n, found.sums + found.n * SHIFT, values[:components], components_of[:components], float(np.trace(v)))
 
 
 def identity_error(rows: DataFrame, model: Whitener) -> float | None:
