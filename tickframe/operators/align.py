@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import TICK
+from .spans import SPAN, earlier, in_spans, inside, later, with_carried
 
 
-def fill_both_ways(df: DataFrame, columns: list[str], keys=("stem",), order="start_timestamp_ns") -> DataFrame:
-    """Nulls take the last value before them, then the first after them."""
-    by = Window.partitionBy(*keys).orderBy(order)
+#: Time of one span of a stem that is filled: at most so many ns of rows.
+FILL_NS = 1 << 44
+#: Rows from which one key's as-of join is cut into spans of about so many.
+HOT_ROWS = 1 << 20
+
+
+def fill_both_ways(df: DataFrame, columns: list[str], keys=("stem",), order="start_timestamp_ns", width: int | None = None) -> DataFrame:
+    """Nulls take the last value before them, then the first after them.
+
+    A key is worked on in spans of ``width`` of ``order``, a whole number; ``df`` is read twice.
+    """
+    rows = in_spans(df, order, width or FILL_NS)
+    there = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    spans = rows.groupBy(*keys, SPAN).agg(*(F.max_by(c, there(c)).alias(f"_b_{c}") for c in columns), *(F.min_by(c, there(c)).alias(f"_a_{c}") for c in columns))
+    carried = spans.select(*keys, SPAN, *(F.last(F.col(f"`_b_{c}`"), ignorenulls=True).over(earlier(keys)).alias(f"_b_{c}") for c in columns), *(F.first(F.col(f"`_a_{c}`"), ignorenulls=True).over(later(keys)).alias(f"_a_{c}") for c in columns))
+    by = inside(keys, [order])
     back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in columns})
-    return df.withColumns({c: F.first(c, ignorenulls=True).over(ahead) for c in columns})
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"`_b_{c}`"), F.first(c, ignorenulls=True).over(ahead), F.col(f"`_a_{c}`")) for c in columns}
+    out = with_carried(rows, carried, keys)
+    return out.select(*((filled[c].alias(c) if c in filled else F.col(f"`{c}`")) for c in df.columns))
 
 
 def multi_resolution(primary: DataFrame, others: dict[str, DataFrame], columns: list[str], on: str = "start_timestamp_ns") -> DataFrame:
@@ -33,17 +48,38 @@ def multi_resolution(primary: DataFrame, others: dict[str, DataFrame], columns:
 def as_of(left: DataFrame, right: DataFrame, columns: list[str], keys=("stem",), left_on="ts_ns", right_on="ts_ns", right_first: bool = True) -> DataFrame:
     """Left rows with the right row's columns of the greatest time not after theirs (before it, unless ``right_first``).
 
-    One union and one window, so each side is shuffled once and no pairs are made.
+    One union and one window, so no pairs are made. A key of more than ``HOT_ROWS`` rows is cut into spans of time by a
+    sample of its rows; the last right row of each span is handed to the next ones. Rows of one key and one time stay together.
     """
     l = left.withColumns({"_at": F.col(left_on), "_side": F.lit(1)}).withColumn("_row", F.struct(*left.columns)).select(*keys, "_at", "_side", "_row", F.lit(None).alias("_hit"))
     r = right.select(*keys, F.col(right_on).alias("_at"), F.lit(0 if right_first else 2).alias("_side"), F.struct(*columns).alias("_hit"))
     kind = r.schema["_hit"].dataType
     both = l.withColumn("_hit", F.col("_hit").cast(kind)).unionByName(r, allowMissingColumns=True)
-    so_far = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("_hit", F.last("_hit", ignorenulls=True).over(so_far)).where("_side = 1")
+    both = _cut_by_time(both, keys)
+    order = F.struct("_at", "_side")
+    last = both.where("_cuts is not null").groupBy(*keys, SPAN).agg(F.max_by("_hit", F.when(F.col("_hit").isNotNull(), order)).alias("_last"))
+    carried = last.select(*keys, SPAN, F.last("_last", ignorenulls=True).over(earlier(keys)).alias("_before"))
+    so_far = inside(keys, ["_at", "_side"]).rowsBetween(Window.unboundedPreceding, 0)
+    both = with_carried(both, carried, keys).withColumn("_hit", F.coalesce(F.last("_hit", ignorenulls=True).over(so_far), "_before")).where("_side = 1")
     return both.select("_row.*", *(F.col(f"_hit.{c}").alias(c) for c in columns))
 
 
+def _cut_by_time(rows: DataFrame, keys) -> DataFrame:
+    """Adds ``_cuts``, the times at which a hot key is cut (null for any other key), and the span of each row."""
+    each = 8  # sampled rows a span
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).drop("_n")
+    hot = hot.select(*(F.col(k).alias(f"_on_{k}") for k in keys))
+    picked = rows.where(F.pmod(F.xxhash64(*keys, "_at", "_side", "_row", "_hit"), F.lit(max(1, HOT_ROWS // each))) == 0)
+    picked = picked.join(hot, [picked[k].eqNullSafe(hot[f"_on_{k}"]) for k in keys], "left_semi").where("_at is not null")
+    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_cuts"))
+    cuts = cuts.select(*(F.col(k).alias(f"_on_{k}") for k in keys), F.array_distinct(F.filter("_cuts", lambda x, i: i % each == each - 1)).alias("_cuts"))
+    met = rows.join(cuts, [rows[k].eqNullSafe(cuts[f"_on_{k}"]) for k in keys], "left").drop(*(f"_on_{k}" for k in keys))
+    # The number of cuts up to a row's time, by bisection.
+    steps = "sequence(cast(floor(log2(greatest(size(_cuts), 1))) as int), 0, -1)"
+    at = f"aggregate(transform({steps}, k -> shiftleft(1, k)), 0, (lo, p) -> if(get(_cuts, lo + p - 1) <= _at, lo + p, lo))"
+    return met.withColumn(SPAN, F.when(F.col("_cuts").isNotNull(), F.expr(at)).otherwise(0).cast("bigint"))
+
+
 def range_containing(left: DataFrame, right: DataFrame, columns: list[str], width_ns: int, at: str = "start_timestamp_ns", start: str = "start_timestamp_ns", end: str = "end_timestamp_ns") -> DataFrame:
     """Left rows with the right interval [start, end) that holds them; intervals are at most ``width_ns`` long. An equi-join on time buckets."""
     r = right.select("stem", F.col(start).alias("_s"), F.col(end).alias("_e"), *columns).withColumn("_bucket", F.explode(F.array_distinct(F.array(F.expr(f"_s div {width_ns}"), F.expr(f"(_e - 1) div {width_ns}")))))

@@ -6,17 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from .spans import SPAN, earlier, in_spans, inside, with_carried
 
 
 def assign_bars(events: DataFrame, seconds: float, order: tuple[str, ...] = ("seq",)) -> DataFrame:
     """Adds bar_id and bar_index: a bar closes only when a later one begins, so a late event joins the bar that is open.
 
-    bar_id is the period of the latest time so far; empty periods make no bar but count in bar_index.
+    bar_id is the period of the latest time so far; empty periods make no bar but count in bar_index. A stem is worked on
+    in spans of ``order``'s first column, a whole number; the events are read twice, so store them first where they are costly.
     """
-    so_far = Window.partitionBy("stem").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    bar = F.expr(f"_latest div {int(seconds * 1e9)}")
-    out = events.withColumn("_latest", F.max("ts_ns").over(so_far)).withColumn("bar_id", bar).drop("_latest")
-    return out.withColumn("bar_index", F.col("bar_id") - F.min("bar_id").over(Window.partitionBy("stem")))
+    period = int(seconds * 1e9)
+    rows = in_spans(events, order[0])
+    # Of each span: its latest time, and its first one for the stem's first bar.
+    spans = rows.groupBy("stem", SPAN).agg(F.max("ts_ns").alias("_top"), F.min_by("ts_ns", F.when(F.col("ts_ns").isNotNull(), F.struct(*order))).alias("_lead"))
+    whole = Window.partitionBy("stem").orderBy(SPAN).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = spans.select("stem", SPAN, F.max("_top").over(earlier(["stem"])).alias("_known"), F.first("_lead", ignorenulls=True).over(whole).alias("_first"))
+    so_far = inside(["stem"], order).rowsBetween(Window.unboundedPreceding, 0)
+    out = with_carried(rows, carried, ["stem"]).withColumn("_latest", F.greatest(F.max("ts_ns").over(so_far), "_known"))
+    out = out.withColumns({"bar_id": F.expr(f"_latest div {period}"), "bar_index": F.expr(f"_latest div {period} - _first div {period}")})
+    return out.drop("_latest", "_known", "_first", SPAN)
 
 
 def price_bars(series: DataFrame, seconds: float) -> DataFrame:
@@ -26,6 +34,14 @@ def price_bars(series: DataFrame, seconds: float) -> DataFrame:
     ).withColumn("start_ns", F.col("bar_id") * int(seconds * 1e9))
 
 
+def rolled_up(fine: DataFrame, times: int, seconds: float) -> DataFrame:
+    """Price bars of ``seconds`` made of those ``times`` shorter; the same as from the series, since both follow the latest time so far."""
+    coarse = fine.withColumns({"fine_id": F.col("bar_id"), "_bar": F.expr(f"bar_id div {times}"), "_index": F.expr(f"bar_id div {times} - (bar_id - bar_index) div {times}")})
+    return coarse.groupBy("stem", F.col("_bar").alias("bar_id"), F.col("_index").alias("bar_index")).agg(
+        F.min_by("open", "fine_id").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "fine_id").alias("close"), F.sum("volume").alias("volume"), F.sum("n_events").alias("n_events")
+    ).withColumn("start_ns", F.col("bar_id") * int(seconds * 1e9))
+
+
 def _ofi(new_px: str, new_sz: str, old_px: str, old_sz: str, up: int) -> Column:
     """Signed volume of a top that improved, fell back or changed size; ``up`` is 1 for bids, -1 for asks."""
     n, o, s, t = F.col(new_px), F.col(old_px), F.col(new_sz), F.col(old_sz)
@@ -41,10 +57,10 @@ def bars(events: DataFrame, seconds: float) -> DataFrame:
     it have no distance but count.
     """
     rows = assign_bars(events, seconds, ("seq", "sub"))
-    inside = Window.partitionBy("stem", "bar_id").orderBy("seq", "sub")
+    in_bar = Window.partitionBy("stem", "bar_id").orderBy("seq", "sub")
     quote = F.col("kind") == "quote"
     # A top with no quote before it in its bar stays null.
-    last = lambda c: F.last(F.when(quote, F.col(c)), ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    last = lambda c: F.last(F.when(quote, F.col(c)), ignorenulls=True).over(in_bar.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumns({f"old_{c}": last(c) for c in ("bid_px", "bid_sz", "ask_px", "ask_sz")})
     rows = rows.withColumns({"at": F.struct("seq", "sub"), "spread": F.col("ask_px") - F.col("bid_px")})
     mid_ok, spread_ok = quote & finite("mid") & (F.col("mid") > 0), quote & finite("spread") & (F.col("spread") >= 0)

@@ -8,9 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalar import finite, signed_log
 from ..schemas import ALPHA, EPS
+from ..session import written
+from .spans import SPAN, in_spans
 
 MAX_Z = 8.0
 
@@ -41,13 +44,78 @@ def _averages(values: np.ndarray, alpha: float, seed: float | None = None) -> np
     return pd.Series(np.append(start, values)).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start) :]
 
 
+def _scanned(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], names: list[str], series: dict[str, tuple[str, ...]], alpha: float, seeds: dict[str, float], finish) -> DataFrame:
+    """Adds columns ``names`` that ``finish`` makes of a span of rows in order and of each series' average before the span.
+
+    A step of an average is the map x -> (1 - alpha) x + alpha v, and so a span is x -> a x + b. Spans are summed up side by
+    side, the maps of one key are composed in order (one number a span), and each span is finished from what came
+    before it. ``series`` names the input columns of each average; more than one take their turns in every row.
+    """
+    known = in_spans(df, order[0])
+    flat = lambda table, columns: np.column_stack([table.column(c).to_numpy().astype(float) for c in columns]).ravel()
+    kinds = [df.schema[k] for k in keys] + [T.StructField(SPAN, T.LongType())]
+    summed = T.StructType(kinds + [T.StructField(f"_{x}_{n}", T.DoubleType()) for n in series for x in ("a", "b", "first")])
+    started = T.StructType(kinds + [T.StructField(f"_x_{n}", T.DoubleType()) for n in series])
+
+    def one_row(key, values: dict) -> pa.Table:
+        return pa.table({**{k: pa.array([v.as_py()], v.type) for k, v in zip([*keys, SPAN], key)}, **{n: pa.array([v], pa.float64()) for n, v in values.items()}})
+
+    def summary(key, table):
+        table, out = table.sort_by([(o, "ascending") for o in order]), {}
+        for n, columns in series.items():
+            v = flat(table, columns)
+            v = v[~np.isnan(v)]
+            out |= {f"_a_{n}": (1 - alpha) ** len(v), f"_b_{n}": float(_averages(v, alpha, 0.0)[-1]) if len(v) else 0.0, f"_first_{n}": float(v[0]) if len(v) else None}
+        return one_row(key, out)
+
+    def compose(key, table):
+        table = table.sort_by([(SPAN, "ascending")])
+        for n in series:
+            a, b, first = (table.column(f"_{x}_{n}").to_pylist() for x in ("a", "b", "first"))
+            now, before = seeds.get(n), []
+            for i in range(table.num_rows):
+                before.append(now)
+                start = first[i] if now is None else now
+                now = None if start is None else a[i] * start + b[i]
+            table = table.append_column(f"_x_{n}", pa.array(before, pa.float64()))
+        return table.select([*keys, SPAN, *(f"_x_{n}" for n in series)])
+
+    spans = known.groupBy(*keys, SPAN).applyInArrow(summary, summed)
+    carried = spans.groupBy(*keys).applyInArrow(compose, started)
+    out = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(key, rows, carry):
+        if not rows.num_rows:
+            return out_shape.empty_table()
+        rows = rows.sort_by([(o, "ascending") for o in order])
+        start = {n: carry.column(f"_x_{n}")[0].as_py() for n in series}
+        made = finish(lambda *c: flat(rows, c), start)
+        rows = rows.drop_columns([SPAN])
+        for n in names:
+            rows = rows.append_column(n, pa.array(made[n], pa.float64()))
+        return rows
+
+    out_shape = to_arrow_schema(out)
+    return known.groupBy(*keys, SPAN).cogroup(carried.groupBy(*keys, SPAN)).applyInArrow(run, out)
+
+
+def _from(values: np.ndarray, alpha: float, start: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """The average before and after each value, from ``start`` on; before the first one it is 1, and a missing value leaves it as it was."""
+    after, there = np.full(len(values), np.nan), ~np.isnan(values)
+    after[there] = _averages(values[there], alpha, start)
+    after = pd.Series(np.append(np.nan if start is None else start, after)).ffill().to_numpy()
+    before, after = after[:-1], after[1:]
+    return np.where(np.isnan(before), 1.0, before), after
+
+
 def ewma(df: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("stem",), order: tuple[str, ...] = ("bar_index",), alpha: float = ALPHA, seeds: dict[str, float] | None = None) -> DataFrame:
     """Adds, for each output: input, the exponentially weighted mean up to each row, (1 - alpha) * last + alpha * value.
 
-    The first value, or its seed, starts the recursion. It has no bounded window, so groups are folded.
+    The first value, or its seed, starts the recursion; null and NaN leave it as it was. Spans of ``order``'s first column,
+    a whole number, are worked on side by side.
     """
-    seeds = seeds or {}
-    return _folded(df, keys, order, list(values), lambda get: {n: _averages(get(c), alpha, seeds.get(n)) for n, c in values.items()})
+    series = {n: (c,) for n, c in values.items()}
+    return _scanned(df, tuple(keys), tuple(order), list(values), series, alpha, seeds or {}, lambda get, start: {n: _from(get(c), alpha, start[n])[1] for n, c in values.items()})
 
 
 def _carried(values: np.ndarray, alpha: float, was: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -58,28 +126,37 @@ def _carried(values: np.ndarray, alpha: float, was: np.ndarray | None) -> tuple[
 
 
 def channels(df: DataFrame, values: dict[str, str], pairs: dict[str, tuple[str, str]], keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS, carried: bool = False) -> DataFrame:
-    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one fold.
+    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one scan over spans.
 
     ``carried`` adds ``<name>_after``, the average after each row, and takes ``<name>_was``: the same of a group's
-    first rows, where an earlier run ended, and null after. What those rows get besides is of no use.
+    first rows, where an earlier run ended, and null after. What those rows get besides is of no use. A group is then
+    folded whole: it is a micro-batch's.
     """
     names = [f"{n}_{x}" for n in values for x in ("div", "rel")] + [f"{n}_{x}_rel" for n in pairs for x in ("add", "cancel")]
     names += [f"{n}_after" for n in (*values, *pairs)] if carried else []
 
-    def fold(get):
+    def made(get, averages):
+        """``averages`` gives what was before and after each of a series' values."""
         out = {}
         for n, c in values.items():
-            v = get(c)
-            before, out[f"{n}_after"] = _carried(v, alpha, get(f"{n}_was") if carried else None)
+            before, out[f"{n}_after"] = averages(n, get(c))
             out[f"{n}_div"] = np.abs(before) + eps
-            out[f"{n}_rel"] = v / out[f"{n}_div"]
-        for n, (add, cancel) in pairs.items():
-            both = np.column_stack([get(add), get(cancel)]).ravel()
-            before, after = _carried(both, alpha, np.repeat(get(f"{n}_was"), 2) if carried else None)
+            out[f"{n}_rel"] = get(c) / out[f"{n}_div"]
+        for n, columns in pairs.items():
+            both = get(*columns)
+            before, after = averages(n, both)
             rel = both / (np.abs(before) + eps)
             out[f"{n}_add_rel"], out[f"{n}_cancel_rel"], out[f"{n}_after"] = rel[::2], rel[1::2], after[1::2]
         return out
 
+    if not carried:
+        series = {n: (c,) for n, c in values.items()} | pairs
+        return _scanned(df, tuple(keys), tuple(order), names, series, alpha, {}, lambda get, start: made(get, lambda n, v: _from(v, alpha, start[n])))
+
+    def fold(get):
+        was = lambda n, v: _carried(v, alpha, np.repeat(get(f"{n}_was"), 2 if n in pairs else 1))
+        return made(lambda *c: np.column_stack([get(x) for x in c]).ravel(), was)
+
     return _folded(df, keys, order, names, fold)
 
 
@@ -149,24 +226,57 @@ def after_warm_up(df: DataFrame, rows: int, keys=("stem", "session_id"), order=(
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") > rows).drop("_n")
 
 
-def with_regimes(df: DataFrame, metrics: dict[str, Column], keys=("stem",)) -> DataFrame:
-    """Adds -1, 0 or 1 for each name: below, between or above the stem's 33rd and 66th percentiles by nearest rank.
+#: Ranks that ``nearest_ranks`` brackets: one of so many.
+ACCURACY = 10_000
+
 
-    This looks ahead over the whole stem. Fewer than three finite values give 0.
+def nearest_ranks(long: DataFrame, keys: tuple[str, ...], shares: tuple[float, ...]) -> DataFrame:
+    """keys, n, and ``ranks``: the values of rank int((n - 1) * share + 0.5), counted from 0, among each key's ``value``s; no null is there.
+
+    A sketch of each key brackets every rank; values below a bracket are counted, those inside it are ranked. Brackets hold
+    a few in ``ACCURACY`` of a key's distinct ranks; where a sketch missed its rank, the whole key is the bracket. So no key
+    is sorted whole. ``long`` is read three times: store it first.
     """
-    whole = Window.partitionBy(*keys)
-    df = df.withColumns({f"_m_{n}": F.when(finite(m), m).cast("double") for n, m in metrics.items()})
+    slack = 3.0 / ACCURACY
+    edges = [x for p in shares for x in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = long.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("value", edges, ACCURACY).alias("_e"), F.min("value").alias("_low"), F.max("value").alias("_high"))
+    rank = lambda p: F.floor((F.col("n") - 1) * F.lit(p) + 0.5).cast("bigint")
+    met = _met(long, sketch, keys)
+    below, upto = lambda i: F.col("value") < F.col("_e")[2 * i], lambda i: F.col("value") <= F.col("_e")[2 * i + 1]
+    counts = met.groupBy(*keys).agg(F.first("n").alias("n"), F.first("_e").alias("_e"), F.first("_low").alias("_low"), F.first("_high").alias("_high"), *(F.sum(f(i).cast("bigint")).alias(f"_{x}{i}") for i in range(len(shares)) for x, f in (("b", below), ("u", upto))))
+    good = lambda i, p: (F.col(f"_b{i}") <= rank(p)) & (rank(p) < F.col(f"_u{i}"))
+    wanted = F.array(*(
+        F.struct(F.lit(i).alias("which"), F.when(good(i, p), F.col("_e")[2 * i]).otherwise(F.col("_low")).alias("low"), F.when(good(i, p), F.col("_e")[2 * i + 1]).otherwise(F.col("_high")).alias("high"), (rank(p) - F.when(good(i, p), F.col(f"_b{i}")).otherwise(0)).alias("at"))
+        for i, p in enumerate(shares)
+    ))
+    brackets = counts.select(*keys, "n", F.explode(wanted).alias("_w")).select(*keys, "n", "_w.*")
+    held = _met(long, brackets, keys).where("value >= low and value <= high")
+    # Equal values are one row with their number: ties don't gather either.
+    held = held.groupBy(*keys, "n", "which", "at", "value").agg(F.count("*").alias("_c"))
+    so_far = F.sum("_c").over(Window.partitionBy(*keys, "which").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    found = held.withColumn("_upto", so_far).where((F.col("_upto") > F.col("at")) & (F.col("_upto") - F.col("_c") <= F.col("at")))
+    return found.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("which", "value"))), lambda x: x["value"]).alias("ranks"))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Rows with their key's columns of ``right``; null keys meet null keys."""
+    other = right.select(*(F.col(k).alias(f"_on_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    return left.join(other, [left[k].eqNullSafe(other[f"_on_{k}"]) for k in keys], "left").drop(*(f"_on_{k}" for k in keys))
 
-    names = list(metrics)
 
-    def fold(get):
-        out = {}
-        for n in names:
-            v = get(f"_m_{n}")
-            known = np.sort(v[~np.isnan(v)])
-            lo, hi = (known[int((len(known) - 1) * p + 0.5)] for p in (0.33, 0.66)) if len(known) >= 3 else (-np.inf, np.inf)
-            out[n] = np.where(v < lo, -1.0, np.where(v > hi, 1.0, 0.0))
-        return out
+def with_regimes(df: DataFrame, metrics: dict[str, Column], keys=("stem",)) -> DataFrame:
+    """Adds -1, 0 or 1 for each name: below, between or above the stem's 33rd and 66th percentiles by nearest rank.
 
-    # One pass of a stem's group for all metrics, where windows would sort the stem once for each.
-    return _folded(df.drop(*metrics), keys, (), names, fold).drop(*(f"_m_{n}" for n in metrics))
+    This looks ahead over the whole stem. Fewer than three finite values give 0. The rows are stored first, and each
+    stem's two ranks of all metrics are selected without sorting it.
+    """
+    keys, names = tuple(keys), list(metrics)
+    rows = df.withColumns({f"_m_{n}": F.when(finite(m), m).cast("double") for n, m in metrics.items()}).drop(*names)
+    rows = written(rows, "regimes")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"_m_{n}").alias("value")) for n in names)))
+    long = rows.select(*keys, each.alias("_x")).select(*keys, "_x.*").where("value is not null")
+    ranks = nearest_ranks(long, (*keys, "metric"), (0.33, 0.66)).where("n >= 3")
+    wide = ranks.groupBy(*keys).agg(*(F.first(F.when(F.col("metric") == n, F.col("ranks")), ignorenulls=True).alias(f"_r_{n}") for n in names))
+    side = lambda n: F.when(F.col(f"_m_{n}") < F.col(f"_r_{n}")[0], -1.0).when(F.col(f"_m_{n}") > F.col(f"_r_{n}")[1], 1.0).otherwise(0.0)
+    out = _met(rows, wide, keys).withColumns({n: side(n) for n in names})
+    return out.drop(*(f"_{x}_{n}" for x in "mr" for n in names))

@@ -14,7 +14,7 @@ from ..functions import filters
 from ..functions import scalar as S
 from ..functions.scalar import fixed
 from ..operators import align, dataset, labels, metrics, profile, rolling, simulate
-from ..operators.bars import assign_bars, bars, price_bars
+from ..operators.bars import assign_bars, bars, price_bars, rolled_up
 from ..operators.book import book_state, cumulative_depth, market_events, order_flow, quotes, resized
 from ..operators.features import core_features, feature_map, usable, vector
 from ..operators.score import scored
@@ -43,6 +43,12 @@ def _price_bars(spark, sf_dir, seconds) -> DataFrame:
     return price_bars(_series(spark, sf_dir), seconds)
 
 
+def _resolutions(spark, sf_dir) -> list[DataFrame]:
+    """Price bars of a minute, ten minutes and an hour; the events are read once."""
+    fast = written(_price_bars(spark, sf_dir, MINUTE), "bars")
+    return [fast, rolled_up(fast, TEN_MINUTES // MINUTE, TEN_MINUTES), rolled_up(fast, HOUR // MINUTE, HOUR)]
+
+
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: fixed(c, digits) for c in columns})
 
@@ -170,8 +176,8 @@ def fn_softmax_argmax(spark, sf_dir):
 
 # --------------------------------------------------------------------------- joins
 def join_multires_ffill_bfill(spark, sf_dir):
-    keep = lambda n: _price_bars(spark, sf_dir, n).withColumnRenamed("start_ns", "start_timestamp_ns")
-    out = align.multi_resolution(keep(MINUTE), {"mid": keep(TEN_MINUTES), "slow": keep(HOUR)}, ["close", "n_events"])
+    fast, mid, slow = (b.withColumnRenamed("start_ns", "start_timestamp_ns") for b in _resolutions(spark, sf_dir))
+    out = align.multi_resolution(fast, {"mid": mid, "slow": slow}, ["close", "n_events"])
     return out.select("stem", "start_timestamp_ns", "close", "close@mid", "n_events@mid", "close@slow", "n_events@slow").toDF("stem", "start_ns", "close", "close_mid", "n_mid", "close_slow", "n_slow")
 
 
@@ -184,18 +190,22 @@ def join_asof_last_closed(spark, sf_dir):
 
 
 def _as_rows(spark, sf_dir, seconds):
-    b = _price_bars(spark, sf_dir, seconds)
+    return _rows_of(_price_bars(spark, sf_dir, seconds), seconds)
+
+
+def _rows_of(b: DataFrame, seconds: int) -> DataFrame:
     return b.select("stem", F.col("start_ns").alias("start_timestamp_ns"), (F.col("start_ns") + seconds * 10**9).alias("end_timestamp_ns"), (F.col("high") - F.col("low")).alias("spread_ticks"), F.col("volume").alias("trade_volume_sum_rel"), (F.col("close") - F.col("open")).alias("ofi_net_log"))
 
 
 def join_cross_res_h1h2(spark, sf_dir):
-    out = align.cross_resolution(_as_rows(spark, sf_dir, MINUTE), _as_rows(spark, sf_dir, TEN_MINUTES), _as_rows(spark, sf_dir, HOUR))
+    out = align.cross_resolution(*(_rows_of(b, n) for b, n in zip(_resolutions(spark, sf_dir), (MINUTE, TEN_MINUTES, HOUR))))
     names = ["avg_fast_spread_abs", "sum_fast_trade_volume", "sum_fast_ofi_net", "avg_mid_spread_abs", "sum_mid_trade_volume", "sum_mid_ofi_net"]
     return out.select("stem", "start_timestamp_ns", *(fixed(n, 8).alias(n) for n in names))
 
 
 def join_realtime_h2_last6(spark, sf_dir):
-    out = align.recent_mid(_as_rows(spark, sf_dir, MINUTE), _as_rows(spark, sf_dir, TEN_MINUTES))
+    fast, mid, _ = _resolutions(spark, sf_dir)
+    out = align.recent_mid(_rows_of(fast, MINUTE), _rows_of(mid, TEN_MINUTES))
     return out.select("stem", "start_timestamp_ns", *(fixed(n, 8).alias(n) for n in ("avg_mid_spread_abs", "sum_mid_trade_volume", "sum_mid_ofi_net")))
 
 
@@ -272,7 +282,7 @@ def book_flow_diff(spark, sf_dir):
 
 
 def _market_bars(spark, sf_dir, seconds=HOUR):
-    return bars(market_events(_log(spark, sf_dir)), seconds)
+    return bars(written(market_events(_log(spark, sf_dir)), "events"), seconds)
 
 
 def agg_bar_aggressor(spark, sf_dir):
@@ -592,8 +602,8 @@ def stream_live_rows(spark, sf_dir):
     from ..streaming.live import live_rows
 
     folder = _folder(spark, "bars")
-    for name, seconds in (("fast", MINUTE), ("mid", TEN_MINUTES), ("slow", HOUR)):
-        _as_rows(spark, sf_dir, seconds).withColumn("resolution", F.lit(name)).repartition("stem").write.mode("append").parquet(folder)
+    for name, b, seconds in zip(("fast", "mid", "slow"), _resolutions(spark, sf_dir), (MINUTE, TEN_MINUTES, HOUR)):
+        _rows_of(b, seconds).withColumn("resolution", F.lit(name)).repartition("stem").write.mode("append").parquet(folder)
     stored = spark.read.parquet(folder)
     live = _run_stream(live_rows(spark.readStream.schema(stored.schema).parquet(folder), ["spread_ticks"], warm_up=5, gap_ns=HOUR * 10**9), "live")
     names = {"spread_ticks@mid": "spread_mid", "spread_ticks@slow": "spread_slow", **{c: c for c in ("avg_mid_spread_abs", "sum_mid_trade_volume", "sum_mid_ofi_net", "avg_fast_spread_abs")}}
