@@ -105,32 +105,79 @@ def test_live_rows_equal_the_causal_batch_joins(spark, tmp_path):
     assert spark.table("live").count() == 540 and spark.table("live").where("avg_fast_spread_abs <> 0").count() == 0
 
 
-def test_a_batch_of_features_run_again(spark, tmp_path):
-    """Bars cut by batches, a late row, a stem that rests for a batch, and a batch that runs twice."""
+def _log_rows(n=600):
     import random
 
-    from tickframe.operators.bars import bars
-    from tickframe.operators.book import market_events
-    from tickframe.operators.features import core_features
-    from tickframe.streaming.features import advance, finish, streamed_features
-
     rng, rows, t = random.Random(5), [], 0
-    for i in range(600):
+    for i in range(n):
         t += rng.choice([0, 1, 1, 2, 9]) * 10**8
         side = rng.choice(["bid", "ask"])
         stem = "b" if i % 10 == 0 and i < 300 else "a"
         at = t - 3 * 10**9 if i in (301, 400) else t
         if rng.random() < 0.2:
-            rows.append((stem, i, at, "L1", side, None, None, 100.0, float(rng.randint(1, 5))))
+            rows.append((stem, i, at, "L1", rng.choice([side, None]), None, None, 100.0, float(rng.randint(1, 5))))
         else:
-            lvl = rng.choice([0, 0, 1, 2])
+            lvl = rng.choice([0, 0, 1, 2, 7])
             rows.append((stem, i, at, "L2", side, rng.choice(["add", "update", "update", "remove"]), lvl, 100 + (1 + lvl + rng.randint(0, 1)) * (0.25 if side == "ask" else -0.25), float(rng.randint(1, 9))))
-    schema = "stem string, seq long, ts_ns long, kind string, side string, op string, lvl int, price double, size double"
+    return rows
+
+
+LOG = "stem string, seq long, ts_ns long, kind string, side string, op string, lvl int, price double, size double"
+
+
+def _streamed(spark, folder, out, **options):
+    from tickframe.streaming.features import stream_closed
+
+    stream = stream_closed(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*"), 1, **options)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def _write(spark, rows, folder):
+    spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(folder)
+
+
+def test_streamed_columns_equal_the_batch(spark, tmp_path):
+    """Bars cut by batches, late rows, deep levels, a stem that rests and ends, a restart, and a stem that comes again afterwards."""
+    from tickframe.operators.bars import bars
+    from tickframe.operators.book import market_events
+    from tickframe.operators.features import core_features
+    from tickframe.streaming.features import stream_features
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows, end = _log_rows(), lambda stem, seq: (stem, seq, 0, "end", None, None, None, None, None)
+    parts = [rows[:100], rows[100:300] + [end("b", 299)], rows[300:], [end("a", 600)], [("b", *r[1:]) for r in rows[:200] if r[0] == "a"] + [end("b", 700)]]
     out = str(tmp_path / "out")
-    for k, (a, b) in enumerate([(0, 300), (300, 600)]):
-        for _ in range(1 + k):
-            advance(spark.createDataFrame(rows[a:b], schema), out, k, 1)
-    finish(spark, out, 1, 1)
+    for k, part in enumerate(parts):
+        _write(spark, part, str(tmp_path / f"in/{k}"))
+        if k in (1, 4):  # two files at once, then a stream started anew
+            stream = stream_features(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")), 1)
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     keep = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
-    got, want = keep(streamed_features(spark, out)), keep(core_features(bars(market_events(spark.createDataFrame(rows, schema)), 1), regimes=False))
-    assert len(want) > 100 and got == want
+    batch = lambda x: core_features(bars(market_events(spark.createDataFrame(x, LOG)), 1), regimes=False)
+    got, want = keep(spark.read.schema(stream.schema).parquet(f"{out}/rows")), keep(batch(rows)) + keep(batch([("b", *r[1:]) for r in rows[:200] if r[0] == "a"]))
+    assert len(want) > 100 and got == sorted(want)
+
+
+def test_warm_start_from_files(spark, tmp_path):
+    """A stream that starts from what another left, and no checkpoint, goes on with its averages."""
+    from tickframe.streaming.features import last_averages
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [r for r in _log_rows() if r[0] == "a"]
+    cut = next(i for i in range(250, 400) if rows[i][2] // 10**9 > max(r[2] for r in rows[:i]) // 10**9)  # between two bars
+    end = ("a", 900, 0, "end", None, None, None, None, None)
+    _write(spark, rows + [end], str(tmp_path / "all/0"))
+    _write(spark, rows[:cut] + [end], str(tmp_path / "one/0"))
+    book = {(r[4], r[6]): r for r in rows[:cut] if r[3] == "L2"}.values()  # averages alone are kept: the book is given again, in one row a level
+    _write(spark, [(*r[:2], rows[cut][2], *r[3:]) for r in book] + rows[cut:] + [end], str(tmp_path / "two/0"))
+    whole = {r.bar_id: r for r in _streamed(spark, tmp_path / "all", tmp_path / "o0").collect()}
+    files.write_json_lines(last_averages(_streamed(spark, tmp_path / "one", tmp_path / "o1")), str(tmp_path / "state"))
+    state = spark.read.schema("stem string, vol double, db double, da double, bid double, ask double").json(str(tmp_path / "state"))
+    got = {r.bar_id: r for r in _streamed(spark, tmp_path / "two", tmp_path / "o2", initial=state).collect()}
+    first = min(got)
+    assert got and set(got) == {k for k in whole if k >= first}
+    for k, r in got.items():
+        assert abs(r.vol_div - whole[k].vol_div) < 1e-9 and (k > first or abs(r.db_div - whole[k].db_div) < 1e-9)
+    cold = {r.bar_id: r for r in _streamed(spark, tmp_path / "two", tmp_path / "o3").collect()}
+    assert cold[first].vol_div != got[first].vol_div

@@ -16,18 +16,19 @@ def usable(bars: DataFrame, tick: float = TICK) -> DataFrame:
     return bars.where((F.col("mid_open") > 0) & (F.col("mid_close") > 0) & F.col("mid_high").isNotNull() & F.col("mid_low").isNotNull() & S.finite("spread_close") & F.col("spread_open").isNotNull())
 
 
-def prepared(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS, carried: bool = False) -> DataFrame:
-    """Usable bars with returns, depths, averages and variances; ``carried`` as for ``rolling.channels``, with ``alpha`` only."""
+def prepared(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS) -> DataFrame:
+    """Usable bars with returns, depths, averages, variances and z-scores."""
     b = usable(bars, tick).withColumns({"mid_return_bar": F.ln(F.col("mid_close") / F.col("mid_open")), "cum_bid": cumulative_depth(F.col("book.bids")), "cum_ask": cumulative_depth(F.col("book.asks"))})
     values = {"vol": "trade_volume_sum", "db": "cum_bid", "da": "cum_ask"}
     pairs = {s: (f"limit_add_{s}_volume", f"limit_cancel_{s}_volume") for s in ("bid", "ask")}
     if alpha is not None:
-        b = R.channels(b, values, pairs, alpha=alpha, eps=eps, carried=carried)
+        b = R.channels(b, values, pairs, alpha=alpha, eps=eps)
     else:
         b = R.normalized(b, values, alpha=None, window=window, eps=eps)
         for side, (add, cancel) in pairs.items():
             b = R.interleaved_flow(b, add, cancel, side, alpha=None, window=window, eps=eps)
-    return b.withColumns({"rv_var": R.realized_variance("mid_return_bar", rv[0]), "rv_long": R.realized_variance("mid_return_bar", rv[1])}).withColumn("vol_est", F.sqrt("rv_var"))
+    b = b.withColumns({"rv_var": R.realized_variance("mid_return_bar", rv[0]), "rv_long": R.realized_variance("mid_return_bar", rv[1])}).withColumn("vol_est", F.sqrt("rv_var"))
+    return b.withColumns({f"z_{n}": R.zscore(c, eps=eps) for n, c in (("volume", "trade_volume_sum"), ("spread", "spread_close"), ("volatility", "vol_est"))})
 
 
 def core_features(bars: DataFrame, tick: float = TICK, alpha: float | None = ALPHA, window: int = 600, rv: tuple[int, int] = (10, 50), eps: float = EPS, regimes: bool = True) -> DataFrame:
@@ -75,9 +76,7 @@ def feature_columns(b: DataFrame, tick: float = TICK, eps: float = EPS, *extra:
         "rv_long_log": F.ln(col("rv_long") + eps),
         "kyle_lambda_log": S.price_impact("mid_return_bar", col("buy_trade_volume") - col("sell_trade_volume"), traded, eps),
         "amihud_log": S.price_impact("mid_return_bar", "trade_volume_sum", traded, eps),
-        "z_volume": R.zscore("trade_volume_sum", eps=eps),
-        "z_spread": R.zscore("spread_close", eps=eps),
-        "z_volatility": R.zscore("vol_est", eps=eps),
+        **{c: col(c) for c in ("z_volume", "z_spread", "z_volatility")},
         "tod_sin": sin,
         "tod_cos": cos,
         "is_us_session": session,

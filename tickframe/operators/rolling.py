@@ -22,23 +22,6 @@ def _frame(first: int, last: int, keys=("stem",), order=("bar_index",)):
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(first, last)
 
 
-def _folded(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], names: list[str], fold) -> DataFrame:
-    """Adds columns that ``fold`` makes of a whole group in order; other columns pass as Arrow, untouched.
-
-    ``fold`` gets a function from a column's name to its values. A group is a stem, one day.
-    """
-    schema = T.StructType(df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(o, "ascending") for o in order]) if order else table
-        made = fold(lambda c: table.column(c).to_numpy().astype(float))
-        for n in names:
-            table = table.append_column(n, pa.array(made[n], pa.float64()))
-        return table
-
-    return df.groupBy(*keys).applyInArrow(run, schema)
-
-
 def _averages(values: np.ndarray, alpha: float, seed: float | None = None) -> np.ndarray:
     start = [] if seed is None else [seed]
     return pd.Series(np.append(start, values)).ewm(alpha=alpha, adjust=False).mean().to_numpy()[len(start) :]
@@ -118,46 +101,22 @@ def ewma(df: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("stem",
     return _scanned(df, tuple(keys), tuple(order), list(values), series, alpha, seeds or {}, lambda get, start: {n: _from(get(c), alpha, start[n])[1] for n, c in values.items()})
 
 
-def _carried(values: np.ndarray, alpha: float, was: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The average before and after each value; ``was`` holds what it was after the first values, NaN after the others."""
-    k = 0 if was is None else int((~np.isnan(was)).sum())
-    after = np.append(was[:k] if k else [], _averages(values[k:], alpha, was[k - 1] if k else None))
-    return np.append(1.0, after[:-1]) if len(values) else values, after
-
-
-def channels(df: DataFrame, values: dict[str, str], pairs: dict[str, tuple[str, str]], keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS, carried: bool = False) -> DataFrame:
-    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one scan over spans.
-
-    ``carried`` adds ``<name>_after``, the average after each row, and takes ``<name>_was``: the same of a group's
-    first rows, where an earlier run ended, and null after. What those rows get besides is of no use. A group is then
-    folded whole: it is a micro-batch's.
-    """
+def channels(df: DataFrame, values: dict[str, str], pairs: dict[str, tuple[str, str]], keys=("stem",), order=("bar_index",), alpha: float = ALPHA, eps: float = EPS) -> DataFrame:
+    """``normalized`` of ``values`` and ``interleaved_flow`` of ``pairs`` (add, cancel) in one scan over spans."""
     names = [f"{n}_{x}" for n in values for x in ("div", "rel")] + [f"{n}_{x}_rel" for n in pairs for x in ("add", "cancel")]
-    names += [f"{n}_after" for n in (*values, *pairs)] if carried else []
 
-    def made(get, averages):
-        """``averages`` gives what was before and after each of a series' values."""
+    def finish(get, start):
         out = {}
         for n, c in values.items():
-            before, out[f"{n}_after"] = averages(n, get(c))
-            out[f"{n}_div"] = np.abs(before) + eps
+            out[f"{n}_div"] = np.abs(_from(get(c), alpha, start[n])[0]) + eps
             out[f"{n}_rel"] = get(c) / out[f"{n}_div"]
         for n, columns in pairs.items():
             both = get(*columns)
-            before, after = averages(n, both)
-            rel = both / (np.abs(before) + eps)
-            out[f"{n}_add_rel"], out[f"{n}_cancel_rel"], out[f"{n}_after"] = rel[::2], rel[1::2], after[1::2]
+            rel = both / (np.abs(_from(both, alpha, start[n])[0]) + eps)
+            out[f"{n}_add_rel"], out[f"{n}_cancel_rel"] = rel[::2], rel[1::2]
         return out
 
-    if not carried:
-        series = {n: (c,) for n, c in values.items()} | pairs
-        return _scanned(df, tuple(keys), tuple(order), names, series, alpha, {}, lambda get, start: made(get, lambda n, v: _from(v, alpha, start[n])))
-
-    def fold(get):
-        was = lambda n, v: _carried(v, alpha, np.repeat(get(f"{n}_was"), 2 if n in pairs else 1))
-        return made(lambda *c: np.column_stack([get(x) for x in c]).ravel(), was)
-
-    return _folded(df, keys, order, names, fold)
+    return _scanned(df, tuple(keys), tuple(order), names, {n: (c,) for n, c in values.items()} | pairs, alpha, {}, finish)
 
 
 def normalized(df: DataFrame, values: dict[str, str], keys=("stem",), order=("bar_index",), alpha: float | None = ALPHA, window: int = 600, eps: float = EPS) -> DataFrame:

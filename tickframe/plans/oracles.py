@@ -188,6 +188,21 @@ def _core_features(seconds: int) -> str:
     return _with(*_market(seconds), _usable(seconds), *parts, recursive=True) + f"SELECT stem, bar_index, start_timestamp_ns, end_timestamp_ns, {_shown({n: n for n in columns})}, {regime} FROM raw JOIN cuts ON of_stem = stem"
 
 
+def _warm_start(seconds: int) -> str:
+    """Divisors whose averages start from the last ones of the day before, which started from their own first bar."""
+    names = {"v": "trade_volume_sum", "db": "cum_bid", "da": "cum_ask"}
+    av = lambda last, x: f"0.98 * {last} + 0.02 * {x}"
+    each = lambda f: ", ".join(f(n, c) for n, c in names.items())
+    walk = lambda e: f"SELECT x.stem, x.i, {each(lambda n, c: av(f'e.{n}', f'x.{c}'))} FROM {e} e JOIN ub x ON x.stem = e.stem AND x.i = e.i + 1"
+    parts = [
+        f"cold AS (SELECT stem, i, {each(lambda n, c: f'{c} AS {n}')} FROM ub WHERE i = 1 UNION ALL {walk('cold')})",
+        f"seeds AS (SELECT strftime(CAST(stem AS DATE) + 1, '%Y-%m-%d') AS stem, {each(lambda n, c: f'arg_max({n}, i) AS {n}')} FROM cold GROUP BY stem)",
+        f"warm AS (SELECT ub.stem, i, {each(lambda n, c: f'coalesce({av(f's.{n}', c)}, {c}) AS {n}')} FROM ub LEFT JOIN seeds s ON s.stem = ub.stem WHERE i = 1 UNION ALL {walk('warm')})",
+    ]
+    shown = ", ".join(f"round(abs(coalesce(w.{n}, CASE WHEN ub.i = 1 THEN s.{n} END, 1.0)) + {EPS}, 5) + 0.0 AS {n if n != 'v' else 'vol'}_div" for n in names)
+    return _with(*_market(seconds), _usable(seconds), *parts, recursive=True) + f"SELECT ub.stem, ub.bar_index, {shown} FROM ub LEFT JOIN warm w ON w.stem = ub.stem AND w.i = ub.i - 1 LEFT JOIN seeds s ON s.stem = ub.stem"
+
+
 def _touch(up: float, down: float, within: str) -> str:
     return f"""SELECT a.stem, a.seq, coalesce(b.outcome, 'flat') AS outcome, b.exit_seq FROM n a LEFT JOIN (
   SELECT a.stem, a.seq, min(b.seq) AS exit_seq, arg_min(CASE WHEN b.price >= a.price + {up} THEN 'up' ELSE 'down' END, b.seq) AS outcome
@@ -363,6 +378,7 @@ FROM (SELECT *, CAST(greatest(up_prob, down_prob) AS DOUBLE) >= CAST(t / 100.0 A
     o["agg_bar_orderflow_ofi"] = market + "SELECT stem, bar_index, event_count, mid_open, mid_high, mid_low, mid_close, spread_open, spread_close, limit_add_bid_volume, limit_add_ask_volume, limit_cancel_bid_volume, limit_cancel_ask_volume, ofi_bid, ofi_ask FROM mb"
     o["fn_level_features"] = _level_features()
     o["feat_core_64"] = _core_features(600)
+    o["stream_warm_start"] = _warm_start(600)
     o["stream_core_64"] = "SELECT * REPLACE (" + ", ".join(f"CAST(0.0 AS DOUBLE) AS {n}_regime" for n in ("spread", "depth", "volume", "volatility", "speed")) + f") FROM ({_core_features(600)}) t"
     worth_of = lambda s, n: " + ".join(f"{s}{k}_price * {s}{k}_size" for k in range(n))
     depth_of = lambda s: " + ".join(f"{s}{k}_size" for k in range(5))

@@ -610,20 +610,43 @@ def stream_live_rows(spark, sf_dir):
     return live.select("stem", "start_timestamp_ns", *(fixed(F.col(f"`{c}`"), 8).alias(n) for c, n in names.items()))
 
 
+def _ends(rows: DataFrame, seq: int) -> DataFrame:
+    """A row a stem that ends it."""
+    return rows.select("stem").distinct().select("stem", F.lit(seq).cast("long").alias("seq"), F.lit(0).cast("long").alias("ts_ns"), F.lit("end").alias("kind"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[4:]))
+
+
+def _append(stream: DataFrame, out: str) -> DataFrame:
+    """Run a stream to its end, on from where ``out`` was left, and read all that it wrote."""
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
 def stream_core_64(spark, sf_dir):
-    """All 64 columns from a log that comes in three parts, cut within bars, the stream started anew for each; the last bars are closed at its end."""
-    from ..streaming import features as live
+    """All 64 columns from a log that comes in three parts, cut within bars, the stream started anew for each; then its stems end."""
+    from ..streaming.features import stream_features
 
     folder, out = _folder(spark, "log"), _folder(spark, "core")
     rows = written(_log(spark, sf_dir), "log")
     most = rows.agg(F.max("seq")).first()[0] or 0
     part = F.least(F.expr(f"seq * 3 div {most + 1}"), F.lit(2))
-    for k in range(3):
-        rows.where(part == k).write.parquet(f"{folder}/part={k}")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/part=*")
-        live.stream_features(stream, out, f"{out}/checkpoint", TEN_MINUTES).awaitTermination()
-    live.finish(spark, out, 2, TEN_MINUTES)
-    return _rounded(live.streamed_features(spark, out), *FEATURES[3:], digits=5)
+    for k in range(4):
+        (rows.where(part == k) if k < 3 else _ends(rows, most + 1)).write.parquet(f"{folder}/part={k}")
+        made = _append(stream_features(spark.readStream.schema(rows.schema).parquet(f"{folder}/part=*"), TEN_MINUTES), out)
+    return _rounded(made, *FEATURES[3:], digits=5)
+
+
+def stream_warm_start(spark, sf_dir):
+    """Divisors of each day's bars in a stream whose averages start from the state files of a first run: those of the day before."""
+    from ..streaming.features import AVERAGES, last_averages, stream_closed
+
+    folder, base = _folder(spark, "log"), _folder(spark, "warm")
+    rows = written(_log(spark, sf_dir), "log")
+    rows.unionByName(_ends(rows, (rows.agg(F.max("seq")).first()[0] or 0) + 1)).write.parquet(folder)
+    stream = lambda initial: stream_closed(spark.readStream.schema(rows.schema).parquet(folder), TEN_MINUTES, initial=initial)
+    files.write_json_lines(last_averages(_append(stream(None), f"{base}/cold")), f"{base}/state")
+    state = spark.read.schema("stem string, " + ", ".join(f"{n} double" for n in AVERAGES)).json(f"{base}/state")
+    warm = _append(stream(state.withColumn("stem", F.date_format(F.date_add(F.to_date("stem"), 1), "yyyy-MM-dd"))), f"{base}/warm")
+    return _rounded(warm.select("stem", "bar_index", "vol_div", "db_div", "da_div"), "vol_div", "db_div", "da_div", digits=5)
 
 
 def stream_bars_parity(spark, sf_dir):
@@ -652,7 +675,7 @@ _PLAIN = [
     agg_bar_aggressor, agg_bar_orderflow_ofi, agg_bar_closing_book, feat_core_64, fn_level_features, label_first_touch_time, label_first_touch_count, label_bar_highlow, label_targets, agg_label_distribution, agg_class_weights, agg_profile_columns,
     agg_value_counts_top10, agg_standardize_clip, met_auc_by_day, met_auc_quality, met_accuracy_by_day, met_corr, sim_label_aware, sim_threshold_sweep, sim_replay_tp_sl, agg_trade_summary, agg_half_hour_buckets,
     join_parity_profile, ml_alignment_check, agg_trade_stats, snk_trade_log, snk_trigger_log, set_threshold_union, agg_rows_per_kind, met_model_health,
-    sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows, stream_core_64,
+    sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows, stream_core_64, stream_warm_start,
     snk_preprocess, src_feature_files, src_label_files, src_latest_state, flt_small_files, src_payload_reasons, src_payload_stream, ord_packed_chunks, ord_capped_sample,
 ]
 
