@@ -116,3 +116,10 @@ def test_random_unicode():
     ids, first = LATTICE.sample(data, offsets, np.arange(40).astype(U64), 1)
     for i, t in enumerate(texts):
         assert LATTICE.decode(ids[first[i] : first[i + 1]].tolist()) == t
+
+
+def test_rows_without_a_text_id_have_keys_of_their_own(spark):
+    text = "a longer text that has many ways to be cut, and then some more of it"
+    docs = spark.createDataFrame([(None, text), (None, text + "!"), (None, text + "?"), ("k", text)], "doc_id string, text string")
+    found = m.sample_pieces(docs, PATH).collect()
+    assert len({tuple(r.ids[:12]) for r in found}) > 1 and all(r.lossless for r in found)

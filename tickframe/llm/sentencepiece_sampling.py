@@ -274,7 +274,8 @@ def sample_pieces(docs: DataFrame, model_path: str, theta: float = THETA, seed:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * keep_ids
-    key = F.coalesce(F.xxhash64("doc_id") if kind not in ("bigint", "int") else F.col("doc_id").cast("long"), F.xxhash64("text"))
+    own = F.col("doc_id").cast("long") if kind in ("bigint", "int") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
+    key = F.coalesce(own, F.xxhash64("text"))
     return docs.select("doc_id", "text", key.alias("k")).mapInArrow(_encode(model_path, theta, seed, keep_ids), schema)
 
 
