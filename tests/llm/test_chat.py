@@ -48,3 +48,8 @@ def test_conversations_over_many_batches(spark):
     assert len(got) == 5
     for c in got:
         assert m.parse(got[c]) == [(r[2], r[3]) for r in rows if r[0] == c]
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", 0, "user", "x"), ("b", 0, "user", "y"), (None, 0, "user", "z"), ("a", 1, "assistant", "w")], "conv_id string, turn long, role string, text string")
+    assert {r.conv_id: r.n_turns for r in m.chat_digests(df).collect()} == {"a": 2, "b": 1, None: 1}

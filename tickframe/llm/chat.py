@@ -69,9 +69,13 @@ _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _keys(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
-    """A number for each row's conversation; null has its own."""
+    """A number that changes where a batch's conversation does; null is one of its own."""
     conv = column(rows, "conv_id")
-    return np.asarray(conv.fill_null(0)) * 2 + np.asarray(conv.is_null())
+    if not len(conv):
+        return np.zeros(0, np.int64)
+    same = pc.fill_null(pc.equal(conv.slice(1), conv.slice(0, len(conv) - 1)), False)
+    both = pc.and_(conv.slice(1).is_null(), conv.slice(0, len(conv) - 1).is_null())
+    return np.append(0, np.cumsum(~pc.or_(same, both).to_numpy(zero_copy_only=False)))
 
 
 def _format(batches):
@@ -83,36 +87,42 @@ def _format(batches):
         first = np.append(0, np.cumsum(turns)[:-1])
         return pa.RecordBatch.from_arrays([column(table, "conv_id").take(pa.array(first)), pa.array(turns, pa.int64()), formatted, pa.array(loss, _LOSS)], ["conv_id", "n_turns", "formatted", "loss"])
 
-    waiting, open_key = [], None
+    waiting, open_id = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = _keys(batch)
         breaks = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        if waiting and keys[0] != open_key:
+        first = column(batch, "conv_id")[0].as_py()
+        if waiting and first != open_id:
             yield done(waiting)
             waiting = []
         if len(breaks):
             yield done([*waiting, batch.slice(0, int(breaks[-1]))])
             waiting = []
         waiting.append(batch.slice(int(breaks[-1]) if len(breaks) else 0))
-        open_key = keys[-1]
+        open_id = column(batch, "conv_id")[-1].as_py()
     if waiting:
         yield done(waiting)
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["conv_id"].dataType.simpleString()
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """One row a conversation: conv_id, n_turns, formatted, loss (byte ranges of ``formatted`` to train on).
 
     Turns stand in ascending order of turn (null first), ties by role and text; repeated rows are turns of
     their own. Null texts are empty; null and unknown roles have marks of their own. Null conv_ids are one
-    conversation. Other columns are left aside; an empty table gives an empty result.
+    conversation. Ids of any type are passed on. Other columns are left aside; an empty table gives an empty result. A
+    conversation is one row of the output, and so is held whole in one task.
     """
     small_batches(conversations.sparkSession)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
+    rows = conversations.select("conv_id", "turn", "role", "text")
     n = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_format, "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
+    return dealt.select("conv_id", "role", "text").mapInArrow(_format, f"conv_id {_kind(rows)}, n_turns long, formatted string, loss array<struct<start:long,end:long>>")
 
 
 def parse(formatted: str) -> list[tuple[str | None, str]]:
@@ -144,4 +154,4 @@ def _digest(batches):
 def chat_digests(conversations: DataFrame) -> DataFrame:
     """Format, write, read back, and digest what was read."""
     written = materialize(format_chats(conversations), "chats")
-    return written.mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return written.mapInArrow(_digest, f"conv_id {_kind(written)}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
