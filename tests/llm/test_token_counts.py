@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
@@ -100,3 +102,14 @@ def test_frame(spark):
         new = t[: n // 3] + f" (edited: it's no. {'none' if r.doc_id is None else r.doc_id}) " + t[n // 3 + n // 50 :]
         assert r.text == new and r.n_tokens_edited == n_tokens(new) == r.tree[5] and r.n_bytes_edited == len(new.encode())
     assert m.token_counts(frame(spark, []), m.middle_edit(), PATH).count() == 0
+
+
+def test_missing_trees_and_taken_names(spark):
+    docs = frame(spark, corpus(8))
+    trees = m.token_trees(docs, PATH).withColumn("tree", F.when(F.col("doc_id") % 2 == 0, F.col("tree")))
+    edits = F.array(F.struct(F.lit(2).alias("start"), F.lit(4).alias("end"), F.lit("new").alias("text")))
+    keep = lambda df: sorted(map(str, df.select("doc_id", "text", "n_tokens_edited", "tree").collect()))
+    assert keep(m.edited(trees, edits, PATH)) == keep(m.edited(m.token_trees(docs, PATH), edits, PATH))
+    for name in ("n_tokens", "Tree"):
+        with pytest.raises(ValueError, match="rename"):
+            m.token_trees(docs.withColumn(name, F.lit(1)), PATH)

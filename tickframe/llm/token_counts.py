@@ -183,7 +183,10 @@ def _edit(path: str, keep: bool):
             for a, b in slices(offsets, SLICE_BYTES):
                 raw = data[offsets[a] : offsets[b]].tobytes()
                 texts = [bytearray(raw[i - offsets[a] : j - offsets[a]]) for i, j in zip(offsets[a:b].tolist(), offsets[a + 1 : b + 1].tolist())]
-                trees = [TokenTree.stored(np.asarray(stored[i].values)) for i in range(a, b)]
+                trees = [TokenTree.stored(np.asarray(stored[i].values)) if stored[i].is_valid else None for i in range(a, b)]
+                if None in trees:  # without a tree: count the text itself
+                    fresh = build(coder, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    trees = [t or new for t, new in zip(trees, fresh)]
                 before = [t.total for t in trees]
                 again = apply_edits(coder, texts, edits[a:b], trees)
                 numbers = (before, [t.total for t in trees], [len(t) for t in texts], again)
@@ -198,9 +201,11 @@ def _edit(path: str, keep: bool):
 def token_trees(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``docs`` with n_tokens and ``tree``: sums of (code points, bytes, tokens) in heap order, three numbers a node.
 
-    Null texts count as empty. All columns stay; docs must not have these two. One row for each input row; an
-    empty table gives an empty result.
+    Null texts count as empty. All columns stay; a table that has one of these two already is refused. One row for each
+    input row; an empty table gives an empty result.
     """
+    if taken := {"n_tokens", "tree"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs already has {', '.join(sorted(taken))}: rename it first")
     small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_tokens long, tree array<bigint>"
     return docs.mapInArrow(_make(tokenizer_path), schema)
@@ -211,7 +216,7 @@ def edited(trees: DataFrame, edits: Column, tokenizer_path: str, keep: bool = Tr
 
     ``edits`` is an array of (start, end, text): code points start..end are replaced by text, one edit
     after the other, each placed on the text so far; places past the end mean the end, an end before its
-    start means none is removed, nulls count as 0 or empty. Returns doc_id, n_tokens, n_tokens_edited,
+    start means none is removed, nulls count as 0 or empty; a null tree is made of its text. Returns doc_id, n_tokens, n_tokens_edited,
     n_bytes_edited, n_bytes_reencoded and, if ``keep``, text and tree after the edits.
     """
     small_batches(trees.sparkSession)
