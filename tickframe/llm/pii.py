@@ -94,6 +94,8 @@ CONTEXT = 32
 ADD_AT = 0.8
 LABELERS = ("v_format", "v_gazetteer", "v_before", "v_after", "v_counter", "v_frame", "v_company")
 BLOCK = 64
+#: Code points of a block of text that redaction looks pieces up in.
+PIECE = 512
 
 
 def running(lengths: str) -> str:
@@ -104,6 +106,14 @@ def running(lengths: str) -> str:
         (a, x) -> named_struct('at', a.at + x, 'all', array_append(a.all, a.at)), a -> a.all)))"""
 
 
+def highest(values: str) -> str:
+    """SQL: the greatest number before each entry of an array column, 0 before the first; in blocks, like ``running``."""
+    return f"""flatten(transform(sequence(0, greatest(size({values}) - 1, 0) div {BLOCK}), b -> aggregate(
+        slice({values}, b * {BLOCK} + 1, {BLOCK}),
+        named_struct('at', aggregate(slice({values}, 1, b * {BLOCK}), 0L, (a, x) -> greatest(a, x)), 'all', cast(array() as array<bigint>)),
+        (a, x) -> named_struct('at', greatest(a.at, x), 'all', array_append(a.all, a.at)), a -> a.all)))"""
+
+
 def _digits(x: str) -> str:
     return f"translate({x}, ' ().+-', '')"
 
@@ -346,11 +356,14 @@ def redacted(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     # Written with its candidates, so that the patterns are tried once.
     found = materialize(candidates(docs.select(F.struct("*").alias("row"), "text")).drop("text"), "candidates")
     done = decided(found, train(found) if weights is None else weights).withColumn("text", F.col("row.text"))
-    cut = f"""aggregate(spans, named_struct('at', 0L, 'all', cast(array() as array<string>)),
-        (a, x) -> case when x.start >= a.at
-            then named_struct('at', x.end, 'all', concat(a.all, array(substring(text, int(a.at) + 1, int(x.start - a.at)), concat('[', upper(element_at({_NAMES}, x.kind + 1)), ']'))))
-            else named_struct('at', greatest(a.at, x.end), 'all', a.all) end,
-        a -> concat(array_join(a.all, ''), substring(text, int(a.at) + 1)))"""
+    # Where the text before each span was last covered, and the text in blocks, so that a piece is not looked for from the start.
+    done = done.withColumn("ends", F.when(F.size("spans") > 0, F.expr("transform(spans, x -> x.end)")))
+    done = done.withColumn("covered", F.when(F.size("spans") > 0, F.expr(highest("ends"))))
+    done = done.withColumn("blocks", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+    piece = f"substring(array_join(slice(blocks, int({{a}} div {PIECE}) + 1, int({{b}} div {PIECE} - {{a}} div {PIECE}) + 1), ''), int({{a}} % {PIECE}) + 1, int({{b}} - {{a}}))"
+    before = piece.format(a="covered[i]", b="x.start")
+    tail = piece.format(a="array_max(ends)", b="length(text)")
+    cut = f"concat(array_join(transform(spans, (x, i) -> case when x.start >= covered[i] then concat({before}, '[', upper(element_at({_NAMES}, x.kind + 1)), ']') else '' end), ''), {tail})"
     done = done.withColumn("text", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("text")))
     new = {"text": F.col("text"), "n_chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")}
     return done.select([new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
