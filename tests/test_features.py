@@ -21,12 +21,42 @@ def trade(seq, t, px, sz, side):
     return ("d", seq, 0, int(t * 1e9), "trade", None, None, None, None, None, None, None, px, sz, side, None, None)
 
 
-def test_two_bars(spark):
-    rows = [quote(0, 0, 100.0, 2.0, 100.5, 3.0), trade(1, 0, 100.2, 1.0, "bid"), quote(2, 0.5, 100.1, 1.5, 100.6, 2.5), quote(3, 1, 100.2, 1.0, 100.7, 2.0), trade(4, 1.1, 100.3, 2.0, "ask"), quote(5, 0.9, 100.2, 1.0, 100.7, 2.0)]
-    b = bars(spark.createDataFrame(rows, EVENT), 1).orderBy("bar_index").collect()
-    assert [(r.trade_count, r.trade_volume_sum, r.event_count) for r in b] == [(1, 1.0, 3), (1, 2.0, 3)]  # the late quote joins the open bar
-    assert b[0].ofi_bid == 1.5 and b[0].ofi_ask == 3.0 and b[1].ofi_bid == 0.0
-    assert b[0].buy_distance_to_ask_sum == pytest.approx(0.3) and b[1].sell_distance_to_bid_sum == pytest.approx(0.1)
+def plain_bars(events):
+    """Counts, volumes, order-flow imbalance and distances of one-second bars, by a walk over (time, quote or trade)."""
+    out, latest, top = [], -1.0, None
+    for t, kind, *x in events:
+        latest = max(latest, t)
+        if not out or int(latest) != out[-1]["bar"]:
+            out.append({"bar": int(latest), "events": 0, "trades": 0, "volume": 0.0, "bid": 0.0, "ask": 0.0, "to_ask": 0.0, "to_bid": 0.0})
+            top = None
+        now = out[-1]
+        now["events"] += 1
+        if kind == "quote":
+            b, bs, a, as_ = x
+            if top:
+                now["bid"] += bs - top[1] if b == top[0] else bs if b > top[0] else -top[1]
+                now["ask"] += top[3] - as_ if a == top[2] else -as_ if a < top[2] else top[3]
+            top = x
+        else:
+            px, sz, side = x
+            now["trades"] += 1
+            now["volume"] += sz
+            if top:
+                now["to_ask" if side == "bid" else "to_bid"] += max(0.0, top[2] - px if side == "bid" else px - top[0])
+    return out
+
+
+def test_bars_against_a_plain_walk(spark):
+    rng, t, events, rows = random.Random(12), 3.0, [], []
+    for i in range(150):
+        t += rng.choice([0.0, 0.25, 0.25, 1.5, -0.5])
+        mid = 80 + rng.randrange(-6, 7) * 0.5
+        e = (t, "quote", mid - 0.5, float(rng.randint(1, 20)), mid + rng.choice([0.5, 1.0]), float(rng.randint(1, 20))) if rng.random() < 0.7 else (t, "trade", mid, float(rng.randint(1, 9)), rng.choice(["bid", "ask"]))
+        events.append(e)
+        rows.append(quote(i, e[0], *e[2:]) if e[1] == "quote" else trade(i, e[0], *e[2:]))
+    got = bars(spark.createDataFrame(rows, EVENT).repartition(3), 1).orderBy("bar_index").collect()
+    names = ("bar_id", "event_count", "trade_count", "trade_volume_sum", "ofi_bid", "ofi_ask", "buy_distance_to_ask_sum", "sell_distance_to_bid_sum")
+    assert [pytest.approx(tuple(w.values())) for w in plain_bars(events)] == [tuple(r[n] for n in names) for r in got]
 
 
 def model(rows, window, rv):

@@ -1,5 +1,6 @@
 import json
 
+from tickframe.session import STATE_STORE, setting
 from tickframe.sources import files
 from tickframe.streaming import tail
 
@@ -125,11 +126,18 @@ def _log_rows(n=600):
 LOG = "stem string, seq long, ts_ns long, kind string, side string, op string, lvl int, price double, size double"
 
 
+def _finish(spark, stream, out):
+    """To the end of what is there, in one partition: each has a state store of its own."""
+    with setting(spark, *STATE_STORE), setting(spark, "spark.sql.shuffle.partitions", "1"):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+    query.awaitTermination()
+
+
 def _streamed(spark, folder, out, **options):
     from tickframe.streaming.features import stream_closed
 
     stream = stream_closed(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*"), 1, **options)
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    _finish(spark, stream, out)
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
@@ -144,7 +152,6 @@ def test_streamed_columns_equal_the_batch(spark, tmp_path):
     from tickframe.operators.features import core_features
     from tickframe.streaming.features import stream_features
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows, end = _log_rows(), lambda stem, seq: (stem, seq, 0, "end", None, None, None, None, None)
     parts = [rows[:100], rows[100:300] + [end("b", 299)], rows[300:], [end("a", 600)], [("b", *r[1:]) for r in rows[:200] if r[0] == "a"] + [end("b", 700)]]
     out = str(tmp_path / "out")
@@ -152,7 +159,7 @@ def test_streamed_columns_equal_the_batch(spark, tmp_path):
         _write(spark, part, str(tmp_path / f"in/{k}"))
         if k in (1, 4):  # two files at once, then a stream started anew
             stream = stream_features(spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")), 1)
-            stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+            _finish(spark, stream, out)
     keep = lambda df: sorted(tuple(round(x, 7) if isinstance(x, float) else x for x in r) for r in df.collect())
     batch = lambda x: core_features(bars(market_events(spark.createDataFrame(x, LOG)), 1), regimes=False)
     got, want = keep(spark.read.schema(stream.schema).parquet(f"{out}/rows")), keep(batch(rows)) + keep(batch([("b", *r[1:]) for r in rows[:200] if r[0] == "a"]))
@@ -163,7 +170,6 @@ def test_warm_start_from_files(spark, tmp_path):
     """A stream that starts from what another left, and no checkpoint, goes on with its averages."""
     from tickframe.streaming.features import last_averages
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = [r for r in _log_rows() if r[0] == "a"]
     cut = next(i for i in range(250, 400) if rows[i][2] // 10**9 > max(r[2] for r in rows[:i]) // 10**9)  # between two bars
     end = ("a", 900, 0, "end", None, None, None, None, None)

@@ -19,7 +19,7 @@ from ..operators.book import book_state, cumulative_depth, market_events, order_
 from ..operators.features import core_features, feature_map, usable, vector
 from ..operators.score import scored
 from ..schemas import FEATURES
-from ..session import shared_dir, written
+from ..session import STATE_STORE, setting, shared_dir, written
 from ..sources import files, logs
 from .preprocess import preprocess
 
@@ -617,7 +617,9 @@ def _ends(rows: DataFrame, seq: int) -> DataFrame:
 
 def _append(stream: DataFrame, out: str) -> DataFrame:
     """Run a stream to its end, on from where ``out`` was left, and read all that it wrote."""
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    with setting(stream.sparkSession, *STATE_STORE):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows")
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")
 
 

@@ -225,7 +225,7 @@ def stream_closed(rows: DataFrame, seconds: float, levels: int = LEVELS, alpha:
 
     A bar is given by the batch in which a later bar begins, or in which its stem's row of kind ``end`` comes; rows of a
     batch are taken by seq. ``initial`` (stem and the five averages) is where the averages of stems start, in a stream
-    without a checkpoint.
+    without a checkpoint. Start the stream with the state store of ``session.STATE_STORE``.
     """
     start = None if initial is None else initial.select("stem", *AVERAGES).groupBy("stem")
     return rows.groupBy("stem").transformWithStateInPandas(FeatureProcessor(seconds, levels, alpha, eps), CLOSED, "append", "None", initialState=start)
