@@ -72,6 +72,19 @@ def test_replay_by_cells(spark, tmp_path, monkeypatch):
             assert 0 < max(int(p.name.split("-")[1]) for p in tmp_path.iterdir()) < 1000
 
 
+def test_replay_keeps_series_apart(spark):
+    rng, rows = np.random.default_rng(3), {}
+    for stem in ("a", "b"):
+        price = 100 + np.cumsum(rng.normal(0, 2, 400))
+        rows[stem] = [(i, (i + 1) * 40 * NS, float(price[i]), float(price[i] + 1), float(price[i] - 1), float(rng.random()), float(rng.random())) for i in range(400)]
+    schema = "stem string, row long, ts_ns long, price double, high double, low double, up_prob double, down_prob double"
+    sweep = simulate.sweep_of(spark, [0.5], [5], [5])
+    got = simulate.replay(spark.createDataFrame([(s, *r) for s in rows for r in rows[s]], schema), sweep, ("stem", "combo")).collect()
+    for stem in rows:
+        want = simulate.replay_run(rows[stem], 0.5, 5.0, 5.0)
+        assert want and sorted(tuple(r)[5:] for r in got if r.stem == stem) == want
+
+
 def test_first_touch_sweep_against_pairs():
     from tickframe.operators.labels import _sweep
 

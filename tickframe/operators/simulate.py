@@ -229,7 +229,7 @@ def replay(predictions: DataFrame, sweep: DataFrame, keys: tuple[str, ...] = ("c
     exits = seen.groupBy(*trades.columns).agg(F.min(F.struct("ts", "row", F.coalesce(~wins, F.lit(True)).alias("lost"))).alias("x"))
     move = F.when(F.col("x.lost"), -F.col("stop")).otherwise(F.col("take"))
     return exits.select(
-        "combo", "threshold", "take", "stop", "id", "direction", "entry_price", "entry_row", "entry_ts_ns", (F.col("entry_price") + F.when(goes_up, move).otherwise(-move)).alias("exit_price"),
+        *apart, "combo", "threshold", "take", "stop", "id", "direction", "entry_price", "entry_row", "entry_ts_ns", (F.col("entry_price") + F.when(goes_up, move).otherwise(-move)).alias("exit_price"),
         F.col("x.row").alias("exit_row"), F.col("x.ts").alias("exit_ts_ns"), F.when(F.col("x.lost"), "loss").otherwise("win").alias("result"), move.alias("pips"), (F.col("x.row") - F.col("entry_row")).alias("duration"),
     )
 
