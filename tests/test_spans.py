@@ -101,6 +101,19 @@ def test_bars_and_books_cut_anywhere(spark, width):
     assert sorted((r.seq, r.sub, r.size) for r in book.order_flow(df, 3).collect()) == want_old
 
 
+def test_struct_order(spark, width):
+    """Lines of files are ordered by (block, line): spans never join blocks, and the result is that of whole numbers."""
+    rng, rows = random.Random(11), []
+    for i in range(90):
+        rows.append(("s", i, i // 40 * 1000, i, rng.choice([0, 3, 25, -6]) * 10**9 + i * 10**9, "L2", rng.choice(["bid", "ask"]), rng.choice(["add", "update", "remove"]), rng.randrange(2), float(rng.randint(90, 99)), float(rng.randint(1, 9))))
+    df = spark.createDataFrame(rows, "stem string, i long, block long, line long, ts_ns long, kind string, side string, op string, lvl int, price double, size double").repartition(3)
+    whole, parts = df.withColumn("seq", F.col("i")), df.withColumn("seq", F.struct("block", "line"))
+    for f, names in ((lambda x: bars.assign_bars(x, 10), ("i", "bar_id", "bar_index")), (lambda x: book.book_state(x, 2), ("i", "bids", "asks"))):
+        keep = lambda x: sorted(tuple(map(str, r)) for r in f(x).select(*names).collect())  # noqa: B023, E731
+        assert keep(parts) == keep(whole)
+    assert sorted((r.seq.line, r.sub, r.size) for r in book.order_flow(parts, 2).collect()) == sorted((r.seq, r.sub, r.size) for r in book.order_flow(whole, 2).collect())
+
+
 def test_rolled_up_bars_equal_bars_of_the_series(spark):
     rng, ts, rows = random.Random(9), 0, []
     for i in range(200):

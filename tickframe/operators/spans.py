@@ -1,7 +1,7 @@
 """Order inside one long key without gathering its rows in one task.
 
 Rows of a key are cut into spans of their order number (a line's number, a bar's index: whole numbers that are
-unique in a key), so a span holds at most ``SPAN_ROWS`` rows. What a span needs of those before it is a summary
+unique in a key; a line's place in a file may be a struct of them), so a span holds at most ``SPAN_ROWS`` rows. What a span needs of those before it is a summary
 of each, carried forward over a table of one row a key and span, and joined back: rows are sorted in their
 span alone, and a key of any length is worked on by as many tasks as it has spans.
 """
@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Order numbers of one span.
 SPAN_ROWS = 1 << 18
@@ -19,8 +20,13 @@ SPAN = "_span"
 
 
 def in_spans(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
-    """Adds the span of each row."""
-    return df.withColumn(SPAN, F.floor(F.col(order) / F.lit(width or SPAN_ROWS)).cast("bigint"))
+    """Adds the span of each row. A line's place in a file may be a struct: its last number is cut, those before it part spans."""
+    cut = lambda c: F.floor(c / F.lit(width or SPAN_ROWS)).cast("bigint")
+    kind = df.schema[order].dataType
+    if not isinstance(kind, T.StructType):
+        return df.withColumn(SPAN, cut(F.col(order)))
+    *first, last = (F.col(order)[f.name] for f in kind.fields)
+    return df.withColumn(SPAN, F.struct(*(c.alias(f"p{i}") for i, c in enumerate(first)), cut(last).alias("n")))
 
 
 def inside(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
