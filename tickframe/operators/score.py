@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+OUTCOMES = ("down_prob", "flat_prob", "up_prob")
+
+
 def causal_convolution(x: np.ndarray, w: np.ndarray, b: np.ndarray, dilation: int) -> np.ndarray:
     """x: (n, channels, length); w: (out, channels, kernel); values before the start are 0."""
     n, _, length = x.shape
@@ -37,6 +40,13 @@ def forward(x: np.ndarray, model: dict) -> np.ndarray:
     return (0.7 * x[:, :, -1] + 0.3 * x.mean(2)) @ model["head"].T + model["head_b"]
 
 
+def softmax_scores(x: np.ndarray, model: dict) -> np.ndarray:
+    """Class probabilities (n, classes) of windows (n, channels, length)."""
+    z = forward(x, model)
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def bundle(model: dict) -> bytes:
     """A model as one .npz: ``blocks.<i>.<name>``, ``head``, ``head_b`` and, if set, ``base``; arrays only, nothing that runs."""
     out = {f"blocks.{i}.{k}": v for i, b in enumerate(model["blocks"]) for k, v in b.items() if v is not None}
@@ -70,12 +80,10 @@ def scored(windows: DataFrame, model: dict, window: str = "window") -> DataFrame
     def probabilities(column: pd.Series) -> pd.Series:
         if not len(column):
             return pd.Series([], dtype=object)
-        z = forward(np.stack([np.stack(v) for v in column]).astype(float), shared.value)
-        e = np.exp(z - z.max(1, keepdims=True))
-        return pd.Series(list(e / e.sum(1, keepdims=True)))
+        return pd.Series(list(softmax_scores(np.stack([np.stack(v) for v in column]).astype(float), shared.value)))
 
     out = windows.withColumn("_p", probabilities(F.col(window)))
-    return out.select(*windows.columns, *(F.col("_p")[i].alias(n) for i, n in enumerate(("down_prob", "flat_prob", "up_prob"))))
+    return out.select(*windows.columns, *(F.col("_p")[i].alias(n) for i, n in enumerate(OUTCOMES)))
 
 
 def logistic_baseline(train: DataFrame, columns: list[str], label: str, rounds: int = 50):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .network import example_network, network_sql
+
 H6 = 6 * 3600 * 10**9
 SERIES = """series AS (
   SELECT strftime(ts, '%Y-%m-%d') AS stem, event_id AS seq, epoch_us(ts) * 1000 AS ts_ns, value AS price, user_id, event_type FROM events)"""
@@ -21,6 +23,21 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts) + "\n"
 
 
+#: What a stream whose parts are thirds by number takes: every 97th row of the first comes late. ``wm`` is the watermark at its end.
+IN_TIME = """intime AS (SELECT * FROM series WHERE NOT (seq % 97 = 0 AND seq * 3 // (SELECT max(seq) + 1 FROM series) = 0)),
+wm AS (SELECT (max(ts_ns) // 1000000 - 600000) * 1000000 AS mark FROM series)"""
+PRICED = "count(*) AS n_events, arg_min(price, (ts_ns, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ns, seq)) AS close, round(sum(price), 4) AS volume"
+
+
+def _scores() -> str:
+    """The network over windows of 48 minute bars, standardised as a whole."""
+    standard = lambda c: f"greatest(-10.0, least(10.0, ({c} - avg({c}) OVER ()) / sqrt(greatest(var_pop({c}) OVER (), 1e-12)))) AS {c}"
+    parts = ["w AS (SELECT b.stem, b.bar_index, a.i - b.i AS j, a.close, a.volume FROM n b JOIN n a ON a.stem = b.stem AND a.i BETWEEN b.i - 47 AND b.i WHERE b.i >= 48)"]
+    rows = f"n AS (SELECT stem, bar_index, row_number() OVER (PARTITION BY stem ORDER BY bar_index) AS i, {standard('close')}, {standard('volume')} FROM bars)"
+    made = network_sql(example_network(), "w", "stem, bar_index", "j", ["close", "volume"])
+    return _with(SERIES, _bars(60), rows, *parts, *made) + "SELECT stem, bar_index, round(down_prob, 6) AS down_prob, round(flat_prob, 6) AS flat_prob, round(up_prob, 6) AS up_prob FROM probs"
+
+
 def _ohlcv(seconds: int) -> str:
     return _with(SERIES, _bars(seconds)) + "SELECT stem, bar_id, bar_index, open, high, low, close, round(volume, 4) AS volume, n_events, start_ns FROM bars"
 
@@ -449,6 +466,13 @@ UNION ALL SELECT * FROM (SELECT 'nation', CAST(n_nationkey AS BIGINT) FROM natio
     last_value(CASE WHEN o = 1 THEN v6 END IGNORE NULLS) OVER u AS vm, last_value(CASE WHEN o = 1 THEN o6 END IGNORE NULLS) OVER u AS om FROM q WINDOW u AS (PARTITION BY stem, sid ORDER BY pos ROWS UNBOUNDED PRECEDING))""") + """
 SELECT stem, start_timestamp_ns, round(sm, 8) + 0.0 AS spread_mid, round(sl, 8) + 0.0 AS spread_slow, round(am, 8) + 0.0 AS avg_mid_spread_abs, round(vm, 8) + 0.0 AS sum_mid_trade_volume, round(om, 8) + 0.0 AS sum_mid_ofi_net, 0.0::DOUBLE AS avg_fast_spread_abs
 FROM l WHERE o = 0 AND n > 5 AND sm IS NOT NULL AND sl IS NOT NULL"""
+    o["stream_event_bars"] = _with(SERIES, IN_TIME) + f"""SELECT stem, bar_id, bar_id * 600000000000 AS start_ns, (bar_id + 1) * 600000000000 AS end_ns, {PRICED} FROM (SELECT *, ts_ns // 600000000000 AS bar_id FROM intime) t
+WHERE (bar_id + 1) * 600000000000 <= (SELECT mark FROM wm) GROUP BY stem, bar_id"""
+    o["stream_sessions"] = _with(SERIES, IN_TIME, "b AS (SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY stem ORDER BY ts_ns, seq) <= 120000000000 THEN 0 ELSE 1 END AS broke FROM intime)", "k AS (SELECT *, sum(broke) OVER (PARTITION BY stem ORDER BY ts_ns, seq ROWS UNBOUNDED PRECEDING) AS run FROM b)") + f"""
+SELECT stem, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, {PRICED} FROM k GROUP BY stem, run HAVING max(ts_ns) + 120000000000 <= (SELECT mark FROM wm)"""
+    o["stream_drop_reasons"] = f"SELECT reason, n FROM ({o['src_payload_reasons']}) t"
+    o["stream_latest_rows"] = _with(SERIES) + "SELECT user_id, ts_ns, seq, event_type, price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns DESC, seq DESC) AS r FROM series) t WHERE r = 1"
+    o["score_network"] = o["stream_scored"] = _scores()
     o["stream_bars_parity"] = _with(SERIES, _bars(3600)) + "SELECT stem, bar_id, bar_index, open, high, low, close, round(volume, 4) AS volume, n_events FROM (SELECT *, max(bar_id) OVER (PARTITION BY stem) AS last_id FROM bars) t WHERE bar_id < last_id"
     o["stream_stateful_ewma"] = _with(SERIES, "x AS (SELECT stem, seq, price AS v, row_number() OVER (PARTITION BY stem ORDER BY seq) AS i FROM series)", _ewma("x", 0.2), recursive=True) + "SELECT x.stem, x.seq, round(e.m, 4) + 0.0 AS ewma FROM x JOIN e ON e.stem = x.stem AND e.i = x.i"
     return o

@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +16,11 @@ from ..operators import align, dataset, labels, metrics, profile, rolling, simul
 from ..operators.bars import assign_bars, bars, price_bars, rolled_up
 from ..operators.book import book_state, cumulative_depth, market_events, order_flow, quotes, resized
 from ..operators.features import core_features, feature_map, usable, vector
-from ..operators.score import scored
+from ..operators.score import OUTCOMES, scored
 from ..schemas import FEATURES
 from ..session import STATE_STORE, setting, shared_dir, written
 from ..sources import files, logs
+from .network import example_network
 from .preprocess import preprocess
 
 HOUR, TEN_MINUTES, MINUTE = 3600, 600, 60
@@ -482,13 +482,17 @@ def set_union_dedupe(spark, sf_dir):
     return dataset.first_by_name(files)
 
 
+def _standard_bars(spark, sf_dir):
+    return dataset.standardized(_price_bars(spark, sf_dir, MINUTE).select("stem", "bar_index", "close", "volume"), ["close", "volume"])
+
+
+def _probabilities(rows: DataFrame) -> DataFrame:
+    return rows.select("stem", "bar_index", *(fixed(c).alias(c) for c in OUTCOMES))
+
+
 def score_network(spark, sf_dir):
     """Scores of 48-bar windows by a small fixed network."""
-    rng = np.random.default_rng(3)
-    block = lambda i, o: {"w1": rng.normal(0, 0.1, (o, i, 2)), "b1": np.zeros(o), "w2": rng.normal(0, 0.1, (o, o, 2)), "b2": np.zeros(o), "down": rng.normal(0, 0.1, (o, i, 1)) if i != o else None, "down_b": np.zeros(o)}
-    model = {"blocks": [block(2, 8), block(8, 8)], "head": rng.normal(0, 0.1, (3, 8)), "head_b": np.zeros(3)}
-    bars_ = dataset.standardized(_price_bars(spark, sf_dir, MINUTE).select("stem", "bar_index", "close", "volume"), ["close", "volume"])
-    return scored(dataset.sequences(bars_, ["close", "volume"], 48), model).select("stem", "bar_index", *(fixed(c).alias(c) for c in ("down_prob", "flat_prob", "up_prob")))
+    return _probabilities(scored(dataset.sequences(_standard_bars(spark, sf_dir), ["close", "volume"], 48), example_network()))
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -664,6 +668,72 @@ def stream_stateful_ewma(spark, sf_dir):
     return _rounded(_streamed(spark, sf_dir, lambda s: stream_ewma(s, 0.2), "ewma"), "ewma", digits=4)
 
 
+def _in_thirds(rows: DataFrame, part, build, name: str) -> DataFrame:
+    """What a stream over rows that come in three parts gives, started anew for each."""
+    spark = rows.sparkSession
+    folder, out = _folder(spark, f"{name}-in"), _folder(spark, name)
+    for k in range(3):
+        rows.where(part == k).write.parquet(f"{folder}/part={k}")
+        made = _append(build(spark.readStream.schema(rows.schema).parquet(f"{folder}/part=*")), out)
+    return made
+
+
+def _with_late_rows(spark, sf_dir):
+    """Events and the part in which each comes: thirds by number, but every 97th row of the first comes with the last."""
+    rows = written(_series(spark, sf_dir).select("stem", "seq", "ts_ns", "price"), "series")
+    third = F.least(F.expr(f"seq * 3 div {(rows.agg(F.max('seq')).first()[0] or 0) + 1}"), F.lit(2))
+    return rows, F.when((third == 0) & (F.col("seq") % 97 == 0), 2).otherwise(third)
+
+
+def stream_event_bars(spark, sf_dir):
+    """Ten-minute bars by event time, closed by a watermark ten minutes behind; rows that come late are left out."""
+    from ..streaming.windows import event_bars
+
+    rows, part = _with_late_rows(spark, sf_dir)
+    return _rounded(_in_thirds(rows, part, lambda s: event_bars(s, TEN_MINUTES), "event_bars"), "volume", digits=4)
+
+
+def stream_sessions(spark, sf_dir):
+    """Runs of events of a day without a break of two minutes, closed by a watermark."""
+    from ..streaming.windows import sessions
+
+    rows, part = _with_late_rows(spark, sf_dir)
+    return _rounded(_in_thirds(rows, part, lambda s: sessions(s, 2 * MINUTE), "sessions"), "volume", digits=4)
+
+
+def stream_drop_reasons(spark, sf_dir):
+    """How many payload lines a stream takes and why it drops others, as observed while it writes."""
+    from ..streaming import batches, tail
+
+    folder, out = _folder(spark, "lines"), _folder(spark, "taken")
+    _payload_lines(spark, sf_dir).write.text(folder)
+    lines = tail.checked(spark.readStream.text(folder), "fast")
+    batches.take(lines.select("p.*", "reason"), out, tail.REASONS).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return batches.drop_reasons(spark, out)
+
+
+def stream_latest_rows(spark, sf_dir):
+    """The last event of each user, kept by a stream whose rows come in three mixed parts."""
+    from ..streaming.batches import keep_latest, latest
+
+    rows = _series(spark, sf_dir).select("user_id", "ts_ns", "seq", "event_type", "price")
+    folder, out = _folder(spark, "mixed"), _folder(spark, "latest")
+    for k in range(3):
+        rows.where(F.col("seq") % 3 == k).write.parquet(f"{folder}/part={k}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/part=*")
+        keep_latest(stream, out, ("user_id",), ("ts_ns", "seq")).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest(spark, out, rows.schema)
+
+
+def stream_scored(spark, sf_dir):
+    """The network's scores of minute bars that come in three parts, from windows kept in state."""
+    from ..streaming.scores import stream_scored as build
+
+    rows = written(_standard_bars(spark, sf_dir), "bars")
+    part = F.least(F.expr("bar_index div 480"), F.lit(2))
+    return _probabilities(_in_thirds(rows, part, lambda s: build(s, ["close", "volume"], example_network()), "scored"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with realised variance and z-scores."""
     b = _returns(spark, sf_dir, HOUR)
@@ -678,6 +748,7 @@ _PLAIN = [
     agg_value_counts_top10, agg_standardize_clip, met_auc_by_day, met_auc_quality, met_accuracy_by_day, met_corr, sim_label_aware, sim_threshold_sweep, sim_replay_tp_sl, agg_trade_summary, agg_half_hour_buckets,
     join_parity_profile, ml_alignment_check, agg_trade_stats, snk_trade_log, snk_trigger_log, set_threshold_union, agg_rows_per_kind, met_model_health,
     sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows, stream_core_64, stream_warm_start,
+    stream_event_bars, stream_sessions, stream_drop_reasons, stream_latest_rows, stream_scored,
     snk_preprocess, src_feature_files, src_label_files, src_latest_state, flt_small_files, src_payload_reasons, src_payload_stream, ord_packed_chunks, ord_capped_sample,
 ]
 
