@@ -11,10 +11,14 @@ import numpy as np
 import zstandard
 
 
-def cuts(sorted_keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of ``bits``-wide keys starts in sorted keys."""
-    edges = np.array([(b << bits) // buckets + bool((b << bits) % buckets) for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(sorted_keys, edges), len(sorted_keys))
+def pieces(sorted_keys: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of those of ``buckets`` equal ranges of ``bits``-wide keys that have sorted keys: work grows with the keys, not with the buckets."""
+    if not len(sorted_keys):
+        return []
+    keys, half, n = sorted_keys.astype(np.uint64) << np.uint64(64 - bits), np.uint64(32), np.uint64(buckets)
+    bucket = ((keys >> half) * n + (((keys & np.uint64(0xFFFFFFFF)) * n) >> half)) >> half  # keys * buckets / 2**64, rounded down
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return list(zip(bucket[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(keys)]))
 
 
 def pack(values: np.ndarray) -> bytes:

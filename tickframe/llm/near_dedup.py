@@ -190,11 +190,9 @@ def _spread(buckets: int):
             hub = nodes[np.flatnonzero(new)][np.cumsum(new) - 1]
             b, p = [-1], [np.stack(_forest(hub[~new], nodes[~new])).tobytes()]
             keys, nodes = keys[new], nodes[new]
-            at = X.cuts(keys, 64, buckets)
-            for i in range(buckets):
-                if at[i + 1] > at[i]:
-                    b.append(i)
-                    p.append(np.stack([keys[at[i] : at[i + 1]].view(np.int64), nodes[at[i] : at[i + 1]]]).tobytes())
+            for i, start, end in X.pieces(keys, 64, buckets):
+                b.append(i)
+                p.append(np.stack([keys[start:end].view(np.int64), nodes[start:end]]).tobytes())
             b = [int.from_bytes(x[:2], "little") % buckets if i < 0 else i for i, x in zip(b, p)]
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([True] + [False] * (len(b) - 1)), pa.array(p, pa.binary())], ["bucket", "linked", "payload"])
 

@@ -89,8 +89,7 @@ def _send_probes(window: int, bits: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         entries, *_ = _Chunk(table, window).probes(bits)
-        at = X.cuts(entries >> U64(2), bits, buckets)
-        return _wire([(b, chunk, X.pack(entries[at[b] : at[b + 1]])) for b in range(buckets) if at[b + 1] > at[b]])
+        return _wire([(b, chunk, X.pack(entries[start:end])) for b, start, end in X.pieces(entries >> U64(2), bits, buckets)])
 
     return send
 
@@ -118,6 +117,10 @@ def _replies(table: pa.Table) -> list[tuple[int, bytes]]:
     return sorted(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist()))
 
 
+def _places(keys: np.ndarray, bits: int, buckets: int) -> dict[int, tuple[int, int]]:
+    return {b: (start, end) for b, start, end in X.pieces(keys, bits, buckets)}
+
+
 def _send_windows(window: int, bits: int, probe_buckets: int, buckets: int):
     def send(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -126,21 +129,19 @@ def _send_windows(window: int, bits: int, probe_buckets: int, buckets: int):
         chunk = _Chunk(table, window)
         entries, aligned, aligned_keys, _ = chunk.probes(bits)
         own = entries[(entries & U64(1)).astype(bool)] >> U64(2)
-        at, hit = X.cuts(own, bits, probe_buckets), np.zeros(len(own), bool)
+        at, hit = _places(own, bits, probe_buckets), np.zeros(len(own), bool)
         for b, data in _replies(answers):
-            hit[at[b] : at[b + 1]] = X.flags(data, at[b + 1] - at[b])
+            start, end = at.get(b, (0, 0))  # a bucket that got no own key answers with no bit
+            hit[start:end] = X.flags(data, end - start)
         anchors = aligned[hit[np.searchsorted(own, aligned_keys)]] if len(own) else aligned
         starts = chunk.candidates(anchors)
         mask = np.zeros(len(chunk.words), bool)
         mask[starts] = True
         w, m, count, _ = _distinct(*chunk.fingerprints(starts))
-        cut = X.cuts(w, 64, buckets)
         rows = [(number % buckets, number, b"\0" + X.bits(mask))]
-        for b in range(buckets):
-            here = slice(cut[b], cut[b + 1])
-            if cut[b + 1] > cut[b]:
-                keys = X.pack(w[here])
-                rows.append((b, number, b"\1" + len(keys).to_bytes(4, "little") + keys + m[here].tobytes() + X.bits(count[here] > 1)))
+        for b, start, end in X.pieces(w, 64, buckets):
+            keys = X.pack(w[start:end])
+            rows.append((b, number, b"\1" + len(keys).to_bytes(4, "little") + keys + m[start:end].tobytes() + X.bits(count[start:end] > 1)))
         return _wire(rows)
 
     return send
@@ -176,10 +177,11 @@ def _covered(chunk: _Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     mask = next((x for b, x in replies if b == -1), b"")
     starts = np.flatnonzero(X.flags(mask, len(chunk.words))) if mask else np.zeros(0, np.int64)
     w, _, _, which = _distinct(*chunk.fingerprints(starts)) if len(starts) else (np.zeros(0, U64), 0, 0, starts)
-    cut, repeated = X.cuts(w, 64, buckets), np.zeros(len(w), bool)
+    at, repeated = _places(w, 64, buckets), np.zeros(len(w), bool)
     for b, x in replies:
         if b >= 0:
-            repeated[cut[b] : cut[b + 1]] = X.flags(x, cut[b + 1] - cut[b])
+            start, end = at[b]
+            repeated[start:end] = X.flags(x, end - start)
     edge = np.zeros(len(chunk.words) + 1, np.int32)
     hit = starts[repeated[which]] if len(starts) else starts
     np.add.at(edge, hit, 1)
