@@ -195,3 +195,29 @@ def test_scores_from_windows_in_state(spark, tmp_path):
     table = spark.createDataFrame(rows, schema).withColumn("y", F.nanvl("y", F.lit(0.0)))
     batch = {(r.stem, r.bar_index): [r[n] for n in OUTCOMES] for r in scored(sequences(table, ["x", "y"], 5), model).collect()}
     assert set(batch) == set(want) and all(np.allclose(batch[k], want[k], atol=1e-9) for k in want)
+
+
+def test_triggers_against_a_plain_walk(spark, tmp_path):
+    """Over three batches: cooldowns of any and of the same direction, price moves, ties of the directions, rows that may not trigger."""
+    import random
+
+    from tickframe.streaming.triggers import stream_triggers
+
+    rng, schema = random.Random(4), "stem string, seq long, ts_ns long, price double, up_prob double, down_prob double"
+    odd = [None, float("nan")]
+    rows = [(rng.choice("ab"), i, i * 10**9 if i % 40 else None, rng.choice([*range(8), *odd, float("inf")]) if i % 5 == 0 else rng.randint(0, 8) / 1.0, rng.choice([0.2, 0.6, 0.9, *odd]), rng.choice([0.2, 0.6, 0.9, *odd])) for i in range(400)]
+    rows = [(*r[:3], None if r[3] is None else float(r[3]), *r[4:]) for r in rows]
+    given, _ = _in_turn(spark, [rows[:150][::-1], rows[150:151], rows[151:]], schema, lambda s: stream_triggers(s, 0.6, 2.0, 30, 7), str(tmp_path))
+    want = []
+    for stem in "ab":
+        newest, last = None, {}
+        for _, i, ts, price, up, down in (r for r in rows if r[0] == stem):
+            up, down = (0.0 if p is None or p != p else p for p in (up, down))
+            way = "up" if up >= down else "down"
+            if ts is None or price is None or not np.isfinite(price) or max(up, down) < 0.6 or newest is not None and ts - newest < 7 * 10**9:
+                continue
+            if way in last and (ts - last[way][0] < 30 * 10**9 or abs(price - last[way][1]) < 2.0):
+                continue
+            newest, last[way] = ts, (ts, price)
+            want.append((stem, i, ts, way, max(up, down), price))
+    assert len(want) > 20 and sorted(tuple(r) for r in given) == want

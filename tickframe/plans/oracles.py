@@ -472,6 +472,16 @@ WHERE (bar_id + 1) * 600000000000 <= (SELECT mark FROM wm) GROUP BY stem, bar_id
 SELECT stem, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, {PRICED} FROM k GROUP BY stem, run HAVING max(ts_ns) + 120000000000 <= (SELECT mark FROM wm)"""
     o["stream_drop_reasons"] = f"SELECT reason, n FROM ({o['src_payload_reasons']}) t"
     o["stream_latest_rows"] = _with(SERIES) + "SELECT user_id, ts_ns, seq, event_type, price FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns DESC, seq DESC) AS r FROM series) t WHERE r = 1"
+    o["stream_triggers"] = _with(SERIES, """c AS (
+  SELECT stem, seq, ts_ns, price, CASE WHEN up >= down THEN 'up' ELSE 'down' END AS direction, greatest(up, down) AS prob, row_number() OVER (PARTITION BY stem ORDER BY seq) AS i
+  FROM (SELECT *, seq * 37 % 101 / 100.0::DOUBLE AS up, seq * 53 % 97 / 100.0::DOUBLE AS down FROM series) t WHERE greatest(up, down) >= 0.6::DOUBLE)""", """walk AS (
+  SELECT stem, i, TRUE AS ok, CASE WHEN direction = 'up' THEN ts_ns END AS ut, CASE WHEN direction = 'up' THEN price END AS upx, CASE WHEN direction = 'down' THEN ts_ns END AS dt, CASE WHEN direction = 'down' THEN price END AS dpx FROM c WHERE i = 1
+  UNION ALL SELECT stem, i, ok, CASE WHEN ok AND up THEN ts_ns ELSE ut END, CASE WHEN ok AND up THEN price ELSE upx END, CASE WHEN ok AND NOT up THEN ts_ns ELSE dt END, CASE WHEN ok AND NOT up THEN price ELSE dpx END
+  FROM (SELECT c.stem, c.i, c.ts_ns, c.price, c.direction = 'up' AS up, w.ut, w.upx, w.dt, w.dpx,
+    c.ts_ns - greatest(coalesce(w.ut, w.dt), coalesce(w.dt, w.ut)) >= 600000000000 AND CASE WHEN c.direction = 'up' THEN w.ut IS NULL OR (c.ts_ns - w.ut >= 1800000000000 AND abs(c.price - w.upx) >= 5.0)
+      ELSE w.dt IS NULL OR (c.ts_ns - w.dt >= 1800000000000 AND abs(c.price - w.dpx) >= 5.0) END AS ok FROM walk w JOIN c ON c.stem = w.stem AND c.i = w.i + 1) t)""", recursive=True) + """
+SELECT c.stem, c.seq, c.ts_ns, c.direction, c.prob, c.price FROM c JOIN walk w ON w.stem = c.stem AND w.i = c.i WHERE ok"""
+    o["src_log_files"] = "SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY seq) AS place, ts_us, kind, side, op, lvl, price, size FROM (" + o["src_parse_roundtrip"] + ") t"
     o["score_network"] = o["stream_scored"] = _scores()
     o["stream_bars_parity"] = _with(SERIES, _bars(3600)) + "SELECT stem, bar_id, bar_index, open, high, low, close, round(volume, 4) AS volume, n_events FROM (SELECT *, max(bar_id) OVER (PARTITION BY stem) AS last_id FROM bars) t WHERE bar_id < last_id"
     o["stream_stateful_ewma"] = _with(SERIES, "x AS (SELECT stem, seq, price AS v, row_number() OVER (PARTITION BY stem ORDER BY seq) AS i FROM series)", _ewma("x", 0.2), recursive=True) + "SELECT x.stem, x.seq, round(e.m, 4) + 0.0 AS ewma FROM x JOIN e ON e.stem = x.stem AND e.i = x.i"

@@ -734,6 +734,25 @@ def stream_scored(spark, sf_dir):
     return _probabilities(_in_thirds(rows, part, lambda s: build(s, ["close", "volume"], example_network()), "scored"))
 
 
+def stream_triggers(spark, sf_dir):
+    """Triggers of scored events that come in three parts: price moves of 5, ten minutes since any, half an hour since one of the same direction."""
+    from ..streaming.triggers import stream_triggers as build
+
+    rows = written(_series(spark, sf_dir).select("stem", "seq", "ts_ns", "price", (F.col("seq") * 37 % 101 / 100.0).alias("up_prob"), (F.col("seq") * 53 % 97 / 100.0).alias("down_prob")), "scored")
+    part = (F.col("seq") * 3 / ((rows.agg(F.max("seq")).first()[0] or 0) + 1)).cast("int")
+    return _in_thirds(rows, F.least(part, F.lit(2)), lambda s: build(s, 0.6, 5.0, 3 * TEN_MINUTES), "triggers")
+
+
+def src_log_files(spark, sf_dir):
+    """Log files, one a day in a folder of its own, written as lines and read back: which rows a file gives, in their order."""
+    out = _folder(spark, "logs")
+    lines = logs.format_lines(_log(spark, sf_dir)).select(F.col("stem").alias("day"), "seq", "value")
+    lines.repartition("day").sortWithinPartitions("day", "seq").select("day", "value").write.partitionBy("day").text(out)
+    found = logs.read_lines(spark, f"{out}/*/*.txt").withColumn("stem", F.regexp_extract("file", "day=([^/]+)", 1))  # files of one task have one name
+    back = logs.parse(found, strict=True).withColumn("place", F.row_number().over(Window.partitionBy("stem").orderBy("seq")))
+    return back.select("stem", "place", F.expr("ts_ns div 1000").alias("ts_us"), "kind", "side", "op", "lvl", "price", "size")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars with realised variance and z-scores."""
     b = _returns(spark, sf_dir, HOUR)
@@ -748,7 +767,7 @@ _PLAIN = [
     agg_value_counts_top10, agg_standardize_clip, met_auc_by_day, met_auc_quality, met_accuracy_by_day, met_corr, sim_label_aware, sim_threshold_sweep, sim_replay_tp_sl, agg_trade_summary, agg_half_hour_buckets,
     join_parity_profile, ml_alignment_check, agg_trade_stats, snk_trade_log, snk_trigger_log, set_threshold_union, agg_rows_per_kind, met_model_health,
     sim_trade_clusters, sim_cooldown_trigger, set_union_dedupe, score_network, stream_bars_parity, stream_stateful_ewma, stream_live_rows, stream_core_64, stream_warm_start,
-    stream_event_bars, stream_sessions, stream_drop_reasons, stream_latest_rows, stream_scored,
+    stream_event_bars, stream_sessions, stream_drop_reasons, stream_latest_rows, stream_scored, stream_triggers, src_log_files,
     snk_preprocess, src_feature_files, src_label_files, src_latest_state, flt_small_files, src_payload_reasons, src_payload_stream, ord_packed_chunks, ord_capped_sample,
 ]
 
