@@ -142,3 +142,14 @@ def test_logistic_baseline(spark):
     df = spark.createDataFrame(rows, "a double, b double, label int")
     model = score.logistic_baseline(df, ["a", "b"], "label")
     assert model.transform(df.withColumn("_y", (df.label != 1).cast("double"))).where("prediction = _y").count() > 280
+
+
+def test_cooldown_triggers_of_ties_and_missing_times(spark):
+    """Of rows at one time one triggers; a row at the very end of the wait does; without a wait all do; rows without a time never."""
+    from tickframe.operators.simulate import cooldown_triggers
+
+    rows = [("a", t, label) for t, label in ((5, 2), (5, 0), (9, 2), (15, 0), (16, 1), (25, 2), (None, 2))] + [("b", None, 0), ("b", -3, 0)]
+    table = spark.createDataFrame(rows, "stem string, ts_ns long, label int")
+    got = lambda wait: sorted((r.stem, r.ts_ns) for r in cooldown_triggers(table, wait).collect())
+    assert got(10) == [("a", 5), ("a", 15), ("a", 25), ("b", -3)]
+    assert got(0) == [("a", 5), ("a", 5), ("a", 9), ("a", 15), ("a", 25), ("b", -3)]

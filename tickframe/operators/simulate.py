@@ -337,16 +337,16 @@ def clusters(trades: DataFrame, window_s: float = 120.0, keys: tuple[str, ...] =
 
 
 def cooldown_triggers(rows: DataFrame, cooldown_ns: int, keys: tuple[str, ...] = ("stem",)) -> DataFrame:
-    """Rows of class up or down that trigger: none within ``cooldown_ns`` after the last trigger."""
-    wanted = rows.where(F.col("label") != FLAT)
+    """Rows of class up or down that trigger: none within ``cooldown_ns`` after the last trigger; rows without a time never do."""
+    wanted = rows.where((F.col("label") != FLAT) & F.col("ts_ns").isNotNull())
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ns"], kind="stable")
-        last, keep = None, []
-        for ts in pdf["ts_ns"]:
-            ok = last is None or ts - last >= cooldown_ns
-            last = ts if ok else last
-            keep.append(ok)
-        return pdf[keep]
+        ts, i, keep = pdf["ts_ns"].to_numpy(), 0, []
+        after = np.searchsorted(ts, ts + cooldown_ns)
+        while i < len(ts):  # from trigger to trigger
+            keep.append(i)
+            i = max(i + 1, int(after[i]))
+        return pdf.iloc[keep]
 
     return wanted.groupBy(*keys).applyInPandas(pick, wanted.schema)
