@@ -110,3 +110,15 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
     with pytest.raises(ValueError):
         shared_dir(Session())
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_exit_rows(spark):
+    """By number within a key; an exit that is null, negative, its own row or not there."""
+    from tickframe.operators.align import with_exit_rows
+
+    rows = [("a", 0, 2, 10), ("a", 1, None, 11), ("a", 2, 2, 12), ("a", -1, -1, 13), ("b", 0, 9, 14), ("b", 2, 0, 15)]
+    got = with_exit_rows(spark.createDataFrame(rows, "stem string, row long, exit_row long, ts long"), {"exit_ts": "ts"})
+    assert got.columns == ["stem", "row", "exit_row", "ts", "exit_ts"]
+    assert sorted((r.stem, r.ts, r.exit_ts) for r in got.collect()) == [("a", 10, 12), ("a", 11, None), ("a", 12, 12), ("a", 13, None), ("b", 14, None), ("b", 15, 14)]
+    with pytest.raises(ValueError):
+        with_exit_rows(got, {"ts": "row"})

@@ -143,3 +143,14 @@ def mismatches(built: DataFrame, cached: DataFrame, label: str, features: dict[s
 def without_existing(inputs: DataFrame, existing: DataFrame, on: list[str]) -> DataFrame:
     """Inputs whose output is not there yet."""
     return inputs.join(existing.select(*on).distinct(), on, "left_anti")
+
+
+def with_exit_rows(rows: DataFrame, columns: dict[str, str], keys: tuple[str, ...] = ("stem",), row: str = "row", exit_row: str = "exit_row") -> DataFrame:
+    """Adds what the row that ``exit_row`` names by its number holds: new name -> column, by an equi-join on ``keys`` and the number.
+
+    A row whose exit is null, negative or not there keeps nulls. (``keys``, ``row``) must be unique, or a row is given once for each exit.
+    """
+    if clash := set(columns) & set(rows.columns):
+        raise ValueError(f"columns that are there already: {sorted(clash)}")
+    exits = rows.select(*keys, F.col(row).alias(exit_row), *(F.col(c).alias(n) for n, c in columns.items())).where(F.col(exit_row) >= 0)
+    return rows.join(exits, [*keys, exit_row], "left").select(*rows.columns, *columns)

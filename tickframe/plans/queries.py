@@ -391,8 +391,7 @@ def met_corr(spark, sf_dir):
 def _runs(spark, sf_dir):
     """Bar labels as exits, three thresholds."""
     b = _bar_labels(spark, sf_dir)
-    exits = b.select("stem", F.col("row").alias("exit_row"), F.col("start_ns").alias("exit_ts_ns"))
-    p = b.join(exits, ["stem", "exit_row"], "left").select(
+    p = align.with_exit_rows(b, {"exit_ts_ns": "start_ns"}).select(
         "stem", F.col("start_ns").alias("ts_ns"), "row", "exit_row", "exit_ts_ns", "label", ((F.col("bar_id") * 37 % 101) / 100.0).alias("up_prob"), ((F.col("bar_id") * 53 % 97) / 100.0).alias("down_prob")
     )
     p = p.withColumn("prob", F.greatest("up_prob", "down_prob"))
