@@ -1,6 +1,8 @@
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
 import regex as re
 
@@ -50,7 +52,7 @@ def votes(pattern, hit, before, after):
     f = {
         "email": lambda: 1,
         "ip": lambda: three(passes("ip", hit), True),
-        "card": lambda: three(passes("card", hit) or 10 <= n <= 13, n >= 14),
+        "card": lambda: three(passes("card", hit), n >= 14),
         "phone": lambda: three(10 <= n <= 15, n < 10 or n > 19),
         "national": lambda: three(9 <= n <= 13, True),
         "spelled": lambda: int("(" in hit or "[" in hit),
@@ -60,7 +62,7 @@ def votes(pattern, hit, before, after):
     }.get(pattern, lambda: 0)()
     g = {
         "email": lambda: three(re.search(rf"\.({m.DOMAINS})$", low), True),
-        "spelled": lambda: three(re.search(rf"({m.DOMAINS})$", low), True),
+        "spelled": lambda: three(re.search(rf"({m.DOMAINS})$", low) and re.search(r"[0-9(._\[-]", hit), not re.search(rf"({m.DOMAINS})$", low)),
         "ip": lambda: three(not re.match(r"(0|22[4-9]|2[3-5][0-9])\.", hit), True),
         "card": lambda: three(re.match(m.ISSUERS, d), True) if n >= 14 else three(re.match("0[1-9]", d)),
         "phone": lambda: three(re.match(m.CALLING, d), True),
@@ -80,6 +82,15 @@ def votes(pattern, hit, before, after):
     return dict(zip(m.LABELERS, (f, g, three(cue(words, before)), after_, counter, frame)))
 
 
+def side(x):
+    return 0 if not x else 1 if re.match(r"[\p{L}\p{N}_]", x) else 2 if x in " \t\n\x0b\f\r" else 3
+
+
+def word(before):
+    x = re.search(r"(\p{L}+)( (is|was|no|number|nr))?[^\p{L}0-9]*$", before)
+    return 1 + zlib.crc32(x[1].encode()) % (m.WORDS - 1) if x else 0
+
+
 def found(text):
     text, out = text or "", []
     for pattern, p in m.PATTERNS.items():
@@ -91,33 +102,37 @@ def found(text):
             n = len(re.sub(r"[ ().+-]", "", hit))
             short = pattern == "card" and n < 14
             base = pattern in BASE and bool(passes(pattern, hit))
-            named = max(v["v_gazetteer"], v["v_before"], v["v_after"], v["v_frame"]) > 0
-            if pattern == "spelled" and not max(v["v_format"], v["v_before"], v["v_after"], v["v_frame"]) > 0:
-                continue
-            if not base and (pattern in ("email", "ip", "phone") or pattern in ("name", "secret") and not named or short and not (n >= 10 and named and v["v_frame"] >= 0)):
+            if not base and (pattern in ("email", "ip", "phone") or pattern == "national" and v["v_format"] < 1 or short and not (n >= 10 and v["v_frame"] >= 0)):
                 continue
             kind = m.KINDS.index("phone" if short else {"spelled": "email", "national": "phone"}.get(pattern, pattern))
             size = sum(n >= k for k in (10, 13, 16)) + (n > 16) if pattern in (*BASE, "national", "id") and pattern != "email" else sum(len(hit) >= k for k in (8, 16, 24, 40))
             mix = 0 if not re.search(r"\p{L}", hit) else 2 if re.search("[0-9]", hit) else 1
-            out.append({"kind": kind, "grp": m.GROUPS.index("digits" if short else pattern), "start": x.start(), "end": x.end(), "base": base, **v, "size": size, "mix": mix})
+            out.append({"kind": kind, "grp": m.GROUPS.index("digits" if short else pattern), "start": x.start(), "end": x.end(), "base": base, **v, "size": size, "mix": mix, "check": v["v_format"] + 1, "left": side(before[-1:]), "right": side(after[:1]), "word": word(before)})
     for x in out:
         x["v_company"] = int(any(y["base"] and y["kind"] != x["kind"] for y in out))
     return out
 
 
+def counted(all_found, keys):
+    out = {}
+    for x in (x for f in all_found for x in f):
+        row = out.setdefault(tuple(x[c] for c in keys), {c: x[c] for c in keys} | {"n": 0, "q": 0.0})
+        row["n"] += 1
+        row["q"] += x.get("q", 0.0)
+    return [row for _, row in sorted(out.items())]
+
+
 def brute_spans(texts):
     """All spans of every text, by plain loops; only the estimators are the library's."""
-    all_found, count = [found(t) for t in texts], {}
-    keys = ("grp", *m.LABELERS, "size", "mix")
+    all_found = [found(t) for t in texts]
+    odds, gain, _ = m.estimate(counted(all_found, ("grp", *m.LABELERS)))
     for x in (x for f in all_found for x in f):
-        k = tuple(x[c] for c in keys)
-        count[k] = count.get(k, 0) + 1
-    patterns = [dict(zip(keys, k)) | {"n": n} for k, n in sorted(count.items())]
-    weights = m.fit(patterns, m.estimate(patterns)[0])
+        x["q"] = round(1e6 * float(m._sigmoid(odds[x["grp"]] + sum(gain[x["grp"], i, x[v] + 1] for i, v in enumerate(m.LABELERS))))) / 1e6
+    weights = m.fit(counted(all_found, ("grp", *m.FEATURES)))
     out = []
     for f in all_found:
         base = [x for x in f if x["base"]]
-        use = {(x["start"], x["kind"], x["end"]) for x in f if x["base"] or m._sigmoid(sum(weights[i] * a for i, a in m.features(x))) >= m.ADD_AT and not any(b["start"] < x["end"] and x["start"] < b["end"] for b in base)}
+        use = {(x["start"], x["kind"], x["end"]) for x in f if x["base"] or m._sigmoid(sum(weights[i] for i in m.features(x))) >= m.ADD_AT and not any(b["start"] < x["end"] and x["start"] < b["end"] for b in base)}
         out.append(",".join(f"{m.KINDS[k]}:{a}:{b}" for a, k, b in sorted(use)))
     return out
 
@@ -201,11 +216,41 @@ def test_reliabilities(share):
         votes_ = tuple((1 if (rng.random() < right[v]) == t else -1) for v in m.LABELERS)
         count[votes_] = count.get(votes_, 0) + 1
         truth[votes_] = truth.get(votes_, 0) + t
-    patterns = [{"grp": 2, "size": 0, "mix": 0, "n": n, **dict(zip(m.LABELERS, v))} for v, n in count.items()]
-    post, table = m.estimate(patterns)
-    assert sum(n * abs(q - truth[tuple(p[v] for v in m.LABELERS)] / p["n"]) for p, q in zip(patterns, post) for n in (p["n"],)) / 20000 < 0.05
-    order = [table[2, v, 1][1] / (table[2, v, 1][1] + table[2, v, -1][1]) for v in m.LABELERS]
-    assert order[0] > order[2] > order[6]
+    patterns = [{"grp": 2, "n": n, **dict(zip(m.LABELERS, v))} for v, n in count.items()]
+    odds, gain, table = m.estimate(patterns)
+    post = [m._sigmoid(odds[2] + sum(gain[2, i, p[v] + 1] for i, v in enumerate(m.LABELERS))) for p in patterns]
+    assert sum(p["n"] * abs(q - truth[tuple(p[v] for v in m.LABELERS)] / p["n"]) for p, q in zip(patterns, post)) / 20000 < 0.05
+    sure = [table[2, i, 2, 1] / (table[2, i, 2, 1] + table[2, i, 0, 1]) for i in range(len(m.LABELERS))]
+    assert sure[0] > sure[2] > sure[6]
+
+
+def test_words_of_no_list(spark):
+    """Candidates of equal votes, told apart by the word before them alone, which no labeler knows: it is learnt from
+    the company that the word keeps elsewhere. What the label model would add is refused, what it would not is added."""
+    rng, rows, unknown = random.Random(3), [], {}
+    for words in (*m.BEFORE.values(), *m.AFTER.values(), m.COUNTER, m.UNITS, m.PLACES):
+        assert "zorvel" not in words and "quimble" not in words
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    for i in range(400):
+        own, other = f"f0{hexed(30)}", f"f1{hexed(30)}"
+        # "zorvel" mostly stands before tokens of a known prefix, "quimble" before numbers of bytes
+        a = f"zorvel ghp_{own}" if i % 8 else f"zorvel {own}"
+        b = f"quimble {other} bytes" if i % 8 else f"quimble {other}"
+        rows.append((i, f"{' '.join(rng.choices(WORDS, k=6))} {a} then {' '.join(rng.choices(WORDS, k=6))} {b} and", *[None] * 6))
+        if i % 8 == 0:
+            unknown[i] = (rows[-1][1].index(own), rows[-1][1].index(other))
+    votes_ = {tuple(x[v] for v in m.LABELERS) for i in unknown for x in found(rows[i][1]) if x["start"] in unknown[i]}
+    assert len(votes_) == 1
+    spans = {r.doc_id: r.spans for r in run(spark, rows)}
+    assert all(spans[i] == f"secret:{at}:{at + 32}" for i, (at, _) in unknown.items())
+
+
+def test_running_sums(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 129, 5000):
+        values = [rng.randrange(100) for _ in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<bigint>").selectExpr(f"{m.running('v')} as r", f"{m.highest('v')} as h").first()
+        assert got.r == [0, *np.cumsum(values).tolist()][:n] and got.h == [max(values[:i], default=0) for i in range(n)]
 
 
 def test_redaction(spark):
@@ -241,10 +286,11 @@ def test_redaction_of_all_spans(spark):
 def test_many_spans_in_one_text(spark):
     import time
 
-    text = "".join(f"u{i}@x.org " for i in range(20_000))
-    began = time.time()
-    assert m.redacted(frame(spark, [(1, text, *[None] * 6)])).first().text == "[EMAIL] " * 20_000
-    assert time.time() - began < 60  # with the session's warm-up; the square took an hour
+    m.redacted(frame(spark, [(1, "u@x.org, +1 (773) 555-3030", *[None] * 6)])).collect()  # the session's warm-up
+    for part, kept, n in (("u@x.org ", "[EMAIL] ", 100_000), ("+1 (773) 555-3030, ", "[PHONE], ", 30_000)):
+        began = time.time()
+        assert m.redacted(frame(spark, [(1, part * n, *[None] * 6)])).first().text == kept * n
+        assert time.time() - began < 30  # about 5 s; the square took an hour
 
 
 def test_empty(spark):

@@ -3,19 +3,21 @@
 Candidates come from patterns, with places by code points: a text is split at the matches of a pattern,
 and running sums of the lengths of pieces and matches give every start and end. Seven labelers vote on
 each candidate: its format, a gazetteer, cue words before it, cue words after it, counter-cues on both
-sides, the characters that frame it, and the company of other kinds in the document. Only the first two
-read the candidate itself. Expectation-maximisation over the counts of vote patterns, of which there is
-a bounded number, estimates each labeler's reliability and each pattern's probability; with these as
-soft labels a logistic span classifier is fitted on the votes and on length and character classes, one
-group of candidates at a time, and applied as a SQL expression. Spans of the base patterns always
-stay; the classifier adds spans that no base span overlaps: spelled-out addresses, national phone
-numbers, secrets, bank accounts, identity numbers and names.
+sides, the characters that frame it, and the company of other kinds in the document. No candidate needs
+a vote to be one, so every group holds what nothing speaks for. Expectation-maximisation over the counts
+of vote patterns, of which there is a bounded number, estimates each labeler's reliability; a
+candidate's probability under it is its soft label. A logistic span classifier is fitted on these
+labels, one group of candidates at a time, from features that are no votes: length, character classes,
+whether the candidate passes the check of its format, the characters on either side and the word before
+it, hashed. So it can follow words that are in no list, and refuse what its words speak against. It is
+applied as a SQL expression. Spans of the base patterns always stay; the classifier adds spans that no
+base span overlaps: spelled-out addresses, national phone numbers, secrets, bank accounts, identity
+numbers and names.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,26 +94,38 @@ PLACES = "university|institute|street|avenue|license|licence|public|general|inc|
 CONTEXT = 32
 #: Probability from which the classifier adds a span.
 ADD_AT = 0.8
+#: Hashed words before a candidate, and the number of values of each feature of the classifier.
+WORDS = 64
+FEATURES = {"size": 5, "mix": 3, "check": 3, "left": 4, "right": 4, "word": WORDS}
 LABELERS = ("v_format", "v_gazetteer", "v_before", "v_after", "v_counter", "v_frame", "v_company")
 BLOCK = 64
 #: Code points of a block of text that redaction looks pieces up in.
 PIECE = 512
 
 
+def _before(values: str, over: str) -> str:
+    """SQL: ``over`` (of a and x, 0 for none) of all numbers before each entry of an array column, in blocks: blocks first, then their entries.
+
+    Entries are taken by their place, since a slice copies the whole array.
+    """
+    block = f"sequence(b * {BLOCK}, least(b * {BLOCK} + {BLOCK - 1}, size({values}) - 1))"
+    blocks = f"sequence(0, greatest(size({values}) - 1, 0) div {BLOCK})"
+    wholes = f"transform({blocks}, b -> aggregate({block}, 0L, (a, i) -> {over.format(a='a', x=f'{values}[i]')}))"
+    first = f"if(b = 0, 0L, aggregate(sequence(0, b - 1), 0L, (a, i) -> {over.format(a='a', x='w[i]')}))"
+    inner = f"""aggregate({block}, named_struct('at', {first}, 'all', cast(array() as array<bigint>)),
+        (s, i) -> named_struct('at', {over.format(a='s.at', x=f'{values}[i]')}, 'all', array_append(s.all, s.at)), s -> s.all)"""
+    # An array of one entry binds w, so that the blocks are summed up once.
+    return f"if(size({values}) = 0, cast(array() as array<bigint>), flatten(transform(array({wholes}), w -> flatten(transform({blocks}, b -> {inner})))))"
+
+
 def running(lengths: str) -> str:
-    """SQL: sums before each entry of an array, in blocks so that many entries do not cost their square."""
-    return f"""flatten(transform(sequence(0, greatest(size({lengths}) - 1, 0) div {BLOCK}), b -> aggregate(
-        slice({lengths}, b * {BLOCK} + 1, {BLOCK}),
-        named_struct('at', aggregate(slice({lengths}, 1, b * {BLOCK}), 0L, (a, x) -> a + x), 'all', cast(array() as array<bigint>)),
-        (a, x) -> named_struct('at', a.at + x, 'all', array_append(a.all, a.at)), a -> a.all)))"""
+    """SQL: sums before each entry of an array column."""
+    return _before(lengths, "{a} + {x}")
 
 
 def highest(values: str) -> str:
-    """SQL: the greatest number before each entry of an array column, 0 before the first; in blocks, like ``running``."""
-    return f"""flatten(transform(sequence(0, greatest(size({values}) - 1, 0) div {BLOCK}), b -> aggregate(
-        slice({values}, b * {BLOCK} + 1, {BLOCK}),
-        named_struct('at', aggregate(slice({values}, 1, b * {BLOCK}), 0L, (a, x) -> greatest(a, x)), 'all', cast(array() as array<bigint>)),
-        (a, x) -> named_struct('at', greatest(a.at, x), 'all', array_append(a.all, a.at)), a -> a.all)))"""
+    """SQL: the greatest number before each entry of an array column, 0 before the first."""
+    return _before(values, "greatest({a}, {x})")
 
 
 def _digits(x: str) -> str:
@@ -156,11 +170,11 @@ def _labels(pattern: str) -> dict[str, str]:
     d, low = _digits("x.hit"), "lower(x.hit)"
     n = f"length({d})"
     three = lambda yes, no="false": f"case when {yes} then 1 when {no} then -1 else 0 end"
-    # A run long enough for a card that fails its check digit is most likely another number.
+    # A run long enough for a card that fails its check digit is most likely another number; a shorter one has no check.
     format_ = {
         "email": "1",
         "ip": three(VALID["ip"], "true"),
-        "card": three(f"{VALID['card']} or {n} between 10 and 13", f"{n} >= 14"),
+        "card": three(VALID["card"], f"{n} >= 14"),
         "phone": three(VALID["phone"], f"{n} < 10 or {n} > 19"),
         "spelled": three("x.hit rlike '[(\\\\[]'"),
         "national": three(f"{n} between 9 and 13", "true"),
@@ -171,7 +185,8 @@ def _labels(pattern: str) -> dict[str, str]:
     }[pattern]
     gazetteer = {
         "email": three(f"{low} rlike '[.]({DOMAINS})$'", "true"),
-        "spelled": three(f"{low} rlike '({DOMAINS})$'", "true"),
+        # A plain word "at" something "dot com" may be prose.
+        "spelled": three(f"{low} rlike '({DOMAINS})$' and x.hit rlike '[0-9(._\\\\[-]'", f"not {low} rlike '({DOMAINS})$'"),
         "ip": three("not x.hit rlike '^(0|22[4-9]|2[3-5][0-9])[.]'", "true"),
         "card": three(f"{n} >= 14 and {d} rlike '^({ISSUERS})' or {n} < 14 and {d} rlike '^0[1-9]'", f"{n} >= 14"),
         "phone": three(f"{d} rlike '^({CALLING})'", "true"),
@@ -208,31 +223,35 @@ def _votes(pattern: str) -> str:
     size = f"case when {n} < 10 then 0 when {n} < 13 then 1 when {n} < 16 then 2 when {n} = 16 then 3 else 4 end"
     size = size if numeric else "case when length(x.hit) < 8 then 0 when length(x.hit) < 16 then 1 when length(x.hit) < 24 then 2 when length(x.hit) < 40 then 3 else 4 end"
     mix = r"case when not x.hit rlike '\\p{L}' then 0 when x.hit rlike '[0-9]' then 2 else 1 end"
-    votes = ", ".join(f"'{v}', {sql}" for v, sql in _labels(pattern).items())
-    return f"named_struct('kind', {kind}, 'grp', {group}, 'start', x.start, 'end', x.end, 'base', {VALID.get(pattern, 'false')}, {votes}, 'v_company', 0, 'size', {size}, 'mix', {mix})"
+    labels = _labels(pattern)
+    votes = ", ".join(f"'{v}', {sql}" for v, sql in labels.items())
+    side = "case when {x} = '' then 0 when {x} rlike '^[\\\\p{{L}}\\\\p{{N}}_]$' then 1 when {x} rlike '^[\\\\s]$' then 2 else 3 end"
+    word = r"regexp_extract(x.before, '(\\p{L}+)( (is|was|no|number|nr))?[^\\p{L}0-9]*$', 1)"
+    word = f"case when {word} = '' then 0 else cast(1 + crc32(encode({word}, 'UTF-8')) % {WORDS - 1} as int) end"
+    seen = f"'size', {size}, 'mix', {mix}, 'check', {labels['v_format']} + 1, 'left', {side.format(x='right(x.before, 1)')}, 'right', {side.format(x='left(x.after, 1)')}, 'word', {word}"
+    return f"named_struct('kind', {kind}, 'grp', {group}, 'start', x.start, 'end', x.end, 'base', {VALID.get(pattern, 'false')}, {votes}, 'v_company', 0, {seen})"
 
 
 def candidates(df: DataFrame) -> DataFrame:
     """Adds ``found``: every candidate of ``text`` with its votes.
 
-    A failing base match is no candidate, but for runs of 10 digits or more. Names, secrets and runs too
-    short for a card, whose patterns are wide, are candidates where some labeler but the format votes for
-    them; such runs also stand free of letters. An address in plain words ("at", "dot") needs a cue.
+    A base match or national phone number that fails its check is no candidate, but for runs of 10 digits or more;
+    those too short for a card stand free of letters. All other matches of all patterns are candidates, whatever the votes.
     """
     df = _matches(df)
     df = df.withColumns({f"c_{k}": F.when(F.col(f"m_{k}").isNotNull(), F.expr(f"transform(m_{k}, x -> {_votes(k)})")) for k in PATTERNS}).drop(*(f"m_{k}" for k in PATTERNS))
-    named = "greatest(x.v_gazetteer, x.v_before, x.v_after, x.v_frame) > 0"
-    keep = {"email": "x.base", "ip": "x.base", "phone": "x.base", "card": f"x.base or x.size >= 1 and x.kind = 2 or {named} and x.size >= 1 and x.v_frame >= 0", "name": named, "secret": named, "spelled": "greatest(x.v_format, x.v_before, x.v_after, x.v_frame) > 0"}
+    keep = {"email": "x.base", "ip": "x.base", "phone": "x.base", "card": "x.base or x.kind = 2 or x.size >= 1 and x.v_frame >= 0", "national": "x.v_format > 0"}
     fields = ",".join(f"{v}:int" for v in LABELERS)
-    kind = f"array<struct<kind:int,grp:int,start:bigint,end:bigint,base:boolean,{fields},size:int,mix:int>>"
+    kind = f"array<struct<kind:int,grp:int,start:bigint,end:bigint,base:boolean,{fields},{','.join(f'{c}:int' for c in FEATURES)}>>"
     parts = [F.coalesce(F.expr(f"filter(c_{k}, x -> {keep.get(k, 'true')})").cast(kind), F.expr(f"cast(array() as {kind})")) for k in PATTERNS]
     df = df.withColumn("found", F.concat(*parts)).drop(*(f"c_{k}" for k in PATTERNS))
     # company: valid matches of other kinds in the document
     df = df.withColumn("sizes", F.array(*(F.expr(f"size(filter(found, x -> x.base and x.kind = {i}))") for i in range(len(KINDS)))))
     df = df.withColumn("all_sizes", F.expr("aggregate(sizes, 0, (a, x) -> a + x)"))
     same = ", ".join(f"'{c}', x.{c}" for c in ("kind", "grp", "start", "end", "base", *LABELERS[:-1]))
+    seen = ", ".join(f"'{c}', x.{c}" for c in FEATURES)
     company = "case when all_sizes > sizes[x.kind] then 1 else 0 end"
-    return df.withColumn("found", F.expr(f"transform(found, x -> named_struct({same}, 'v_company', {company}, 'size', x.size, 'mix', x.mix))")).drop("sizes", "all_sizes")
+    return df.withColumn("found", F.expr(f"transform(found, x -> named_struct({same}, 'v_company', {company}, {seen}))")).drop("sizes", "all_sizes")
 
 
 # --------------------------------------------------------------------------- label model and classifier
@@ -240,80 +259,102 @@ def candidates(df: DataFrame) -> DataFrame:
 PRIOR = dict(zip(GROUPS, (0.7, 0.6, 0.5, 0.6, 0.5, 0.5, 0.3, 0.3, 0.3, 0.3, 0.3)))
 #: How labelers are thought to vote (-1, 0, 1) before any vote is seen, on what isn't personal and what is; check digits err less than words.
 VOTES = dict.fromkeys(LABELERS, ((0.4, 0.5, 0.1), (0.1, 0.4, 0.5))) | {"v_format": ((0.7, 0.2, 0.1), (0.02, 0.38, 0.6))}
-#: What these beliefs weigh, as a share of a group's candidates, and at least: alike at every size.
-BELIEF, LEAST_BELIEF = 1.0, 10.0
-SIZES, MIXES = 5, 3
-_EACH = 1 + SIZES + MIXES + len(LABELERS)
+#: What these beliefs weigh, as a share of a group's candidates, and at least.
+BELIEF, LEAST_BELIEF = 0.1, 10.0
+#: What the classifier's weights are drawn to 0 by, in candidates.
+RIDGE = 1.0
+_FIRST = dict(zip(FEATURES, np.cumsum([1, *FEATURES.values()]).tolist()))
+_EACH = 1 + sum(FEATURES.values())
 
 
-def features(p) -> list[tuple[int, float]]:
-    """The classifier's non-zero features of a candidate: each group has its own."""
-    first = p["grp"] * _EACH
-    found = [(first, 1.0), (first + 1 + p["size"], 1.0), (first + 1 + SIZES + p["mix"], 1.0)]
-    return found + [(first + 1 + SIZES + MIXES + i, float(p[v])) for i, v in enumerate(LABELERS) if p[v]]
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30.0, 30.0)))
 
 
-def _sigmoid(x: float) -> float:
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+def estimate(patterns: list[dict], rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(odds of a group, gain of a group, labeler and vote, counts of these by truth): EM over counted vote patterns, from the majority vote on.
 
-
-def estimate(patterns: list[dict], rounds: int = 100) -> tuple[list[float], dict]:
-    """Posterior of each pattern and each labeler's (weight given not personal, personal) of each vote, by EM from the majority vote on."""
-    groups = {k: sum(p["n"] for p in patterns if p["grp"] == k) for k in {p["grp"] for p in patterns}}
-    belief = {k: max(LEAST_BELIEF, BELIEF * n) for k, n in groups.items()}
-    post = [_sigmoid(1.5 * sum(p[v] for v in LABELERS)) for p in patterns]
-    table: dict = {}
+    A candidate's log-odds are its group's odds and the gains of its votes.
+    """
+    grp = np.array([p["grp"] for p in patterns], int)
+    votes = np.array([[p[v] + 1 for v in LABELERS] for p in patterns], int).reshape(-1, len(LABELERS))
+    n = np.array([p["n"] for p in patterns], float)
+    belief = np.maximum(LEAST_BELIEF, BELIEF * np.bincount(grp, n, len(GROUPS)))
+    prior_, votes_ = np.array([(1 - x, x) for x in PRIOR.values()]), np.array([VOTES[v] for v in LABELERS]).transpose(0, 2, 1)
+    post = _sigmoid(1.5 * (votes - 1).sum(1))
     for _ in range(rounds):
-        prior = {k: [belief[k] * (1 - PRIOR[GROUPS[k]]), belief[k] * PRIOR[GROUPS[k]]] for k in groups}
-        table = {(k, v, vote): [belief[k] * VOTES[v][t][vote + 1] for t in (0, 1)] for k in groups for v in LABELERS for vote in (-1, 0, 1)}
-        for p, q in zip(patterns, post):
-            for truth, w in ((0, 1 - q), (1, q)):
-                prior[p["grp"]][truth] += w * p["n"]
-                for v in LABELERS:
-                    table[p["grp"], v, p[v]][truth] += w * p["n"]
-        odds = {k: math.log(prior[k][1] / prior[k][0]) for k in groups}
-        total = {(k, v): [sum(table[k, v, x][t] for x in (-1, 0, 1)) for t in (0, 1)] for k in groups for v in LABELERS}
-        gain = {key: math.log(c[1] / total[key[:2]][1]) - math.log(c[0] / total[key[:2]][0]) for key, c in table.items()}
-        new = [_sigmoid(odds[p["grp"]] + sum(gain[p["grp"], v, p[v]] for v in LABELERS)) for p in patterns]
-        moved = max((abs(a - b) for a, b in zip(post, new)), default=0.0)
+        prior, table = belief[:, None] * prior_, belief[:, None, None, None] * votes_
+        for truth, w in ((0, n * (1 - post)), (1, n * post)):
+            np.add.at(prior[:, truth], grp, w)
+            for i in range(len(LABELERS)):
+                np.add.at(table[:, i, :, truth], (grp, votes[:, i]), w)
+        share = table / table.sum(2, keepdims=True)
+        odds, gain = np.log(prior[:, 1] / prior[:, 0]), np.log(share[..., 1] / share[..., 0])
+        new = _sigmoid(odds[grp] + gain[grp[:, None], np.arange(len(LABELERS)), votes].sum(1))
+        moved = np.abs(new - post).max(initial=0.0)
         post = new
         if moved < 1e-6:
             break
-    return post, table
-
-
-def fit(patterns: list[dict], post: list[float], rounds: int = 300) -> list[float]:
-    """Weights of a logistic classifier on soft labels, by gradient descent; each group counts alike."""
-    weights, total = [0.0] * (len(GROUPS) * _EACH), {}
-    for p in patterns:
-        total[p["grp"]] = total.get(p["grp"], 0) + p["n"]
-    rows = [(features(p), p["n"] / total[p["grp"]], q) for p, q in zip(patterns, post)]
-    for _ in range(rounds):
-        grad = [1e-3 * w for w in weights]
-        for x, n, q in rows:
-            err = n * (_sigmoid(sum(weights[i] * a for i, a in x)) - q)
-            for i, a in x:
-                grad[i] += err * a
-        weights = [w - 1.0 * g for w, g in zip(weights, grad)]
-    return weights
+    return odds, gain, table
+
+
+def fit(seen: list[dict], rounds: int = 30) -> list[float]:
+    """Weights of a logistic classifier of each group, by Newton's method, on counted features: ``n`` candidates, ``q`` of them personal."""
+    weights = np.zeros((len(GROUPS), _EACH))
+    for k in sorted({p["grp"] for p in seen}):
+        own = [p for p in seen if p["grp"] == k]
+        n, q = np.array([p["n"] for p in own], float), np.array([p["q"] for p in own], float)
+        x = np.zeros((len(own), _EACH))
+        x[:, 0] = 1.0
+        for name, first in _FIRST.items():
+            x[np.arange(len(own)), first + np.array([p[name] for p in own], int)] = 1.0
+        pull = np.full(_EACH, RIDGE)
+        pull[0] = 1e-3
+        w = weights[k]
+        loss = lambda w: float((n * np.logaddexp(0, x @ w) - q * (x @ w)).sum() + (pull * w * w).sum() / 2)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30.0, 30.0)))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(pull), x.T @ (n * p - q) + pull * w)
+            size, before = 1.0, loss(w)
+            while size > 1e-4 and loss(w - size * step) > before:
+                size /= 2
+            w = w - size * step
+            if np.abs(size * step).max() < 1e-9:
+                break
+        weights[k] = w
+    return weights.ravel().tolist()
+
+
+def features(p) -> list[int]:
+    """Places of the classifier's features of a candidate; each group has its own."""
+    return [p["grp"] * _EACH, *(p["grp"] * _EACH + first + p[name] for name, first in _FIRST.items())]
+
+
+def _picked(values, index: str) -> str:
+    return f"element_at(array({', '.join(f'{float(v)!r}D' for v in values)}), {index} + 1)"
+
+
+def _soft(odds: np.ndarray, gain: np.ndarray) -> str:
+    """SQL: the label model's probability of a candidate, in millionths, so that sums are exact."""
+    of = lambda k: " + ".join([f"{float(odds[k])!r}D", *(_picked(gain[k, i], f"{v} + 1") for i, v in enumerate(LABELERS))])
+    return f"cast(round(1e6D / (1D + exp(-(case grp {' '.join(f'when {k} then {of(k)}' for k in range(len(GROUPS)))} end)))) as bigint)"
 
 
 def train(found: DataFrame) -> list[float]:
-    """The classifier's weights, from written candidates; the driver sees one row a pattern of group, votes, size and mix, at most 11 x 3**7 x 15."""
-    keys = ["grp", *LABELERS, "size", "mix"]
-    counted = found.select(F.explode("found").alias("x")).select("x.*").groupBy(*keys).agg(F.count("*").alias("n")).collect()
-    patterns = [r.asDict() for r in sorted(counted)]
-    post, _ = estimate(patterns)
-    return fit(patterns, post)
+    """The classifier's weights, from written candidates. The driver sees one row a group and vote pattern, at most 11 x 3**7, and one a
+    group and set of features, at most 11 x 46,080; both are bounded by the labelers and features, not by the texts."""
+    each = found.select(F.explode("found").alias("x")).select("x.*")
+    patterns = [r.asDict() for r in sorted(each.groupBy("grp", *LABELERS).agg(F.count("*").alias("n")).collect())]
+    odds, gain, _ = estimate(patterns)
+    seen = each.groupBy("grp", *FEATURES).agg(F.count("*").alias("n"), (F.sum(F.expr(_soft(odds, gain))) / 1e6).alias("q"))
+    return fit([r.asDict() for r in sorted(seen.collect())])
 
 
 def _probability(weights: list[float], x: str) -> str:
     branches = []
     for k in range(len(GROUPS)):
-        w = [f"{v!r}D" for v in weights[k * _EACH : (k + 1) * _EACH]]
-        of = lambda name, values: f"element_at(array({', '.join(values)}), {x}.{name} + 1)"
-        votes = " + ".join(f"{a} * {x}.{v}" for a, v in zip(w[1 + SIZES + MIXES :], LABELERS))
-        branches.append(f"when {k} then {w[0]} + {of('size', w[1 : 1 + SIZES])} + {of('mix', w[1 + SIZES : 1 + SIZES + MIXES])} + {votes}")
+        w = weights[k * _EACH : (k + 1) * _EACH]
+        branches.append(f"when {k} then " + " + ".join([f"{float(w[0])!r}D", *(_picked(w[first : first + FEATURES[c]], f"{x}.{c}") for c, first in _FIRST.items())]))
     return f"(1D / (1D + exp(-(case {x}.grp {' '.join(branches)} end))))"
 
 
@@ -321,9 +362,16 @@ def decided(found: DataFrame, weights: list[float]) -> DataFrame:
     """Adds ``base`` and ``spans``, each sorted by start and kind."""
     order = "array_sort(transform({what}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"
     found = found.withColumn("base", F.expr(order.format(what="filter(found, x -> x.base)")))
-    extra = f"filter(found, x -> not x.base and {_probability(weights, 'x')} >= {ADD_AT!r}D and not exists(base, b -> b.start < x.end and x.start < b.end))"
-    extra = F.when(F.expr("exists(found, x -> not x.base)"), F.expr(order.format(what=extra)))
-    return found.withColumn("extra", extra).withColumn("spans", F.expr("case when coalesce(size(extra), 0) > 0 then array_sort(array_distinct(concat(base, extra))) else base end")).drop("extra", "found")
+    found = found.withColumn("more", F.expr(f"filter(found, x -> not x.base and {_probability(weights, 'x')} >= {ADD_AT!r}D)"))
+    # A span overlaps a base span where, of those that begin before its end, one ends after its start: one sort and a running maximum.
+    event = "transform({of}, x -> named_struct('at', x.{at}, 'own', {own}, 'start', x.start, 'kind', x.kind, 'end', x.end))"
+    events = f"array_sort(concat({event.format(of='base', at='start', own=1)}, {event.format(of='more', at='end', own=0)}))"
+    found = found.withColumn("events", F.when(F.size("more") > 0, F.expr(events)))
+    found = found.withColumn("ends", F.expr("transform(events, x -> if(x.own = 1, x.end, 0L))"))
+    # The running maximum is bound by an array of one entry: written into the filter it would be taken for every event.
+    added = order.format(what=f"flatten(transform(array({highest('ends')}), r -> filter(events, (x, i) -> x.own = 0 and r[i] <= x.start)))")
+    spans = f"case when events is null then base else array_sort(concat(base, {added})) end"
+    return found.withColumn("spans", F.expr(spans)).drop("more", "events", "ends", "found")
 
 
 _NAMES = f"array({', '.join(repr(k) for k in KINDS)})"
@@ -360,7 +408,7 @@ def redacted(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
     done = done.withColumn("ends", F.when(F.size("spans") > 0, F.expr("transform(spans, x -> x.end)")))
     done = done.withColumn("covered", F.when(F.size("spans") > 0, F.expr(highest("ends"))))
     done = done.withColumn("blocks", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
-    piece = f"substring(array_join(slice(blocks, int({{a}} div {PIECE}) + 1, int({{b}} div {PIECE} - {{a}} div {PIECE}) + 1), ''), int({{a}} % {PIECE}) + 1, int({{b}} - {{a}}))"
+    piece = f"substring(array_join(transform(sequence(int({{a}} div {PIECE}), int({{b}} div {PIECE})), j -> get(blocks, j)), ''), int({{a}} % {PIECE}) + 1, int({{b}} - {{a}}))"
     before = piece.format(a="covered[i]", b="x.start")
     tail = piece.format(a="array_max(ends)", b="length(text)")
     cut = f"concat(array_join(transform(spans, (x, i) -> case when x.start >= covered[i] then concat({before}, '[', upper(element_at({_NAMES}, x.kind + 1)), ']') else '' end), ''), {tail})"
