@@ -20,7 +20,7 @@ from .common import column, slices, small_batches, utf8
 DIMENSIONS = 1 << 13
 #: Documents a language of the fitting sample, and of all languages together.
 SAMPLE, SAMPLE_ALL = 500, 6000
-#: Labels that are learnt, the most frequent ones: a column of stray labels does not make a model each.
+#: Labels that are learnt unless ``fit`` is told otherwise, the most frequent ones: a column of stray labels does not make a model each.
 MOST_LABELS = 200
 SCALE, COST, EPOCHS = 40.0, 8.0, 40
 # Families of ISO 639-1 codes; any other language is a family of its own.
@@ -143,11 +143,13 @@ def remainder() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit(docs: DataFrame) -> Model | None:
+def fit(docs: DataFrame, most_labels: int | None = MOST_LABELS) -> Model | None:
     """Fit on at most ``SAMPLE`` documents a language and ``SAMPLE_ALL`` in all, drawn by a hash of doc_id from those not
-    held out, for the ``MOST_LABELS`` most frequent languages (ties by name)."""
+    held out, for the ``most_labels`` most frequent languages (ties by name), or, where it is None, for all of them: the driver then
+    counts every label, and the sample has at least one document of each."""
     rows = docs.select("doc_id", "text", "lang").where((remainder() != 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = {r.lang: r["count"] for r in (counted if most_labels is None else counted.limit(most_labels)).collect()}
     if not counts:
         return None
     each = max(1, min(SAMPLE, SAMPLE_ALL // len(counts)))
