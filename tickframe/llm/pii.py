@@ -7,9 +7,9 @@ sides, the characters that frame it, and the company of other kinds in the docum
 a vote to be one, so every group holds what nothing speaks for. Expectation-maximisation over the counts
 of vote patterns, of which there is a bounded number, estimates each labeler's reliability; a
 candidate's probability under it is its soft label. A logistic span classifier is fitted on these
-labels, one group of candidates at a time, from features that are no votes: length, character classes,
-whether the candidate passes the check of its format, the characters on either side and the word before
-it, hashed. So it can follow words that are in no list, and refuse what its words speak against. It is
+labels, one group of candidates at a time, from the candidate and its surroundings: length, character
+classes, the check of its format (the one vote among them), the characters on either side and the word
+before it, hashed. So it can follow words that are in no list, and refuse what its words speak against. It is
 applied as a SQL expression. Spans of the base patterns always stay; the classifier adds spans that no
 base span overlaps: spelled-out addresses, national phone numbers, secrets, bank accounts, identity
 numbers and names.
