@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, decontamination, personal data, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; a runner writes it as Parquet and hands
-what it reads back to the next stage. All but the last return the columns of ``documents``.
+what it reads back to the next stage. All but the last return the columns of ``documents``. ``lang`` is the first stage's
+from there on, whatever label a document came with, and goes with its pieces into the result.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ LEAST_SCORE = 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told."""
-    return identified(docs, LEAST_SCORE)
+    """Documents whose language is told, with that language as ``lang``."""
+    return identified(docs, LEAST_SCORE, into="lang")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, lossless, ids of a sampled segmentation of every document."""
-    return sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """doc_id, n_pieces, ids_crc32, lossless, ids of a sampled segmentation of every document, and its language."""
+    return sample_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), carried=("lang",))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("personal_data", personal_data), ("sentencepiece", pieces)]

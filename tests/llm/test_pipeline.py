@@ -60,3 +60,19 @@ def test_odd_rows(spark):
     assert kept.count(5) <= 1 and len(kept) > 20
     for name, stage in p.STAGES:
         assert stage(spark, frame(spark, []), SF).count() == 0
+
+
+def test_the_told_language_reaches_the_result(spark, tmp_path):
+    """Missing and wrong labels give way to the language that the first stage tells, for every document of the result."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    label = F.when(F.col("doc_id") % 10 == 0, F.lit(None)).when(F.col("doc_id") % 10 == 5, "xx").otherwise(F.col("lang"))
+    docs.withColumn("lang", label).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    made = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    told = {r.doc_id: r.lang_pred for r in language_id.identify(made).collect()}
+    got = {r.doc_id: r.lang for r in p.run(spark, str(tmp_path)).collect()}
+    assert got and got == {d: told[d] for d in got}
+    given = {r.doc_id: r.lang for r in made.collect()}
+    assert any(given[d] is None for d in got) and any(given[d] != got[d] for d in got if given[d])

@@ -232,7 +232,7 @@ class Lattice:
         return b"".join([self.bytes[i] for i in ids])[1:].decode()
 
 
-def _encode(path: str, theta: float, seed: int, keep_ids: bool):
+def _encode(path: str, theta: float, seed: int, keep_ids: bool, carried: tuple[str, ...]):
     def encode(batches):
         lattice = load(path, theta)
         for batch in batches:
@@ -258,13 +258,14 @@ def _encode(path: str, theta: float, seed: int, keep_ids: bool):
                 ]
                 if keep_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"][: len(out)])
+                names = ["doc_id", "n_pieces", "ids_crc32", "lossless", "ids"][: len(out)]
+                yield pa.RecordBatch.from_arrays(out + [column(batch, c).slice(a, b - a) for c in carried], names + list(carried))
 
     return encode
 
 
-def sample_pieces(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = SEED, keep_ids: bool = True) -> DataFrame:
-    """A sampled segmentation of every whole text: doc_id, n_pieces, ids_crc32, lossless and, if wanted, ids.
+def sample_pieces(docs: DataFrame, model_path: str, theta: float = THETA, seed: int = SEED, keep_ids: bool = True, carried: tuple[str, ...] = ()) -> DataFrame:
+    """A sampled segmentation of every whole text: doc_id, n_pieces, ids_crc32, lossless and, if wanted, ids and columns ``carried`` along.
 
     The row key is doc_id, or a hash of the text where that is null, so a rerun draws the same pieces and
     rows of equal doc_id and text draw alike. ``theta`` 0 draws evenly among all segmentations; large
@@ -273,10 +274,10 @@ def sample_pieces(docs: DataFrame, model_path: str, theta: float = THETA, seed:
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * keep_ids
+    schema = f"doc_id {kind}, n_pieces long, ids_crc32 long, lossless boolean" + ", ids array<int>" * keep_ids + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     own = F.col("doc_id").cast("long") if kind in ("bigint", "int") else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     key = F.coalesce(own, F.xxhash64("text"))
-    return docs.select("doc_id", "text", key.alias("k")).mapInArrow(_encode(model_path, theta, seed, keep_ids), schema)
+    return docs.select("doc_id", "text", key.alias("k"), *carried).mapInArrow(_encode(model_path, theta, seed, keep_ids, carried), schema)
 
 
 def _decode(path: str):
