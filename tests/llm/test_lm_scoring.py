@@ -158,6 +158,31 @@ def test_against_plain_counts(spark, monkeypatch, chunk_bytes):
     assert long[6].score / long[6].n_tokens > 3 * long[7].score  # prose of known words against one word of 50,000 letters
 
 
+def test_every_training_window_is_learnt_from(spark, monkeypatch):
+    """Tasks learn from as many windows as the training documents have, and a chunk's windows hold each target once."""
+    from tickframe.llm import lm_scoring
+
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(lm_scoring, "WINDOWS_AT_ONCE", 5)
+    rows = corpus()
+    chunks, coder = lm_scoring.chunked(frame(spark, rows).repartition(3), PATH), lm_scoring.bpe.load(PATH)
+    spelled = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+    want, targets = 0, Counter()
+    for r in rows:
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
+            ids = [i for w in re.findall(r"[^\x20\x09-\x0D]+", spelled(r[1])) for i in coder.tokenizer.encode(" " + w, add_special_tokens=False).ids]
+            want += -(-(len(ids) + 1) // attention.BLOCK)
+            targets.update([*ids, coder.size])
+    model = Attention(Vocabulary(np.ones(coder.size + 1), np.arange(coder.size + 1) % 2 == 0))
+    assert sum(r.n for r in lm_scoring.refined(chunks, model, coder.size, 0).collect()) == want
+    got, table = Counter(), chunks.where("n_windows > 0").select(lm_scoring.PARTS).toArrow().combine_chunks()
+    for _, n, cut in lm_scoring._training(table.to_batches()[0], coder.size):
+        last = cut(np.arange(n))[:, attention.BLOCK + 1 :]
+        got.update(last[last != PAD].tolist())
+        assert np.array_equal(cut(np.arange(1, n, 3)), cut(np.arange(n))[1::3])
+    assert got == targets
+
+
 def test_edges(spark):
     assert language_model_scores(frame(spark, []), PATH).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

@@ -91,6 +91,12 @@ _DISTANCE = np.maximum(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[
 _CAUSAL = _causal()
 
 
+def _firsts(numbers: np.ndarray) -> np.ndarray:
+    """Where each number that occurs begins in sorted order."""
+    n = np.bincount(numbers.ravel())
+    return (np.cumsum(n) - n)[n > 0]
+
+
 class Attention:
     """Weights by name. All start small, predictions at the frequencies in the corpus."""
 
@@ -108,13 +114,19 @@ class Attention:
         """Mean loss and its gradients. x: (n, 2 * BLOCK) inputs; y: (n, BLOCK) members, counted where ``real``."""
         w, none, scale = self.weights, self.vocabulary.n_inputs - 1, np.float32(1 / np.sqrt(WIDTH))
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        e = w["embed"][x]
-        late = e[:, BLOCK:]
-        q, k, v = late @ w["query"], e @ w["key"], e @ w["value"]
+        # Keys, queries and values depend on ids alone: they are made, and their gradients added up, once for each id.
+        seen = np.bincount(x.ravel(), minlength=none + 1)
+        ids = np.flatnonzero(seen)
+        e = w["embed"][ids]
+        rank = np.zeros(none + 1, np.uint16)
+        rank[ids] = np.arange(len(ids))
+        at = rank[x]
+        late = at[:, BLOCK:]
+        q, k, v = (e @ w["query"]).take(late, 0), (e @ w["key"]).take(at, 0), (e @ w["value"]).take(at, 0)
         scores = q @ k.transpose(0, 2, 1) * scale + (w["distance"][_DISTANCE] + _CAUSAL)
         scores[:, :, :BLOCK] += np.where(x[:, None, :BLOCK] == none, _NEVER, np.float32(0))
         p = _softmax(scores)
-        z = late @ w["own"] + p @ v
+        z = (e @ w["own"]).take(late, 0) + p @ v
         h = np.maximum(flat(z), 0)
         used, y, count = np.flatnonzero(real.ravel()), y.ravel(), max(1, int(real.sum()))
         g = {k: np.zeros_like(w[k]) for k in ("embed", "in_group", "in_group_bias")}
@@ -130,8 +142,11 @@ class Attention:
             return float(loss), h[rows].T @ prob, prob.sum(0)
 
         loss, g["group"], g["group_bias"] = predicted(used, y[used] // MEMBERS, w["group"], w["group_bias"])
-        for i in np.unique(y[used] // MEMBERS):
-            rows = used[y[used] // MEMBERS == i]
+        group = (y[used] // MEMBERS).astype(np.uint8)
+        dealt = used[np.argsort(group, kind="stable")]
+        cuts = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS)))
+        for i in np.unique(group):
+            rows = dealt[cuts[i] : cuts[i + 1]]
             more, g["in_group"][i], g["in_group_bias"][i] = predicted(rows, y[rows] % MEMBERS, w["in_group"][i], w["in_group_bias"][i])
             loss += more
         d_z = np.where(z > 0, d_h.reshape(z.shape), np.float32(0))
@@ -139,23 +154,24 @@ class Attention:
         d_s = p * (d_p - (d_p * p).sum(-1, keepdims=True))
         d_v, d_q, d_k = p.transpose(0, 2, 1) @ d_z, d_s @ k * scale, d_s.transpose(0, 2, 1) @ q * scale
         g["distance"] = np.bincount(_DISTANCE.ravel(), (d_s.sum(0) * (_CAUSAL == 0)).ravel(), 2 * BLOCK).astype(np.float32)
-        g |= {"query": flat(late).T @ flat(d_q), "own": flat(late).T @ flat(d_z), "key": flat(e).T @ flat(d_k), "value": flat(e).T @ flat(d_v)}
-        d_e = d_k @ w["key"].T + d_v @ w["value"].T
-        d_e[:, BLOCK:] += d_q @ w["query"].T + d_z @ w["own"].T
-        order = np.argsort(x.ravel(), kind="stable")
-        rows, first = np.unique(x.ravel()[order], return_index=True)
-        g["embed"][rows] = np.add.reduceat(flat(d_e)[order], first)
+        by_id = lambda places, *grads: np.add.reduceat(np.concatenate([flat(d) for d in grads], 1).take(np.argsort(places.ravel(), kind="stable"), 0), _firsts(places))
+        d = by_id(at, d_k, d_v)
+        g["key"], g["value"] = e.T @ d[:, :WIDTH], e.T @ d[:, WIDTH:]
+        g["embed"][ids] = d[:, :WIDTH] @ w["key"].T + d[:, WIDTH:] @ w["value"].T
+        d, own = by_id(late, d_q, d_z), np.flatnonzero(np.bincount(late.ravel()))
+        g["query"], g["own"] = e[own].T @ d[:, :WIDTH], e[own].T @ d[:, WIDTH:]
+        g["embed"][ids[own]] += d[:, :WIDTH] @ w["query"].T + d[:, WIDTH:] @ w["own"].T
         return loss / count, g
 
-    def train(self, windows: np.ndarray, epochs: int = 1, rate: float = RATE, seed: int = 1) -> list[float]:
+    def train(self, windows: np.ndarray, epochs: int = 1, rate: float = RATE, seed: int = 1, batch: int = BATCH) -> list[float]:
         """Adam over windows (n, 2 * BLOCK + 1) of ids, ``PAD`` where there is none; the loss of each batch."""
         rng, losses = np.random.default_rng(seed), []
         mean, square, step = {k: np.zeros_like(v) for k, v in self.weights.items()}, {k: np.zeros_like(v) for k, v in self.weights.items()}, 0
-        total = epochs * -(-len(windows) // BATCH)
+        total = epochs * -(-len(windows) // batch)
         for _ in range(epochs):
             shuffled = rng.permutation(len(windows))
-            for i in range(0, len(windows), BATCH):
-                picked = windows[shuffled[i : i + BATCH]].astype(np.int64)
+            for i in range(0, len(windows), batch):
+                picked = windows[shuffled[i : i + batch]].astype(np.int64)
                 there = picked != PAD
                 ids = np.where(there, picked, 0)
                 x = np.where(there, self.vocabulary.inputs[ids], self.vocabulary.n_inputs - 1)[:, :-1]

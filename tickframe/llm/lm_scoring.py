@@ -1,12 +1,12 @@
 """Language-model scores of whole texts: a self-attention model over subword ids beside add-one word counts.
 
 1. Documents are read once, in chunks of ``CHUNK_BYTES`` inside their own task. A chunk becomes one row (its documents
-   as numbers of the chunk's distinct words, the words' subword ids, and windows drawn from its training documents)
+   as numbers of the chunk's distinct words, the words' subword ids, and the number of windows of its training documents)
    and one row a distinct word with its count in training documents. These are written to the shared folder.
 2. Spark adds up each word's counts over all chunks and sends them back to the chunks: words travel, texts don't.
 3. Each distinct training word's subwords are counted, times the word's count: statistics of the whole corpus.
-4. A first fit on a bounded sample of windows is refined by all tasks side by side, each on its own windows, which are
-   drawn from every training document in proportion to its length; the weights are averaged.
+4. All tasks side by side learn from every window of every training document, each from its own chunks, and the weights
+   are averaged. They start from weights that the driver has fitted to a few of these windows.
 5. Each chunk scores its documents: words' counts for the base, overlapping windows for the model.
 """
 
@@ -28,10 +28,10 @@ from .common import BYTE, NOT_BLANK, U64, between, column, materialize, mix, pre
 CHUNK_BYTES = 8 << 20
 #: Words whose subwords a worker remembers from chunk to chunk.
 REMEMBERED = 1 << 18
-#: One of so many windows of the training documents is drawn.
-DRAWN = 64
-#: Windows of the first fit, and its passes over them; passes and learning rate of the refinement by tasks.
-SAMPLE, EPOCHS, ROUNDS, REFINE_RATE = 24_000, 3, 1, 0.004
+#: Windows that the weights start from, and passes over them; passes of the tasks over all windows, learning rate and windows of a step.
+SAMPLE, EPOCHS, ROUNDS, REFINE_RATE, REFINE_BATCH = 24_000, 3, 1, 0.008, 256
+#: Windows of a chunk that are cut at once.
+WINDOWS_AT_ONCE = 1 << 17
 MERGES = 64
 #: Words of whole documents that are scored at once.
 WORDS_AT_ONCE = 1 << 16
@@ -112,26 +112,30 @@ def subwords(letters: np.ndarray, starts: np.ndarray, path: str) -> tuple[np.nda
     return np.concatenate(found) if found else np.zeros(0, np.int64), np.concatenate(firsts)
 
 
-def _drawn(chunk: Chunk, ids: np.ndarray, starts: np.ndarray, end: int, number: int) -> np.ndarray:
-    """One of ``DRAWN`` windows of the training documents, all drawn alike."""
-    rows = np.flatnonzero(chunk.trained)
-    sizes = np.append(0, np.cumsum(np.diff(starts)[chunk.local], dtype=np.int64))[chunk.first]
-    blocks = -(-(np.diff(sizes)[rows] + 1) // attention.BLOCK)
-    picked = np.flatnonzero(np.random.default_rng([17, number]).random(int(blocks.sum())) * DRAWN < 1)
-    row = np.repeat(np.arange(len(rows)), blocks)[picked]
-    block = picked - (np.cumsum(blocks) - blocks)[row]
+def training_blocks(first: np.ndarray, local: np.ndarray, sizes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents of a chunk to learn from, windows of each); ``sizes``: subwords of each word."""
+    rows = np.flatnonzero(trained)
+    tokens = np.append(0, np.cumsum(sizes[local], dtype=np.int64))[first]
+    return rows, -(-(np.diff(tokens)[rows] + 1) // attention.BLOCK)
+
+
+def training_windows(first: np.ndarray, local: np.ndarray, sizes: np.ndarray, ids: np.ndarray, rows: np.ndarray, blocks: np.ndarray, picked: np.ndarray, end: int) -> np.ndarray:
+    """The windows ``picked`` (ascending) among all those of ``rows``; ``blocks``: how many each has."""
+    done, starts = np.cumsum(blocks), np.append(0, np.cumsum(sizes))
+    row = np.searchsorted(done, picked, "right")
+    block = picked - (done - blocks)[row]
     mine, row = np.unique(row, return_inverse=True)
-    words, at = ragged(chunk.local, chunk.first[rows[mine]], np.diff(chunk.first)[rows[mine]])
-    tokens, first = ragged(ids, starts[words], np.diff(starts)[words])
-    return attention.windows(tokens, first[at], end, row, block)
+    words, at = ragged(local, first[rows[mine]], np.diff(first)[rows[mine]])
+    tokens, place = ragged(ids, starts[words], sizes[words])
+    return attention.windows(tokens, place[at], end, row, block)
 
 
 def _chunks(path: str, kind: T.DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     own = to_arrow_type(kind)
-    names = "chunk ids held first local sizes subwords windows n_windows word number n".split()
-    kinds = [pa.int64(), pa.list_(own), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
+    names = "chunk ids held first local sizes subwords n_windows word number n".split()
+    kinds = [pa.int64(), pa.list_(own), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int32(), pa.int64()]
 
     def rows(values: dict, n: int) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([values[c] if c in values else pa.nulls(n, k) for c, k in zip(names, kinds)], names)
@@ -142,11 +146,11 @@ def _chunks(path: str, kind: T.DataType):
         trained = ~out.to_numpy(zero_copy_only=False).astype(bool)
         chunk = Chunk(data, offsets, trained)
         subs, starts = chunk.subwords(path)
-        windows = _drawn(chunk, subs, starts, bpe.load(path).size, number)
+        _, blocks = training_blocks(chunk.first, chunk.local, np.diff(starts), trained)
         one = lambda value, kind: pa.array([value], kind)
         yield rows({
             "chunk": one(number, kinds[0]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), "held": pa.ListArray.from_arrays(pa.array([0, len(out)], pa.int32()), out), "first": one(packed(chunk.first), pa.binary()),
-            "local": one(packed(chunk.local), pa.binary()), "sizes": one(packed(np.diff(starts)), pa.binary()), "subwords": one(packed(subs), pa.binary()), "windows": one(packed(windows.ravel()), pa.binary()), "n_windows": one(len(windows), pa.int64()),
+            "local": one(packed(chunk.local), pa.binary()), "sizes": one(packed(np.diff(starts)), pa.binary()), "subwords": one(packed(subs), pa.binary()), "n_windows": one(int(blocks.sum()), pa.int64()),
         }, 1)
         words, n = chunk.words(), len(chunk.counts)
         if n:
@@ -177,7 +181,7 @@ def chunked(docs: DataFrame, path: str) -> DataFrame:
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType
     source = docs.select("doc_id", (remainder() == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    schema = f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, first binary, local binary, sizes binary, subwords binary, windows binary, n_windows long, word string, number int, n long"
+    schema = f"chunk long, ids array<{kind.simpleString()}>, held array<boolean>, first binary, local binary, sizes binary, subwords binary, n_windows long, word string, number int, n long"
     return materialize(source.mapInArrow(_chunks(path, kind), schema), "lm-chunks")
 
 
@@ -222,40 +226,55 @@ def _shaped(data: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def _windows(data: bytes) -> np.ndarray:
-    return unpacked(data).reshape(-1, 2 * attention.BLOCK + 1)
+#: What windows are cut from.
+PARTS = ["chunk", "held", "first", "local", "sizes", "subwords"]
+
 
+def _training(batch: pa.RecordBatch, end: int):
+    """(chunk, number of windows, their cut by number) of each chunk."""
+    get = lambda c, i: unpacked(column(batch, c)[i].as_py())
+    for i in range(batch.num_rows):
+        first, local, sizes, ids = (get(c, i) for c in PARTS[2:])
+        rows, blocks = training_blocks(first, local, sizes, ~np.array(column(batch, "held")[i].as_py(), bool))
+        yield column(batch, "chunk")[i].as_py(), int(blocks.sum()), lambda picked: training_windows(first, local, sizes, ids, rows, blocks, picked, end)  # noqa: B023
 
-def _sample(chunks: DataFrame, total: int) -> np.ndarray:
-    """About ``SAMPLE`` of the drawn windows, each as likely as another."""
+
+def _start(chunks: DataFrame, total: int, end: int) -> np.ndarray:
+    """About ``SAMPLE`` of all training windows, each as likely as another."""
 
     def pick(batches):
         for batch in batches:
-            for number, data in zip(column(batch, "chunk").to_pylist(), column(batch, "windows").to_pylist()):
-                found = _windows(data)
-                kept = found[np.random.default_rng([23, number]).random(len(found)) * total < SAMPLE]
+            for number, n, cut in _training(batch, end):
+                kept = cut(np.flatnonzero(np.random.default_rng([23, number]).random(n) * total < SAMPLE))
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([packed(kept.ravel())], pa.binary())], ["chunk", "windows"])
 
-    found = chunks.where("windows is not null").select("chunk", "windows").mapInArrow(pick, "chunk long, windows binary").collect()
-    return np.concatenate([_windows(bytes(r.windows)) for r in sorted(found, key=lambda r: r.chunk)])
+    found = chunks.where("n_windows > 0").select(PARTS).mapInArrow(pick, "chunk long, windows binary").collect()
+    return np.concatenate([unpacked(bytes(r.windows)).reshape(-1, 2 * attention.BLOCK + 1) for r in sorted(found, key=lambda r: r.chunk)])
 
 
-def _averaged(chunks: DataFrame, model: Attention, seed: int) -> dict[str, np.ndarray]:
-    """Weights that all tasks refined from the model's on their own windows, averaged by number of windows."""
+def refined(chunks: DataFrame, model: Attention, end: int, seed: int) -> DataFrame:
+    """part, n, weights: what each task has learnt from all ``n`` training windows of its chunks, weights times n."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)  # bounded: the vocabulary and some hundred thousand weights
     shape = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def refine(batches):
         from pyspark import TaskContext
 
-        own, n = Attention(shared.value.vocabulary, {k: w.copy() for k, w in shared.value.weights.items()}), 0
+        own, total = Attention(shared.value.vocabulary, {k: w.copy() for k, w in shared.value.weights.items()}), 0
         for batch in batches:
-            for data in column(batch, "windows").to_pylist():
-                found = _windows(data)
-                n += len(found)
-                own.train(found, 1, REFINE_RATE, seed)
-        mean = np.frombuffer(_flat(own.weights), np.float32).astype(float) * n
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n]), pa.array([mean.tobytes()], pa.binary())], schema=shape)
+            for _, n, cut in _training(batch, end):
+                total += n
+                for a in range(0, n, WINDOWS_AT_ONCE):
+                    own.train(cut(np.arange(a, min(n, a + WINDOWS_AT_ONCE))), 1, REFINE_RATE, seed, REFINE_BATCH)
+        mean = np.frombuffer(_flat(own.weights), np.float32).astype(float) * total
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([mean.tobytes()], pa.binary())], schema=shape)
+
+    return chunks.where("n_windows > 0").select(PARTS).mapInArrow(refine, "part long, n long, weights binary").where("n > 0")
+
+
+def _averaged(chunks: DataFrame, model: Attention, end: int, seed: int) -> dict[str, np.ndarray]:
+    """Weights that all tasks refined from the model's on their own windows, averaged by number of windows."""
+    shape = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("weights", pa.binary())])
 
     def merged(batches):
         n, total = 0, None
@@ -266,8 +285,7 @@ def _averaged(chunks: DataFrame, model: Attention, seed: int) -> dict[str, np.nd
             yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n]), pa.array([total.tobytes()], pa.binary())], schema=shape)
 
     kind = "part long, n long, weights binary"
-    own = chunks.where("n_windows > 0").select("windows").mapInArrow(refine, kind).where("n > 0")
-    found = own.repartition(MERGES, "part").sortWithinPartitions("part").mapInArrow(merged, kind).collect()
+    found = refined(chunks, model, end, seed).repartition(MERGES, "part").sortWithinPartitions("part").mapInArrow(merged, kind).collect()
     if not found:
         return model.weights
     total = sum(np.frombuffer(bytes(r.weights)) for r in sorted(found, key=lambda r: (r.n, bytes(r.weights))))
@@ -275,15 +293,15 @@ def _averaged(chunks: DataFrame, model: Attention, seed: int) -> dict[str, np.nd
 
 
 def fit(chunks: DataFrame, counts: np.ndarray, path: str) -> Attention:
-    """A model of all training documents: counts of all their subwords, weights by windows drawn from each in proportion."""
+    """A model of all training documents: counts of all their subwords, weights by all their windows."""
     coder = bpe.load(path)
     heads = np.array([(coder.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(coder.size)] + [True])
     model = Attention(Vocabulary(counts, heads))
     total = chunks.agg(F.sum("n_windows")).first()[0] or 0
     if total:
-        model.train(_sample(chunks, total), EPOCHS)
+        model.train(_start(chunks, total, coder.size), EPOCHS)
         for i in range(ROUNDS):
-            model.weights = _averaged(chunks, model, i)
+            model.weights = _averaged(chunks, model, coder.size, i)
     return model
 
 
