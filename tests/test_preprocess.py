@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 
 from tests.conftest import SF
@@ -45,6 +47,22 @@ def test_logs_to_files(spark, tmp_path):
     assert all(r.total == n == r.up + r.flat + r.down for r in report.values()) and len(report) == 2
 
 
+def test_outputs_are_made_side_by_side(spark, tmp_path, monkeypatch):
+    """No output waits for another: each is written only once all have begun. What one fails with is raised."""
+    rows = book_log(spark.read.parquet(f"{SF}/events.parquet")).where("stem <= '2024-01-02'")
+    together = threading.Barrier(3, timeout=60)
+    for name in ("write_features", "write_labels"):
+        plain = getattr(p.files, name)
+        monkeypatch.setattr(p.files, name, lambda *a, plain=plain: (together.wait(), plain(*a)))
+    p.preprocess(rows, str(tmp_path / "a"), ("mid", "slow", "mid"), TARGETS)
+    made = spark.read.parquet(str(tmp_path / "a" / "features"))
+    assert {r.resolution for r in made.select("resolution").distinct().collect()} == {"mid", "slow"}
+    assert made.count() == made.select("resolution", "stem", "bar_index").distinct().count() > 0
+    monkeypatch.setattr(p.files, "write_labels", lambda *a: (together.wait(), 1 / 0))
+    with pytest.raises(ZeroDivisionError):
+        p.preprocess(rows, str(tmp_path / "b"), ("mid", "slow"), TARGETS)
+
+
 def test_resolution_plan():
     assert p.resolution_plan(" slow, fast,slow,") == {"slow": 5, "fast": 5}
     assert p.resolution_plan([], levels=0) == {"fast": 1}

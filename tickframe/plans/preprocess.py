@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +39,8 @@ def mid_series(events: DataFrame) -> DataFrame:
 def preprocess(rows: DataFrame, out: str, resolutions: tuple[str, ...] = ("fast", "mid", "slow"), targets: dict = TARGETS, tick: float = TICK, levels: int = LEVELS, skip_existing: bool = False, dry_run: bool = False, mode: str = "append") -> None:
     """Write ``out``/features and ``out``/labels of parsed log rows (see ``logs.parse``).
 
-    Events feed every resolution and the labels, so they are written once and read by each. ``skip_existing``
+    Events feed every resolution and the labels, so they are written once and read by each, all side by side: none waits
+    for the last tasks of another. ``skip_existing``
     leaves out stems that have all of their outputs and makes all of any others again in their place;
     ``dry_run`` computes all and writes no output. ``mode`` is append, or replace: rows of a stem's folder give way
     to new ones.
@@ -48,11 +52,20 @@ def preprocess(rows: DataFrame, out: str, resolutions: tuple[str, ...] = ("fast"
         if done is not None:
             rows = without_existing(rows, written(done, "finished"), ["stem"])
     events = written(market_events(rows, levels), "events")
-    for r in resolutions:
-        made = feature_rows(events, r, tick)
-        files.dry_run(made) if dry_run else files.write_features(made, f"{out}/features", r, mode)
-    labels = label_targets(mid_series(events), targets, tick)
-    files.dry_run(labels) if dry_run else files.write_labels(labels, f"{out}/labels", mode)
+
+    def features(resolution: str) -> None:
+        made = feature_rows(events, resolution, tick)
+        files.dry_run(made) if dry_run else files.write_features(made, f"{out}/features", resolution, mode)
+
+    def labels() -> None:
+        made = label_targets(mid_series(events), targets, tick)
+        files.dry_run(made) if dry_run else files.write_labels(made, f"{out}/labels", mode)
+
+    target = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(resolutions) + 1) as pool:
+        running = [pool.submit(target(features), r) for r in dict.fromkeys(resolutions)] + [pool.submit(target(labels))]
+    for r in running:
+        r.result()
 
 
 def label_report(spark: SparkSession, out: str, targets: dict = TARGETS) -> DataFrame:

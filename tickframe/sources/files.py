@@ -17,8 +17,8 @@ def _write(rows: DataFrame, path: str, mode: str, *folders: str) -> None:
 
 
 def write_features(rows: DataFrame, path: str, resolution: str, mode: str = "append") -> None:
-    """``resolution=.../stem=...`` folders of the 64 columns."""
-    _write(rows.select("stem", *FEATURES).withColumn("resolution", F.lit(resolution)), path, mode, "resolution", "stem")
+    """``resolution=.../stem=...`` folders of the 64 columns; resolutions may be written side by side."""
+    _write(rows.select("stem", *FEATURES), f"{path}/resolution={resolution}", mode, "stem")
 
 
 def read_features(spark: SparkSession, path: str, resolution: str, columns: list[str], stems: list[str] | None = None) -> DataFrame:
