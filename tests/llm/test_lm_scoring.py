@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -183,6 +184,52 @@ def test_every_training_window_is_learnt_from(spark, monkeypatch):
     assert got == targets
 
 
+def test_rows_are_learnt_as_their_windows():
+    """Blocks laid out once give the same steps as windows cut one by one, rows without tokens and of a block's length among them."""
+    rng, end, b = np.random.default_rng(6), 1999, attention.BLOCK
+    sizes = np.array([0, 1, b - 1, b, 5 * b + 3, 0, 40 * b])
+    first = np.append(0, np.cumsum(sizes))
+    tokens, blocks = rng.integers(0, 2000, first[-1]), sizes // b + 1
+    row = np.repeat(np.arange(len(sizes)), blocks)
+    cut = windows(tokens, first, end, row, np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    one, other = small_model(8), small_model(8)
+    assert one.learn_rows(tokens, first, end, 0.01, 3, 8) == len(cut) == blocks.sum()
+    other.train(cut, 1, 0.01, 3, 8)
+    assert all(np.allclose(w, other.weights[k], atol=1e-5) for k, w in one.weights.items())
+    assert not np.array_equal(one.weights["query"], small_model(8).weights["query"])
+
+
+def test_a_step_uses_the_arrays_of_the_one_before():
+    """Fresh arrays of some 10 MB a step took as long as what is done with them."""
+    model, rng, n, b = small_model(9), np.random.default_rng(10), 256, attention.BLOCK
+    x, y = rng.integers(0, model.vocabulary.n_inputs - 1, (n, 2 * b)), rng.integers(0, attention.GROUPS * attention.MEMBERS, (n, b))
+    room, real = attention.Room(), np.ones((n, b), bool)
+    before = model.gradients(x, y, real, room)
+    tracemalloc.start()
+    after = model.gradients(x, y, real, room)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4 << 20
+    assert before[0] == after[0] and all(np.array_equal(g, after[1][k]) for k, g in before[1].items())
+
+
+def test_steps_stay_finite_where_every_share_is_tiny():
+    model, rng, n, b = small_model(12), np.random.default_rng(13), 4, attention.BLOCK
+    for name in ("distance", "group_bias", "in_group_bias"):
+        model.weights[name] -= 500
+    x, y = rng.integers(0, model.vocabulary.n_inputs - 1, (n, 2 * b)), rng.integers(0, attention.GROUPS * attention.MEMBERS, (n, b))
+    loss, g = model.gradients(x, y, np.ones((n, b), bool))
+    assert math.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+
+
+def test_sums_by_id():
+    rng = np.random.default_rng(11)
+    places, d = np.minimum(rng.zipf(1.5, (50, 40)), 299).astype(np.uint16), rng.standard_normal((2000, 6))
+    want = np.zeros((300, 6))
+    np.add.at(want, places.ravel(), d)
+    assert (np.bincount(places.ravel()) > attention.FREQUENT).any() and np.allclose(attention._by_id(places, d, 300, attention.Room()), want)
+
+
 def test_edges(spark):
     assert language_model_scores(frame(spark, []), PATH).collect() == []
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

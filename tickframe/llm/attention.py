@@ -10,6 +10,9 @@ a probability, seen or not.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 
 BLOCK, WIDTH = 16, 32
@@ -20,6 +23,8 @@ INPUTS = 1024
 BATCH, RATE = 32, 0.016
 #: Blocks, and tokens, that are scored at once: temporary arrays stay in the CPU's cache.
 BLOCKS_AT_ONCE, TOKENS_AT_ONCE = 128, 4096
+#: Windows whose gradients are made at once, for the same reason; places of a step from which an id counts as frequent.
+WINDOWS_AT_ONCE, FREQUENT = 64, 32
 PAD = np.iinfo(np.uint32).max
 _NEVER = np.float32(-1e9)
 
@@ -55,11 +60,10 @@ class Vocabulary:
         self.member, self.inputs = self.member.astype(np.uint16), self.inputs.astype(np.uint16)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _powers(x: np.ndarray) -> None:
+    """Powers of e in place, each row's highest 1: no row's sum is 0 or infinite, whatever steps have made of the weights."""
     x -= x.max(-1, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
 
 
 def _exp(x: np.ndarray) -> np.ndarray:
@@ -91,10 +95,32 @@ _DISTANCE = np.maximum(np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[
 _CAUSAL = _causal()
 
 
-def _firsts(numbers: np.ndarray) -> np.ndarray:
-    """Where each number that occurs begins in sorted order."""
-    n = np.bincount(numbers.ravel())
-    return (np.cumsum(n) - n)[n > 0]
+class Room(dict):
+    """Arrays by name that are used again from step to step: fresh ones of this size cost more than what is done with them."""
+
+    def __call__(self, name: str, kind: np.dtype, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size, kind)
+        return self[name][:size].reshape(shape)
+
+
+def _by_id(places: np.ndarray, d: np.ndarray, n: int, room: Room) -> np.ndarray:
+    """Sums (n, columns) of the rows of ``d`` by number. Frequent numbers are added up one by one, the others side by side."""
+    order, sizes = np.argsort(places.ravel(), kind="stable"), np.bincount(places.ravel(), minlength=n)
+    first, ranked, out = np.cumsum(sizes) - sizes, np.argsort(-sizes, kind="stable"), np.zeros((n, d.shape[1]), d.dtype)
+    frequent, there = np.searchsorted(-sizes[ranked], [-FREQUENT, 0])
+    dealt, one = d.take(order, 0, room("dealt", d.dtype, *d.shape), "clip"), np.ones(int(sizes.max()), d.dtype)
+    for i in ranked[:frequent].tolist():
+        np.matmul(one[: sizes[i]], dealt[first[i] : first[i] + sizes[i]], out=out[i])
+    rest = ranked[frequent:there]
+    if len(rest):
+        at, left = first[rest], -sizes[rest]
+        mine = dealt.take(at, 0)
+        for k, m in enumerate(np.searchsorted(left, -np.arange(1, -left[0])).tolist(), 1):
+            mine[:m] += dealt.take(at[:m] + k, 0)
+        out[rest] = mine
+    return out
 
 
 class Attention:
@@ -110,79 +136,130 @@ class Attention:
         }
 
     # ----------------------------------------------------------------- training
-    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss and its gradients. x: (n, 2 * BLOCK) inputs; y: (n, BLOCK) members, counted where ``real``."""
-        w, none, scale = self.weights, self.vocabulary.n_inputs - 1, np.float32(1 / np.sqrt(WIDTH))
-        flat = lambda a: a.reshape(-1, a.shape[-1])
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, room: Room | None = None) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss and its gradients. x: (n, 2 * BLOCK) inputs, the first BLOCK all tokens or none; y: (n, BLOCK) members, counted where ``real``."""
+        w, none, n, d = self.weights, self.vocabulary.n_inputs - 1, len(x), WIDTH
+        kind, scale, room = w["embed"].dtype, np.float32(1 / np.sqrt(WIDTH)), Room() if room is None else room
         # Keys, queries and values depend on ids alone: they are made, and their gradients added up, once for each id.
         seen = np.bincount(x.ravel(), minlength=none + 1)
         ids = np.flatnonzero(seen)
-        e = w["embed"][ids]
         rank = np.zeros(none + 1, np.uint16)
         rank[ids] = np.arange(len(ids))
-        at = rank[x]
-        late = at[:, BLOCK:]
-        q, k, v = (e @ w["query"]).take(late, 0), (e @ w["key"]).take(at, 0), (e @ w["value"]).take(at, 0)
-        scores = q @ k.transpose(0, 2, 1) * scale + (w["distance"][_DISTANCE] + _CAUSAL)
-        scores[:, :, :BLOCK] += np.where(x[:, None, :BLOCK] == none, _NEVER, np.float32(0))
-        p = _softmax(scores)
-        z = (e @ w["own"]).take(late, 0) + p @ v
-        h = np.maximum(flat(z), 0)
-        used, y, count = np.flatnonzero(real.ravel()), y.ravel(), max(1, int(real.sum()))
-        g = {k: np.zeros_like(w[k]) for k in ("embed", "in_group", "in_group_bias")}
-        d_h = np.zeros_like(h)
-
-        def predicted(rows: np.ndarray, right: np.ndarray, out: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-            prob = _softmax(h[rows] @ out + bias)
-            at = np.arange(len(rows))
-            loss = -np.log(np.maximum(prob[at, right], 1e-30)).sum()
-            prob[at, right] -= 1
-            prob /= np.float32(count)
-            d_h[rows] += prob @ out.T
-            return float(loss), h[rows].T @ prob, prob.sum(0)
-
-        loss, g["group"], g["group_bias"] = predicted(used, y[used] // MEMBERS, w["group"], w["group_bias"])
+        at, e = rank[x], w["embed"][ids]
+        late, fresh = at[:, BLOCK:], x[:, 0] == none
+        key_value, query_own = e @ np.hstack([w["key"], w["value"]]), e @ np.hstack([w["query"] * scale, w["own"]])
+        bias = w["distance"][_DISTANCE] + _CAUSAL
+        kv, q, p = room("kv", kind, n, 2 * BLOCK, 2 * d), room("q", kind, n, BLOCK, 2 * d), room("p", kind, n, BLOCK, 2 * BLOCK)
+        att, share, h = room("att", kind, n, BLOCK, d), room("share", kind, n, BLOCK, 1), room("h", kind, n, BLOCK, d)
+        parts = [slice(a, a + WINDOWS_AT_ONCE) for a in range(0, n, WINDOWS_AT_ONCE)]
+        for here in parts:
+            key_value.take(at[here], 0, kv[here], "clip")
+            query_own.take(late[here], 0, q[here], "clip")
+            np.matmul(q[here, :, :d], kv[here, :, :d].transpose(0, 2, 1), out=p[here])
+            p[here] += bias
+            p[here][fresh[here], :, :BLOCK] = _NEVER
+            _powers(p[here])
+            np.divide(1, (p[here].reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, kind)).reshape(-1, BLOCK, 1), out=share[here])
+            z = np.matmul(p[here], kv[here, :, d:], out=att[here])
+            z *= share[here]
+            np.add(z, q[here, :, d:], out=h[here])
+            np.maximum(h[here], 0, out=h[here])
+        loss, d_z, g = self._predicted_gradients(h.reshape(-1, d), y.ravel(), real.ravel(), room)
+        d_z, d_kv, d_qo, d_bias = d_z.reshape(h.shape), room("d_kv", kind, n, 2 * BLOCK, 2 * d), room("d_qo", kind, n, BLOCK, 2 * d), np.zeros(bias.shape, kind)
+        d_z *= h > 0
+        d_qo[..., d:] = d_z
+        d_z *= share
+        for here in parts:
+            own, d_s = d_z[here], room("d_s", kind, len(at[here]), BLOCK, 2 * BLOCK)
+            np.matmul(p[here].transpose(0, 2, 1), own, out=d_kv[here, :, d:])
+            np.matmul(own, kv[here, :, d:].transpose(0, 2, 1), out=d_s)
+            d_s -= np.einsum("abc,abc->ab", own, att[here])[..., None]
+            d_s *= p[here]
+            np.matmul(d_s, kv[here, :, :d], out=d_qo[here, :, :d])
+            np.matmul(d_s.transpose(0, 2, 1), q[here, :, :d], out=d_kv[here, :, :d])
+            d_bias += d_s.sum(0)
+        g["distance"] = np.bincount(_DISTANCE.ravel(), (d_bias * (_CAUSAL == 0)).ravel(), 2 * BLOCK).astype(kind)
+        by_key, by_query = _by_id(at, d_kv.reshape(-1, 2 * d), len(ids), room), _by_id(late, d_qo.reshape(-1, 2 * d), len(ids), room)
+        by_query[:, :d] *= scale
+        for made, (one, other) in ((by_key, ("key", "value")), (by_query, ("query", "own"))):
+            both = e.T @ made
+            g[one], g[other] = both[:, :d], both[:, d:]
+        g["embed"] = np.zeros_like(w["embed"])
+        g["embed"][ids] = by_key @ np.vstack([w["key"].T, w["value"].T]) + by_query @ np.vstack([w["query"].T, w["own"].T])
+        return loss, g
+
+    def _predicted_gradients(self, h: np.ndarray, y: np.ndarray, real: np.ndarray, room: Room) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+        """Mean loss of the members y that follow the states h, the gradient of the states, and of the weights of predictions."""
+        w, kind, used = self.weights, h.dtype, np.flatnonzero(real)
         group = (y[used] // MEMBERS).astype(np.uint8)
-        dealt = used[np.argsort(group, kind="stable")]
-        cuts = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS)))
-        for i in np.unique(group):
-            rows = dealt[cuts[i] : cuts[i + 1]]
-            more, g["in_group"][i], g["in_group_bias"][i] = predicted(rows, y[rows] % MEMBERS, w["in_group"][i], w["in_group_bias"][i])
-            loss += more
-        d_z = np.where(z > 0, d_h.reshape(z.shape), np.float32(0))
-        d_p = d_z @ v.transpose(0, 2, 1)
-        d_s = p * (d_p - (d_p * p).sum(-1, keepdims=True))
-        d_v, d_q, d_k = p.transpose(0, 2, 1) @ d_z, d_s @ k * scale, d_s.transpose(0, 2, 1) @ q * scale
-        g["distance"] = np.bincount(_DISTANCE.ravel(), (d_s.sum(0) * (_CAUSAL == 0)).ravel(), 2 * BLOCK).astype(np.float32)
-        by_id = lambda places, *grads: np.add.reduceat(np.concatenate([flat(d) for d in grads], 1).take(np.argsort(places.ravel(), kind="stable"), 0), _firsts(places))
-        d = by_id(at, d_k, d_v)
-        g["key"], g["value"] = e.T @ d[:, :WIDTH], e.T @ d[:, WIDTH:]
-        g["embed"][ids] = d[:, :WIDTH] @ w["key"].T + d[:, WIDTH:] @ w["value"].T
-        d, own = by_id(late, d_q, d_z), np.flatnonzero(np.bincount(late.ravel()))
-        g["query"], g["own"] = e[own].T @ d[:, :WIDTH], e[own].T @ d[:, WIDTH:]
-        g["embed"][ids[own]] += d[:, :WIDTH] @ w["query"].T + d[:, WIDTH:] @ w["own"].T
-        return loss / count, g
+        order = np.argsort(group, kind="stable")
+        used, group = used[order], group[order]  # a group's states stand together
+        own = h.take(used, 0, room("own", kind, len(used), WIDTH), "clip")
+        cuts, count = np.append(0, np.cumsum(np.bincount(group, minlength=GROUPS))), max(1, len(used))
+        groups = [(i, slice(cuts[i], cuts[i + 1])) for i in np.flatnonzero(np.diff(cuts)).tolist()]
+        g = {k: np.zeros_like(w[k]) for k in ("in_group", "in_group_bias")}
+        d_own, one, other, loss = room("d_own", kind, *own.shape), room("one", kind, len(used), GROUPS), room("other", kind, len(used), MEMBERS), 0.0
+        np.matmul(own, w["group"], out=one)
+        one += w["group_bias"]
+        for i, here in groups:
+            np.matmul(own[here], w["in_group"][i], out=other[here])
+            other[here] += w["in_group_bias"][i]
+        for prob, right in ((one, group), (other, y[used] % MEMBERS)):
+            _powers(prob)
+            prob *= (1 / (prob @ np.ones(prob.shape[1], kind)))[:, None]
+            place = np.arange(0, prob.size, prob.shape[1]) + right
+            flat = prob.reshape(-1)
+            loss -= float(np.log(np.maximum(flat[place], 1e-30)).sum())
+            flat[place] -= 1
+            prob *= kind.type(1 / count)
+        g["group"], g["group_bias"] = own.T @ one, one.sum(0)
+        for i, here in groups:
+            np.matmul(other[here], w["in_group"][i].T, out=d_own[here])
+            np.matmul(own[here].T, other[here], out=g["in_group"][i])
+            np.add.reduce(other[here], 0, out=g["in_group_bias"][i])
+        d_own += one @ w["group"].T
+        d_h = room("d_h", kind, *h.shape)
+        d_h.fill(0)
+        d_h[used] = d_own
+        return loss / count, d_h, g
 
     def train(self, windows: np.ndarray, epochs: int = 1, rate: float = RATE, seed: int = 1, batch: int = BATCH) -> list[float]:
         """Adam over windows (n, 2 * BLOCK + 1) of ids, ``PAD`` where there is none; the loss of each batch."""
-        rng, losses = np.random.default_rng(seed), []
-        mean, square, step = {k: np.zeros_like(v) for k, v in self.weights.items()}, {k: np.zeros_like(v) for k, v in self.weights.items()}, 0
-        total = epochs * -(-len(windows) // batch)
+        there = windows != PAD
+        ids = np.where(there, windows, 0)
+        x = np.where(there, self.vocabulary.inputs[ids], self.vocabulary.inputs.dtype.type(self.vocabulary.n_inputs - 1))[:, :-1]
+        late = slice(BLOCK + 1, None)
+        return self.learn(lambda i: (x[i], self.vocabulary.member[ids[i, late]], there[i, late]), len(windows), epochs, rate, seed, batch)
+
+    def learn(self, cut: Callable[[np.ndarray], tuple[np.ndarray, ...]], n: int, epochs: int, rate: float, seed: int, batch: int) -> list[float]:
+        """Adam over n windows; ``cut`` gives the inputs, members and real places of those asked for. The loss of each batch."""
+        rng, room, losses = np.random.default_rng(seed), Room(), []
+        flat = np.concatenate([w.ravel() for w in self.weights.values()])
+        ends = np.cumsum([w.size for w in self.weights.values()])
+        self.weights = {k: part.reshape(w.shape) for (k, w), part in zip(self.weights.items(), np.split(flat, ends[:-1]))}  # views of one array
+        mean, square, g, more, step = *(np.zeros_like(flat) for _ in range(4)), 0
+        total = epochs * -(-n // batch)
         for _ in range(epochs):
-            shuffled = rng.permutation(len(windows))
-            for i in range(0, len(windows), batch):
-                picked = windows[shuffled[i : i + batch]].astype(np.int64)
-                there = picked != PAD
-                ids = np.where(there, picked, 0)
-                x = np.where(there, self.vocabulary.inputs[ids], self.vocabulary.n_inputs - 1)[:, :-1]
-                loss, g = self.gradients(x, self.vocabulary.member[ids[:, BLOCK + 1 :]], there[:, BLOCK + 1 :])
+            shuffled = rng.permutation(n)
+            for i in range(0, n, batch):
+                loss, found = self.gradients(*cut(shuffled[i : i + batch]), room)
+                np.concatenate([found[k].ravel() for k in self.weights], out=g)
                 losses.append(loss)
                 step += 1
                 now = rate * (1 - (step - 1) / total)
-                for k, w in self.weights.items():
-                    mean[k] += 0.1 * (g[k] - mean[k])
-                    square[k] += 0.01 * (g[k] * g[k] - square[k])
-                    w -= np.float32(now / (1 - 0.9**step)) * mean[k] / (np.sqrt(square[k] / (1 - 0.99**step)) + np.float32(1e-8))
+                np.subtract(g, mean, out=more)
+                more *= 0.1
+                mean += more
+                np.multiply(g, g, out=g)
+                g -= square
+                g *= 0.01
+                square += g
+                np.multiply(square, 1 / (1 - 0.99**step), out=g)
+                np.sqrt(g, out=g)
+                g += 1e-8
+                np.divide(mean, g, out=more)
+                more *= now / (1 - 0.9**step)
+                flat -= more
         return losses
 
     # ----------------------------------------------------------------- scoring
@@ -196,21 +273,39 @@ class Attention:
         rows, v = len(first) - 1, self.vocabulary
         if not rows:
             return np.zeros(0)
+        place, block, x, member = self._laid(tokens, first, end)
+        starts, inside = first[:-1] + np.arange(rows), np.empty(len(place), np.float32)
+        inside[np.arange(len(tokens)) + np.repeat(np.arange(rows), np.diff(first))] = v.inside[tokens]
+        inside[first[1:] + np.arange(rows)] = v.inside[end]
+        fresh = np.zeros(len(x), bool)
+        fresh[block[:-1]] = True
+        logs = self._predicted(self._hidden(x, fresh)[place], member)
+        return np.add.reduceat((logs + inside).astype(float), starts)
+
+    def _laid(self, tokens: np.ndarray, first: np.ndarray, end: int) -> tuple[np.ndarray, ...]:
+        """(place of each target, first block of each row, inputs (blocks, BLOCK), members of the targets)."""
+        rows, v = len(first) - 1, self.vocabulary
         place, block = places(first)
         at = np.arange(len(tokens)) + np.repeat(np.arange(rows), np.diff(first))  # of tokens among all targets
-        starts, ends = first[:-1] + np.arange(rows), first[1:] + np.arange(rows)
-        before, member, inside = np.empty(len(place), v.inputs.dtype), np.empty(len(place), v.member.dtype), np.empty(len(place), np.float32)
+        before, member = np.empty(len(place), v.inputs.dtype), np.empty(len(place), v.member.dtype)
         before[at + 1] = v.inputs[tokens]
-        before[starts] = v.inputs[end]
-        for out, of in ((member, v.member), (inside, v.inside)):
-            out[at], out[ends] = of[tokens], of[end]
-        n = int(block[-1])
-        x = np.full(n * BLOCK, v.n_inputs - 1, np.uint16)
+        before[first[:-1] + np.arange(rows)] = v.inputs[end]
+        member[at], member[first[1:] + np.arange(rows)] = v.member[tokens], v.member[end]
+        x = np.full(int(block[-1]) * BLOCK, v.n_inputs - 1, v.inputs.dtype)
         x[place] = before
-        fresh = np.zeros(n, bool)
-        fresh[block[:-1]] = True
-        logs = self._predicted(self._hidden(x.reshape(n, BLOCK), fresh)[place], member)
-        return np.add.reduceat((logs + inside).astype(float), starts)
+        return place, block, x.reshape(-1, BLOCK), member
+
+    def learn_rows(self, tokens: np.ndarray, first: np.ndarray, end: int, rate: float, seed: int, batch: int) -> int:
+        """One pass over all windows of all rows, as ``scores`` and ``windows`` cut them; how many these are."""
+        place, block, x, member = self._laid(tokens, first, end)
+        n = len(x)
+        y, real = np.zeros(n * BLOCK, member.dtype), np.zeros(n * BLOCK, bool)
+        y[place], real[place] = member, True
+        y, real, before = y.reshape(-1, BLOCK), real.reshape(-1, BLOCK), np.arange(n)
+        x = np.vstack([np.full((1, BLOCK), self.vocabulary.n_inputs - 1, x.dtype), x])
+        before[block[:-1]] = 0  # none
+        self.learn(lambda i: (np.hstack([x[before[i]], x[i + 1]]), y[i], real[i]), n, 1, rate, seed, batch)
+        return n
 
     def _hidden(self, x: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """The state after every place; a fresh block sees none before it."""

@@ -30,7 +30,7 @@ CHUNK_BYTES = 8 << 20
 REMEMBERED = 1 << 18
 #: Windows that the weights start from, and passes over them; passes of the tasks over all windows, learning rate and windows of a step.
 SAMPLE, EPOCHS, ROUNDS, REFINE_RATE, REFINE_BATCH = 24_000, 3, 1, 0.008, 256
-#: Windows of a chunk that are cut at once.
+#: Windows of a chunk, those of whole documents, that are cut at once.
 WINDOWS_AT_ONCE = 1 << 17
 MERGES = 64
 #: Words of whole documents that are scored at once.
@@ -230,13 +230,19 @@ def _shaped(data: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 PARTS = ["chunk", "held", "first", "local", "sizes", "subwords"]
 
 
-def _training(batch: pa.RecordBatch, end: int):
-    """(chunk, number of windows, their cut by number) of each chunk."""
+def _stored(batch: pa.RecordBatch):
+    """(chunk, first, local, sizes, subwords, documents to learn from, windows of each) of each chunk."""
     get = lambda c, i: unpacked(column(batch, c)[i].as_py())
     for i in range(batch.num_rows):
         first, local, sizes, ids = (get(c, i) for c in PARTS[2:])
-        rows, blocks = training_blocks(first, local, sizes, ~np.array(column(batch, "held")[i].as_py(), bool))
-        yield column(batch, "chunk")[i].as_py(), int(blocks.sum()), lambda picked: training_windows(first, local, sizes, ids, rows, blocks, picked, end)  # noqa: B023
+        held = column(batch, "held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
+        yield column(batch, "chunk")[i].as_py(), first, local, sizes, ids, *training_blocks(first, local, sizes, ~held)
+
+
+def _training(batch: pa.RecordBatch, end: int):
+    """(chunk, number of windows, their cut by number) of each chunk."""
+    for number, first, local, sizes, ids, rows, blocks in _stored(batch):
+        yield number, int(blocks.sum()), lambda picked: training_windows(first, local, sizes, ids, rows, blocks, picked, end)  # noqa: B023
 
 
 def _start(chunks: DataFrame, total: int, end: int) -> np.ndarray:
@@ -262,10 +268,12 @@ def refined(chunks: DataFrame, model: Attention, end: int, seed: int) -> DataFra
 
         own, total = Attention(shared.value.vocabulary, {k: w.copy() for k, w in shared.value.weights.items()}), 0
         for batch in batches:
-            for _, n, cut in _training(batch, end):
-                total += n
-                for a in range(0, n, WINDOWS_AT_ONCE):
-                    own.train(cut(np.arange(a, min(n, a + WINDOWS_AT_ONCE))), 1, REFINE_RATE, seed, REFINE_BATCH)
+            for _, first, local, sizes, ids, rows, blocks in _stored(batch):
+                starts, n = np.append(0, np.cumsum(sizes)), np.diff(first)
+                for a, b in slices(np.append(0, np.cumsum(blocks)), WINDOWS_AT_ONCE):  # whole documents
+                    words, at = ragged(local, first[rows[a:b]], n[rows[a:b]])
+                    tokens, place = ragged(ids, starts[words], sizes[words])
+                    total += own.learn_rows(tokens, place[at], end, REFINE_RATE, seed, REFINE_BATCH)
         mean = np.frombuffer(_flat(own.weights), np.float32).astype(float) * total
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total]), pa.array([mean.tobytes()], pa.binary())], schema=shape)
 
